@@ -158,3 +158,23 @@ def op2_decontaminate(spark, sf_dir) -> DataFrame:
     """Query: 10-word windows of every benchmark item against all documents."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return report(read("documents"), read("benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+n AS (SELECT unnest(range(1, 40001)) AS i),
+win AS (
+  SELECT DISTINCT item, least(10, len(ws)) AS size, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS g
+  FROM b, n WHERE len(ws) > 0 AND i <= len(ws) - least(10, len(ws)) + 1),
+sizes AS (SELECT DISTINCT size FROM win),
+dw AS (
+  SELECT r, i, size, array_to_string(ws[i:i + size - 1], ' ') AS g FROM d, n, sizes WHERE i <= len(ws) - size + 1),
+hit AS (SELECT r, i, win.size, item FROM dw JOIN win ON dw.g = win.g AND dw.size = win.size),
+covered AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT r, i, unnest(range(size)) AS k FROM hit) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
+"""
