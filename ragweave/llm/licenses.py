@@ -197,7 +197,8 @@ def scanned(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, confident: float =
     spans with family, probability, share of the template covered. The weights are fitted on the templates and on
     lines of at most sample_docs documents, those with the least hash of doc_id. A null or empty text has none.
     """
-    few = docs.select("doc_id", "text").where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    few = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids.distinct()), "doc_id", "left_semi")  # sample_docs ids at most
     line = few.select(F.explode(F.slice(F.split("text", "\n"), 1, 4)).alias("line")).where("not lower(line) rlike 'licen[sc]e|copyright|public domain|warranty|permission|rights reserved'").select(F.substring("line", 1, 400).alias("line"))
     negatives = sorted(r[0] for r in line.collect())
     shared = docs.sparkSession.sparkContext.broadcast(trained(negatives))

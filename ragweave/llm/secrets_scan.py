@@ -49,7 +49,8 @@ def samples(spark: SparkSession, docs: DataFrame | None, strings: int = SAMPLE_S
     plain = spark.range(strings).select(F.element_at(shapes, (F.col("id") % 9 + 1).cast("int")).alias("token"), F.lit(False).alias("random"))
     out = random.union(plain)
     if docs is not None:
-        few = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+        ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+        few = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id", "left_semi")  # sample_docs ids at most
         words = few.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("w")).distinct()
         out = out.union(words.select(F.explode(F.array("w", F.upper("w"), F.lower("w"))).alias("token"), F.lit(False).alias("random")))
     return out
