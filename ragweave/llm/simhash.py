@@ -208,7 +208,7 @@ def links(distinct: DataFrame, radius: int = 2, segments: int = 4, tile: int = T
     widths = _segments(segments)
     cell = F.lit(0).cast("long")
     for at, width in widths:
-        cell = cell * (width + 1) + F.bit_count(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
+        cell = cell * (width + 1) + F.bit_count(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long")))
     counts = distinct.groupBy(cell.alias("cell")).count().collect()  # at most one row for each cell
     limit = 1 << 40
     sizes = (np.array([r[0] for r in counts], np.int64), np.array([-(-r[1] // tile) for r in counts], np.int64))
