@@ -160,9 +160,9 @@ _THR = f"""{_VEC}, m AS (SELECT query_id, median(dense_score) AS dm, median(rera
 thr AS (SELECT query_id, first(dense_thr) AS dense_thr, first(rerank_thr) AS rerank_thr, greatest(1e-8, median(abs(dense_score - dm))) AS dense_mad, greatest(1e-8, median(abs(rerank_score - rm))) AS rerank_mad FROM pool JOIN m USING (query_id) GROUP BY query_id)"""
 
 
-@query("frozen_thresholds", f"WITH {_THR} SELECT query_id, dense_thr, rerank_thr, round(dense_mad, 6) AS dense_mad, round(rerank_mad, 6) AS rerank_mad FROM thr")
+@query("frozen_thresholds", f"WITH {_THR} SELECT query_id, dense_thr, rerank_thr, round(dense_mad, 9) AS dense_mad, round(rerank_mad, 9) AS rerank_mad FROM thr")
 def frozen_thresholds(spark, d):
-    return _round(R.frozen_thresholds(_pool(spark, d), 20, 5), "dense_mad", "rerank_mad")
+    return _round(R.frozen_thresholds(_pool(spark, d), 20, 5), "dense_mad", "rerank_mad", n=9)
 
 
 @query("pipeline_margin", f"WITH {_THR} SELECT query_id, chunk_id, round(least((dense_score - dense_thr) / dense_mad, (rerank_score - rerank_thr) / rerank_mad), 4) AS margin FROM pool JOIN thr USING (query_id)")
