@@ -165,10 +165,10 @@ def frozen_thresholds(spark, d):
     return _round(R.frozen_thresholds(_pool(spark, d), 20, 5), "dense_mad", "rerank_mad", n=9)
 
 
-@query("pipeline_margin", f"WITH {_THR} SELECT query_id, chunk_id, round(least((dense_score - dense_thr) / dense_mad, (rerank_score - rerank_thr) / rerank_mad), 4) AS margin FROM pool JOIN thr USING (query_id)")
+@query("pipeline_margin", f"WITH {_THR} SELECT query_id, chunk_id, round(least((dense_score - dense_thr) / dense_mad, (rerank_score - rerank_thr) / rerank_mad), 7) AS margin FROM pool JOIN thr USING (query_id)")
 def pipeline_margin(spark, d):
     p = _pool(spark, d)
-    return p.join(R.frozen_thresholds(p, 20, 5), "query_id").select("query_id", "chunk_id", F.round(R.margin(F.col("dense_score"), F.col("rerank_score")), 4).alias("margin"))
+    return p.join(R.frozen_thresholds(p, 20, 5), "query_id").select("query_id", "chunk_id", F.round(R.margin(F.col("dense_score"), F.col("rerank_score")), 7).alias("margin"))
 
 
 def _parts(spark, d):
