@@ -5,11 +5,15 @@ cell given by the population counts of its segments; two fingerprints at `radius
 differences sum to `radius` or fewer, so tiles of cells further apart are never brought together. Cells of more
 than `tile` fingerprints are split, so that a task holds one tile and streams the rest past it. Links stay within
 the task that finds them: it sends on a spanning forest, not the pairs.
+
+Fingerprints have 64 bits, or 64 * `words` bits. Wide ones have cells by steps of their whole population count, and
+are compared by a part first: where that part alone differs in more than `radius` bits, the rest is not looked at.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -19,34 +23,77 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, mixed, shipped, texts_of
 
-TILE = 4096
+TILE, STEP, BLOCK = 4096, 96, 1 << 17
+#: Width in words and shingles of the fingerprints that stand for a similarity.
+WIDE, SHINGLE, SIMILARITY = 8, 5, 0.8
+
+
+def radius_for(similarity: float, words: int, slack: float = 1.75) -> int:
+    """Bits in which fingerprints of 64 * words bits may differ at a Jaccard similarity of shingles.
+
+    Sets of Jaccard similarity j have a cosine of 2j/(1+j) or more; their bits differ with a chance of its angle
+    over pi. The radius is the mean number at that chance and `slack` standard deviations.
+    """
+    chance, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * words
+    return int(bits * chance + slack * math.sqrt(bits * chance * (1 - chance)))
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """64-bit SimHash of word shingles, repeats included; a text without words has 0."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of lower-cased words, repeats included; of fewer words, of the whole sequence."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     hashed = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return hashed(b" ".join(words), 42)
+        return np.array([hashed(b" ".join(words), 42)], np.uint64)
     grams = zip(*(words[i:] for i in range(shingle)))
-    h = np.array([hashed(b" ".join(g), 42) for g in grams], dtype="<u8")
-    ones = np.zeros(64, np.int64)
-    for part in range(0, len(h), 1 << 15):
-        ones += np.unpackbits(h[part : part + (1 << 15), None].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return np.fromiter((hashed(b" ".join(g), 42) for g in grams), np.uint64, len(words) - shingle + 1)
+
+
+def fingerprint(text: bytes, shingle: int = 3, words: int = 1) -> np.ndarray:
+    """SimHash of word shingles as `words` unsigned 64-bit words; a text without words has 0.
+
+    The first word takes the shingles' hashes, each further one the hashes mixed with its number.
+    """
+    h = shingle_hashes(text, shingle)
+    ones = np.zeros((words, 64), np.int64)
+    for part in range(0, len(h), 1 << 12):
+        some = h[part : part + (1 << 12)]
+        for k in range(words):
+            bits = np.unpackbits((mixed(some + np.uint64(k)) if k else some).astype("<u8")[:, None].view(np.uint8), axis=1, bitorder="little")
+            # runs of 255 rows fit sums of one byte
+            ones[k] += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Fingerprints as rows of unsigned words: from a long, or from binaries of equal size."""
+    if not pa.types.is_integer(column.type):
+        found = texts_of(column)
+        return np.frombuffer(b"".join(found), "<u8").reshape(len(found), len(found[0]) // 8 if found else 1)
+    return column.to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
 
 
-def _fingerprints(batches, shingle):
+def _column(prints: np.ndarray) -> pa.Array:
+    n, words = prints.shape
+    if words == 1:
+        return pa.array(np.ascontiguousarray(prints[:, 0]).view(np.int64))
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * words), n, [None, pa.py_buffer(np.ascontiguousarray(prints).tobytes())]).cast(pa.binary())
+
+
+def _fingerprints(batches, shingle, words):
     for batch in batches:
-        prints = np.array([fingerprint(t, shingle) for t in texts_of(batch.column(1))], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        prints = [fingerprint(t, shingle, words) for t in texts_of(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), _column(np.stack(prints) if prints else np.zeros((0, words), np.uint64))], names=["doc_id", "fp"])
+
 
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
+    """(doc_id, fp) of each row, fp as a signed long or, beyond one word, as binary; a null text is empty."""
+    return docs.select("doc_id", "text").mapInArrow(shipped(__name__, "_fingerprints", shingle, words), f"doc_id long, fp {_kind(words)}")
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp as a signed long) of each row; a null text is empty."""
-    return docs.select("doc_id", "text").mapInArrow(shipped(__name__, "_fingerprints", shingle), "doc_id long, fp long")
+
+def _kind(words: int) -> str:
+    return "long" if words == 1 else "binary"
 
 
 def _segments(segments: int) -> list[tuple[int, int]]:
@@ -55,29 +102,36 @@ def _segments(segments: int) -> list[tuple[int, int]]:
 
 
 def _cell(fp: np.ndarray, segments: int) -> np.ndarray:
+    if fp.shape[1] > 1:
+        return np.bitwise_count(fp).sum(1, dtype=np.int64) // STEP
     out = np.zeros(len(fp), np.int64)
     for at, width in _segments(segments):
-        out = out * (width + 1) + np.bitwise_count((fp >> np.uint64(at)) & np.uint64((1 << width) - 1))
+        out = out * (width + 1) + np.bitwise_count((fp[:, 0] >> np.uint64(at)) & np.uint64((1 << width) - 1))
     return out
 
 
+def _cells(batches, segments):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_cell(_matrix(batch.column(0)), segments))], names=["cell"])
+
+
 def _steps(segments: int, radius: int) -> list[tuple[int, ...]]:
     """One of each two opposite steps between cells that may hold a link, without the step to the same cell."""
     found = [s for s in itertools.product(range(-radius, radius + 1), repeat=segments) if 0 < sum(map(abs, s)) <= radius]
     return [s for s in found if s > (0,) * segments]
 
 
-def _scatter(batches, segments, radius, tiles_by_cell, limit):
+def _scatter(batches, words, segments, radius, tiles_by_cell, limit):
     """Each fingerprint as owner in its own tile (role 0) and as visitor (role 1) where a link to it may be."""
-    widths = [w for _, w in _segments(segments)]
-    moves = _steps(segments, radius)
+    widths = [w for _, w in _segments(segments)] if words == 1 else [64 * words // STEP]
+    moves = _steps(segments, radius) if words == 1 else [(i,) for i in range(1, -(-radius // STEP) + 1)]
     tiles = np.zeros(int(np.prod([w + 1 for w in widths])), np.int64)
     cells, counts = tiles_by_cell.value
     tiles[cells] = counts
     for batch in batches:
-        fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        fp = _matrix(batch.column(0))
         cell = _cell(fp, segments)
-        own = (mixed(fp) % tiles[cell].astype(np.uint64)).astype(np.int64)
+        own = (mixed(fp[:, 0]) % tiles[cell].astype(np.uint64)).astype(np.int64)
         keys, roles, prints = [cell * limit + own], [np.zeros(len(fp), np.int8)], [fp]
 
         def visit(at, where, first):
@@ -103,14 +157,14 @@ def _scatter(batches, segments, radius, tiles_by_cell, limit):
                 where = where * (w + 1) + moved
             at = everyone[ok]
             visit(at, where[ok], np.zeros(len(at), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(roles)), pa.array(np.concatenate(prints).view(np.int64))], names=["key", "role", "fp"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(roles)), _column(np.concatenate(prints))], names=["key", "role", "fp"])
 
 
 class _Tile:
     """The owners of one tile and the forest of links found so far."""
 
-    def __init__(self, radius: int):
-        self.radius, self.parts, self.own, self.edges = radius, [], None, []
+    def __init__(self, radius: int, words: int):
+        self.radius, self.words, self.parts, self.own, self.edges = radius, words, [], None, []
 
     def add(self, fp: np.ndarray, visitors: bool) -> None:
         if not visitors:
@@ -121,7 +175,8 @@ class _Tile:
 
     def close(self) -> None:
         if self.own is None:
-            self.own = np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint64)
+            self.own = np.concatenate(self.parts) if self.parts else np.zeros((0, self.words), np.uint64)
+            self.columns = np.ascontiguousarray(self.own.T)
             self.root = np.arange(len(self.own))
             if len(self.own) > 1:
                 self.compare(self.own, 0)
@@ -133,14 +188,26 @@ class _Tile:
             i = root[i]
         return int(i)
 
+    def near(self, part: np.ndarray, same: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(row of part, own row) of each pair within the radius, in order; part is own[same:] unless same is None."""
+        some = (self.words + 1) // 2
+        apart = np.zeros((len(part), len(self.own)), np.uint16)
+        for k in range(some):
+            apart += np.bitwise_count(part[:, k, None] ^ self.columns[k][None, :])
+        close = apart <= self.radius
+        if same is not None:
+            close[np.arange(len(part)), np.arange(same, same + len(part))] = False
+        v, o = np.nonzero(close)
+        if self.words > some and len(v):
+            held = [apart[v[i : i + BLOCK], o[i : i + BLOCK]] + np.bitwise_count(part[v[i : i + BLOCK], some:] ^ self.own[o[i : i + BLOCK], some:]).sum(1) <= self.radius for i in range(0, len(v), BLOCK)]
+            v, o = v[np.concatenate(held)], o[np.concatenate(held)]
+        return v, o
+
     def compare(self, other: np.ndarray, base: int | None) -> None:
-        rows = max(1, (1 << 21) // max(1, len(self.own)))
+        rows = max(1, BLOCK // max(1, len(self.own)))
         for at in range(0, len(other), rows):
             part = other[at : at + rows]
-            near = np.bitwise_count(part[:, None] ^ self.own[None, :]) <= self.radius
-            if base is not None:
-                near[np.arange(len(part)), np.arange(at, at + len(part))] = False
-            v, o = np.nonzero(near)
+            v, o = self.near(part, None if base is None else at)
             if not len(v):
                 continue
             self.root = self.settled()
@@ -171,30 +238,29 @@ class _Tile:
         self.close()
         root = self.settled()
         linked = np.flatnonzero(root != np.arange(len(root)))
-        return np.concatenate([np.stack([self.own[linked], self.own[root[linked]]], 1), *self.edges]) if len(linked) or self.edges else np.zeros((0, 2), np.uint64)
+        return np.concatenate([np.stack([self.own[linked], self.own[root[linked]]], 1), *self.edges]) if len(linked) or self.edges else np.zeros((0, 2, self.words), np.uint64)
 
 
-def _compare(batches, radius):
+def _compare(batches, words, radius):
     """Rows sorted by key and role; a tile's owners come before its visitors, which are never held together."""
     key, tile = None, None
 
     def rows(found):
-        found = np.ascontiguousarray(found).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([_column(found[:, 0]), _column(found[:, 1])], names=["a", "b"])
 
     for batch in batches:
         keys = batch.column(0).to_numpy(zero_copy_only=False)
         roles = batch.column(1).to_numpy(zero_copy_only=False)
-        fp = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
         if not len(keys):
             continue
+        fp = _matrix(batch.column(2))
         cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]) | (roles[1:] != roles[:-1])) + 1, len(keys)].tolist()
         out = []
         for s, e in zip(cuts, cuts[1:]):
             if keys[s] != key:
                 if tile is not None:
                     out.append(tile.result())
-                key, tile = keys[s], _Tile(radius)
+                key, tile = keys[s], _Tile(radius, words)
             tile.add(fp[s:e], bool(roles[s]))
         if out := [x for x in out if len(x)]:
             yield rows(np.concatenate(out))
@@ -202,42 +268,43 @@ def _compare(batches, radius):
         yield rows(found)
 
 
-def links(distinct: DataFrame, radius: int = 2, segments: int = 4, tile: int = TILE) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 2, segments: int = 4, tile: int = TILE, words: int = 1) -> DataFrame:
     """(a, b): a spanning forest, tile by tile, of the links between distinct fingerprints (column fp)."""
-    spark = distinct.sparkSession
-    widths = _segments(segments)
-    cell = F.lit(0).cast("long")
-    for at, width in widths:
-        cell = cell * (width + 1) + F.bit_count(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1).cast("long")))
-    counts = distinct.groupBy(cell.alias("cell")).count().collect()  # at most one row for each cell
+    spark, prints, kind = distinct.sparkSession, distinct.select("fp"), _kind(words)
+    counts = prints.mapInArrow(shipped(__name__, "_cells", segments), "cell long").groupBy("cell").count().collect()  # at most one row for each cell
     limit = 1 << 40
     sizes = (np.array([r[0] for r in counts], np.int64), np.array([-(-r[1] // tile) for r in counts], np.int64))
-    sent = distinct.select("fp").mapInArrow(shipped(__name__, "_scatter", segments, radius, spark.sparkContext.broadcast(sizes), limit), "key long, role byte, fp long")
+    sent = prints.mapInArrow(shipped(__name__, "_scatter", words, segments, radius, spark.sparkContext.broadcast(sizes), limit), f"key long, role byte, fp {kind}")
     dealt = sent.repartition("key").sortWithinPartitions("key", "role")
-    return dealt.mapInArrow(shipped(__name__, "_compare", radius), "a long, b long")
+    return dealt.mapInArrow(shipped(__name__, "_compare", words, radius), f"a {kind}, b {kind}")
 
 
-def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, segments: int = 4, tile: int = TILE) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, segments: int = 4, tile: int = TILE, words: int = 1) -> DataFrame:
     """One row per row of docs: doc_id, fp, component_id (the least doc_id that links reach, its own included).
 
     Null texts and texts without words share fingerprint 0 and are linked like any other. Rows that repeat a
     doc_id stay separate rows. A null doc_id never is a component's id unless all of its doc_ids are null.
     """
-    prints = cut(fingerprints(docs, shingle), "simhash-fp")
+    prints = cut(fingerprints(docs, shingle, words), "simhash-fp")
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    found = components(links(distinct, radius, segments, tile), "simhash")
+    found = components(links(distinct, radius, segments, tile, words), "simhash")
     member = cut(found.withColumnRenamed("v", "fp").join(distinct, "fp"), "simhash-member")
     lowest = member.groupBy("root").agg(F.min("least").alias("lowest"))
     named = distinct.join(member.join(lowest, "root").select("fp", "lowest"), "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, segments: int = 4, tile: int = TILE) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, segments: int = 4, tile: int = TILE, words: int = 1) -> DataFrame:
     """docs without the rows whose group has a document of a smaller doc_id; of rows with that doc_id all stay."""
-    losers = groups(docs, shingle, radius, segments, tile).where("doc_id <> component_id").select("doc_id").distinct()
+    losers = groups(docs, shingle, radius, segments, tile, words).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(losers, "doc_id", "left_anti").select(docs.columns)
 
 
+def keep_one_alike(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, words: int = WIDE) -> DataFrame:
+    """keep_one by wide fingerprints that stand for `similarity` of shingles (radius_for): copies with edits go as well."""
+    return keep_one(docs, shingle, radius_for(similarity, words), words=words)
+
+
 def op1_simhash(spark, sf_dir) -> DataFrame:
     """Query: fingerprints of 3-word shingles, linked at 2 bits or fewer, over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
