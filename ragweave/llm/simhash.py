@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import components, cut, mixed, shipped, texts_of
 
 TILE, STEP, BLOCK = 4096, 96, 1 << 17
-#: Width in words and shingles of the fingerprints that stand for a similarity.
-WIDE, SHINGLE, SIMILARITY = 8, 5, 0.8
+#: Width in words, shingles and tiles (2 MB each) of the fingerprints that stand for a similarity. Their counts keep few
+#: tiles apart, so a fingerprint visits most of them: the larger the tiles, the fewer copies of it are sent.
+WIDE, SHINGLE, SIMILARITY, WIDE_TILE = 8, 5, 0.8, 1 << 15
 
 
 def radius_for(similarity: float, words: int, slack: float = 1.75) -> int:
@@ -134,17 +135,18 @@ def _scatter(batches, words, segments, radius, tiles_by_cell, limit):
         own = (mixed(fp[:, 0]) % tiles[cell].astype(np.uint64)).astype(np.int64)
         keys, roles, prints = [cell * limit + own], [np.zeros(len(fp), np.int8)], [fp]
 
-        def visit(at, where, first):
-            n = tiles[where] - first
-            n = np.maximum(n, 0)
+        def visit(at, where, first, n):
+            """n tiles of each cell from the first on, and round to its tile 0."""
             rep = np.repeat(np.arange(len(at)), n)
             within = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
-            keys.append(where[rep] * limit + np.repeat(first, n) + within)
+            keys.append(where[rep] * limit + (np.repeat(first, n) + within) % np.maximum(tiles[where[rep]], 1))
             roles.append(np.ones(len(rep), np.int8))
             prints.append(fp[at[rep]])
 
         everyone = np.arange(len(fp))
-        visit(everyone, cell, own + 1)
+        # of two tiles of a cell one visits the other, and each is visited by as many
+        n = tiles[cell]
+        visit(everyone, cell, own + 1, (n - 1) // 2 + ((n % 2 == 0) & (own < n // 2)))
         digits, rest = [], cell.copy()
         for w in reversed(widths):
             digits.insert(0, rest % (w + 1))
@@ -156,7 +158,7 @@ def _scatter(batches, words, segments, radius, tiles_by_cell, limit):
                 ok &= (moved >= 0) & (moved <= w)
                 where = where * (w + 1) + moved
             at = everyone[ok]
-            visit(at, where[ok], np.zeros(len(at), np.int64))
+            visit(at, where[ok], np.zeros(len(at), np.int64), tiles[where[ok]])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(roles)), _column(np.concatenate(prints))], names=["key", "role", "fp"])
 
 
@@ -300,9 +302,9 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, segments: int =
     return docs.join(losers, "doc_id", "left_anti").select(docs.columns)
 
 
-def keep_one_alike(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, words: int = WIDE) -> DataFrame:
+def keep_one_alike(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, words: int = WIDE, tile: int = WIDE_TILE) -> DataFrame:
     """keep_one by wide fingerprints that stand for `similarity` of shingles (radius_for): copies with edits go as well."""
-    return keep_one(docs, shingle, radius_for(similarity, words), words=words)
+    return keep_one(docs, shingle, radius_for(similarity, words), tile=tile, words=words)
 
 
 def op1_simhash(spark, sf_dir) -> DataFrame:
