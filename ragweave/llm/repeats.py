@@ -5,22 +5,24 @@ strings have equal anchors at equal places, so only strings of one anchor need c
 text that share an anchor are one segment, whose bytes are hashed as a whole: segments with equal hashes repeat
 entirely. Where one anchor has different segments, one of each kind meets in a suffix order, in which positions of
 equal prefix stand together; the previous smaller position in such a run is the earlier match that makes the longest
-previous factor reach `length`, and the next one is the later copy. Anchors with more than `crowd` kinds go through a
-distributed count of their strings' hashes instead, so that no task has to hold them.
+previous factor reach `length`, and the next one is the later copy. Where an anchor has more than `crowd` kinds, its
+segments are first cut into `WAYS` parts by the distance to the anchor, keyed by all bytes that a part's strings share,
+and so on until no key is crowded: at a distance of one a key is a whole string, so this ends.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, cut, mixed, prefix_sums, ranges_hashed, shipped, texts_of
+from .common import BASE, buffer_of, cut, mixed, prefix_sums, ranges_hashed, shipped, texts_of
 
-LENGTH, GRAM, CROWD, CHUNK, BATCH = 400, 32, 1024, 1 << 21, 1 << 20
+LENGTH, GRAM, CROWD, WAYS, CHUNK, BATCH = 400, 32, 1024, 4, 1 << 21, 1 << 20
 OTHER_BASE = 0xD1342543DE82EF95 | 1
 
 
@@ -135,7 +137,7 @@ def _matched(batches, length, first_stays):
     def done():
         rows = []
         for (doc, t, s, n, _, data), (before, after) in zip(held, matches([h[5] for h in held], length)):
-            if n > 1 and not first_stays:
+            if n > 1 and not first_stays:  # decided by equal hashes
                 continue
             hit = before if first_stays else before | after
             edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
@@ -157,24 +159,47 @@ def _matched(batches, length, first_stays):
         yield done()
 
 
-def _strings(batches, length):
-    """Each string of crowded anchors by its place and two hashes."""
+def _finer(batches, length, width):
+    """Pieces cut by the distance from a start to the anchor, `width` distances each.
+
+    All strings of one part hold the same bytes around the anchor, and their hash is the new key: equal strings stand
+    at equal distances, so they still meet, and longer surroundings tell more pieces apart than the anchor did.
+    """
     for batch in batches:
-        at = batch.column(batch.schema.get_field_index("anchor")).to_numpy(zero_copy_only=False)
-        s = batch.column(batch.schema.get_field_index("s")).to_numpy(zero_copy_only=False)
-        lead = batch.column(batch.schema.get_field_index("lead")).to_numpy(zero_copy_only=False)
+        first, last, lead = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("s", "e", "lead"))
+        n = batch.column(batch.schema.get_field_index("n"))
         raw, offsets = buffer_of(batch.column(batch.schema.get_field_index("bytes")))
-        for lo in range(0, len(at), 2048):
-            hi = min(len(at), lo + 2048)
-            piece, off = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-            counts = np.diff(off) - length + 1
+        for lo in range(0, len(first), 2048):
+            hi = min(len(first), lo + 2048)
+            piece, off = raw[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo]
+            far, near = lead[lo:hi] // width, (lead[lo:hi] - (last - first)[lo:hi]) // width
+            counts = far - near + 1
             row = np.repeat(np.arange(hi - lo), counts)
-            inside = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-            start = off[row] + inside
-            h = ranges_hashed(prefix_sums(piece), start, start + length)
-            h2 = ranges_hashed(prefix_sums(piece, OTHER_BASE), start, start + length, OTHER_BASE)
-            take = pa.array(row + lo)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(s[row + lo] + inside), pa.array(at[row + lo]), pa.array(lead[row + lo] - inside), pa.array(h.view(np.int64)), pa.array(h2.view(np.int64))], names=["doc_id", "t", "s", "anchor", "lead", "h", "h2"])
+            cell = far[row] - np.arange(len(row)) + np.repeat(np.cumsum(counts) - counts, counts)
+            anchor, least = lead[lo:hi][row], cell * width
+            s = np.maximum(0, anchor - least - width + 1)
+            e = np.minimum((last - first)[lo:hi][row], anchor - least)
+            sums, at = prefix_sums(piece), off[row]
+            with np.errstate(over="ignore"):
+                key = mixed(ranges_hashed(sums, at + anchor - least, at + anchor - least - width + 1 + length) + cell.astype(np.uint64) * np.uint64(OTHER_BASE))
+                kind = mixed(ranges_hashed(sums, at + s, at + e + length) ^ ((anchor - s).astype(np.uint64) * np.uint64(BASE)))
+            view, take = piece.tobytes(), pa.array(row + lo)
+            data = [view[i:j] for i, j in zip((at + s).tolist(), (at + e + length).tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(first[lo:hi][row] + s), pa.array(first[lo:hi][row] + e), pa.array(anchor - s), pa.array(key.view(np.int64)), pa.array(kind.view(np.int64)), n.take(take), pa.array(data, pa.binary())], names=["doc_id", "t", "s", "e", "lead", "anchor", "kind", "n", "bytes"])
+
+
+def _same_place(place: str):
+    return F.col("doc_id").eqNullSafe(F.col(f"{place}.doc_id")) & (F.col("t") == F.col(f"{place}.t")) & (F.col("s") == F.col(f"{place}.s"))
+
+
+def _refined(pieces: DataFrame, kind: str, length: int, width: int, first_stays: bool) -> tuple[DataFrame, DataFrame]:
+    """(starts decided by equal hashes of whole parts, one part of each kind where a finer key has several)."""
+    parts = cut(pieces.mapInArrow(shipped(__name__, "_finer", length, width), f"doc_id {kind}, t long, s long, e long, lead long, anchor long, kind long, n long, bytes binary"), "repeat-parts")
+    kinds = cut(parts.groupBy("anchor", "kind").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.min(F.struct("doc_id", "t", "s")).alias("rep")), "repeat-part-kinds")
+    info = kinds.join(kinds.groupBy("anchor").agg(F.count("*").alias("m")), "anchor").where("parts > 1 or m > 1")
+    ahead = (F.col("m") > 1) & _same_place("rep")
+    marked = cut(parts.join(info, ["anchor", "kind"]).select("doc_id", "t", "s", "e", "lead", "anchor", F.col("all").alias("n"), "m", F.when(ahead, F.col("bytes")).alias("bytes"), ((F.col("parts") > 1) & ~(_same_place("rep") if first_stays else F.lit(False))).alias("hit")), "repeat-marked")
+    return marked.where("hit").select("doc_id", "t", "s", "e"), marked.where("bytes is not null").drop("hit")
 
 
 def _kept(batches, length):
@@ -216,15 +241,17 @@ def repeated(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str
     lists = mixed_.groupBy("doc_id", "t").agg(F.collect_list(F.struct("s", "e", "lead", "anchor", "n", "m")).alias("segs"))
     joined = rows.join(lists.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), "segs"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))).select("doc_id", "t", "text", "segs")
     pieces = cut(joined.mapInArrow(shipped(__name__, "_cut_out", length), f"doc_id {kind}, t long, s long, e long, lead long, anchor long, n long, m long, bytes binary").dropDuplicates(["doc_id", "t", "s", "anchor"]), "repeat-pieces")
-    dealt = pieces.where(F.col("m") <= crowd).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "t", "s")
-    ordered = dealt.mapInArrow(shipped(__name__, "_matched", length, keep == "first"), f"doc_id {kind}, t long, s long, e long")
-    strings = pieces.where(F.col("m") > crowd).mapInArrow(shipped(__name__, "_strings", length), f"doc_id {kind}, t long, s long, anchor long, lead long, h long, h2 long")
-    key = ["anchor", "lead", "h", "h2"]
-    twice = strings.groupBy(*key).agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "t", "s")).alias("f")).where("c > 1")
-    crowded = strings.join(twice, key)
-    if keep == "first":
-        crowded = crowded.where(~(F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("t") == F.col("f.t")) & (F.col("s") == F.col("f.s"))))
-    return copies.select("doc_id", "t", "s", "e").union(ordered).union(crowded.select("doc_id", "t", "s", F.col("s").alias("e")))
+    first_stays, width = keep == "first", length - gram + 1
+    found_, calm, dense = [copies.select("doc_id", "t", "s", "e")], [pieces.where(F.col("m") <= crowd)], pieces.where(F.col("m") > crowd)
+    while not dense.isEmpty():
+        width = -(-width // WAYS)
+        decided, open_ = _refined(dense, kind, length, width, first_stays)
+        found_.append(decided)
+        calm.append(open_.where(F.col("m") <= crowd))
+        dense = open_.where(F.col("m") > crowd)
+    dealt = reduce(DataFrame.unionByName, calm).repartition("anchor").sortWithinPartitions("anchor", "doc_id", "t", "s")
+    ordered = dealt.mapInArrow(shipped(__name__, "_matched", length, first_stays), f"doc_id {kind}, t long, s long, e long")
+    return reduce(DataFrame.union, [*found_, ordered])
 
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: str = "none", crowd: int = CROWD) -> DataFrame:
