@@ -78,3 +78,16 @@ def compared_runs(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> D
     for c in columns[1:]:
         same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
     return both.select(key, same.alias("exact"))
+
+
+def final_verdict(gates: DataFrame) -> DataFrame:
+    """One row from (gate, passed) and the two judgments as gates `weakened` and `persists`: what to do next, and why.
+
+    An early gate or the mechanism gate that failed ends the work, robustness that failed narrows it; then the joint
+    judgments decide. A gate without a row or with a null was not reached.
+    """
+    found = gates.agg(*(F.bool_and(F.when(F.col("gate") == g, F.col("passed"))).alias(g) for g in ("audit", "determinism", "mechanism", "robustness", "weakened", "persists")))
+    failed = lambda g: F.col(g).eqNullSafe(False)
+    verdict = F.when(failed("audit") | failed("determinism") | failed("mechanism"), "terminate").when(failed("robustness") | F.col("weakened"), "narrow").when(F.col("persists"), "continue").otherwise("open")
+    why = F.when(failed("audit"), "audit").when(failed("determinism"), "determinism").when(failed("mechanism"), "mechanism").when(failed("robustness"), "robustness").when(F.col("weakened"), "weakened").when(F.col("persists"), "persists")
+    return found.select(verdict.alias("verdict"), why.alias("reason"))

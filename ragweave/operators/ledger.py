@@ -85,3 +85,32 @@ def label_free(df: DataFrame, allowed: list[str], forbidden: set[str]) -> DataFr
     if leaked := sorted(set(names(out.schema)) & forbidden):
         raise ValueError(f"forbidden columns: {leaked}")
     return out
+
+
+def with_last(tasks: DataFrame, log: DataFrame, keys: list[str], epoch: str, value: str) -> DataFrame:
+    """Tasks with the value of their last epoch and a status: found, or missing where the log has none."""
+    last = log.groupBy(*keys).agg(F.max(epoch).alias(epoch), F.max_by(value, F.struct(epoch, value)).alias(value))
+    return tasks.join(last, keys, "left").withColumn("status", F.when(F.col(epoch).isNull(), "missing").otherwise("found"))
+
+
+def merged_shards(rows: DataFrame, shard: str, line: str, key: str) -> DataFrame:
+    """Rows with row_id 0..n-1 in order of shard and line; a key that comes twice is an error.
+
+    Ids are numbered within a shard and moved by the rows of the shards before it, so only the shards' counts meet.
+    """
+    before = W.orderBy(shard).rowsBetween(W.unboundedPreceding, -1)
+    moved = rows.groupBy(shard).agg(F.count("*").alias("_n")).select(shard, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = rows.withColumn("_i", F.row_number().over(W.partitionBy(shard).orderBy(line))).withColumn("_c", F.count("*").over(W.partitionBy(key)))
+    once = F.when(F.col("_c") == 1, F.col("_before") + F.col("_i") - 1).otherwise(F.raise_error(F.lit("a key comes twice")).cast("long"))
+    return own.join(moved, shard).withColumn("row_id", once).drop("_i", "_c", "_before")
+
+
+def unmatched(scored: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """(key, side): keys of one side only; none if the scorer saw exactly the candidates."""
+    a, b = scored.select(key).distinct().withColumn("_a", F.lit(True)), candidates.select(key).distinct().withColumn("_b", F.lit(True))
+    return a.join(b, key, "full_outer").where("_a is null or _b is null").select(key, F.when(F.col("_b").isNull(), "scored").otherwise("candidate").alias("side"))
+
+
+def record_hash(*columns: str) -> Column:
+    """SHA-256 of the columns as one JSON object, in the order given; nulls are left out."""
+    return F.sha2(F.to_json(F.struct(*columns)), 256)

@@ -95,3 +95,18 @@ def first_donors(candidates: DataFrame, k: int = 8) -> DataFrame:
     fit = candidates.where("source <> own_source and n_tokens >= required")
     once = fit.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "text_hash").orderBy(F.desc("score"), "chunk_id"))).where("_n = 1").drop("_n")
     return _ranked(once, "query_id", "score", "chunk_id", "donor_rank").where(F.col("donor_rank") <= k)
+
+
+def looked_up(results: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """Results with the index's row of their key; a key that the index lacks is an error. Positions keep their order."""
+    rows = index.withColumn("_there", F.lit(True))
+    found = results.join(rows, key, "left")
+    known = F.when(F.col("_there"), F.col(key)).otherwise(F.raise_error(F.lit("the index lacks a key")).cast(dict(results.dtypes)[key]))
+    return found.withColumn(key, known).drop("_there")
+
+
+def first_relevant(pool: DataFrame, qrels: DataFrame, query: str, source: str, rank: str) -> DataFrame:
+    """Each query's best ranked row whose source qrels (query, source, score) hold with a score above 0."""
+    kept = pool.join(qrels.where("score > 0").select(query, source), [query, source], "left_semi")
+    best = F.min_by(F.struct(*kept.columns), F.struct(rank, source))
+    return kept.groupBy(F.col(query).alias("_q")).agg(best.alias("r")).select("r.*")

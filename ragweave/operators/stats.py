@@ -126,3 +126,17 @@ def sign_flip_hash(df: DataFrame, id_: str, value: str, permutations: int = 200)
     sign = F.when((F.col("k") == 0) | (_draw(F.col("k"), F.col("i")) % 2 == 0), 1).otherwise(-1)
     sums = signs.groupBy("k").agg(F.round(F.sum(F.col("v") * sign), 6).alias("s"))
     return sums.agg(F.max(F.when(F.col("k") == 0, F.col("s"))).alias("observed"), F.collect_list("s").alias("all")).select("observed", (F.size(F.filter("all", lambda s: s >= F.col("observed"))) / F.lit(permutations + 1.0)).alias("p"))
+
+
+def cluster_bootstrap_hash(df: DataFrame, cluster: str, value: str, replicates: int = 200, alpha: float = 0.05) -> DataFrame:
+    """(ci_low, ci_high) of the median over clusters drawn with replacement by hash.
+
+    Rows are counted by cluster and value first, so a replicate weighs distinct values instead of copying rows.
+    Clusters are numbered in one task, which holds one row for each cluster and no values.
+    """
+    held = df.where(F.col(value).isNotNull()).groupBy(F.col(cluster).alias("c"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    names = held.select("c").distinct().withColumn("i", F.row_number().over(W.orderBy("c")) - 1).withColumn("all", F.count("*").over(W.partitionBy()))
+    draws = names.select("i", "all", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("k")).withColumn("i", _draw(F.col("k"), F.col("i")) % F.col("all"))
+    times = draws.groupBy("k", "i").agg(F.count("*").alias("times")).join(names.select("c", "i"), "i")
+    medians = times.join(held, "c").groupBy("k").agg(F.percentile("v", F.lit(0.5), F.col("n") * F.col("times")).alias("m"))
+    return medians.agg(F.percentile("m", F.lit(alpha / 2)).alias("ci_low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("ci_high"))

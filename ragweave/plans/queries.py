@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ragweave.functions import text as T
 from ragweave.operators import attribution as A
@@ -322,3 +323,98 @@ def insertion_scan(spark, d):
 def label_free_projection(spark, d):
     j = _read(spark, d, "documents").join(_read(spark, d, "labels"), "doc_id")
     return L.label_free(j, ["doc_id", "lang", "n_chars"], {"quality", "toxic"})
+
+
+@query("index_lookup", "SELECT l.doc_id % 7 AS query_id, l.doc_id, row_number() OVER (PARTITION BY l.doc_id % 7 ORDER BY l.doc_id) - 1 AS position, d.lang, d.n_chars FROM labels l JOIN documents d ON d.doc_id = l.doc_id")
+def index_lookup(spark, d):
+    place = (F.row_number().over(W.partitionBy("query_id").orderBy("doc_id")) - 1).cast("long")
+    results = _read(spark, d, "labels").select((F.col("doc_id") % 7).alias("query_id"), "doc_id").withColumn("position", place)
+    return R.looked_up(results, _read(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+
+
+@query("first_relevant_chunk", "SELECT l_orderkey, l_partkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem WHERE l_orderkey % 3 > 0 AND (l_orderkey + l_partkey) % 5 - 2 > 0) WHERE n = 1")
+def first_relevant_chunk(spark, d):
+    pool = _read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    qrels = pool.where("l_orderkey % 3 > 0").select("l_orderkey", "l_partkey", ((F.col("l_orderkey") + F.col("l_partkey")) % 5 - 2).alias("score")).distinct()
+    return R.first_relevant(pool, qrels, "l_orderkey", "l_partkey", "l_linenumber")
+
+
+@query("final_log_join", "SELECT c.c_custkey AS task_id, epoch, loss, CASE WHEN epoch IS NULL THEN 'missing' ELSE 'found' END AS status FROM customer c LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS epoch, arg_max(o_totalprice, o_orderkey) AS loss FROM orders GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey")
+def final_log_join(spark, d):
+    log = _read(spark, d, "orders").select(F.col("o_custkey").alias("task_id"), F.col("o_orderkey").alias("epoch"), F.col("o_totalprice").alias("loss"))
+    return L.with_last(_read(spark, d, "customer").select(F.col("c_custkey").alias("task_id")), log, ["task_id"], "epoch", "loss")
+
+
+@query("shard_merge", "SELECT c_nationkey AS shard, c_custkey AS chunk_id, row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 AS row_id FROM customer")
+def shard_merge(spark, d):
+    rows = _read(spark, d, "customer").select(F.col("c_nationkey").alias("shard"), F.col("c_custkey").alias("chunk_id"))
+    return L.merged_shards(rows, "shard", "chunk_id", "chunk_id")
+
+
+@query("scored_id_mismatch", "SELECT coalesce(a.k, b.k) AS doc_id, CASE WHEN b.k IS NULL THEN 'scored' ELSE 'candidate' END AS side FROM (SELECT DISTINCT doc_id AS k FROM labels) a FULL JOIN (SELECT DISTINCT doc_id AS k FROM documents WHERE n_chars > 200) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
+def scored_id_mismatch(spark, d):
+    return L.unmatched(_read(spark, d, "labels"), _read(spark, d, "documents").where("n_chars > 200"), "doc_id")
+
+
+@query("record_hashes", """SELECT event_id, sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}') AS hash FROM events WHERE event_type IS NOT NULL""")
+def record_hashes(spark, d):
+    return _read(spark, d, "events").where("event_type is not null").select("event_id", L.record_hash("event_id", "event_type").alias("hash"))
+
+
+@query("determinism_compare", "SELECT coalesce(a.k, b.k) AS query_id, coalesce(a.s IS NOT DISTINCT FROM b.s AND a.p IS NOT DISTINCT FROM b.p AND a.k IS NOT NULL AND b.k IS NOT NULL, false) AS exact FROM (SELECT o_orderkey AS k, o_orderstatus AS s, o_totalprice AS p FROM orders) a FULL JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN 'x' ELSE o_orderstatus END AS s, o_totalprice AS p FROM orders WHERE o_orderkey % 13 > 0) b ON a.k = b.k")
+def determinism_compare(spark, d):
+    run = _read(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderstatus").alias("answer"), F.col("o_totalprice").alias("score"))
+    again = run.where("query_id % 13 > 0").withColumn("answer", F.when(F.col("query_id") % 10 == 0, "x").otherwise(F.col("answer")))
+    return E.compared_runs(run, again, "query_id", ["answer", "score"])
+
+
+@query("span_iou", "SELECT doc_id, round(CASE WHEN doc_id % 4 = 0 AND n = 0 THEN 1 ELSE i / (n + o - i)::DOUBLE END, 9) AS iou FROM (SELECT doc_id, n_chars % 40 AS n, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 20 END AS o, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE greatest(0, least(n_chars % 40, 30) - 10) END AS i FROM documents)")
+def span_iou(spark, d):
+    r = lambda a, b: F.array(F.struct(a.cast("long").alias("start"), b.cast("long").alias("end")))
+    oracle = F.when(F.col("doc_id") % 4 == 0, r(F.lit(0), F.lit(0))).otherwise(F.concat(r(F.lit(10), F.lit(25)), r(F.lit(20), F.lit(30))))
+    return _round(_read(spark, d, "documents").select("doc_id", A.span_iou(r(F.lit(0), F.col("n_chars") % 40), oracle).alias("iou")), "iou", n=9)
+
+
+@query("direction_stability", "SELECT role, count(*) AS n, count_if(m = t AND m <> 0)::BIGINT AS k, round(count_if(m = t AND m <> 0) / count(*)::DOUBLE, 9) AS rate FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'anchor' ELSE 'payload' END AS role, quality * 2 - 1 AS m, 1 - toxic * 2 AS t FROM labels) GROUP BY role")
+def direction_stability(spark, d):
+    rows = _read(spark, d, "labels").select(F.when(F.col("doc_id") % 2 == 0, "anchor").otherwise("payload").alias("role"), (F.col("quality") * 2 - 1).alias("mask_direction"), (1 - F.col("toxic") * 2).alias("donor_direction"))
+    return _round(E.direction_stability(rows).select("role", "n", "k", "rate"), "rate", n=9)
+
+
+@query("donor_replacements", """SELECT doc_id, 0 AS "start", 10 AS "end", round(avg(((doc_id * 7 + donor) % 5) / 4e0), 9) AS r_eff, round(avg(((doc_id + donor * 3) % 7) / 8e0), 9) AS g_eff FROM labels, (SELECT unnest(range(8)) AS donor) GROUP BY doc_id""")
+def donor_replacements(spark, d):
+    rows = _read(spark, d, "labels").select("doc_id", F.lit(0).alias("start"), F.lit(10).alias("end"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("donor"))
+    scores = rows.withColumn("r_eff", (F.col("doc_id") * 7 + F.col("donor")) % 5 / 4).withColumn("g_eff", (F.col("doc_id") + F.col("donor") * 3) % 7 / 8)
+    return _round(A.donor_effects(scores, "doc_id"), "r_eff", "g_eff", n=9)
+
+
+@query("cluster_bootstrap_hash", """WITH held AS (SELECT event_type AS c, value AS v FROM events WHERE value IS NOT NULL), names AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT c FROM held)),
+picks AS (SELECT k, ('0x' || substr(md5(k || ':' || i), 1, 7))::BIGINT % n AS i FROM names, (SELECT unnest(range(1, 201)) AS k)), medians AS (SELECT k, median(v) AS m FROM picks JOIN names USING (i) JOIN held USING (c) GROUP BY k)
+SELECT round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM medians""")
+def cluster_bootstrap_hash(spark, d):
+    return _round(S.cluster_bootstrap_hash(_read(spark, d, "events"), "event_type", "value"), "ci_low", "ci_high")
+
+
+@query("audit_decision", "SELECT CASE WHEN bool_and(c NOT IN ('click', 'view') OR (n >= 20 AND failed = 0)) THEN 'PASS' ELSE 'FAIL' END AS decision FROM (SELECT event_type AS c, count(*) AS n, count_if(value IS NULL) AS failed FROM events WHERE event_type IS NOT NULL GROUP BY event_type)")
+def audit_decision(spark, d):
+    parts = _read(spark, d, "events").where("event_type is not null").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n_checked"), F.count_if(F.col("value").isNull()).alias("n_failed"))
+    return E.audit_decision(parts.withColumn("required", F.col("name").isin("click", "view")))
+
+
+@query("mechanism_gate", "SELECT bool_and(p < 0.05 AND low > 0) AS passed FROM (SELECT event_type, 1 / (count(*) + 1e0) AS p, min(value) AS low FROM events WHERE value IS NOT NULL GROUP BY event_type)")
+def mechanism_gate(spark, d):
+    tests = _read(spark, d, "events").where("value is not null").groupBy("event_type").agg((1 / (F.count("*") + 1)).alias("p_adj"), F.min("value").alias("ci_low"))
+    return E.mechanism_gate(tests)
+
+
+@query("final_verdict", "WITH g AS (SELECT bool_and(n_chars >= 0) AS audit, bool_and(doc_id IS NOT NULL) AS determinism, bool_and(n_chars < 1000000) AS mechanism, bool_and(lang IS NOT NULL) AS robustness, bool_or(n_chars > 5000) AS weakened FROM documents) SELECT CASE WHEN NOT audit OR NOT determinism OR NOT mechanism THEN 'terminate' WHEN NOT robustness OR weakened THEN 'narrow' ELSE 'open' END AS verdict, CASE WHEN NOT audit THEN 'audit' WHEN NOT determinism THEN 'determinism' WHEN NOT mechanism THEN 'mechanism' WHEN NOT robustness THEN 'robustness' WHEN weakened THEN 'weakened' END AS reason FROM g")
+def final_verdict(spark, d):
+    b = _read(spark, d, "documents").agg(F.bool_and(F.col("n_chars") >= 0).alias("audit"), F.bool_and(F.col("doc_id").isNotNull()).alias("determinism"), F.bool_and(F.col("n_chars") < 1000000).alias("mechanism"), F.bool_and(F.col("lang").isNotNull()).alias("robustness"), F.bool_or(F.col("n_chars") > 5000).alias("weakened"))
+    return E.final_verdict(b.unpivot([], b.columns, "gate", "passed"))
+
+
+@query("answer_logprob", "SELECT vec_id, round((e[2] - ln(exp(e[1]) + exp(e[2]) + exp(e[3])) + e[6] - ln(exp(e[4]) + exp(e[5]) + exp(e[6]))) / 2, 5) AS mean_logp FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+def answer_logprob(spark, d):
+    e = F.col("embedding").cast("array<double>")
+    logits, labels, mask = F.array(F.slice(e, 1, 3), F.slice(e, 4, 3)), F.array(F.lit(0), F.lit(1), F.lit(2)), F.array(F.lit(False), F.lit(True), F.lit(True))
+    return _round(_read(spark, d, "embeddings").select("vec_id", T.mean_answer_logprob(logits, labels, mask).alias("mean_logp")), "mean_logp", n=5)
