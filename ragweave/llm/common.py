@@ -58,6 +58,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id, null included, is in ids; whatever other columns docs has, they stay."""
+    other = "_" * (1 + max(map(len, docs.columns)))  # longer than any name there
+    return docs.join(ids.select(F.col("doc_id").alias(other)).distinct(), F.col(other).eqNullSafe(docs["doc_id"]), "left_anti")
+
+
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column as UTF-8; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shipped, texts_of
+from .common import cut, shipped, texts_of, without
 
 #: Bytes of words: digits, letters with A-Z lower-cased, and all bytes of characters beyond ASCII; others separate.
 _WORD_BYTES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -149,9 +149,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without the rows in which a window of the benchmark occurs; a doc_id with one such row goes whole."""
-    bad = report(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
-    joined = docs.join(bad.select(F.col("doc_id").alias("_bad"), F.lit(1).alias("_hit")), F.col("_bad").eqNullSafe(docs["doc_id"]), "left")
-    return joined.where("_hit is null").select(*(docs[c] for c in docs.columns))
+    return without(docs, report(docs, benchmark, window).where("contaminated"))
 
 
 def op2_decontaminate(spark, sf_dir) -> DataFrame:

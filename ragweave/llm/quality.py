@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, crc32_text, cut, shipped, slices
+from .common import buffer_of, crc32_text, cut, shipped, slices, without
 
 FEATURES, GAMMA, RIDGE, BINS, SEED = 256, 0.03, 1e-3, 1024, 7
 #: Bytes of each class that is counted.
@@ -158,9 +158,7 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, ca
 
 def keep_good(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3) -> DataFrame:
     """docs without those whose score is below cutoff; a doc_id of which one row is below goes whole."""
-    bad = scored(docs, labels, cutoff=cutoff).where("predicted = 0").select(F.col("doc_id").alias("_bad"), F.lit(1).alias("_hit")).distinct()
-    joined = docs.join(bad, F.col("_bad").eqNullSafe(docs["doc_id"]), "left")
-    return joined.where("_hit is null").select(*(docs[c] for c in docs.columns))
+    return without(docs, scored(docs, labels, cutoff=cutoff).where("predicted = 0"))
 
 
 def op7_quality(spark, sf_dir) -> DataFrame:

@@ -111,17 +111,18 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", threshold: float = THRESHO
 
     Texts without a secret, nulls among them, stay as they are.
     """
-    kept = [c for c in docs.columns if c != "doc_id"]
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     table = trained(samples(docs.sparkSession, docs))
-    rows = scanned(docs, table, *kept, threshold=threshold)
+    # other columns travel in one struct, so that their names cannot clash
+    rows = scanned(docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(0)).alias("rest")), table, "text", "rest", threshold=threshold)
     # pieces between spans, in order of start; `at` is how far the text has been covered
     step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring("text", a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"))
     masked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))))
     rows = rows.withColumn("_masked", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
-    out = {"text": F.col("_masked")}
-    if "n_chars" in kept:
-        out["n_chars"] = F.when(F.size("spans") > 0, F.length("_masked").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
-    return rows.select(*(out.get(c, F.col(c)).alias(c) for c in docs.columns))
+    out = {"doc_id": F.col("doc_id"), "text": F.col("_masked")} | {c: F.col("rest")[c] for c in rest}
+    if "n_chars" in rest:
+        out["n_chars"] = F.when(F.size("spans") > 0, F.length("_masked").cast(dict(docs.dtypes)["n_chars"])).otherwise(out["n_chars"])
+    return rows.select(*(out[c].alias(c) for c in docs.columns))
 
 
 def op8_secrets(spark, sf_dir) -> DataFrame:
