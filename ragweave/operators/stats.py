@@ -38,11 +38,27 @@ def flagged(p: Column, alpha: float) -> Column:
 
 
 def holm(tests: DataFrame, name: str = "name", p: str = "p") -> DataFrame:
-    """tests with p_adj: step-down correction over the tests of one family."""
-    order = W.orderBy(p, name)
-    m = F.count("*").over(W.partitionBy())
-    step = F.least(F.lit(1.0), F.col(p) * (m - F.row_number().over(order) + 1))
-    return tests.withColumn("_s", step).withColumn("p_adj", F.max("_s").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_s")
+    """tests with p_adj: step-down correction over the tests of one family, whatever their number.
+
+    Equal p have one p_adj, that of the first of them, so ranks are counted per distinct p. The running count and the
+    running maximum run over ranges of p, each with what the ranges below it hold, so no single task sees all tests.
+    A null p is no test: it is not counted and its p_adj is null.
+    """
+    points = tests.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
+    edges = points.approxQuantile("_p", [i / 64 for i in range(1, 64)], 0.001) or []
+    bucket = F.lit(0)
+    for e in sorted(set(edges)):
+        bucket = bucket + (F.col("_p") >= e).cast("int")
+    points = points.withColumn("_b", bucket)
+    below = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    totals = points.groupBy("_b").agg(F.sum("_c").alias("t"))  # 64 rows at most
+    totals = totals.select("_b", F.coalesce(F.sum("t").over(below), F.lit(0)).alias("_below"), F.sum("t").over(W.partitionBy()).alias("_m"))
+    own = W.partitionBy("_b").orderBy("_p")
+    before = F.col("_below") + F.sum("_c").over(own) - F.col("_c")
+    steps = points.join(F.broadcast(totals), "_b").withColumn("_s", F.least(F.lit(1.0), F.col("_p") * (F.col("_m") - before)))
+    tops = steps.groupBy("_b").agg(F.max("_s").alias("t")).select("_b", F.max("t").over(below).alias("_top"))  # 64 rows at most
+    adjusted = steps.join(F.broadcast(tops), "_b").select("_p", F.greatest("_top", F.max("_s").over(own)).alias("p_adj"))
+    return tests.join(adjusted, F.col(p) == F.col("_p"), "left").select(*tests.columns, "p_adj")
 
 
 def _log_tail(k: int, n: int, p: float) -> float:

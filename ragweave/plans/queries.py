@@ -203,7 +203,7 @@ def clopper_pearson(spark, d):
 
 @query("holm_adjust", "WITH t AS (SELECT user_id AS name, count_if(event_type = 'click') / (count(*) + 1)::DOUBLE AS p FROM events WHERE user_id IS NOT NULL GROUP BY user_id ORDER BY user_id LIMIT 150), s AS (SELECT name, p, least(1, p * (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1)) AS s FROM t) SELECT name, round(p, 9) AS p, round(max(s) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING), 9) AS p_adj FROM s")
 def holm_adjust(spark, d):
-    t = _read(spark, d, "events").where("user_id is not null").groupBy(F.col("user_id").alias("name")).agg((F.count_if(F.col("event_type") == "click") / (F.count("*") + 1).cast("double")).alias("p")).orderBy("name").limit(150)
+    t = _read(spark, d, "events").where("user_id is not null").groupBy(F.col("user_id").alias("name")).agg((F.count_if(F.col("event_type") == "click") / (F.count("*") + 1).cast("double")).alias("p"))
     return _round(S.holm(t), "p", "p_adj", n=9)
 
 
