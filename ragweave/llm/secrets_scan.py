@@ -2,7 +2,8 @@
 
 Native: spans, scores and redaction are Spark expressions over whole texts. One model is trained on random strings,
 the other on ordinary identifiers and words; the table of log ratios between their transitions is a literal in the
-plan, of fixed size. A candidate run of characters is a secret if its summed ratio is above a threshold.
+plan, of fixed size. A candidate run of characters, or what base patterns leave of it, is a secret if its summed ratio
+is above a threshold.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{12,}", "hex": "[0-9a-f]{32,}"}
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-CANDIDATE, THRESHOLD, SAMPLE_DOCS, SAMPLE_STRINGS = "[A-Za-z0-9+/_=-]{16,}", 7.0, 400, 4000
+LEAST, THRESHOLD, SAMPLE_DOCS, SAMPLE_STRINGS = 16, 7.0, 400, 4000
+CANDIDATE = f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: Parts of ordinary identifiers.
 PARTS = "get set user name value index count total list item node file path line word text data type key map size time date page view load save read write open close start end first last next prev old new max min sum mean test main app server client request response error message status code session cache config table column row query result handler manager service factory builder default update delete create insert select number version".split()
 
@@ -76,6 +78,16 @@ def ratio(token: Column, table: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(2), F.length(token)), F.lit(0.0), lambda a, i: a + F.coalesce(F.get(literal, F.expr("0") + (place(i - 1) * len(ALPHABET) + place(i)).cast("int")), F.lit(0.0)))
 
 
+def outside(span: Column, base: str) -> Column:
+    """The pieces of a candidate that no base span (in order of start) covers, those of LEAST characters or more."""
+    piece = lambda start, end: F.struct(start.alias("start"), span["order"].alias("order"), span["kind"].alias("kind"), end.alias("end"), F.substring(span["token"], start - span["start"] + 1, end - start).alias("token"))
+    step = lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), F.when(b["start"] - a["at"] >= LEAST, F.concat(a["out"], F.array(piece(a["at"], b["start"])))).otherwise(a["out"]).alias("out"))
+    none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int,token:string>>")
+    last = lambda a: F.when(span["end"] - a["at"] >= LEAST, F.concat(a["out"], F.array(piece(a["at"], span["end"])))).otherwise(a["out"])
+    touching = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    return F.when(F.size(touching) == 0, F.array(span)).otherwise(F.aggregate(touching, F.struct(span["start"].alias("at"), none.alias("out")), step, last))
+
+
 def scanned(docs: DataFrame, table: list[float], *more: str, threshold: float = THRESHOLD) -> DataFrame:
     """docs' doc_id and `more` with base (spans of the patterns) and spans (base and Markov ones, in order)."""
     rows = docs.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("_t"))
@@ -87,8 +99,7 @@ def scanned(docs: DataFrame, table: list[float], *more: str, threshold: float =
     rows = rows.select("doc_id", *more, *(placed(f"_m_{kind}", f"_g_{kind}", kind, i).alias(f"_{kind}") for i, kind in enumerate([*KINDS, "random"])))
     rows = rows.withColumn("_assign", F.filter("_assign", lambda s: F.length(F.regexp_extract(s["token"], ASSIGN, 2)) >= 8))
     rows = rows.withColumn("base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    rows = rows.withColumn("_random", F.filter("_random", lambda s: apart(s) & (ratio(s["token"], table) > threshold)))
+    rows = rows.withColumn("_random", F.filter(F.flatten(F.transform("_random", lambda s: outside(s, "base"))), lambda s: ratio(s["token"], table) > threshold))
     return rows.withColumn("spans", F.array_sort(F.concat("base", "_random"))).drop(*(f"_{k}" for k in ("assign", "access", "hex", "random")))
 
 
@@ -99,7 +110,8 @@ def joined(spans: str) -> Column:
 def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    A null text is empty and has no spans; spans may overlap among base kinds, Markov spans never overlap a base one.
+    A null text is empty and has no spans; spans may overlap among base kinds. Markov spans never overlap a base one: a
+    candidate is cut at base spans, and each piece of LEAST characters or more outside them is judged by itself.
     """
     rows = scanned(docs, trained(samples(docs.sparkSession, docs)), threshold=threshold)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
