@@ -12,6 +12,7 @@ are compared by a part first: where that part alone differs in more than `radius
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -27,15 +28,30 @@ TILE, STEP, BLOCK = 4096, 96, 1 << 17
 #: Width in words, shingles and tiles (2 MB each) of the fingerprints that stand for a similarity. Their counts keep few
 #: tiles apart, so a fingerprint visits most of them: the larger the tiles, the fewer copies of it are sent.
 WIDE, SHINGLE, SIMILARITY, WIDE_TILE = 8, 5, 0.8, 1 << 15
+#: Deviations above the mean up to which fingerprints (and their first halves) are candidates for a similarity.
+SLACK = 5.0
 
 
-def radius_for(similarity: float, words: int, slack: float = 1.75) -> int:
-    """Bits in which fingerprints of 64 * words bits may differ at a Jaccard similarity of shingles.
+@functools.cache
+def chance_for(similarity: float, most: int = 40) -> float:
+    """The chance, at most, that a bit differs between fingerprints of two sets of that Jaccard similarity or more.
 
-    Sets of Jaccard similarity j have a cosine of 2j/(1+j) or more; their bits differ with a chance of its angle
-    over pi. The radius is the mean number at that chance and `slack` standard deviations.
+    Of large sets it is the angle of their cosine, 2j/(1+j) or more, over pi. Sets of few shingles are further apart:
+    up to `most` shingles all sizes are counted through with exact binomials.
     """
-    chance, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * words
+    worst = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for a in range(1, most + 1):
+        for b in range(a, int(a / similarity + 1e-9) + 1):
+            for c in range(math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9), a + 1):
+                up = lambda n, x: sum(math.comb(n - c, k) for k in range(max(0, n // 2 + 1 - x), n - c + 1)) / 2.0 ** (n - c)  # noqa: B023, E731
+                both = [(math.comb(c, x) / 2.0**c, up(a, x), up(b, x)) for x in range(c + 1)]
+                worst = max(worst, sum(p * (u * (1 - v) + v * (1 - u)) for p, u, v in both))
+    return worst
+
+
+def radius_for(similarity: float, words: int, slack: float) -> int:
+    """Bits in which fingerprints of 64 * words bits may differ at that similarity: the mean and `slack` deviations."""
+    chance, bits = chance_for(similarity), 64 * words
     return int(bits * chance + slack * math.sqrt(bits * chance * (1 - chance)))
 
 
@@ -51,12 +67,11 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.fromiter((hashed(b" ".join(g), 42) for g in grams), np.uint64, len(words) - shingle + 1)
 
 
-def fingerprint(text: bytes, shingle: int = 3, words: int = 1) -> np.ndarray:
-    """SimHash of word shingles as `words` unsigned 64-bit words; a text without words has 0.
+def bits_of(h: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of shingle hashes as `words` unsigned 64-bit words; of none, 0.
 
-    The first word takes the shingles' hashes, each further one the hashes mixed with its number.
+    The first word takes the hashes, each further one the hashes mixed with its number.
     """
-    h = shingle_hashes(text, shingle)
     ones = np.zeros((words, 64), np.int64)
     for part in range(0, len(h), 1 << 12):
         some = h[part : part + (1 << 12)]
@@ -67,6 +82,11 @@ def fingerprint(text: bytes, shingle: int = 3, words: int = 1) -> np.ndarray:
     return np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
 
 
+def fingerprint(text: bytes, shingle: int = 3, words: int = 1) -> np.ndarray:
+    """SimHash of word shingles, repeats counted; a text without words has 0."""
+    return bits_of(shingle_hashes(text, shingle), words)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Fingerprints as rows of unsigned words: from a long, or from binaries of equal size."""
     if not pa.types.is_integer(column.type):
@@ -165,8 +185,9 @@ def _scatter(batches, words, segments, radius, tiles_by_cell, limit):
 class _Tile:
     """The owners of one tile and the forest of links found so far."""
 
-    def __init__(self, radius: int, words: int):
+    def __init__(self, radius: int, words: int, half: int | None = None):
         self.radius, self.words, self.parts, self.own, self.edges = radius, words, [], None, []
+        self.half = radius if half is None else half
 
     def add(self, fp: np.ndarray, visitors: bool) -> None:
         if not visitors:
@@ -196,7 +217,7 @@ class _Tile:
         apart = np.zeros((len(part), len(self.own)), np.uint16)
         for k in range(some):
             apart += np.bitwise_count(part[:, k, None] ^ self.columns[k][None, :])
-        close = apart <= self.radius
+        close = apart <= self.half
         if same is not None:
             close[np.arange(len(part)), np.arange(same, same + len(part))] = False
         v, o = np.nonzero(close)
@@ -243,7 +264,7 @@ class _Tile:
         return np.concatenate([np.stack([self.own[linked], self.own[root[linked]]], 1), *self.edges]) if len(linked) or self.edges else np.zeros((0, 2, self.words), np.uint64)
 
 
-def _compare(batches, words, radius):
+def _compare(batches, words, radius, half):
     """Rows sorted by key and role; a tile's owners come before its visitors, which are never held together."""
     key, tile = None, None
 
@@ -262,7 +283,7 @@ def _compare(batches, words, radius):
             if keys[s] != key:
                 if tile is not None:
                     out.append(tile.result())
-                key, tile = keys[s], _Tile(radius, words)
+                key, tile = keys[s], _Tile(radius, words, half)
             tile.add(fp[s:e], bool(roles[s]))
         if out := [x for x in out if len(x)]:
             yield rows(np.concatenate(out))
@@ -270,15 +291,18 @@ def _compare(batches, words, radius):
         yield rows(found)
 
 
-def links(distinct: DataFrame, radius: int = 2, segments: int = 4, tile: int = TILE, words: int = 1) -> DataFrame:
-    """(a, b): a spanning forest, tile by tile, of the links between distinct fingerprints (column fp)."""
+def links(distinct: DataFrame, radius: int = 2, segments: int = 4, tile: int = TILE, words: int = 1, half: int | None = None) -> DataFrame:
+    """(a, b): a spanning forest, tile by tile, of the links between distinct fingerprints (column fp).
+
+    half: for more than one word, bits in which the first half may differ; without it, the radius, which drops no link.
+    """
     spark, prints, kind = distinct.sparkSession, distinct.select("fp"), _kind(words)
     counts = prints.mapInArrow(shipped(__name__, "_cells", segments), "cell long").groupBy("cell").count().collect()  # at most one row for each cell
     limit = 1 << 40
     sizes = (np.array([r[0] for r in counts], np.int64), np.array([-(-r[1] // tile) for r in counts], np.int64))
     sent = prints.mapInArrow(shipped(__name__, "_scatter", words, segments, radius, spark.sparkContext.broadcast(sizes), limit), f"key long, role byte, fp {kind}")
     dealt = sent.repartition("key").sortWithinPartitions("key", "role")
-    return dealt.mapInArrow(shipped(__name__, "_compare", words, radius), f"a {kind}, b {kind}")
+    return dealt.mapInArrow(shipped(__name__, "_compare", words, radius, half), f"a {kind}, b {kind}")
 
 
 def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, segments: int = 4, tile: int = TILE, words: int = 1) -> DataFrame:
@@ -302,9 +326,106 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, segments: int =
     return docs.join(losers, "doc_id", "left_anti").select(docs.columns)
 
 
+def _set_of(text: bytes, shingle: int) -> tuple[np.ndarray, bytes]:
+    """Distinct shingle hashes, sorted, and their digest."""
+    own = np.unique(shingle_hashes(text, shingle))
+    return own, xxhash.xxh3_128_digest(own.astype("<u8").tobytes())
+
+
+def _set_prints(batches, shingle, words):
+    for batch in batches:
+        sets = [_set_of(t, shingle) for t in texts_of(batch.column(1))]
+        prints = np.stack([bits_of(own, words) for own, _ in sets]) if sets else np.zeros((0, words), np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _column(prints), pa.array([d for _, d in sets], pa.binary())], names=["doc_id", "th", "fp", "sid"])
+
+
+def _sets(batches, shingle):
+    for batch in batches:
+        sets = [_set_of(t, shingle) for t in texts_of(batch.column(0))]
+        yield pa.RecordBatch.from_arrays([pa.array([d for _, d in sets], pa.binary()), pa.array([own.astype("<u8").tobytes() for own, _ in sets], pa.binary())], names=["sid", "shingles"])
+
+
+def alike_in(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set of distinct hashes, the number of the first one that links of exact Jaccard similarity reach."""
+    n = np.array([len(x) for x in sets], np.int64)
+    root = np.arange(len(sets))
+    full = np.flatnonzero(n)
+    if len(full) < len(sets):  # empty sets are alike, and like no other
+        root[n == 0] = np.flatnonzero(n == 0)[0]
+    if len(full) < 2:
+        return root
+    vocabulary, ids = np.unique(np.concatenate([sets[i] for i in full]), return_inverse=True)
+    ids = ids.astype(np.int32)
+    own = dict(zip(full.tolist(), np.split(ids, np.cumsum(n[full])[:-1])))
+    mark = np.zeros(len(vocabulary), bool)
+    left, held = full, ids  # the sets in no group yet, one after the other
+    while len(left):
+        seed, ahead = int(left[0]), [int(left[0])]
+        left, held = left[1:], held[n[left[0]] :]
+        while ahead and len(left):
+            at = ahead.pop()
+            mark[own[at]] = True
+            shared = np.add.reduceat(mark[held], np.r_[0, np.cumsum(n[left])[:-1]], dtype=np.int64)
+            mark[own[at]] = False
+            near = shared >= similarity * (n[at] + n[left] - shared) - 1e-9
+            if near.any():
+                root[left[near]] = seed
+                ahead += left[near].tolist()
+                left, held = left[~near], held[~np.repeat(near, n[left])]
+    return root
+
+
+def _confirmed(batches, similarity):
+    """Rows sorted by group, which is held at once; (sid, root) of each set that has a confirmed link."""
+    group, sids, sets = None, [], []
+
+    def done():
+        root = alike_in(sets, similarity)
+        size = np.bincount(root, minlength=len(root))
+        linked = np.flatnonzero(size[root] > 1).tolist()
+        return pa.RecordBatch.from_arrays([pa.array([sids[i] for i in linked], pa.binary()), pa.array([sids[root[i]] for i in linked], pa.binary())], names=["sid", "root"])
+
+    for batch in batches:
+        for g, sid, shingles in zip(texts_of(batch.column(0)), texts_of(batch.column(1)), texts_of(batch.column(2))):
+            if g != group:
+                if sids:
+                    yield done()
+                group, sids, sets = g, [], []
+            sids.append(sid)
+            sets.append(np.frombuffer(shingles, "<u8"))
+    if sids:
+        yield done()
+
+
+def alike(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, words: int = WIDE, tile: int = WIDE_TILE) -> DataFrame:
+    """One row per row of docs: doc_id, component_id (the least doc_id that links reach, its own included).
+
+    Two documents are linked if their sets of distinct shingles have a Jaccard similarity of `similarity` or more.
+    Wide fingerprints of the sets only bring candidates together, at SLACK deviations above the mean of the worst pair
+    of that similarity; within each group of candidates the sets themselves are compared. Null texts and texts without
+    words have empty sets, which are alike. doc_ids are treated as in groups().
+    """
+    seen = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    prints = cut(seen.mapInArrow(shipped(__name__, "_set_prints", shingle, words), f"doc_id long, th long, fp {_kind(words)}, sid binary"), "alike-fp")
+    sets = cut(prints.groupBy("sid", "fp").agg(F.min("doc_id").alias("least"), F.min("th").alias("th")), "alike-sets")
+    radius, half = radius_for(similarity, words, SLACK), radius_for(similarity, (words + 1) // 2, SLACK)
+    near = components(links(sets.select("fp").distinct(), radius, tile=tile, words=words, half=half), "alike").withColumnRenamed("v", "fp")
+    named = cut(sets.join(near, "fp", "left").select("sid", "th", F.coalesce("root", "fp").alias("candidates")), "alike-named")
+    several = named.groupBy("candidates").count().where("count > 1").select("candidates")
+    asked = cut(named.join(several, "candidates"), "alike-asked")
+    texts = seen.select("text", "th").join(asked.select("th").distinct(), "th", "left_semi").select("text")
+    held = texts.mapInArrow(shipped(__name__, "_sets", shingle), "sid binary, shingles binary").groupBy("sid").agg(F.first("shingles").alias("shingles"))
+    dealt = asked.select("sid", "candidates").join(held, "sid").select("candidates", "sid", "shingles").repartition("candidates").sortWithinPartitions("candidates", "sid")
+    member = cut(dealt.mapInArrow(shipped(__name__, "_confirmed", similarity), "sid binary, root binary"), "alike-member")
+    lowest = member.join(sets, "sid").groupBy("root").agg(F.min("least").alias("lowest"))
+    ids = sets.join(member.join(lowest, "root").select("sid", "lowest"), "sid", "left").select("sid", F.coalesce("lowest", "least").alias("component_id"))
+    return prints.join(ids, "sid").select("doc_id", "component_id")
+
+
 def keep_one_alike(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, words: int = WIDE, tile: int = WIDE_TILE) -> DataFrame:
-    """keep_one by wide fingerprints that stand for `similarity` of shingles (radius_for): copies with edits go as well."""
-    return keep_one(docs, shingle, radius_for(similarity, words), tile=tile, words=words)
+    """docs without the rows that alike() links to a document of a smaller doc_id: copies with edits go as well."""
+    losers = alike(docs, similarity, shingle, words, tile).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(losers, "doc_id", "left_anti").select(docs.columns)
 
 
 def op1_simhash(spark, sf_dir) -> DataFrame:
