@@ -43,8 +43,8 @@ def paragraphs(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([offsets, np.flatnonzero(raw == 10) + 1]))
 
 
-def grams(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket of each word, bucket of each pair or -1, paragraph of each word, hash of each word), trimmed of marks."""
+def grams(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(bucket of each word, bucket of each pair or -1, paragraph, hash, start and end of each word), trimmed of marks."""
     low = lowered(raw).copy()
     mark = np.zeros(256, bool)
     mark[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -58,12 +58,12 @@ def grams(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         both = row[1:] == row[:-1]
         with np.errstate(over="ignore"):
             pair[1:] = np.where(both, (mixed(h[:-1] * np.uint64(3) + h[1:]) % np.uint64(BUCKETS)).astype(np.int64), -1)
-    return (h % np.uint64(BUCKETS)).astype(np.int64), pair, row, h
+    return (h % np.uint64(BUCKETS)).astype(np.int64), pair, row, h, start, end
 
 
-def logits(raw: np.ndarray, edges: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(logits by paragraph, words by paragraph, hash and paragraph of each word). Sums are scaled by 1/sqrt(words)."""
-    one, two, row, h = grams(raw, edges)
+def logits(raw: np.ndarray, edges: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(logits by paragraph, words by paragraph, hash, paragraph, start and end of each word). Sums are scaled by 1/sqrt(words)."""
+    one, two, row, h, start, end = grams(raw, edges)
     total = np.zeros((len(edges) - 1, weights.shape[1]))
     n = np.bincount(row, minlength=len(edges) - 1)
     if len(row):
@@ -71,7 +71,7 @@ def logits(raw: np.ndarray, edges: np.ndarray, weights: np.ndarray) -> tuple[np.
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         total[row[first]] = np.add.reduceat(each, first, axis=0)
     total /= np.sqrt(np.maximum(n, 1))[:, None]
-    return total + weights[-1], n, h, row
+    return total + weights[-1], n, h, row, start, end
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -105,7 +105,7 @@ def trained(negatives: list[str]) -> np.ndarray:
     data = [t.replace("\n", " ").encode() for t in texts]
     edges = np.r_[0, np.cumsum([len(d) + 1 for d in data])]
     raw = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
-    one, two, row, _ = grams(raw, edges)
+    one, two, row, *_ = grams(raw, edges)
     rows = np.concatenate([row, row[two >= 0]])
     cols = np.concatenate([one, two[two >= 0]])
     used, at = np.unique(cols, return_inverse=True)
@@ -163,6 +163,65 @@ def triples(h: np.ndarray) -> set[int]:
         return set(mixed(h[:-2] * np.uint64(9) + h[1:-1] * np.uint64(3) + h[2:]).tolist())
 
 
+def _ordered(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(h[:-2] * np.uint64(9) + h[1:-1] * np.uint64(3) + h[2:])
+
+
+def _windows(hits: list[tuple[int, int]], size: int, cover: float) -> list[tuple[int, int, float]]:
+    """(first word, end, share) of stretches whose distinct triples cover enough of a template of `size` triples.
+
+    hits: (word, triple) in order. A stretch spans at most twice the template's words and eight.
+    """
+    out, now = [], []
+
+    def full():
+        if len(now) < cover * size:
+            return False
+        out.append((now[0][0], now[-1][0] + 3, len(now) / size))
+        now.clear()
+        return True
+
+    for at, k in hits:
+        again = next((j for j, (_, x) in enumerate(now) if x == k), None)
+        if again is not None and not full():
+            del now[: again + 1]
+        while now and at + 3 - now[0][0] > 2 * (size + 2) + 8 and not full():
+            del now[0]
+        now.append((at, k))
+    full()
+    return out
+
+
+def noticed(h: np.ndarray, text: np.ndarray, templates: list[list[set[int]]], cover: float) -> list[tuple[int, int, int, float]]:
+    """(first word, end, family, share) of stretches of words, over any line ends, that cover a template.
+
+    Of two stretches that overlap in over half of the shorter one, the one that covers more of its template stays.
+    """
+    if len(h) < 3:
+        return []
+    every = _ordered(h)
+    known = np.array(sorted(set().union(*(t for own in templates for t in own))), np.uint64)
+    at = np.flatnonzero((known[np.minimum(np.searchsorted(known, every), len(known) - 1)] == every) & (text[:-2] == text[2:]))
+    by: dict[int, list[tuple[int, int]]] = {}
+    for i, k in zip(at.tolist(), every[at].tolist()):
+        by.setdefault(int(text[i]), []).append((i, k))
+    out = []
+    for hits in by.values():
+        seen = {k for _, k in hits}
+        found = []
+        for f, own in enumerate(templates):
+            for t in own:
+                if len(seen & t) >= cover * len(t):
+                    found += [(share, s, e, f) for s, e, share in _windows([x for x in hits if x[1] in t], len(t), cover)]
+        kept: list[tuple[int, int, int, float]] = []
+        for share, s, e, f in sorted(found, key=lambda x: (-x[0], x[1] - x[2], x[1], x[3])):
+            if all(2 * (min(e, b) - max(s, a)) <= min(e - s, b - a) for a, b, *_ in kept):
+                kept.append((s, e, f, share))
+        out += sorted(kept)
+    return out
+
+
 def _scanned(batches, shared, confident, cover):
     weights, templates = shared.value, _template_words()
     unknown = len(FAMILIES) - 1
@@ -173,19 +232,28 @@ def _scanned(batches, shared, confident, cover):
         for a, b in slices(offsets_all, 1 << 20):
             raw, offsets = raw_all[offsets_all[a] : offsets_all[b]], offsets_all[a : b + 1] - offsets_all[a]
             edges = paragraphs(raw, offsets)
-            z, n, h, row = logits(raw, edges, weights)
+            z, n, h, row, start, end = logits(raw, edges, weights)
             p = _softmax(z)
             best = p.argmax(axis=1)
             probability = p[np.arange(len(p)), best]
             doc = np.searchsorted(offsets, edges[:-1], side="right") - 1
-            held: list[list[dict]] = [[] for _ in range(b - a)]
+            held: list[list[tuple]] = [[] for _ in range(b - a)]
             for i in np.flatnonzero((best != unknown) & (probability >= confident) & (n > 0)).tolist():
                 own = triples(h[np.searchsorted(row, i) : np.searchsorted(row, i, side="right")])
                 share = max(len(own & t) / len(t) for t in templates[best[i]])
-                at = int(offsets[doc[i]])
-                points = lambda x: int(((raw[at:x] & 0xC0) != 0x80).sum())  # noqa: B023, E731
-                held[doc[i]].append({"start": points(int(edges[i])), "end": points(int(edges[i + 1])), "family": FAMILIES[best[i]], "probability": float(probability[i]), "confirmed": share >= cover, "cover": float(share)})
-            found += held
+                held[doc[i]].append((int(edges[i]), int(edges[i + 1]), int(best[i]), float(probability[i]), share >= cover, float(share)))
+            for first, last, f, share in noticed(h, doc[row], templates, cover):
+                s, e, own = int(start[first]), int(end[last - 1]), held[doc[row[first]]]
+                lines = [x for x in own if x[2] == f and x[0] < e and s < x[1]]
+                if any(x[4] for x in lines):
+                    continue  # reported as a line
+                chance = float(_softmax(logits(raw[s:e], np.array([0, e - s]), weights)[0])[0, f])
+                if chance >= confident:
+                    # lines of a wrapped notice are part of it
+                    own[:] = [x for x in own if x not in lines] + [(s, e, f, chance, True, share)]
+            for d, own in enumerate(held):
+                points = lambda x: int(((raw[offsets[d] : x] & 0xC0) != 0x80).sum())  # noqa: B023, E731
+                found.append([{"start": points(s), "end": points(e), "family": FAMILIES[f], "probability": q, "confirmed": sure, "cover": share} for s, e, f, q, sure, share in sorted(own)])
             counts += np.bincount(doc[n > 0], minlength=b - a).tolist()
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], names=["doc_id", "n_paragraphs", "found"])
 
@@ -194,12 +262,13 @@ def scanned(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, confident: float =
     """One row per row of docs: doc_id, n_paragraphs, families, n_confirmed, n_unconfirmed, found.
 
     A paragraph is a line with a word. families: those confirmed, sorted, comma-joined, "" if none. found: code-point
-    spans with family, probability, share of the template covered. The weights are fitted on the templates and on
-    lines of at most sample_docs documents, those with the least hash of doc_id. A null or empty text has none.
+    spans with family, probability, share of the template covered: lines, and stretches of words over line ends or
+    within a line that cover a template and are judged by themselves. The weights are fitted on the templates and on
+    all lines of at most sample_docs documents, those with the least hash of doc_id. A null or empty text has none.
     """
     ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     few = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids.distinct()), "doc_id", "left_semi")  # sample_docs ids at most
-    line = few.select(F.explode(F.slice(F.split("text", "\n"), 1, 4)).alias("line")).where("not lower(line) rlike 'licen[sc]e|copyright|public domain|warranty|permission|rights reserved'").select(F.substring("line", 1, 400).alias("line"))
+    line = few.select(F.explode(F.split("text", "\n")).alias("line")).where("not lower(line) rlike 'licen[sc]e|copyright|public domain|warranty|permission|rights reserved'")
     negatives = sorted(r[0] for r in line.collect())
     shared = docs.sparkSession.sparkContext.broadcast(trained(negatives))
     kind = dict(docs.dtypes)["doc_id"]
