@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -19,16 +21,50 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that spark.checkpoint.dir names, of the session or of its context; without one, an error.
+
+    A folder of the driver's own is no substitute on a cluster, so none is made up, except where the whole of Spark
+    runs in one process (a local master, as in tests).
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "ragweave-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder. It is deleted when the driver's Python ends; see clear()."""
+    path = f"{shared_dir(spark)}/ragweave-{spark.sparkContext.applicationId}"
+    if path not in _cleared:
+        _cleared.add(path)
+        atexit.register(_removed_at_end, spark, path)
+    return path
+
+
+_cleared: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    # a stopped context has no configuration of its own
+    where.getFileSystem(context.hadoopConfiguration() if context else jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
+
+
+def _removed_at_end(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        _remove(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; frames that still read them fail afterwards."""
+    _remove(spark, own_dir(spark))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/ragweave-{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -36,7 +72,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the files of cut() frames that nothing reads any more."""
+    for df in frames:
+        _remove(df.sparkSession, df.cut_path)
 
 
 def shipped(module: str, name: str, *args):
@@ -94,6 +138,18 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         start = stop
 
 
+def joined_by(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, total: int, most: int = 100_000, least: int = 1000) -> DataFrame:
+    """rows joined (inner) to keyed, one row for each key; `weight` is the number of rows that the key has there.
+
+    A key of more than `least` rows and of more than one `most`-th of the `total` is hot. There are at most `most` of
+    those, so they are broadcast and their rows stay where they are; the others meet in a shuffle, in which no key is
+    large.
+    """
+    limit = max(least, total // most)
+    hot, cold = keyed.where(F.col(weight) > limit), keyed.where(F.col(weight) <= limit)
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
 #: An odd multiplier and its inverse modulo 2**64, for hashes of byte strings by prefix sums.
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -189,9 +245,10 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         before = state
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        e = cut(large, f"{name}-l")
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        small = e.join(low, "u")
-        e = cut(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-s")
+        large = cut(both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-l")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
+        after = cut(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-s")
+        drop(e, large)
+        e = after
     return e.select(F.col("u").alias("v"), F.col("v").alias("root")).union(e.select("v", F.col("v").alias("root")).distinct())
