@@ -1,8 +1,9 @@
 """Language-model scores from an n-gram trie in Elias-Fano levels.
 
 Level 1 is the vocabulary: hashes of words, in ranges of hash. Level k holds the k-grams under their contexts, which
-are nodes of level k-1, dealt to shards by context; a context that fills more than a quarter of a shard is spread by
-k-gram. A shard is one file in the shared folder: contexts, monotone pointers to their successors, successors relative
+are nodes of level k-1. Pairs are dealt to shards by their first word, longer ones to the shard in which their context
+stands, so that a context's node is looked up where the shard is built and not by those who count; a context that fills
+more than a quarter of a shard is spread by k-gram. A shard is one file in the shared folder: contexts, monotone pointers to their successors, successors relative
 to their context (each context's values follow the last value before it), and quantised discounted probabilities and
 back-off weights. Workers map the files they ask, and never copy them to memory.
 
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import buffer_of, crc32_text, fresh_path, lowered, mixed, prefix_sums, ranges_hashed, shipped, slices, words_in
 from .eliasfano import Sequence, packed
 
-ORDER, DISCOUNT, SLICE, SHARD_BYTES, FLOOR = 2, 0.75, 4 << 20, 32 << 20, 1e-8
+#: SHARD_BYTES is text for each shard: building one takes some twenty times the size of its keys in memory.
+ORDER, DISCOUNT, SLICE, SHARD_BYTES, FLOOR, TASKS, LEAST_WIDE = 3, 0.75, 4 << 20, 16 << 20, 1e-8, 50_000, 1000
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 
 
@@ -103,29 +105,30 @@ class Vocabulary:
 
 
 class Level:
-    """The k-grams of one order: node ids run through the shards."""
+    """The k-grams of one order: node ids run through the shards. below: the level of their contexts, or None of words."""
 
-    def __init__(self, folder: str, order: int, shards: int, size: int, starts: np.ndarray, wide: dict[int, int], weights: dict[int, float]):
-        self.folder, self.order, self.shards, self.size, self.starts = folder, order, shards, size, starts
+    def __init__(self, folder: str, order: int, shards: int, size: int, starts: np.ndarray, wide: dict[int, int], weights: dict[int, float], below: Level | None):
+        self.folder, self.order, self.shards, self.size, self.starts, self.below = folder, order, shards, size, starts, below
         self.wide = np.array(sorted(wide), np.int64)
         self.weights = np.array([weights.get(w, 1.0) for w in self.wide.tolist()])
+        self.held = np.flatnonzero(starts >= 0)
+
+    def home(self, node: np.ndarray) -> np.ndarray:
+        """The shard in which each node stands."""
+        return self.held[np.searchsorted(self.starts[self.held], node, side="right") - 1]
 
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(node or -1, discounted probability, back-off weight of the context) of distinct pairs."""
         node = np.full(len(word), -1, np.int64)
         p, weight = np.zeros(len(word)), np.ones(len(word))
-        shard = route(context, word, self.size, self.shards, self.wide)
+        shard = route(context, word, self.size, self.shards, self.wide, self.below)
         order = np.argsort(shard, kind="stable")
         edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
-            if a == b or self.starts[s] < 0:
+        for s in np.flatnonzero(np.diff(edges)).tolist():
+            if self.starts[s] < 0:
                 continue
-            at = order[a:b]
-            words = mapped(f"{self.folder}/level-{self.order}-{s}")
-            contexts = Sequence(words)
-            pointers = Sequence(words[contexts.end :])
-            successors = Sequence(words[contexts.end + pointers.end :])
-            tail = words[contexts.end + pointers.end + successors.end :].view(np.uint16)
+            at = order[edges[s] : edges[s + 1]]
+            contexts, pointers, successors, tail = self.opened(s)
             own, back = np.unique(context[at], return_inverse=True)
             row = contexts.find(own.astype(np.uint64))
             first = np.zeros(len(own), np.int64)
@@ -150,15 +153,34 @@ class Level:
             weight[spread] = self.weights[place[spread]]
         return node, p, weight
 
+    def opened(self, s: int):
+        """(contexts, pointers, successors, codes) of a shard's file."""
+        uri = f"{self.folder}/level-{self.order}-{s}"
+        if uri not in _opened:
+            if len(_opened) >= MOST_OPEN:
+                _opened.clear()
+            words = mapped(uri)
+            contexts = Sequence(words)
+            pointers = Sequence(words[contexts.end :])
+            successors = Sequence(words[contexts.end + pointers.end :])
+            _opened[uri] = contexts, pointers, successors, words[contexts.end + pointers.end + successors.end :].view(np.uint16)
+        return _opened[uri]
+
+
+#: Sequences of files that this process has open, MOST_OPEN at a time.
+MOST_OPEN = 4096
+_opened: dict[str, tuple] = {}
 
-def route(context: np.ndarray, word: np.ndarray, size: int, shards: int, wide: np.ndarray) -> np.ndarray:
-    """Shard of each pair: by context, or by pair where the context is wide."""
-    key = context.astype(np.uint64)
+
+def route(context: np.ndarray, word: np.ndarray, size: int, shards: int, wide: np.ndarray, below: Level | None = None) -> np.ndarray:
+    """Shard of each pair: by context (the shard where a longer one stands), or by pair where the context is wide."""
+    shard = below.home(context) if below is not None and len(context) else (mixed(context.astype(np.uint64) + np.uint64(1)) % np.uint64(shards)).astype(np.int64)
     if len(wide):
         place = np.minimum(np.searchsorted(wide, context), len(wide) - 1)
         with np.errstate(over="ignore"):
-            key = np.where(wide[place] == context, mixed(key * np.uint64(size) + word.astype(np.uint64)), key)
-    return (mixed(key + np.uint64(1)) % np.uint64(shards)).astype(np.int64)
+            spread = (mixed(mixed(context.astype(np.uint64) * np.uint64(size) + word.astype(np.uint64)) + np.uint64(1)) % np.uint64(shards)).astype(np.int64)
+        shard = np.where(wide[place] == context, spread, shard)
+    return shard
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,31 +203,49 @@ def _folded(x: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray
     return x[first], n
 
 
+def _folded_pairs(prefix: np.ndarray, last: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix, last, how often) of distinct pairs, in order."""
+    order = np.lexsort((last, prefix))
+    prefix, last = prefix[order], last[order]
+    first = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (last[1:] != last[:-1])]) if len(prefix) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[first, len(prefix)]) if counts is None else np.add.reduceat(counts[order], first) if len(prefix) else np.zeros(0, np.int64)
+    return prefix[first], last[first], n
+
+
+def _planes(x: np.ndarray, dtype) -> bytes:
+    """An array byte plane by byte plane."""
+    x = np.ascontiguousarray(x.astype(dtype))
+    return x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+
+
+def _unplanes(data: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
 def _blob(x: np.ndarray, dtype) -> bytes:
     """Differences of a sorted array, byte plane by byte plane, which the shuffle's compression shortens well."""
-    x = np.ascontiguousarray(x.astype(dtype))
-    d = np.diff(x, prepend=x.dtype.type(0))
-    return d.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+    x = x.astype(dtype)
+    return _planes(np.diff(x, prepend=x.dtype.type(0)), dtype)
 
 
 def _unblob(data: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    planes = np.frombuffer(data, np.uint8).reshape(size, -1).T
     with np.errstate(over="ignore"):
-        return np.cumsum(np.ascontiguousarray(planes).view(dtype).ravel(), dtype=dtype)
+        return np.cumsum(_unplanes(data, dtype), dtype=dtype)
 
 
-def _dealt(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-    """Rows (shard, keys, counts) of sorted keys, one for each shard that has any."""
+def _dealt(shard: np.ndarray, keys: np.ndarray, last: np.ndarray, counts: np.ndarray):
+    """Rows (shard, keys, last, counts) of sorted keys, one for each shard that has any."""
     order = np.argsort(shard, kind="stable")
     edges = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0, True]) if len(shard) else np.zeros(1, np.int64)
-    out: list[list] = [[], [], []]
+    out: list[list] = [[], [], [], []]
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         at = order[a:b]
         out[0].append(int(shard[at[0]]))
         out[1].append(_blob(keys[at], np.uint64))
-        out[2].append(counts[at].astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["shard", "keys", "counts"])
+        out[2].append(_planes(last[at], np.uint64))
+        out[3].append(_planes(counts[at], np.uint32))
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["shard", "keys", "last", "counts"])
 
 
 def _counted_words(batches, bits):
@@ -214,27 +254,25 @@ def _counted_words(batches, bits):
         for a, b in slices(offsets, SLICE):
             h, _ = tokens(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             keys, n = _folded(h)
-            yield _dealt(Vocabulary("", bits, np.zeros(0)).shard_of(keys), keys, n)
+            yield _dealt(Vocabulary("", bits, np.zeros(0)).shard_of(keys), keys, np.zeros(len(keys), np.uint64), n)
 
 
 def _merged(batches):
-    """(shard, keys, counts) of rows sorted by shard; partial sums are folded as they come."""
+    """(shard, keys, last, counts) of rows sorted by shard; partial sums are folded as they come."""
     shard, parts, size = None, [], 0
 
     def fold():
-        return _folded(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        return _folded_pairs(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
 
     for batch in batches:
-        for s, keys, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+        for s, keys, last, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
             if s != shard and parts:
                 yield shard, *fold()
                 parts, size = [], 0
             shard = s
-            keys = _unblob(keys.as_py(), np.uint64)
-            n = np.ascontiguousarray(np.frombuffer(counts.as_py(), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
-            parts.append((keys, n))
-            size += len(keys)
-            if size > 4_000_000 and len(parts) > 1:
+            parts.append((_unblob(keys.as_py(), np.uint64), _unplanes(last.as_py(), np.uint64), _unplanes(counts.as_py(), np.uint32).astype(np.int64)))
+            size += len(parts[-1][0])
+            if size > 1_000_000 and len(parts) > 1:
                 parts = [fold()]
                 size = 0
     if parts:
@@ -242,10 +280,16 @@ def _merged(batches):
 
 
 def _vocabulary(batches, folder, limit):
-    for shard, keys, counts in _merged(batches):
+    for shard, keys, _, counts in _merged(batches):
         save(f"{folder}/level-1-{shard}", np.concatenate([packed(keys >> np.uint64(1)), counts.view(np.uint64)]))
         wide = np.flatnonzero((counts > limit) & (keys != END))
-        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(keys)]), pa.array([int(counts.sum())]), pa.array([wide.tolist()], pa.list_(pa.int64())), pa.array([counts[wide].tolist()], pa.list_(pa.int64())), pa.array([[]], pa.list_(pa.int64())), pa.array([[]], pa.list_(pa.int64()))], names=["shard", "n", "total", "wide", "wide_counts", "spread", "kinds"])
+        end = np.flatnonzero(keys == END)
+        yield _file(shard, counts, wide, [], [], [], [int(x) for x in end])
+
+
+def _file(shard, counts, wide, names, spread, kinds, end=()):
+    lists = ([int(x) for x in x] for x in (wide, counts[wide], names, spread, kinds, end))
+    return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(counts)]), pa.array([int(counts.sum())]), *(pa.array([x], pa.list_(pa.int64())) for x in lists)], names=["shard", "n", "total", "wide", "wide_counts", "names", "spread", "kinds", "end"])
 
 
 class Model:
@@ -254,8 +298,11 @@ class Model:
     def __init__(self, folder, bits, starts, total, distinct):
         self.vocabulary, self.total, self.distinct, self.levels = Vocabulary(folder, bits, starts), total, distinct, []
 
-    def walked(self, raw: np.ndarray, offsets: np.ndarray, top: int):
-        """Per token: (row, id, count, node of the (top-1)-gram that ends before it or -1, P by levels below top)."""
+    def walked(self, raw: np.ndarray, offsets: np.ndarray, top: int, only_context: bool = False):
+        """Per token: (row, id, count, node of the (top-1)-gram that ends before it or -1, P by levels up to top).
+
+        only_context: stop before level top is asked; otherwise there is no node.
+        """
         h, row = tokens(raw, offsets)
         own, back = np.unique(h, return_inverse=True)
         ids, counts = self.vocabulary.find(own)
@@ -266,7 +313,7 @@ class Model:
         for k in range(2, top + 1):
             context = np.full(len(node), -1, np.int64)
             context[1:] = np.where(row[1:] == row[:-1], node[:-1], -1)
-            if k == top and len(self.levels) < k - 1:
+            if k == top and only_context:
                 return row, word, count, context, p
             level, ask = self.levels[k - 2], np.flatnonzero(context >= 0)
             got, a, weight = self.asked(level, context[ask], word[ask])
@@ -286,40 +333,68 @@ class Model:
 
 
 def _counted_grams(batches, model, order, shards, wide):
-    wide = np.array(sorted(wide), np.int64)
-    size = model.distinct + 1
+    """Rows of k-grams: of pairs (both words as one key), of longer ones (context and word before the last; last word).
+
+    wide: counts of wide contexts by node, and their nodes by (context, word) key.
+    """
+    counts, names = wide
+    size, full = np.uint64(model.distinct + 1), np.array(sorted(counts), np.int64)
+    wide_keys = np.array(sorted(names), np.uint64)
+    wide_nodes = np.array([names[k] for k in sorted(names)], np.int64)
     for batch in batches:
         raw, offsets = buffer_of(batch.column(0))
         for a, b in slices(offsets, SLICE):
-            _, word, _, context, _ = model.walked(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order)
+            row, word, _, context, _ = model.walked(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], max(2, order - 1), True)
             ok = (context >= 0) & (word >= 0)
-            keys, n = _folded(context[ok].astype(np.uint64) * np.uint64(size) + word[ok].astype(np.uint64))
-            c, w = (keys // np.uint64(size)).astype(np.int64), (keys % np.uint64(size)).astype(np.int64)
-            yield _dealt(route(c, w, size, shards, wide), keys, n)
-
-
-def _level(batches, folder, order, size, wide, limit, end, last):
+            key = context.astype(np.uint64) * size + word.astype(np.uint64)
+            if order == 2:
+                keys, n = _folded(key[ok])
+                yield _dealt(route((keys // size).astype(np.int64), (keys % size).astype(np.int64), int(size), shards, full), keys, np.zeros(len(keys), np.uint64), n)
+                continue
+            ok = np.flatnonzero(ok[:-1] & (word[1:] >= 0) & (row[1:] == row[:-1]))
+            keys, last, n = _folded_pairs(key[ok], word[ok + 1].astype(np.uint64))
+            below = model.levels[-1]
+            # every pair stands where its first part sends it, so its shard is known without a look at the level
+            shard = route((keys // size).astype(np.int64), (keys % size).astype(np.int64), int(size), shards, below.wide, below.below)
+            if len(wide_keys):
+                place = np.minimum(np.searchsorted(wide_keys, keys), len(wide_keys) - 1)
+                spread = np.flatnonzero(wide_keys[place] == keys)
+                shard[spread] = route(wide_nodes[place[spread]], last[spread].astype(np.int64), int(size), shards, full)
+            yield _dealt(shard, keys, last, n)
+
+
+def _level(batches, folder, model, order, wide, limit, end, final):
+    size = model.distinct + 1
     full = np.array(sorted(wide), np.int64)
     full_counts = np.array([wide[w] for w in full.tolist()], np.int64)
-    for shard, keys, counts in _merged(batches):
-        context, word = keys // np.uint64(size), keys % np.uint64(size)
+    for shard, keys, last, counts in _merged(batches):
+        if order == 2:
+            context, word = keys // np.uint64(size), keys % np.uint64(size)
+        else:
+            own, back = np.unique(keys, return_inverse=True)
+            node = model.levels[-1].find((own // np.uint64(size)).astype(np.int64), (own % np.uint64(size)).astype(np.int64))[0]
+            context = node[back].astype(np.uint64)
+            at = np.lexsort((last, context))
+            context, word, counts = context[at], last[at], counts[at]
         first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-        own, kinds = context[first], np.diff(np.r_[first, len(keys)])
+        own, kinds = context[first], np.diff(np.r_[first, len(context)])
         total = np.add.reduceat(counts, first)
         spread = np.zeros(len(own), bool)
         if len(full):
             place = np.minimum(np.searchsorted(full, own.astype(np.int64)), len(full) - 1)
             spread = full[place] == own.astype(np.int64)
             total = np.where(spread, full_counts[place], total)
-        top = word[np.r_[first[1:], len(keys)] - 1] + np.uint64(1)
+        top = word[np.r_[first[1:], len(context)] - 1] + np.uint64(1)
         base = np.cumsum(top) - top
         values = np.repeat(base, kinds) + word + np.uint64(1)
         p = np.maximum(counts - DISCOUNT, 0) / np.repeat(total, kinds)
         codes = np.concatenate([quantised(p), quantised(DISCOUNT * kinds / total)])
         codes = np.concatenate([codes, np.zeros(-len(codes) % 4, np.uint16)])
-        save(f"{folder}/level-{order}-{shard}", np.concatenate([packed(own), packed(np.r_[first, len(keys)]), packed(values), codes.view(np.uint64)]))
-        more = np.flatnonzero((counts > limit) & (word != np.uint64(end))) if not last else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([len(keys)]), pa.array([int(counts.sum())]), *(pa.array([x.tolist()], pa.list_(pa.int64())) for x in (more, counts[more], own[spread].astype(np.int64), kinds[spread]))], names=["shard", "n", "total", "wide", "wide_counts", "spread", "kinds"])
+        save(f"{folder}/level-{order}-{shard}", np.concatenate([packed(own), packed(np.r_[first, len(context)]), packed(values), codes.view(np.uint64)]))
+        more = np.flatnonzero((counts > limit) & (word != np.uint64(end))) if not final else np.zeros(0, np.int64)
+        with np.errstate(over="ignore"):
+            names = (context[more] * np.uint64(size) + word[more]).view(np.int64)
+        yield _file(shard, counts, more, names, own[spread], kinds[spread])
 
 
 def _scores(batches, model, order):
@@ -337,17 +412,18 @@ def _scores(batches, model, order):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), model.total), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-_FILE = "shard long, n long, total long, wide array<long>, wide_counts array<long>, spread array<long>, kinds array<long>"
+_FILE = "shard long, n long, total long, wide array<long>, wide_counts array<long>, names array<long>, spread array<long>, kinds array<long>, end array<long>"
 
 
-def _starts(rows, shards) -> tuple[np.ndarray, dict[int, int]]:
-    """(first id of each shard, or -1 if it is empty; counts of wide nodes)."""
-    starts, at, wide = np.full(shards, -1, np.int64), 0, {}
+def _starts(rows, shards) -> tuple[np.ndarray, dict[int, int], dict[int, int]]:
+    """(first id of each shard, or -1 if it is empty; counts of wide nodes; wide nodes by their key)."""
+    starts, at, wide, names = np.full(shards, -1, np.int64), 0, {}, {}
     for r in sorted(rows):
         starts[r["shard"]] = at
         wide |= {at + i: c for i, c in zip(r["wide"], r["wide_counts"])}
+        names |= {k % (1 << 64): at + i for i, k in zip(r["wide"], r["names"])}
         at += r["n"]
-    return starts, wide
+    return starts, wide, names
 
 
 def trained(texts: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES) -> Model:
@@ -356,28 +432,28 @@ def trained(texts: DataFrame, order: int = ORDER, shard_bytes: int = SHARD_BYTES
     texts = texts.select("text")
     size = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     shards = max(1, -(-size // shard_bytes))
-    bits = (max(1, shards // 2) - 1).bit_length()
-    limit = size // 6 // (4 * shards) + 1000
+    bits = (max(1, shards // 4) - 1).bit_length()
+    limit = size // 6 // (4 * shards) + LEAST_WIDE
     folder = fresh_path(spark, "lm")
 
-    def built(sent, reducer, *args):
-        dealt = sent.repartition(F.col("shard")).sortWithinPartitions("shard")
+    def built(sent, n, reducer, *args):
+        dealt = sent.repartition(min(n, TASKS), F.col("shard")).sortWithinPartitions("shard")
         return dealt.mapInArrow(shipped(__name__, reducer, folder, *args), _FILE).collect()
 
-    blobs = "shard long, keys binary, counts binary"
-    rows = built(texts.mapInArrow(shipped(__name__, "_counted_words", bits), blobs), "_vocabulary", limit)
-    starts, wide = _starts(rows, 1 << bits)
+    blobs = "shard long, keys binary, last binary, counts binary"
+    rows = built(texts.mapInArrow(shipped(__name__, "_counted_words", bits), blobs), 1 << bits, "_vocabulary", limit)
+    starts, wide, names = _starts(rows, 1 << bits)
     model = Model(folder, bits, starts, sum(r["total"] for r in rows), sum(r["n"] for r in rows))
-    end = int(model.vocabulary.find(np.array([END]))[0][0]) if _local(folder) else -1
+    end = next((int(starts[r["shard"]]) + r["end"][0] for r in rows if r["end"]), model.distinct)
     for k in range(2, order + 1):
-        rows = built(texts.mapInArrow(shipped(__name__, "_counted_grams", model, k, shards, wide), blobs), "_level", k, model.distinct + 1, wide, limit, end, k == order)
+        rows = built(texts.mapInArrow(shipped(__name__, "_counted_grams", model, k, shards, (wide, names)), blobs), shards, "_level", model, k, wide, limit, end, k == order)
         kinds: dict[int, int] = {}
         for r in rows:
             for context, n in zip(r["spread"], r["kinds"]):
                 kinds[context] = kinds.get(context, 0) + n
-        starts, more = _starts(rows, shards)
+        starts, more, names = _starts(rows, shards)
         weights = {w: DISCOUNT * kinds.get(w, 0) / c if kinds.get(w) else 1.0 for w, c in wide.items()}
-        model.levels.append(Level(folder, k, shards, model.distinct + 1, starts, wide, weights))
+        model.levels.append(Level(folder, k, shards, model.distinct + 1, starts, wide, weights, model.levels[-1] if k > 2 else None))
         wide = more
     return model
 
