@@ -98,6 +98,11 @@ def shipped(module: str, name: str, *args):
     return run
 
 
+def named(column: str) -> Column:
+    """The column of that very name, dots and other marks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

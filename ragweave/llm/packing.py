@@ -3,7 +3,8 @@
 Items come longest first. Open bins are held by residual capacity, and each carries bitmaps of the sources and
 duplicate clusters inside it. For an item, successor search starts at the least residual that has room and goes on
 to the next larger one until a compatible bin is found; if there is none, a bin opens. Rows are dealt to shards of
-about `shard` items by a hash of the doc_id and each shard is packed by itself, so that memory stays bounded.
+about `shard` items by a hash and each shard is packed by itself, so that memory stays bounded; rows that are equal in
+all that counts are dealt SPREAD to a shard, so that many of them do not meet either.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, shipped, texts_of
 
-CAPACITY, SHARD = 2048, 8192
+CAPACITY, SHARD, SPREAD = 2048, 8192, 64
 
 
 class Bins:
@@ -105,9 +106,11 @@ def _packed(batches, capacity):
         placed = pack(rows, capacity)
         cols = list(zip(*placed)) or [()] * 5
         ids = [rows[i][0] for i in cols[0]]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(cols[k], pa.int64()) for k in (1,)), pa.array([shard] * len(ids), pa.int64()), *(pa.array(cols[k], pa.int64()) for k in (2, 3, 4))], names=["doc_id", "piece", "shard", "bin", "start", "length"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, kind), *(pa.array(cols[k], pa.int64()) for k in (1,)), pa.array([shard] * len(ids), pa.int64()), *(pa.array(cols[k], pa.int64()) for k in (2, 3, 4))], names=["doc_id", "piece", "shard", "bin", "start", "length"])
 
+    kind = pa.int64()
     for batch in batches:
+        kind = batch.schema.field("doc_id").type
         data = batch.to_pydict()
         for s, *row in zip(data["shard"], data["doc_id"], data["source"], data["cluster"], data["length"]):
             if s != shard:
@@ -126,12 +129,15 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) ->
     most one piece of a source and at most one of a cluster; a null source or cluster never conflicts, and neither
     does a null length, which counts as 0 and has no place. Equal lengths go by doc_id, nulls last. No items, no rows.
     """
-    items = cut(items.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "cluster", F.coalesce("length", F.lit(0)).cast("long").alias("length")), "pack-items")
-    n = items.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("length") / capacity)))).first()[0] or 0
+    kind = dict(items.dtypes)["doc_id"]
+    items = items.select("doc_id", F.col("source").cast("string").alias("source"), "cluster", F.coalesce("length", F.lit(0)).cast("long").alias("length"))
+    items = cut(items.groupBy("doc_id", "source", "cluster", "length").agg(F.count("*").alias("copies")), "pack-items")
+    n = items.agg(F.sum(F.col("copies") * F.greatest(F.lit(1), F.ceil(F.col("length") / capacity)))).first()[0] or 0
     shards = max(1, -(-int(n) // shard))
-    placed = F.pmod(F.xxhash64("doc_id", "cluster", "length"), F.lit(shards)).alias("shard")
-    dealt = items.select("*", placed).repartition("shard").sortWithinPartitions("shard", "doc_id", "length", "cluster", "source")
-    return dealt.mapInArrow(shipped(__name__, "_packed", capacity), "doc_id long, piece long, shard long, bin long, start long, length long")
+    copy = items.select("doc_id", "source", "cluster", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    placed = F.pmod(F.xxhash64("doc_id", "cluster", "length", F.floor(F.col("copy") / SPREAD)), F.lit(shards)).alias("shard")
+    dealt = copy.select("*", placed).repartition("shard").sortWithinPartitions("shard", "doc_id", "length", "cluster", "source", "copy")
+    return dealt.mapInArrow(shipped(__name__, "_packed", capacity), f"doc_id {kind}, piece long, shard long, bin long, start long, length long")
 
 
 def op5_pack(spark, sf_dir) -> DataFrame:

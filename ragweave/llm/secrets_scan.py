@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import named
+
 #: Base patterns by kind, in the order in which kinds are listed.
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{12,}", "hex": "[0-9a-f]{32,}"}
@@ -126,12 +128,12 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", threshold: float = THRESHO
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     table = trained(samples(docs.sparkSession, docs))
     # other columns travel in one struct, so that their names cannot clash
-    rows = scanned(docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(0)).alias("rest")), table, "text", "rest", threshold=threshold)
+    rows = scanned(docs.select("doc_id", "text", (F.struct(*map(named, rest)) if rest else F.lit(0)).alias("rest")), table, "text", "rest", threshold=threshold)
     # pieces between spans, in order of start; `at` is how far the text has been covered
     step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring("text", a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"))
     masked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))))
     rows = rows.withColumn("_masked", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
-    out = {"doc_id": F.col("doc_id"), "text": F.col("_masked")} | {c: F.col("rest")[c] for c in rest}
+    out = {"doc_id": F.col("doc_id"), "text": F.col("_masked")} | {c: F.col("rest").getField(c) for c in rest}
     if "n_chars" in rest:
         out["n_chars"] = F.when(F.size("spans") > 0, F.length("_masked").cast(dict(docs.dtypes)["n_chars"])).otherwise(out["n_chars"])
     return rows.select(*(out[c].alias(c) for c in docs.columns))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, mixed, shipped, texts_of
+from .common import components, cut, joined_by, mixed, shipped, texts_of, without
 
 TILE, STEP, BLOCK = 4096, 96, 1 << 17
 #: Width in words, shingles and tiles (2 MB each) of the fingerprints that stand for a similarity. Their counts keep few
@@ -110,7 +110,7 @@ def _fingerprints(batches, shingle, words):
 
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
     """(doc_id, fp) of each row, fp as a signed long or, beyond one word, as binary; a null text is empty."""
-    return docs.select("doc_id", "text").mapInArrow(shipped(__name__, "_fingerprints", shingle, words), f"doc_id long, fp {_kind(words)}")
+    return docs.select("doc_id", "text").mapInArrow(shipped(__name__, "_fingerprints", shingle, words), f"doc_id {dict(docs.dtypes)['doc_id']}, fp {_kind(words)}")
 
 
 def _kind(words: int) -> str:
@@ -309,21 +309,24 @@ def groups(docs: DataFrame, shingle: int = 3, radius: int = 2, segments: int = 4
     """One row per row of docs: doc_id, fp, component_id (the least doc_id that links reach, its own included).
 
     Null texts and texts without words share fingerprint 0 and are linked like any other. Rows that repeat a
-    doc_id stay separate rows. A null doc_id never is a component's id unless all of its doc_ids are null.
+    doc_id stay separate rows. A null doc_id never is a component's id unless all of its doc_ids are null. No rows, no
+    result.
     """
     prints = cut(fingerprints(docs, shingle, words), "simhash-fp")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
     found = components(links(distinct, radius, segments, tile, words), "simhash")
     member = cut(found.withColumnRenamed("v", "fp").join(distinct, "fp"), "simhash-member")
     lowest = member.groupBy("root").agg(F.min("least").alias("lowest"))
-    named = distinct.join(member.join(lowest, "root").select("fp", "lowest"), "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = distinct.join(member.join(lowest, "root").select("fp", "lowest"), "fp", "left").select("fp", "n", F.coalesce("lowest", "least").alias("component_id"))
+    return joined_by(prints, named, ["fp"], "n", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, segments: int = 4, tile: int = TILE, words: int = 1) -> DataFrame:
-    """docs without the rows whose group has a document of a smaller doc_id; of rows with that doc_id all stay."""
-    losers = groups(docs, shingle, radius, segments, tile, words).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows whose group has a document of a smaller doc_id; of rows with that doc_id all stay.
+
+    Rows without a doc_id stay; null texts and texts without words are one group. Columns of any name stay as they are.
+    """
+    return without(docs, groups(docs, shingle, radius, segments, tile, words).where("doc_id <> component_id"))
 
 
 def _set_of(text: bytes, shingle: int) -> tuple[np.ndarray, bytes]:
@@ -406,8 +409,8 @@ def alike(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGL
     words have empty sets, which are alike. doc_ids are treated as in groups().
     """
     seen = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    prints = cut(seen.mapInArrow(shipped(__name__, "_set_prints", shingle, words), f"doc_id long, th long, fp {_kind(words)}, sid binary"), "alike-fp")
-    sets = cut(prints.groupBy("sid", "fp").agg(F.min("doc_id").alias("least"), F.min("th").alias("th")), "alike-sets")
+    prints = cut(seen.mapInArrow(shipped(__name__, "_set_prints", shingle, words), f"doc_id {dict(docs.dtypes)['doc_id']}, th long, fp {_kind(words)}, sid binary"), "alike-fp")
+    sets = cut(prints.groupBy("sid", "fp").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.count("*").alias("n")), "alike-sets")
     radius, half = radius_for(similarity, words, SLACK), radius_for(similarity, (words + 1) // 2, SLACK)
     near = components(links(sets.select("fp").distinct(), radius, tile=tile, words=words, half=half), "alike").withColumnRenamed("v", "fp")
     named = cut(sets.join(near, "fp", "left").select("sid", "th", F.coalesce("root", "fp").alias("candidates")), "alike-named")
@@ -418,14 +421,17 @@ def alike(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGL
     dealt = asked.select("sid", "candidates").join(held, "sid").select("candidates", "sid", "shingles").repartition("candidates").sortWithinPartitions("candidates", "sid")
     member = cut(dealt.mapInArrow(shipped(__name__, "_confirmed", similarity), "sid binary, root binary"), "alike-member")
     lowest = member.join(sets, "sid").groupBy("root").agg(F.min("least").alias("lowest"))
-    ids = sets.join(member.join(lowest, "root").select("sid", "lowest"), "sid", "left").select("sid", F.coalesce("lowest", "least").alias("component_id"))
-    return prints.join(ids, "sid").select("doc_id", "component_id")
+    ids = sets.join(member.join(lowest, "root").select("sid", "lowest"), "sid", "left").select("sid", "n", F.coalesce("lowest", "least").alias("component_id"))
+    return joined_by(prints, ids, ["sid"], "n", prints.count()).select("doc_id", "component_id")
 
 
 def keep_one_alike(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, words: int = WIDE, tile: int = WIDE_TILE) -> DataFrame:
-    """docs without the rows that alike() links to a document of a smaller doc_id: copies with edits go as well."""
-    losers = alike(docs, similarity, shingle, words, tile).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows that alike() links to a document of a smaller doc_id: copies with edits go as well.
+
+    Of rows that share the least doc_id all stay, and so do rows without a doc_id. Null texts and texts without words
+    are alike, so one of them stays. Columns of any name stay as they are; no rows, no result.
+    """
+    return without(docs, alike(docs, similarity, shingle, words, tile).where("doc_id <> component_id"))
 
 
 def op1_simhash(spark, sf_dir) -> DataFrame:
