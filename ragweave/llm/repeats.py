@@ -371,8 +371,8 @@ def repeated(docs: DataFrame, length: int = LENGTHS[BYTES], gram: int = GRAMS[BY
     least = min(length, 2 * passage - 1)
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text").where(F.octet_length("text") >= least)
     found = cut(rows.mapInArrow(shipped(__name__, "_segmented", lengths, grams), f"doc_id {kind}, t long, s int, e int, lead int, anchor long, kind long"), "repeat-segments")
-    often = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    shared = cut(found.join(often, "anchor", "left_semi"), "repeat-shared")
+    often = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
+    shared = cut(joined_by(found, often, ["anchor"], "c", found.count()).drop("c"), "repeat-shared")
     drop(found)
     who = F.xxhash64("doc_id", "t")
     kinds = cut(shared.groupBy("anchor", "kind").agg(F.count("*").alias("n"), F.min(who).alias("lo"), F.max(who).alias("hi"), F.min(F.struct("doc_id", "t", "s", "e", "lead")).alias("rep")), "repeat-kinds")
