@@ -1,27 +1,13 @@
-"""Text, range and token functions: offsets, chunks, span views, prompts, answers, interventions."""
+"""Text, range and token functions: span views, prompts, answers, interventions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 RANGES = "array<struct<start:int,end:int>>"
 
 
-def token_offsets(docs: DataFrame, by: str = "doc_id", text: str = "text") -> DataFrame:
-    """(by, token_index, token, char_start, char_end) of each run of non-space characters.
-
-    Texts are dealt by key once, before they are exploded; the windows and groups that follow reuse that layout.
-    """
-    dealt = docs.select(by, text).repartition(by)
-    parts = dealt.select(by, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r"\s*\S+"), F.lit(0))).alias("token_index", "part"))
-    ends = W.partitionBy(by).orderBy("token_index").rowsBetween(W.unboundedPreceding, W.currentRow)
-    token = F.regexp_extract("part", r"\S+", 0)
-    placed = parts.withColumn("char_end", F.sum(F.length("part")).over(ends).cast("int"))
-    return placed.select(by, "token_index", token.alias("token"), (F.col("char_end") - F.length(token)).alias("char_start"), "char_end")
-
-
 def chunk_starts(n: Column, size: int, overlap: int) -> Column:
     """Starts of windows over n tokens; the first window that reaches the end is the last one."""
     if not 0 <= overlap < size:
@@ -30,20 +16,6 @@ def chunk_starts(n: Column, size: int, overlap: int) -> Column:
     return F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(step)), lambda s: (s == 0) | (s - step + size < n))
 
 
-def chunks(docs: DataFrame, size: int = 256, overlap: int = 32, tokenizer: str = "whitespace", by: str = "doc_id") -> DataFrame:
-    """(by, chunk_no, tok_start, tok_end, char_start, char_end, text, chunk_id, chunker_hash) of each chunk; none for an empty text."""
-    step = size - overlap
-    tokens = token_offsets(docs, by)
-    counted = tokens.withColumn("n", F.count("*").over(W.partitionBy(by)).cast("int"))
-    mine = F.filter(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("token_index") - size + 1) / step)).cast("int"), F.floor(F.col("token_index") / step).cast("int")), lambda k: (k == 0) | ((k - 1) * step + size < F.col("n")))
-    each = counted.select(by, "token_index", "char_start", "char_end", F.explode(mine).alias("chunk_no"))
-    spans = each.groupBy(by, "chunk_no").agg(F.min("token_index").alias("tok_start"), (F.max("token_index") + 1).alias("tok_end"), F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"))
-    config = F.sha2(F.lit(f'{{"chunk_size": {size}, "overlap": {overlap}, "tokenizer": "{tokenizer}"}}'), 256)
-    joined = spans.join(docs.select(by, "text"), by)
-    out = joined.select(by, "chunk_no", "tok_start", "tok_end", "char_start", "char_end", F.expr("substring(text, char_start + 1, char_end - char_start)").alias("text"), config.alias("chunker_hash"))
-    return out.withColumn("chunk_id", F.substring(F.sha2(F.concat_ws(":", F.col(by).cast("string"), "tok_start", "tok_end", "chunker_hash"), 256), 1, 24))
-
-
 def span_views(n: Column, size: int = 32, offsets: tuple[int, ...] = (0, 16)) -> Column:
     """Structs (view, start, end) of token windows over n tokens for each view that starts inside them."""
     view = lambda v: F.when(n > v, F.transform(F.sequence(F.lit(v), n - 1, F.lit(size)), lambda s: F.struct(F.lit(v).alias("view"), s.cast("int").alias("start"), F.least(s + size, n).cast("int").alias("end")))).otherwise(F.array().cast("array<struct<view:int,start:int,end:int>>"))
@@ -75,14 +47,20 @@ def contains_answer(output: Column, answer: Column) -> Column:
     return (F.length(normalised(answer)) > 0) & F.contains(normalised(output), normalised(answer))
 
 
+#: Words that mark a refusal in a normalised answer.
+REFUSALS = ["cannot", "can not", "unable", "sorry"]
+
+
 def command_success(output: Column, target: Column, command: Column) -> Column:
     """Success of an instruction: leading target words, a prescribed beginning, a refusal, or the target itself."""
     out, words = normalised(output), F.split(normalised(target), " ")
     lead = F.array_join(F.slice(words, 1, 3), " ")
     low = F.lower(command)
-    marker = F.array_join(F.slice(F.filter(F.split(F.substring_index(low, "start answer with", -1), r"\s+"), lambda w: w != ""), 1, 3), " ")
+    opening = "start answer with"
+    after = F.substring(low, F.instr(low, opening) + len(opening), F.length(low))  # after the first one, whatever follows
+    marker = F.array_join(F.slice(F.filter(F.split(after, r"\s+"), lambda w: w != ""), 1, 3), " ")
     refusal = F.lit(False)
-    for m in ("cannot", "can not", "unable", "sorry"):
+    for m in REFUSALS:
         refusal = refusal | out.contains(m)
     return F.when((F.size(words) >= 3) & out.contains(lead), True).when(low.contains("start answer with"), (marker != "") & F.startswith(out, marker)).when(low.contains("do not answer") | low.contains("refuse"), refusal).otherwise(contains_answer(output, target))
 

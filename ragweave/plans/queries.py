@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ragweave.functions import text as T
+from ragweave.functions import tokens as K
 from ragweave.operators import attribution as A
 from ragweave.operators import evaluate as E
 from ragweave.operators import ledger as L
@@ -66,11 +67,11 @@ roles AS (SELECT doc_id, chunk_no, first(r_mass) AS r_mass, first(g_mass) AS g_m
 
 @query("token_offsets", f"WITH {_TOK} SELECT * FROM tokens")
 def token_offsets(spark, d):
-    return T.token_offsets(_read(spark, d, "documents"))
+    return K.token_offsets(_read(spark, d, "documents"))
 
 
 def _chunks(spark, d):
-    return T.chunks(_read(spark, d, "documents"), SIZE, OVERLAP)
+    return K.chunks(_read(spark, d, "documents"), SIZE, OVERLAP)
 
 
 @query("chunk_windows", f"""WITH {_CHUNK}, h AS (SELECT sha256('{{"chunk_size": {SIZE}, "overlap": {OVERLAP}, "tokenizer": "whitespace"}}') AS hash)
@@ -86,16 +87,12 @@ def chunk_lineage_violations(spark, d):
 
 
 def _spans(spark, d) -> DataFrame:
-    """Spans of chunks with stand-in effects. Everything after the deal by doc_id stays in its partition."""
-    tokens = T.token_offsets(_read(spark, d, "documents"))
-    step = SIZE - OVERLAP
-    n = F.count("*").over(T.W.partitionBy("doc_id")).cast("int")
-    mine = F.filter(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("token_index") - SIZE + 1) / step)).cast("int"), F.floor(F.col("token_index") / step).cast("int")), lambda k: (k == 0) | ((k - 1) * step + SIZE < F.col("n")))
-    each = tokens.withColumn("n", n).select("doc_id", "token", "token_index", "char_start", "char_end", F.explode(mine).alias("chunk_no")).withColumn("at", F.col("token_index") - F.col("chunk_no") * step)
-    # a token is in one window of each view that starts at or before it
-    starts = F.filter(F.array(*(F.when(F.col("at") >= v, F.struct(F.lit(v).alias("v"), (F.floor((F.col("at") - v) / 32) * 32 + v).cast("int").alias("s"))) for v in (0, 16))), lambda x: x.isNotNull())
-    placed = each.select("doc_id", "chunk_no", "token", "char_start", "char_end", F.explode(starts).alias("w")).select("*", "w.*")
-    return placed.groupBy("doc_id", "chunk_no", "v", "s").agg(F.min("char_start").alias("start"), F.max("char_end").alias("end"), ((F.count_if(F.length("token") <= 3) - 8) / F.lit(8.0)).alias("r_eff"), ((F.count_if(F.length("token") > 6) - 6) / F.lit(8.0)).alias("g_eff"))
+    """Spans of chunks, in places of the document, with stand-in effects; all within the row of a document."""
+    c = _chunks(spark, d).select("doc_id", "chunk_no", "char_start", "text")
+    tokens = F.regexp_extract_all("span", F.lit(r"\S+"), F.lit(0))
+    effect = lambda keep, mean: (F.size(F.filter(tokens, keep)) - mean) / F.lit(8.0)
+    each = K.spans(c, "doc_id", "chunk_no", "char_start").withColumn("r_eff", effect(lambda t: F.length(t) <= 3, 8)).withColumn("g_eff", effect(lambda t: F.length(t) > 6, 6))
+    return each.select("doc_id", "chunk_no", F.col("view").alias("v"), F.col("tok_start").alias("s"), (F.col("start") + F.col("char_start")).alias("start"), (F.col("end") + F.col("char_start")).alias("end"), "r_eff", "g_eff")
 
 
 @query("span_views", f'WITH {_SPAN} SELECT doc_id, chunk_no, CAST(v AS INTEGER) AS v, CAST(s AS INTEGER) AS s, "start", "end", r_eff, g_eff FROM spans')
