@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stats import conformal_pvalues, flagged, with_interval
+from ragweave.functions.ship import shipped
+
+from .stats import cluster_bootstrap, conformal_pvalues, flagged, holm, quantile, sign_flip, with_interval
 
 
 def attack_metrics(rows: DataFrame) -> DataFrame:
@@ -33,14 +37,19 @@ def conformal_detector(calibration: DataFrame, clean: DataFrame, attack: DataFra
 
 def detector_summaries(tested: DataFrame, interval: bool = True) -> DataFrame:
     """Overall rows by part and rows by family of attacks, from one grouping-sets aggregate."""
-    tested.createOrReplaceTempView("_tested")
-    out = tested.sparkSession.sql("""SELECT part, family, count(*) AS n, count_if(flag) AS k, avg(CAST(identifiable AS DOUBLE)) AS identifiable_rate, count_if(flag) / CAST(count(*) AS DOUBLE) AS rate
-        FROM _tested GROUP BY GROUPING SETS ((part), (part, family)) HAVING grouping(family) = 1 OR part = 'attack'""")
+    sets = tested.groupingSets([["part"], ["part", "family"]], "part", "family")
+    rate = F.count_if("flag") / F.count("*").cast("double")
+    out = sets.agg(F.count("*").alias("n"), F.count_if("flag").alias("k"), F.avg(F.col("identifiable").cast("double")).alias("identifiable_rate"), rate.alias("rate"), F.grouping("family").alias("_all")).where("_all = 1 or part = 'attack'").drop("_all")
     return with_interval(out) if interval else out
 
 
 def direction_stability(rows: DataFrame, rate: float = 0.80, low: float = 0.70) -> DataFrame:
-    """Per role of (role, mask_direction, donor_direction): agreement of equal non-zero signs and whether it suffices."""
+    """Per role of (role, mask_direction, donor_direction): agreement of equal non-zero signs and whether it suffices.
+
+    Both roles must have rows.
+    """
+    if {r[0] for r in rows.select("role").distinct().limit(3).collect()} < {"anchor", "payload"}:
+        raise ValueError("anchor and payload rows are needed")
     same = (F.col("mask_direction") == F.col("donor_direction")) & (F.col("mask_direction") != 0)
     out = with_interval(rows.groupBy("role").agg(F.count("*").alias("n"), F.count_if(same).alias("k")))
     return out.withColumn("rate", F.col("k") / F.col("n")).withColumn("passed", (F.col("k") / F.col("n") >= rate) & (F.col("ci_low") >= low))
@@ -48,15 +57,41 @@ def direction_stability(rows: DataFrame, rate: float = 0.80, low: float = 0.70)
 
 def boundary(scores: DataFrame) -> DataFrame:
     """One row from (kind in clean, modular, joint; score, identifiable): medians, persists, weakened."""
-    m = lambda k: F.median(F.when(F.col("kind") == k, F.col("score")))
-    out = scores.agg(m("clean").alias("clean"), m("modular").alias("modular"), m("joint").alias("joint"), F.avg(F.when(F.col("kind") == "joint", F.col("identifiable").cast("double"))).alias("joint_identifiable"))
+    kinds = [quantile(scores.where(F.col("kind") == k), "score", 0.5, k) for k in ("clean", "modular", "joint")]
+    rate = scores.agg(F.avg(F.when(F.col("kind") == "joint", F.col("identifiable").cast("double"))).alias("joint_identifiable"))
+    out = kinds[0].crossJoin(kinds[1]).crossJoin(kinds[2]).crossJoin(rate)  # one row each
     return out.withColumn("persists", (F.col("joint") > F.col("clean")) & (F.col("joint_identifiable") >= 0.5)).withColumn("weakened", F.col("joint") < F.col("modular"))
 
 
 def noise_floor(rows: DataFrame, least: float = 1e-8, q: float = 0.99) -> DataFrame:
-    """Quantile of positive totals by channel, and their maxima; never below `least`."""
-    c = lambda n: F.greatest(F.lit(least), F.percentile(n, F.lit(q)))
-    return rows.agg(c("retrieval_total").alias("retrieval_floor"), c("generation_total").alias("generation_floor"), F.max("retrieval_total").alias("retrieval_max"), F.max("generation_total").alias("generation_max"))
+    """Quantile of positive totals by channel, and their maxima; the floors are never below `least`."""
+    floors = [quantile(rows, f"{c}_total", q, f"{c}_floor").withColumn(f"{c}_floor", F.greatest(F.lit(least), f"{c}_floor")) for c in ("retrieval", "generation")]
+    top = rows.agg(F.max("retrieval_total").alias("retrieval_max"), F.max("generation_total").alias("generation_max"))
+    return floors[0].crossJoin(floors[1]).crossJoin(top)  # one row each
+
+
+def _mechanism_test(pdf: pd.DataFrame, permutations: int, replicates: int, seed: int, alpha: float) -> pd.DataFrame:
+    pdf = pdf.sort_values(["query_id", "d"])
+    i, d = int(pdf["i"].iloc[0]), pdf["d"].to_numpy(float)
+    low, high = cluster_bootstrap(d, pdf["query_id"], replicates, alpha, seed + 100 + i)
+    return pd.DataFrame({"name": [pdf["name"].iloc[0]], "n": [len(d)], "clusters": [pdf["query_id"].nunique()], "median_difference": [float(np.median(d))], "p": [sign_flip(d, permutations, seed + i)], "ci_low": [low], "ci_high": [high]})
+
+
+def mechanism_tests(observations: DataFrame, permutations: int = 10000, replicates: int = 10000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """(name, n, clusters, median_difference, p, ci_low, ci_high, p_adj, passes) of the three paired hypotheses.
+
+    observations: (query_id, anchor_p_retrieval, anchor_p_generation, payload_p_retrieval, payload_p_generation,
+    poison_t_rg, clean_t_rg). H1: anchors lean to retrieval, H2: payloads to generation, H3: poisoned chunks separate
+    more than clean ones. Each is one sample of differences, tested in one task with generators of its own seed; draws
+    follow the order of query_id and difference. passes: p_adj below alpha and an interval above 0.
+    """
+    differences = {"H1": F.col("anchor_p_retrieval") - F.col("anchor_p_generation"), "H2": F.col("payload_p_generation") - F.col("payload_p_retrieval"), "H3": F.col("poison_t_rg") - F.col("clean_t_rg")}
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.lit(i).alias("i"), d.alias("d")) for i, (k, d) in enumerate(differences.items()))))
+    long = observations.select(F.col("query_id").cast("string").alias("query_id"), pairs.alias("x")).select("query_id", "x.*")
+
+    test = shipped(__name__, "_mechanism_test", permutations, replicates, seed, alpha)
+    tests = long.groupBy("name").applyInPandas(test, "name string, n long, clusters long, median_difference double, p double, ci_low double, ci_high double")
+    return holm(tests).withColumn("passes", (F.col("p_adj") < alpha) & (F.col("ci_low") > 0))
 
 
 def mechanism_gate(tests: DataFrame, alpha: float = 0.05) -> DataFrame:

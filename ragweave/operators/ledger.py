@@ -20,10 +20,42 @@ def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(best.alias("r")).select("r.*")
 
 
+def _range_value(rows: DataFrame, column: str) -> Column:
+    """A double that never falls where the column grows: numbers and times themselves, of text its first seven characters."""
+    kind = dict(rows.dtypes)[column]
+    if kind != "string":
+        return F.col(column).cast("timestamp" if kind == "date" else kind).cast("double")
+    out = F.lit(0.0)
+    for i in range(7):
+        out = out * 128 + F.least(F.lit(127), F.ascii(F.substring(column, i + 1, 1)))
+    return out
+
+
+def numbered(rows: DataFrame, order: str | list[str], name: str, by: list[str] | None = None, parts: int = 64) -> DataFrame:
+    """rows with their number from 0 in `order`, within each group of `by` if given.
+
+    Rows are numbered in ranges of the first column of `order`, and each range starts where those before it end, so no
+    task sorts more than a range of a group; only the counts of ranges meet. Nulls come first.
+    """
+    order = [order] if isinstance(order, str) else order
+    value = _range_value(rows, order[0])
+    edges = rows.select(value.alias("v")).approxQuantile("v", [i / parts for i in range(1, parts)], 0.001)
+    bucket = F.lit(0)
+    for e in sorted(set(edges)):
+        bucket = bucket + F.coalesce((value >= e).cast("int"), F.lit(0))
+    group, part, place, below = "__group", "__part", "__place", "__below"
+    keyed = rows.withColumn(group, F.struct(*(F.col(c) for c in by or []), F.lit(0).alias("_"))).withColumn(part, bucket)
+    counts = keyed.groupBy(group, part).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(group).orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = keyed.withColumn(place, F.row_number().over(W.partitionBy(group, part).orderBy(*order)) - 1)
+    joined = own.join(counts.select(group, part, before.alias(below)), [group, part])
+    return joined.withColumn(name, (F.col(below) + F.col(place)).cast("long")).drop(group, part, place, below)
+
+
 def within_quota(rows: DataFrame, quotas: DataFrame, family: str, order: list[str]) -> DataFrame:
     """The first rows of each family in ledger order, as many as its quota (family, quota) has; other families go."""
-    ranked = rows.join(F.broadcast(quotas), family).withColumn("_n", F.row_number().over(W.partitionBy(family).orderBy(*order)))
-    return ranked.where("_n <= quota").drop("_n", "quota")
+    ranked = numbered(rows.join(F.broadcast(quotas), family), order, "_n", [family])
+    return ranked.where("_n < quota").select(*rows.columns)
 
 
 def shortages(rows: DataFrame, quotas: DataFrame, family: str) -> DataFrame:
@@ -34,7 +66,8 @@ def shortages(rows: DataFrame, quotas: DataFrame, family: str) -> DataFrame:
 def tenth(rows: DataFrame, key: str, fraction: float = 0.1) -> DataFrame:
     """A deterministic sample: by sha256 of the key, as many as fraction rounds to half even, one at least."""
     n = max(1, round(rows.count() * fraction))
-    return rows.orderBy(F.sha2(F.col(key).cast("string"), 256), key).limit(n)
+    hashed = rows.withColumn("_h", F.sha2(F.col(key).cast("string"), 256))
+    return numbered(hashed, ["_h", key], "_n").where(F.col("_n") < n).select(*rows.columns)
 
 
 def matches(expected: dict[str, object]) -> Column:
@@ -45,6 +78,28 @@ def matches(expected: dict[str, object]) -> Column:
     return out
 
 
+def stale(expected: dict[str, object]) -> Column:
+    """Names of the fields on which a row's provenance differs from the expected one."""
+    return F.filter(F.array(*(F.when(~F.col(k).eqNullSafe(F.lit(v)), F.lit(k)) for k, v in expected.items())), lambda x: x.isNotNull())
+
+
+def checked(rows: DataFrame, expected: dict[str, object]) -> DataFrame:
+    """rows, or an error that names the fields of the first row with stale or mixed provenance."""
+    first = rows.columns[0]
+    wrong = F.raise_error(F.concat(F.lit("stale or mixed provenance: "), F.array_join(stale(expected), ", "))).cast(dict(rows.dtypes)[first])
+    return rows.withColumn(first, F.when(F.size(stale(expected)) > 0, wrong).otherwise(F.col(first)))
+
+
+def eligible(rows: DataFrame, dataset: str) -> DataFrame:
+    """Samples of a dataset that were retrieved and succeeded."""
+    return rows.where((F.col("dataset") == dataset) & F.col("hit") & F.col("success"))
+
+
+def admitted(results: DataFrame, statuses: list[str], expected: dict[str, object]) -> DataFrame:
+    """Results of phases with an allowed status and the current provenance."""
+    return results.where(F.col("status").isin(*statuses) & matches(expected))
+
+
 def resumed(ledger: DataFrame, keys: list[str], order: list[str], expected: dict[str, object]) -> DataFrame:
     """Rows of the expected provenance, first per key: what a restart keeps."""
     return first_wins(ledger.where(matches(expected)), keys, order)
@@ -96,12 +151,12 @@ def with_last(tasks: DataFrame, log: DataFrame, keys: list[str], epoch: str, val
 def merged_shards(rows: DataFrame, shard: str, line: str, key: str) -> DataFrame:
     """Rows with row_id 0..n-1 in order of shard and line; a key that comes twice is an error.
 
-    Ids are numbered within a shard and moved by the rows of the shards before it, so only the shards' counts meet.
+    Ids are numbered by ranges of lines and moved by the rows of the shards before theirs, so only counts meet.
     """
     before = W.orderBy(shard).rowsBetween(W.unboundedPreceding, -1)
     moved = rows.groupBy(shard).agg(F.count("*").alias("_n")).select(shard, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = rows.withColumn("_i", F.row_number().over(W.partitionBy(shard).orderBy(line))).withColumn("_c", F.count("*").over(W.partitionBy(key)))
-    once = F.when(F.col("_c") == 1, F.col("_before") + F.col("_i") - 1).otherwise(F.raise_error(F.lit("a key comes twice")).cast("long"))
+    own = numbered(rows, line, "_i", [shard]).withColumn("_c", F.count("*").over(W.partitionBy(key)))
+    once = F.when(F.col("_c") == 1, F.col("_before") + F.col("_i")).otherwise(F.raise_error(F.lit("a key comes twice")).cast("long"))
     return own.join(moved, shard).withColumn("row_id", once).drop("_i", "_c", "_before")
 
 

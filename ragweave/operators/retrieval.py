@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ragweave.functions.text import finite
+
 
 def _ranked(df: DataFrame, by: str, score: str, chunk: str, rank: str) -> DataFrame:
     return df.withColumn(rank, F.row_number().over(W.partitionBy(by).orderBy(F.desc(score), chunk)))
@@ -69,8 +71,12 @@ def context(pool: DataFrame, k: int) -> DataFrame:
 def frozen_thresholds(pool: DataFrame, b: int, k: int, eps: float = 1e-8) -> DataFrame:
     """(query_id, dense_thr, rerank_thr, dense_mad, rerank_mad): the b-th and k-th largest scores and the mean-free spreads.
 
-    b and k are bounded by the pool's size. Sorting and medians run over one query's pool, of fixed size.
+    b and k are bounded by the pool's size. Sorting and medians run over one query's pool, of fixed size. A score that is
+    not finite is an error, and so are b or k below 1.
     """
+    if b < 1 or k < 1 or not eps > 0:
+        raise ValueError("b and k must be 1 or more and eps positive")
+    pool = pool.withColumn("dense_score", finite(F.col("dense_score").cast("double"), "dense score")).withColumn("rerank_score", finite(F.col("rerank_score").cast("double"), "rerank score"))
     mid = pool.groupBy("query_id").agg(F.sort_array(F.collect_list("dense_score"), False).alias("d"), F.sort_array(F.collect_list("rerank_score"), False).alias("r"))
 
     def median(a: Column) -> Column:
@@ -90,11 +96,25 @@ def margin(dense: Column, rerank: Column) -> Column:
     return F.least((dense - F.col("dense_thr")) / F.col("dense_mad"), (rerank - F.col("rerank_thr")) / F.col("rerank_mad"))
 
 
+def descending_boundary(scores: Column, k: int) -> Column:
+    """The k-th largest of an array of scores; fewer than k are an error."""
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    return F.when(F.size(scores) >= k, F.get(F.sort_array(scores, False), k - 1)).otherwise(F.raise_error(F.lit("fewer scores than k")).cast("double"))
+
+
 def first_donors(candidates: DataFrame, k: int = 8) -> DataFrame:
-    """The k best of each query's donors of another source and sufficient length, one for each text; fewer are an error."""
-    fit = candidates.where("source <> own_source and n_tokens >= required")
-    once = fit.withColumn("_n", F.row_number().over(W.partitionBy("query_id", "text_hash").orderBy(F.desc("score"), "chunk_id"))).where("_n = 1").drop("_n")
-    return _ranked(once, "query_id", "score", "chunk_id", "donor_rank").where(F.col("donor_rank") <= k)
+    """The k best of each query's donors of another source, long enough and each chunk once; fewer than k are an error.
+
+    candidates: (query_id, chunk_id, score, source, own_source, fits). A query without any candidate that fits is known
+    by its other candidates, so it is an error as well.
+    """
+    fit = F.col("fits") & (F.col("source") != F.col("own_source"))
+    once = candidates.withColumn("_fit", fit).groupBy("query_id", "chunk_id").agg(F.max("_fit").alias("_fit"), F.max("score").alias("score"))
+    ranked = once.withColumn("donor_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("_fit"), F.desc("score"), "chunk_id")))
+    kept = ranked.where(F.col("donor_rank") <= k).withColumn("_n", F.sum(F.col("_fit").cast("int")).over(W.partitionBy("query_id")))
+    sure = F.when(F.col("_n") == k, F.col("donor_rank")).otherwise(F.raise_error(F.lit(f"fewer than {k} donors")).cast("int"))
+    return kept.withColumn("donor_rank", sure).select("query_id", "chunk_id", "score", "donor_rank")
 
 
 def looked_up(results: DataFrame, index: DataFrame, key: str) -> DataFrame:

@@ -10,23 +10,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ragweave.functions.ship import shipped
+from ragweave.functions.text import finite
 
-def conformal_pvalues(scores: DataFrame) -> DataFrame:
-    """Test rows of (id, score, is_cal) with p = (1 + calibration scores >= score) / (n + 1).
 
-    Ranks of calibration scores are counted per distinct score; the running sum runs over ranges of scores, each with
-    the total of the ranges above it, so no single task sees all rows.
+def cumulated(points: DataFrame, value: str, count: str) -> DataFrame:
+    """points, one row for each value, with the counts below it (lo), up to it (hi) and in all (n).
+
+    The running sum runs over ranges of values, each with the total of the ranges below it, so no task sees all values.
     """
-    points = scores.groupBy("score").agg(F.sum(F.col("is_cal").cast("long")).alias("c"))
-    edges = points.approxQuantile("score", [i / 64 for i in range(1, 64)], 0.001) or []
+    edges = points.approxQuantile(value, [i / 64 for i in range(1, 64)], 0.001) or []
     bucket = F.lit(0)
     for e in sorted(set(edges)):
-        bucket = bucket + (F.col("score") >= e).cast("int")
-    points = points.withColumn("bucket", bucket)
-    totals = points.groupBy("bucket").agg(F.sum("c").alias("t"))  # 64 rows at most
-    above = totals.select("bucket", (F.sum("t").over(W.orderBy(F.desc("bucket"))) - F.col("t")).alias("above"), F.sum("t").over(W.orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("n"))
-    within = F.sum("c").over(W.partitionBy("bucket").orderBy(F.desc("score")))
-    ranked = points.withColumn("within", within).join(F.broadcast(above), "bucket").select("score", (F.col("within") + F.col("above")).alias("ge"), "n")
+        bucket = bucket + (F.col(value) >= e).cast("int")
+    points = points.withColumn("_b", bucket)
+    totals = points.groupBy("_b").agg(F.sum(count).alias("t"))  # 64 rows at most
+    below = F.coalesce(F.sum("t").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select("_b", below.alias("_below"), F.sum("t").over(W.partitionBy()).alias("n"))
+    hi = F.sum(count).over(W.partitionBy("_b").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("_below")
+    return points.join(F.broadcast(totals), "_b").withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col(count)).drop("_b", "_below")
+
+
+def quantile(rows: DataFrame, value: str, q: float, name: str) -> DataFrame:
+    """One row with the exact quantile, interpolated linearly; null without values. Values are counted first."""
+    points = cumulated(rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")), "v", "c")
+    at = (F.col("n") - 1) * F.lit(q)
+    left = F.max(F.when((F.col("lo") <= F.floor(at)) & (F.floor(at) < F.col("hi")), F.col("v")))
+    right = F.max(F.when((F.col("lo") <= F.ceil(at)) & (F.ceil(at) < F.col("hi")), F.col("v")))
+    return points.agg(left.alias("l"), right.alias("r"), F.max(at - F.floor(at)).alias("f")).select((F.col("l") + F.col("f") * (F.col("r") - F.col("l"))).alias(name))
+
+
+def conformal_pvalues(scores: DataFrame) -> DataFrame:
+    """Test rows of (id, score, is_cal) with p = (1 + calibration scores >= score) / (n + 1); a score that is not finite is an error."""
+    scores = scores.withColumn("score", finite(F.col("score"), "score"))
+    points = scores.groupBy("score").agg(F.sum(F.col("is_cal").cast("long")).alias("c"))
+    ranked = cumulated(points, "score", "c").select("score", (F.col("n") - F.col("lo")).alias("ge"), "n")
     tested = scores.where("not is_cal").join(ranked, "score")
     return tested.withColumn("p", (1 + F.col("ge")) / (F.col("n") + 1).cast("double")).drop("ge", "n")
 
@@ -42,8 +60,10 @@ def holm(tests: DataFrame, name: str = "name", p: str = "p") -> DataFrame:
 
     Equal p have one p_adj, that of the first of them, so ranks are counted per distinct p. The running count and the
     running maximum run over ranges of p, each with what the ranges below it hold, so no single task sees all tests.
-    A null p is no test: it is not counted and its p_adj is null.
+    A null p is no test: it is not counted and its p_adj is null. A p that is no probability is an error.
     """
+    sane = F.col(p).isNull() | (F.col(p) >= 0) & (F.col(p) <= 1)  # NaN is above 1
+    tests = tests.withColumn(p, F.when(sane, F.col(p)).otherwise(F.raise_error(F.lit("p is not finite or not a probability")).cast("double")))
     points = tests.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
     edges = points.approxQuantile("_p", [i / 64 for i in range(1, 64)], 0.001) or []
     bucket = F.lit(0)
@@ -61,50 +81,68 @@ def holm(tests: DataFrame, name: str = "name", p: str = "p") -> DataFrame:
     return tests.join(adjusted, F.col(p) == F.col("_p"), "left").select(*tests.columns, "p_adj")
 
 
-def _log_tail(k: int, n: int, p: float) -> float:
-    """P(X >= k) of a binomial."""
-    if k <= 0:
-        return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
-    top = max(logs)
-    return math.exp(top) * sum(math.exp(x - top) for x in logs)
+def beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    out = d
+    for m in range(1, 100_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + step * d, 1 + step / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * out
 
 
 def clopper_pearson_interval(k: int, n: int, alpha: float = 0.05) -> tuple[float, float]:
-    """Exact binomial interval, by bisection on the tails."""
+    """Exact binomial interval: quantiles of beta laws, by bisection."""
     if n <= 0 or not 0 <= k <= n or not 0 < alpha < 1:
         raise ValueError("need 0 <= k <= n, n > 0 and 0 < alpha < 1")
 
-    def root(f):
+    def root(a, b, share):
         lo, hi = 0.0, 1.0
-        for _ in range(80):
+        for _ in range(60):
             mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if f(mid) else (lo, mid)
+            lo, hi = (mid, hi) if beta_share(a, b, mid) < share else (lo, mid)
         return (lo + hi) / 2
 
-    lower = 0.0 if k == 0 else root(lambda p: _log_tail(k, n, p) < alpha / 2)
-    upper = 1.0 if k == n else root(lambda p: 1 - _log_tail(k + 1, n, p) > alpha / 2)
-    return lower, upper
+    return 0.0 if k == 0 else root(k, n - k + 1, alpha / 2), 1.0 if k == n else root(k + 1, n - k, 1 - alpha / 2)
+
+
+def _intervals(groups: tuple[pd.Series, pd.Series], alpha: float) -> pd.DataFrame:
+    return pd.DataFrame([clopper_pearson_interval(int(a), int(b), alpha) for a, b in zip(*groups)], columns=["low", "high"])
 
 
 def with_interval(groups: DataFrame, k: str = "k", n: str = "n", alpha: float = 0.05) -> DataFrame:
     """Groups with ci_low and ci_high; one Arrow batch of groups at a time."""
+    intervals = shipped(__name__, "_intervals", alpha)
 
     @F.pandas_udf("low double, high double")
     def interval(ks: pd.Series, ns: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([clopper_pearson_interval(int(a), int(b), alpha) for a, b in zip(ks, ns)], columns=["low", "high"])
+        return intervals((ks, ns))
 
     return groups.withColumn("_ci", interval(F.col(k), F.col(n))).withColumn("ci_low", F.col("_ci.low")).withColumn("ci_high", F.col("_ci.high")).drop("_ci")
 
 
 def sign_flip(values: np.ndarray, permutations: int = 10000, seed: int = 0, statistic=np.median) -> float:
-    """One-sided p of a paired sign-flip test, with draws from one generator in blocks."""
+    """One-sided p of a paired sign-flip test.
+
+    The draws are one stream, so blocks of rows of any height give the same p; a block holds about 4 M signs.
+    """
     values = np.asarray(values, float)
     if not len(values) or not np.isfinite(values).all() or permutations <= 0:
         raise ValueError("need finite differences and a positive number of permutations")
     observed, rng, hits = statistic(values), np.random.default_rng(seed), 0
-    for at in range(0, permutations, 2048):
-        signs = rng.choice(np.array([-1.0, 1.0]), size=(min(2048, permutations - at), len(values)))
+    rows = max(1, min(2048, (1 << 22) // len(values)))
+    for at in range(0, permutations, rows):
+        signs = rng.choice(np.array([-1.0, 1.0]), size=(min(rows, permutations - at), len(values)))
         flipped = signs * values
         drawn = np.median(flipped, axis=1) if statistic is np.median else np.array([statistic(x) for x in flipped])
         hits += int((drawn >= observed).sum())
@@ -122,13 +160,13 @@ def cluster_bootstrap(values: np.ndarray, clusters, replicates: int = 10000, alp
     return float(low), float(high)
 
 
-def sign_flip_by(df: DataFrame, by: str, value: str, permutations: int = 10000, seed: int = 0) -> DataFrame:
-    """(by, p): one test per hypothesis; a hypothesis' differences are one sample, held together."""
+def _flipped(pdf: pd.DataFrame, by: str, value: str, permutations: int, seed: int) -> pd.DataFrame:
+    return pd.DataFrame({by: [pdf[by].iloc[0]], "p": [sign_flip(np.sort(pdf[value].to_numpy()), permutations, seed)]})
 
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "p": [sign_flip(np.sort(pdf[value].to_numpy()), permutations, seed)]})
 
-    return df.select(by, value).groupBy(by).applyInPandas(test, f"{by} {dict(df.dtypes)[by]}, p double")
+def sign_flip_by(df: DataFrame, by: str, value: str, permutations: int = 10000, seed: int = 0) -> DataFrame:
+    """(by, p): one test per hypothesis; a hypothesis' differences are one sample, held together."""
+    return df.select(by, value).groupBy(by).applyInPandas(shipped(__name__, "_flipped", by, value, permutations, seed), f"{by} {dict(df.dtypes)[by]}, p double")
 
 
 def _draw(*parts) -> Column:

@@ -9,18 +9,27 @@ from pyspark.sql import functions as F
 
 from ragweave.operators.ledger import last_wins
 
-RECORD = "_id string, id string, docid string, query_id string, title string, text string"
+#: The names an id may have, the first that is present counts.
+IDS = ["_id", "id", "docid", "query_id"]
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(record_id, text, title, line_no) of JSON lines; blank lines are skipped, malformed ones fail."""
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line_no")).where(F.trim("value") != "")
-    rec = F.from_json("value", RECORD, {"mode": "FAILFAST"})
-    rows = lines.select(rec.alias("r"), "line_no").select("r.*", "line_no")
-    rid = F.coalesce("_id", "id", "docid", "query_id", F.raise_error(F.lit("record without an id")).cast("string"))
-    text, title = F.coalesce("text", F.lit("")), F.coalesce("title", F.lit(""))
+    """(record_id, text, title, metadata, line_no) of JSON lines; blank lines are skipped, malformed ones fail.
+
+    The id is the value of the first of IDS that is present, even if it is null (then the text "None", as every null
+    value of id, title and text). metadata: the other keys as JSON, the id among them.
+    """
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no")).where(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}).alias("m"), F.parse_json("value").alias("j"), "line_no")
+    has = lambda k: F.array_contains(F.map_keys("m"), k)
+    value = lambda k: F.coalesce(F.element_at("m", F.lit(k)), F.lit("None"))
+    rid = F.raise_error(F.lit("record without an id")).cast("string")
+    for k in reversed(IDS):
+        rid = F.when(has(k), value(k)).otherwise(rid)
+    text, title = (F.when(has(k), value(k)).otherwise("") for k in ("text", "title"))
     whole = F.when(text == "", title).when((title != "") & ~F.contains(text, title), F.concat(title, F.lit("\n"), text)).otherwise(text)
-    return rows.select(rid.alias("record_id"), whole.alias("text"), title.alias("title"), "line_no")
+    rest = F.to_json(F.map_filter(F.try_variant_get("j", "$", "map<string,variant>"), lambda k, _: ~k.isin("title", "text")))
+    return rows.select(rid.alias("record_id"), whole.alias("text"), title.alias("title"), rest.alias("metadata"), "line_no")
 
 
 def queries(spark: SparkSession, path: str) -> DataFrame:
@@ -37,10 +46,16 @@ def qrels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def nested_results(spark: SparkSession, path: str, row: str) -> DataFrame:
-    """Rows of a list of maps of lists of `row` structs, in their order of keys and positions."""
-    raw = spark.read.option("wholetext", True).text(path)
-    outer = raw.select(F.explode(F.from_json("value", f"array<map<string,array<struct<{row}>>>>")).alias("m"))
-    return outer.select(F.explode("m").alias("key", "rows")).select("key", F.posexplode("rows").alias("ordinal", "r")).select("key", "ordinal", "r.*")
+    """(key, ordinal, fields of `row`) of a list of maps of lists of objects; levels that are something else are skipped.
+
+    A file that is not a list is an error. Keys come in no order; a key's rows keep theirs.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("j"))
+    outer = F.try_variant_get("j", "$", "array<variant>")
+    listed = raw.select(F.explode(F.when(outer.isNotNull(), outer).otherwise(F.raise_error(F.lit("not a list of results")).cast("array<variant>"))).alias("m"))
+    keyed = listed.select(F.explode(F.try_variant_get("m", "$", "map<string,variant>")).alias("key", "v"))
+    rows = keyed.select("key", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("ordinal", "r")).where(F.startswith(F.schema_of_variant("r"), F.lit("OBJECT")))
+    return rows.select("key", "ordinal", F.from_json(F.to_json("r"), f"struct<{row}>").alias("r")).select("key", "ordinal", "r.*")
 
 
 def blackbox_samples(rows: DataFrame, dataset: str) -> DataFrame:
@@ -73,12 +88,3 @@ def matrix(spark: SparkSession, path: str, dim: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(list(part), pa.list_(pa.float32()))], names=["file", "row", "vec"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "file string, row long, vec array<float>")
-
-
-def tree_hashes(spark: SparkSession, path: str, suffixes=(".py", ".yaml", ".md")) -> DataFrame:
-    """(path, digest) of source files below path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    wanted = F.lit(False)
-    for s in suffixes:
-        wanted = wanted | F.endswith("path", F.lit(s))
-    return files.where(wanted).select("path", F.sha2("content", 256).alias("digest"))

@@ -5,13 +5,51 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ragweave.operators.ledger import resumed
 
-def append_ledger(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+from .readers import ledger
+from .store import exists
+
+
+def append_ledger(rows: DataFrame, path: str, keys: list[str] | None = None) -> None:
+    """Append rows as JSON lines. With keys, rows whose key the ledger has already are left out, and of equal keys one goes.
+
+    A task's lines appear whole when its job commits, so a restart finds a key written or not at all.
+    """
+    if keys and exists(rows.sparkSession, path):
+        kinds = dict(rows.dtypes)
+        done = ledger(rows.sparkSession, path, ", ".join(f"{k} {kinds[k]}" for k in keys)).select(*keys).distinct()
+        rows = rows.join(done, keys, "left_anti")
+    (rows.dropDuplicates(keys) if keys else rows).write.mode("append").json(path)
+
+
+def compacted(spark: SparkSession, path: str, schema: str, keys: list[str], expected: dict[str, object]) -> DataFrame:
+    """The keys that a restart need not do again; the ledger keeps the first row of each, of the expected provenance only.
+
+    The ledger is rewritten, beside its place and then moved there, if any row goes; malformed lines are an error.
+    A ledger that is not there has no keys.
+    """
+    if not keys:
+        raise ValueError("a restart needs a key")
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema).select(*keys)
+    rows = ledger(spark, path, schema)
+    columns = [c for c in rows.columns if c not in ("file", "line_no")]
+    kept = resumed(rows, keys, ["file", "line_no"], expected)
+    lines = spark.read.text(path).count()
+    if kept.count() != lines:
+        fresh = f"{path.rstrip('/')}.compacted"
+        kept.select(*columns).write.mode("overwrite").json(fresh)
+        jvm = spark._jvm.org.apache.hadoop.fs
+        here, there = jvm.Path(path), jvm.Path(fresh)
+        store = here.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.delete(here, True)
+        store.rename(there, here)
+    return ledger(spark, path, schema).select(*keys).distinct()
 
 
 def flattened(df: DataFrame) -> DataFrame:
