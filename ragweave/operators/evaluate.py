@@ -115,6 +115,20 @@ def compared_runs(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> D
     return both.select(key, same.alias("exact"))
 
 
+def lineage_errors(chunks: DataFrame, docs: DataFrame, by: str, text: str = "text") -> DataFrame:
+    """(by, chunk_no, bad_text, bad_range, bad_tokens) of chunks that do not stand where they say; none if all do.
+
+    A chunk's text must be what its document has at its place, its token range must not be empty, and the text must
+    have as many tokens of its own as the range.
+    """
+    source = docs.select(by, F.col(text).alias("__source"))
+    both = chunks.join(source, by)
+    there = F.substring(F.col("__source"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    count = F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))
+    checked = both.select(by, "chunk_no", (there != F.col("text")).alias("bad_text"), (F.col("tok_end") <= F.col("tok_start")).alias("bad_range"), (count != F.col("tok_end") - F.col("tok_start")).alias("bad_tokens"))
+    return checked.where("bad_text or bad_range or bad_tokens")
+
+
 def final_verdict(gates: DataFrame) -> DataFrame:
     """One row from (gate, passed) and the two judgments as gates `weakened` and `persists`: what to do next, and why.
 

@@ -24,7 +24,7 @@ def _range_value(rows: DataFrame, column: str) -> Column:
     """A double that never falls where the column grows: numbers and times themselves, of text its first seven characters."""
     kind = dict(rows.dtypes)[column]
     if kind != "string":
-        return F.col(column).cast("timestamp" if kind == "date" else kind).cast("double")
+        return F.col(column).cast("timestamp" if kind in ("date", "timestamp_ntz") else kind).cast("double")
     out = F.lit(0.0)
     for i in range(7):
         out = out * 128 + F.least(F.lit(127), F.ascii(F.substring(column, i + 1, 1)))

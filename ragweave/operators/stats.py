@@ -174,12 +174,16 @@ def _draw(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 7), 16, 10).cast("long")
 
 
-def sign_flip_hash(df: DataFrame, id_: str, value: str, permutations: int = 200) -> DataFrame:
-    """(observed, p): sums under signs drawn by hash; permutations are exploded per row and combined before the shuffle."""
+def sign_flip_hash(df: DataFrame, id_: str, value: str, permutations: int = 200, statistic: str = "sum") -> DataFrame:
+    """(observed, p): sums or medians under signs drawn by hash.
+
+    Permutations are exploded per row. Sums are combined before the shuffle, and so are the counts of signed values of
+    which medians are taken, as large as the distinct values of a permutation.
+    """
     signs = df.select(F.col(id_).alias("i"), F.col(value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("k"))
-    sign = F.when((F.col("k") == 0) | (_draw(F.col("k"), F.col("i")) % 2 == 0), 1).otherwise(-1)
-    sums = signs.groupBy("k").agg(F.round(F.sum(F.col("v") * sign), 6).alias("s"))
-    return sums.agg(F.max(F.when(F.col("k") == 0, F.col("s"))).alias("observed"), F.collect_list("s").alias("all")).select("observed", (F.size(F.filter("all", lambda s: s >= F.col("observed"))) / F.lit(permutations + 1.0)).alias("p"))
+    signed = F.col("v") * F.when((F.col("k") == 0) | (_draw(F.col("k"), F.col("i")) % 2 == 0), 1).otherwise(-1)
+    drawn = signs.groupBy("k").agg((F.round(F.sum(signed), 6) if statistic == "sum" else F.round(F.median(signed), 9)).alias("s"))
+    return drawn.agg(F.max(F.when(F.col("k") == 0, F.col("s"))).alias("observed"), F.collect_list("s").alias("all")).select("observed", (F.size(F.filter("all", lambda s: s >= F.col("observed"))) / F.lit(permutations + 1.0)).alias("p"))
 
 
 def cluster_bootstrap_hash(df: DataFrame, cluster: str, value: str, replicates: int = 200, alpha: float = 0.05) -> DataFrame:

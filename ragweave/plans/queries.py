@@ -12,7 +12,9 @@ from ragweave.operators import attribution as A
 from ragweave.operators import evaluate as E
 from ragweave.operators import ledger as L
 from ragweave.operators import retrieval as R
+from ragweave.operators import scoring as C
 from ragweave.operators import stats as S
+from ragweave.operators import tasks as X
 
 SIZE, OVERLAP = 64, 8
 
@@ -80,10 +82,13 @@ def chunk_windows(spark, d):
     return _chunks(spark, d).withColumn("text_hash", F.sha2("text", 256)).drop("text", "chunker_hash")
 
 
-@query("chunk_lineage_violations", f"WITH {_CHUNK} SELECT c.doc_id, chunk_no FROM chunks c JOIN documents USING (doc_id) WHERE length(substr(text, char_start + 1, char_end - char_start)) <> char_end - char_start OR tok_end <= tok_start")
+@query("chunk_lineage_violations", f"""WITH {_CHUNK}, kept AS (SELECT c.*, substr(text, char_start + 1, char_end - char_start) AS chunk_text, text FROM chunks c JOIN documents USING (doc_id)),
+moved AS (SELECT doc_id, chunk_no, chunk_text, text, char_start, CASE WHEN doc_id % 7 = 0 THEN char_end - 1 ELSE char_end END AS char_end, tok_start, CASE WHEN doc_id % 11 = 0 THEN tok_end + 1 WHEN doc_id % 13 = 0 THEN tok_start ELSE tok_end END AS tok_end FROM kept)
+SELECT doc_id, chunk_no, substr(text, char_start + 1, char_end - char_start) <> chunk_text AS bad_text, tok_end <= tok_start AS bad_range, len(regexp_extract_all(chunk_text, '\\S+')) <> tok_end - tok_start AS bad_tokens FROM moved WHERE bad_text OR bad_range OR bad_tokens""")
 def chunk_lineage_violations(spark, d):
-    c = _chunks(spark, d)
-    return c.where((F.length("text") != F.col("char_end") - F.col("char_start")) | (F.col("tok_end") <= F.col("tok_start")) | (F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))) != F.col("tok_end") - F.col("tok_start"))).select("doc_id", "chunk_no")
+    """Chunks of which some are moved on purpose: every seventh document's ends, every eleventh's and thirteenth's tokens."""
+    moved = _chunks(spark, d).withColumn("char_end", F.when(F.col("doc_id") % 7 == 0, F.col("char_end") - 1).otherwise(F.col("char_end"))).withColumn("tok_end", F.when(F.col("doc_id") % 11 == 0, F.col("tok_end") + 1).when(F.col("doc_id") % 13 == 0, F.col("tok_start")).otherwise(F.col("tok_end")))
+    return E.lineage_errors(moved, _read(spark, d, "documents"), "doc_id")
 
 
 def _spans(spark, d) -> DataFrame:
@@ -198,7 +203,7 @@ def clopper_pearson(spark, d):
     return E.group_summary(_parts(spark, d).withColumn("flag", F.col("event_id") % 10 == 0), "family")
 
 
-@query("holm_adjust", "WITH t AS (SELECT user_id AS name, count_if(event_type = 'click') / (count(*) + 1)::DOUBLE AS p FROM events WHERE user_id IS NOT NULL GROUP BY user_id ORDER BY user_id LIMIT 150), s AS (SELECT name, p, least(1, p * (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1)) AS s FROM t) SELECT name, round(p, 9) AS p, round(max(s) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING), 9) AS p_adj FROM s")
+@query("holm_adjust", "WITH t AS (SELECT user_id AS name, count_if(event_type = 'click') / (count(*) + 1)::DOUBLE AS p FROM events WHERE user_id IS NOT NULL GROUP BY user_id), s AS (SELECT name, p, least(1, p * (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1)) AS s FROM t) SELECT name, round(p, 9) AS p, round(max(s) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING), 9) AS p_adj FROM s")
 def holm_adjust(spark, d):
     t = _read(spark, d, "events").where("user_id is not null").groupBy(F.col("user_id").alias("name")).agg((F.count_if(F.col("event_type") == "click") / (F.count("*") + 1).cast("double")).alias("p"))
     return _round(S.holm(t), "p", "p_adj", n=9)
@@ -282,12 +287,16 @@ def prompt_layout(spark, d):
     return T.prompts(c, "conv_id", "q", "turn", "turn", "text").select("conv_id", F.sha2("prompt", 256).alias("prompt_hash"), F.size("ranges").cast("long").alias("n"))
 
 
-@query("hide_replace_tokens", "SELECT vec_id, '0,1,-1,-1,4,5' AS hid, '1,1,0,0,1,1' AS mask, '0,1,91,92,4,5' AS rep FROM embeddings")
+@query("hide_replace_tokens", """WITH x AS (SELECT vec_id, list_transform(range(10), lambda i: (vec_id * 7 + i * 3) % 101) AS ids, vec_id % 4 + 1 AS s, vec_id % 4 + 2 + vec_id % 3 AS e FROM embeddings)
+SELECT vec_id, array_to_string(list_transform(range(10), lambda i: CASE WHEN i >= s AND i < e THEN -1 ELSE ids[i + 1] END), ',') AS hid, array_to_string(list_transform(range(10), lambda i: CASE WHEN i >= s AND i < e THEN 0 ELSE 1 END), ',') AS mask,
+array_to_string(list_transform(range(10), lambda i: CASE WHEN i >= s AND i < e THEN 900 + vec_id % 10 + i - s ELSE ids[i + 1] END), ',') AS rep FROM x""")
 def hide_replace_tokens(spark, d):
-    ids, ones, allowed = F.sequence(F.lit(0), F.lit(5)), F.array_repeat(F.lit(1), 6), F.sequence(F.lit(1), F.lit(4))
-    hid = T.hidden(ids, ones, F.lit(2), F.lit(4), F.lit(-1), allowed)
+    e = _read(spark, d, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: ((F.col("vec_id") * 7 + i * 3) % 101).cast("int")).alias("ids"), (F.col("vec_id") % 4 + 1).cast("int").alias("s"), (F.col("vec_id") % 4 + 2 + F.col("vec_id") % 3).cast("int").alias("e"))
+    ones, allowed = F.array_repeat(F.lit(1), 10), F.sequence(F.lit(1), F.lit(8))
+    hid = T.hidden(F.col("ids"), ones, F.col("s"), F.col("e"), F.lit(-1), allowed)
+    donor = T.donor_prefix(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (900 + F.col("vec_id") % 10 + i).cast("int")), F.col("e") - F.col("s"))
     text = lambda c: F.array_join(c.cast("array<string>"), ",")
-    return _read(spark, d, "embeddings").select("vec_id", text(hid["ids"]).alias("hid"), text(hid["mask"]).alias("mask"), text(T.replaced(ids, F.lit(2), F.lit(4), F.array(F.lit(91), F.lit(92)))).alias("rep"))
+    return e.select("vec_id", text(hid["ids"]).alias("hid"), text(hid["mask"]).alias("mask"), text(T.replaced(F.col("ids"), F.col("s"), F.col("e"), donor)).alias("rep"))
 
 
 @query("hard_benign_faq", "SELECT item_id, substr(sha256('faq' || chr(1) || item_id || chr(1) || t), 1, 24) AS task_id FROM (SELECT b.item_id, 'FAQ' || chr(10) || 'Question: ' || b.text || chr(10) || 'Correct answer context: ' || d.text AS t FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 3 JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality > 0)")
@@ -410,8 +419,233 @@ def final_verdict(spark, d):
     return E.final_verdict(b.unpivot([], b.columns, "gate", "passed"))
 
 
-@query("answer_logprob", "SELECT vec_id, round((e[2] - ln(exp(e[1]) + exp(e[2]) + exp(e[3])) + e[6] - ln(exp(e[4]) + exp(e[5]) + exp(e[6]))) / 2, 5) AS mean_logp FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")
+@query("answer_logprob", "WITH r AS (SELECT vec_id, t, embedding[t * 8 - 7 : t * 8]::DOUBLE[] AS e FROM embeddings, (SELECT unnest(range(1, 8)) AS t)) SELECT vec_id, round(avg(e[(vec_id + t) % 8 + 1] - ln(list_sum(list_transform(e, lambda x: exp(x))))), 5) AS mean_logp FROM r GROUP BY vec_id")
 def answer_logprob(spark, d):
+    """The 64 values of a vector as logits of 8 places over 8 words."""
     e = F.col("embedding").cast("array<double>")
-    logits, labels, mask = F.array(F.slice(e, 1, 3), F.slice(e, 4, 3)), F.array(F.lit(0), F.lit(1), F.lit(2)), F.array(F.lit(False), F.lit(True), F.lit(True))
-    return _round(_read(spark, d, "embeddings").select("vec_id", T.mean_answer_logprob(logits, labels, mask).alias("mean_logp")), "mean_logp", n=5)
+    places = F.sequence(F.lit(0), F.lit(7))
+    logits = F.transform(places, lambda t: F.slice(e, t * 8 + 1, F.lit(8)))
+    labels = F.transform(places, lambda t: ((F.col("vec_id") + t) % 8).cast("int"))
+    return _round(_read(spark, d, "embeddings").select("vec_id", T.mean_answer_logprob(logits, labels, F.array_repeat(F.lit(True), 8)).alias("mean_logp")), "mean_logp", n=5)
+
+
+@query("chunk_ranges", f"""WITH {_CHUNK} SELECT doc_id, chunk_no, greatest(char_start, 10) AS anchor_start, least(char_end, 400) AS anchor_end, greatest(char_start, 10) - char_start AS anchor_chunk_start, least(char_end, 400) - char_start AS anchor_chunk_end FROM chunks WHERE least(char_end, 400) > greatest(char_start, 10)""")
+def chunk_ranges(spark, d):
+    docs = _read(spark, d, "documents").withColumn("anchor", F.array(F.struct(F.lit(10).alias("start"), F.lit(400).alias("end")), F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))))
+    c = K.chunks(docs, SIZE, OVERLAP, ranges=["anchor"]).where(F.size("anchor_source") > 0)
+    one = lambda c, f: F.get(c, 0)[f]
+    return c.select("doc_id", "chunk_no", one("anchor_source", "start").alias("anchor_start"), one("anchor_source", "end").alias("anchor_end"), one("anchor_chunk", "start").alias("anchor_chunk_start"), one("anchor_chunk", "end").alias("anchor_chunk_end"))
+
+
+@query("token_map", f"WITH {_TOK} SELECT doc_id, count(*) AS n, min(token_index) AS first_token, max(token_index) AS last_token, min(greatest(char_start, 50) - 50) AS first_start, max(least(char_end, 120) - 50) AS last_end FROM tokens WHERE char_start < 120 AND char_end > 50 GROUP BY doc_id")
+def token_map(spark, d):
+    mapped = K.prompt_token_map(F.col("tokens"), F.lit(50), F.lit(120))
+    m = K.with_tokens(_read(spark, d, "documents").select("doc_id", "text")).select("doc_id", mapped.alias("m"), "tokens").where(F.size("m") > 0)
+    ends = lambda c: (F.array_min(F.transform("m", lambda x: x[c])), F.array_max(F.transform("m", lambda x: x[c])))
+    return m.select("doc_id", K.overlap_count(F.col("tokens"), F.lit(50), F.lit(120)).cast("long").alias("n"), F.array_min(K.overlapping(F.col("tokens"), F.lit(50), F.lit(120))).alias("first_token"), ends("index")[1].alias("last_token"), ends("start")[0].alias("first_start"), ends("end")[1].alias("last_end"))
+
+
+@query("token_ids")
+def token_ids(spark, d):
+    """Every token with its id; SQL has no BLAKE2b."""
+    return K.token_offsets(_read(spark, d, "documents"), ids=True).select("doc_id", "token_index", "token_id")
+
+
+_POOLED = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
+c AS (SELECT NULL AS own, vec_id AS chunk_id, embedding::DOUBLE[] AS v, false AS injected FROM embeddings UNION ALL SELECT q.query_id, -1 - e.vec_id, e.embedding::DOUBLE[], true FROM q JOIN embeddings e ON e.vec_id IN (q.query_id + 1, q.query_id + 2)),
+s AS (SELECT query_id, chunk_id, injected, list_dot_product(q.v, c.v) AS x FROM q, c WHERE own IS NULL OR own = query_id),
+pool AS (SELECT query_id, chunk_id, injected, x AS dense_score, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9) DESC, chunk_id) AS dense_rank, x * ((abs(chunk_id) * 37) % 11 - 3) / 7e0 AS rerank_score FROM s QUALIFY dense_rank <= 20),
+m AS (SELECT query_id, median(dense_score) AS dm, median(rerank_score) AS rm, list_sort(list(dense_score), 'DESC')[20] AS dense_thr, list_sort(list(rerank_score), 'DESC')[5] AS rerank_thr FROM pool GROUP BY query_id),
+thr AS (SELECT query_id, first(dense_thr) AS dense_thr, first(rerank_thr) AS rerank_thr, greatest(1e-8, median(abs(dense_score - dm))) AS dense_mad, greatest(1e-8, median(abs(rerank_score - rm))) AS rerank_mad FROM pool JOIN m USING (query_id) GROUP BY query_id),
+sel AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rerank_score, 9) DESC, chunk_id) AS rerank_rank FROM pool JOIN thr USING (query_id) QUALIFY rerank_rank <= 5)"""
+
+
+def _rerank(rows: DataFrame) -> DataFrame:
+    """A stand-in for a reranking model."""
+    return rows.select("query_id", "chunk_id", (F.col("dense_score") * ((F.abs("chunk_id") * 37) % 11 - 3) / F.lit(7.0)).alias("rerank_score"))
+
+
+def _retrieval_inputs(spark, d):
+    e = _read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
+    queries = e.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vec").withColumn("query", F.concat(F.lit("what about "), F.col("query_id").cast("string"), F.lit("?")))
+    more = queries.select("query_id").join(e.select((F.col("chunk_id") * -1 - 1).alias("id"), F.col("chunk_id").alias("of"), "vec"), (F.col("of") - F.col("of") % 50 == F.col("query_id")) & (F.col("of") % 50).isin(1, 2))
+    return e, queries, more.select("query_id", F.col("id").alias("chunk_id"), "vec")
+
+
+def _texts(spark, d):
+    """The first chunk of the document of a vector's number, for the vector and for its injected copy."""
+    c = _chunks(spark, d).where("chunk_no = 0")
+    both = F.explode(F.array(F.col("doc_id"), -1 - F.col("doc_id")))
+    return c.select(both.alias("chunk_id"), "text", F.col("doc_id").alias("source_doc_id"), (F.col("doc_id") % 2 == 0).alias("injected"))
+
+
+def _selected(spark, d):
+    vectors, queries, more = _retrieval_inputs(spark, d)
+    return C.retrieve(vectors, queries, _rerank, 20, 5, more), queries
+
+
+@query("retrieve_with_injected", f"WITH {_POOLED} SELECT query_id, chunk_id, injected, CAST(dense_rank AS INTEGER) AS dense_rank, CAST(rerank_rank AS INTEGER) AS rerank_rank, CAST(rerank_rank - 1 AS INTEGER) AS position, round(dense_thr, 6) AS dense_thr, round(rerank_thr, 6) AS rerank_thr, round(dense_mad, 6) AS dense_mad, round(rerank_mad, 6) AS rerank_mad FROM sel")
+def retrieve_with_injected(spark, d):
+    s = _selected(spark, d)[0].select("query_id", "chunk_id", "injected", "dense_rank", "rerank_rank", "position", "dense_thr", "rerank_thr", "dense_mad", "rerank_mad")
+    return _round(s, "dense_thr", "rerank_thr", "dense_mad", "rerank_mad")
+
+
+_TEXTS = """texts AS (SELECT unnest([c.doc_id, -1 - c.doc_id]) AS chunk_id, c.doc_id, tok_start, tok_end, c.char_start, substr(text, c.char_start + 1, c.char_end - c.char_start) AS text FROM chunks c JOIN documents USING (doc_id) WHERE chunk_no = 0)"""
+
+
+@query("detector_events", f"""WITH {_POOLED}, {_CHUNK}, {_TEXTS}, x AS (SELECT sel.*, text FROM sel JOIN texts USING (chunk_id))
+SELECT query_id, string_agg(chunk_id, ',' ORDER BY rerank_rank) AS context, string_agg(dense_rank || ':' || rerank_rank, ',' ORDER BY rerank_rank) AS trace,
+sha256('{T.HEAD}' || string_agg('CONTEXT[' || (rerank_rank - 1) || ']:' || chr(10) || text || chr(10) || chr(10), '' ORDER BY rerank_rank) || 'QUERY:' || chr(10) || 'what about ' || query_id || '?' || chr(10) || chr(10) || 'ASSISTANT:' || chr(10) || 'FINAL_ANSWER: ') AS prompt_hash, sum(length(text))::BIGINT AS n_chars FROM x GROUP BY query_id""")
+def detector_events(spark, d):
+    selected, queries = _selected(spark, d)
+    event = C.events(selected, _texts(spark, d), queries, 20, 5)
+    # the ranges must hold the chunks' own texts
+    own = F.array_join(F.transform("ranges", lambda r: F.substring(F.col("prompt"), r["start"] + 1, r["end"] - r["start"])), "")
+    same = own == F.array_join(F.transform("chunks", lambda c: c["text"]), "")
+    return event.select("query_id", F.array_join(F.col("context_order").cast("array<string>"), ",").alias("context"), F.array_join(F.transform("retrieval_trace", lambda t: F.concat_ws(":", t["dense_rank"].cast("string"), t["rerank_rank"].cast("string"))), ",").alias("trace"), F.sha2("prompt", 256).alias("prompt_hash"), F.when(same, F.length(own)).cast("long").alias("n_chars"))
+
+
+_EFFECTS = f"""{_POOLED}, {_CHUNK}, {_TEXTS},
+sv AS (SELECT chunk_id, v, v + 32 * j AS s, min(t.char_start) - x.char_start AS st, max(t.char_end) - x.char_start AS en, first(length(x.text)) AS n FROM texts x, (SELECT unnest([0, 16]) AS v), (SELECT unnest(range(2)) AS j), tokens t
+  WHERE t.doc_id = x.doc_id AND v + 32 * j < tok_end - tok_start AND token_index >= tok_start + v + 32 * j AND token_index < least(tok_start + v + 32 * j + 32, tok_end) GROUP BY chunk_id, v, j, x.char_start),
+eff AS (SELECT query_id, chunk_id, v, s, st, en, least((dense_score - dense_thr) / dense_mad, (rerank_score - rerank_thr) / rerank_mad) - least((dense_score * (1 - (en - st) / n::DOUBLE / 2) - dense_thr) / dense_mad, (rerank_score - (s + v + 1) % 7 / 10e0 - rerank_thr) / rerank_mad) AS r_eff,
+  -0.5e0 + 1 + (st * 7 + abs(chunk_id) + query_id) % 11 / 10e0 - 0.7e0 AS g_eff FROM sel JOIN sv USING (chunk_id)),
+top AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(greatest(r_eff, 0)), 6) DESC, chunk_id) AS k FROM eff GROUP BY query_id, chunk_id)"""
+_ROLES = """pts AS (SELECT DISTINCT query_id, chunk_id, unnest([st, en]) AS p FROM spans),
+gaps AS (SELECT query_id, chunk_id, p AS a, lead(p) OVER (PARTITION BY query_id, chunk_id ORDER BY p) AS b FROM pts),
+atoms AS (SELECT g.query_id, g.chunk_id, a, b, avg(r_eff) AS r_eff, avg(g_eff) AS g_eff FROM gaps g JOIN spans s ON g.query_id = s.query_id AND g.chunk_id = s.chunk_id AND s.st < b AND s.en > a GROUP BY ALL),
+mass AS (SELECT *, sum(greatest(r_eff, 0)) OVER w AS r_mass, sum(greatest(g_eff, 0)) OVER w AS g_mass FROM atoms WINDOW w AS (PARTITION BY query_id, chunk_id)),
+roles AS (SELECT query_id, chunk_id, first(r_mass) AS r_mass, first(g_mass) AS g_mass, CASE WHEN first(r_mass) > 1e-8 AND first(g_mass) > 1e-8 THEN least(1, 0.5e0 * sum(abs(greatest(r_eff, 0) / r_mass - greatest(g_eff, 0) / g_mass))) ELSE 0 END AS t_rg FROM mass GROUP BY query_id, chunk_id)"""
+
+
+def _hidden(spans: DataFrame) -> DataFrame:
+    """A stand-in for scores of a chunk without a span."""
+    dense = F.col("dense_score") * (1 - (F.col("end") - F.col("start")) / F.col("n_chars") / 2)
+    return spans.select(*C.SPAN, dense.alias("dense"), (F.col("rerank_score") - (F.col("tok_start") + F.col("view") + 1) % 7 / F.lit(10.0)).alias("rerank"))
+
+
+def _teacher(spans: DataFrame) -> DataFrame:
+    return spans.select(*C.SPAN, (F.lit(-0.3) - ((F.col("start") * 7 + F.abs("chunk_id") + F.col("query_id")) % 11) / F.lit(10.0)).alias("logp"))
+
+
+def _full(rows: DataFrame) -> DataFrame:
+    return rows.select("query_id").distinct().withColumn("full_logp", F.lit(-0.5))
+
+
+@query("score_queries", f"WITH {_EFFECTS}, spans AS (SELECT eff.* FROM eff JOIN top USING (query_id, chunk_id) WHERE k <= 2), {_ROLES}, all_q AS (SELECT DISTINCT query_id FROM pool) SELECT query_id, round(coalesce(max(t_rg), 0), 6) AS query_score, coalesce(string_agg(chunk_id, ',' ORDER BY chunk_id), '') AS selected FROM all_q LEFT JOIN roles USING (query_id) GROUP BY query_id")
+def score_queries(spark, d):
+    """From queries to scores in one call: retrieval, events, span effects, the two best chunks, role maps."""
+    vectors, queries, more = _retrieval_inputs(spark, d)
+    found = C.score_queries(vectors, queries, _texts(spark, d), _rerank, _hidden, _teacher, _full, 20, 5, more)[0]
+    return C.pilot(found).select("query_id", F.round("query_score", 6).alias("query_score"), F.array_join(F.col("selected_for_generation").cast("array<string>"), ",").alias("selected"))
+
+
+def _effects(spark, d):
+    selected, queries = _selected(spark, d)
+    return C.retrieval_effects(C.chunk_spans(selected, _texts(spark, d).select("chunk_id", "text")), _hidden), queries
+
+
+@query("score_chunks", f"WITH {_EFFECTS}, asked AS (SELECT query_id, min(chunk_id) AS chunk_id FROM eff GROUP BY query_id), spans AS (SELECT eff.* FROM eff JOIN asked USING (query_id, chunk_id)), {_ROLES} SELECT query_id, chunk_id, round(r_mass, 6) AS r_mass, round(g_mass, 6) AS g_mass, round(t_rg, 6) AS t_rg FROM roles")
+def score_chunks(spark, d):
+    spans, queries = _effects(spark, d)
+    asked = spans.groupBy("query_id").agg(F.min("chunk_id").alias("chunk_id"))
+    mapped = C.score_chunks(spans, _full(queries), _teacher, asked)
+    return _round(A.chunk_roles(mapped, *C.CHUNK).select("query_id", "chunk_id", "r_mass", "g_mass", "t_rg"), "r_mass", "g_mass", "t_rg")
+
+
+@query("score_donors", f"""WITH {_EFFECTS}, spans AS (SELECT query_id, chunk_id, s, st, en, avg(least((dense_score - dense_thr) / dense_mad, (rerank_score - rerank_thr) / rerank_mad) - least((dense_score * (1 - (donor + 1) / 50e0) - dense_thr) / dense_mad, (rerank_score - donor / 20e0 - s % 3 / 10e0 - rerank_thr) / rerank_mad)) AS r_eff,
+avg(-0.5e0 + 1 + (st + donor * 3 + abs(chunk_id)) % 7 / 10e0) AS g_eff FROM eff JOIN sel USING (query_id, chunk_id), (SELECT unnest(range(8)) AS donor) GROUP BY query_id, chunk_id, v, s, st, en), {_ROLES} SELECT query_id, chunk_id, round(r_mass, 6) AS r_mass, round(g_mass, 6) AS g_mass, round(t_rg, 6) AS t_rg FROM roles""")
+def score_donors(spark, d):
+    spans, queries = _effects(spark, d)
+    donors = queries.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("donor_id")).withColumn("donor", F.lit("x"))
+
+    def replaced(rows):
+        dense, rerank = F.col("dense_score") * (1 - (F.col("donor_id") + 1) / F.lit(50.0)), F.col("rerank_score") - F.col("donor_id") / F.lit(20.0) - F.col("tok_start") % 3 / F.lit(10.0)
+        return rows.select(*C.SPAN, "donor_id", dense.alias("dense"), rerank.alias("rerank"), (-1 - ((F.col("start") + F.col("donor_id") * 3 + F.abs("chunk_id")) % 7) / F.lit(10.0)).alias("logp"))
+
+    mapped = C.score_donors(spans.drop("r_eff"), donors, _full(queries), replaced)
+    return _round(A.chunk_roles(mapped, *C.CHUNK).select("query_id", "chunk_id", "r_mass", "g_mass", "t_rg"), "r_mass", "g_mass", "t_rg")
+
+
+@query("no_op_deltas", f"WITH {_POOLED} SELECT query_id, chunk_id, round(abs(least((dense_score - dense_thr) / dense_mad, (rerank_score - rerank_thr) / rerank_mad) - least((dense_score + 1e-3 - dense_thr) / dense_mad, (rerank_score - rerank_thr) / rerank_mad)), 6) AS retrieval_delta, (chunk_id % 3 = 0)::INTEGER / 8e0 AS generation_delta FROM sel")
+def no_op_deltas(spark, d):
+    first = _selected(spark, d)[0].withColumn("logp", F.lit(-1.0))
+    again = first.withColumn("dense_score", F.col("dense_score") + 1e-3).withColumn("logp", F.when(F.col("chunk_id") % 3 == 0, -1.125).otherwise(-1.0))
+    return _round(C.no_op_deltas(first, again), "retrieval_delta")
+
+
+@query("oracle_values", f"""WITH {_ROLE}, o AS (SELECT *, min("start") OVER (PARTITION BY doc_id, chunk_no) AS o FROM share)
+SELECT doc_id, chunk_no, round(sum(p_r * greatest(0, least("end", o + 60) - greatest("start", o)) / ("end" - "start")), 6) AS anchor_p_retrieval, round(sum(p_g * greatest(0, least("end", o + 60) - greatest("start", o)) / ("end" - "start")), 6) AS anchor_p_generation,
+round(sum(p_r * greatest(0, least("end", o + 200) - greatest("start", o + 60)) / ("end" - "start")), 6) AS payload_p_retrieval, round(sum(p_g * greatest(0, least("end", o + 200) - greatest("start", o + 60)) / ("end" - "start")), 6) AS payload_p_generation FROM o GROUP BY doc_id, chunk_no""")
+def oracle_values(spark, d):
+    m = _mapped(spark, d)
+    o = m.groupBy("doc_id", "chunk_no").agg(F.min("start").alias("o"))
+    ranges = [o.select("doc_id", "chunk_no", (F.col("o") + a).alias("start"), (F.col("o") + b).alias("end")) for a, b in ((0, 60), (60, 200))]
+    return _round(C.oracle_values(m, *ranges, "doc_id", "chunk_no"), "anchor_p_retrieval", "anchor_p_generation", "payload_p_retrieval", "payload_p_generation")
+
+
+@query("first_donors", f"WITH {_VEC}, once AS (SELECT query_id, chunk_id, dense_score AS score FROM pool WHERE chunk_id % 5 <> query_id % 5 AND chunk_id % 7 > 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS donor_rank FROM once) SELECT query_id, chunk_id, CAST(donor_rank AS INTEGER) AS donor_rank FROM r WHERE donor_rank <= 4")
+def first_donors(spark, d):
+    c = _pool(spark, d).select("query_id", "chunk_id", F.col("dense_score").alias("score"), (F.col("chunk_id") % 5).alias("source"), (F.col("query_id") % 5).alias("own_source"), (F.col("chunk_id") % 7 > 0).alias("fits"))
+    return R.first_donors(c.union(c.limit(5)), 4).select("query_id", "chunk_id", "donor_rank")
+
+
+@query("sliced_ids", "SELECT doc_id FROM documents ORDER BY CAST(doc_id AS VARCHAR) LIMIT 50 OFFSET 20")
+def sliced_ids(spark, d):
+    return C.sliced(_read(spark, d, "documents").select("doc_id"), "doc_id", 20, 50)
+
+
+@query("shard_of_tasks", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS i FROM documents) WHERE i % 8 = 3")
+def shard_of_tasks(spark, d):
+    ids = _read(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("name"))
+    return C.in_shard(ids, "name", 3, 8).select("doc_id")
+
+
+@query("sign_flip_median_hash", "WITH s AS (SELECT k, round(median(value * CASE WHEN k = 0 OR ('0x' || substr(md5(k || ':' || event_id), 1, 7))::BIGINT % 2 = 0 THEN 1 ELSE -1 END), 9) AS s FROM events, (SELECT unnest(range(201)) AS k) WHERE value IS NOT NULL GROUP BY k), o AS (SELECT s AS observed FROM s WHERE k = 0) SELECT observed, count_if(s >= observed) / 201e0 AS p FROM s, o GROUP BY observed")
+def sign_flip_median_hash(spark, d):
+    return S.sign_flip_hash(_read(spark, d, "events").where("value is not null"), "event_id", "value", statistic="median")
+
+
+@query("mechanism_tests")
+def mechanism_tests(spark, d):
+    """Three paired hypotheses over users, with 10,000 permutations and replicates each."""
+    e = _read(spark, d, "events").where("value is not null and user_id is not null").groupBy((F.col("user_id") % 40).alias("query_id"), "user_id")
+    mean = lambda kind: F.coalesce(F.avg(F.when(F.col("event_type") == kind, F.col("value"))), F.lit(0.0))
+    o = e.agg(mean("view").alias("anchor_p_retrieval"), mean("error").alias("anchor_p_generation"), mean("click").alias("payload_p_retrieval"), mean("purchase").alias("payload_p_generation"), mean("signup").alias("poison_t_rg"), F.lit(0.0).alias("clean_t_rg"))
+    return E.mechanism_tests(o)
+
+
+_HB = """qs AS (SELECT CAST(item_id AS VARCHAR) AS query_id, text FROM benchmark), rel AS (SELECT CAST(item_id AS VARCHAR) AS query_id, CAST(item_id * 3 + j AS VARCHAR) AS doc, item_id * 10 + j AS ord, (item_id + j) % 3 AS score FROM benchmark, (SELECT unnest(range(4)) AS j)),
+ds AS (SELECT CAST(doc_id AS VARCHAR) AS doc, doc_id AS line_no, CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang END AS title, substr(text, 1, 200) AS text FROM documents),
+ids AS (SELECT query_id, text, row_number() OVER (ORDER BY query_id) - 1 AS i FROM qs),
+hits AS (SELECT ids.query_id, ids.text AS query, i, ord, doc, title, ds.text, row_number() OVER (PARTITION BY ids.query_id ORDER BY ord, doc) AS r, count(*) OVER (PARTITION BY ids.query_id) AS c FROM ids JOIN rel USING (query_id) JOIN ds USING (doc) WHERE score > 0),
+one AS (SELECT *, row_number() OVER (ORDER BY query_id) AS k FROM hits WHERE r = 1 AND i < 10), titled AS (SELECT *, row_number() OVER (ORDER BY line_no) AS k FROM ds WHERE title <> ''),
+two AS (SELECT query_id, query, string_agg('Bridge evidence ' || r || ' (' || title || '): ' || text, chr(10) || chr(10) ORDER BY r) AS t FROM hits WHERE r <= 2 AND c >= 2 AND i < 25 GROUP BY query_id, query),
+tasks AS (SELECT 'faq' AS "group", query_id, 'FAQ' || chr(10) || 'Question: ' || query || chr(10) || 'Correct answer context: ' || text AS t FROM one WHERE k <= 5
+UNION ALL SELECT 'entity_locator_answer_fact', query_id, 'Entity locator: ' || title || chr(10) || 'Answer fact: ' || text FROM one WHERE k <= 5
+UNION ALL SELECT 'title_body', 'title-body-' || doc, 'Title: ' || title || chr(10) || 'Body: ' || text FROM titled WHERE k <= 5
+UNION ALL SELECT 'hotpot_bridge', query_id, t FROM (SELECT *, row_number() OVER (ORDER BY query_id) AS k FROM two) WHERE k <= 5)"""
+
+
+@query("hard_benign_tasks", f"""WITH {_HB} SELECT "group", query_id, sha256(t) AS text_hash FROM tasks""")
+def hard_benign_tasks(spark, d):
+    b = _read(spark, d, "benchmark")
+    queries = b.select(F.col("item_id").cast("string").alias("query_id"), "text")
+    qrels = b.select("item_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j")).select(F.col("item_id").cast("string").alias("query_id"), (F.col("item_id") * 3 + F.col("j")).cast("string").alias("source_doc_id"), (F.col("item_id") * 10 + F.col("j")).alias("ord"), ((F.col("item_id") + F.col("j")) % 3).alias("score"))
+    docs = _read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.col("doc_id").alias("line_no"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("lang")).alias("title"), F.substring("text", 1, 200).alias("text"))
+    return X.hard_benign(queries, qrels, docs, queries, qrels, docs, 5, strict=False).select("group", "query_id", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("smoke", "WITH x AS (SELECT conv_id * 100 + turn AS ord, text, (conv_id + turn) % 3 > 0 AS hit, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS n, trim(regexp_replace(lower(substr(text, 5, 9)), '[^a-z0-9]+', ' ', 'g')) AS want FROM conversations), f AS (SELECT * FROM x ORDER BY ord LIMIT 20) SELECT count(*) AS n, count_if(hit) / count(*)::DOUBLE AS hit_rate, count_if(hit AND want <> '' AND contains(n, want)) / nullif(count_if(hit), 0)::DOUBLE AS conditional, count_if(hit AND want <> '' AND contains(n, want)) / count(*)::DOUBLE AS end_to_end, count_if(hit)::BIGINT AS lineage FROM f")
+def smoke(spark, d):
+    c = _read(spark, d, "conversations")
+    return X.smoke(c.select((F.col("conv_id") * 100 + F.col("turn")).alias("ord"), F.lit("q").alias("question"), F.substring("text", 5, 9).alias("incorrect_answer"), F.col("text").alias("output"), F.when((F.col("conv_id") + F.col("turn")) % 3 > 0, F.array(F.lit("q and more"))).otherwise(F.array().cast("array<string>")).alias("injected_adv")))
+
+
+@query("hard_benign_rates")
+def hard_benign_rates(spark, d):
+    """False flags of four groups, with exact intervals, against a frozen calibration set."""
+    e = _read(spark, d, "events").where("value is not null")
+    groups = F.element_at(F.array(*map(F.lit, X.GROUPS)), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = e.where("event_id % 3 > 0").select(groups.alias("group"), F.col("event_id").alias("task_id"), F.col("event_id").alias("ord"), F.col("value").alias("score"), (F.col("event_id") % 5 > 0).alias("injected_survives"))
+    return X.hard_benign_summary(rows, e.where("event_id % 3 = 0").select(F.col("event_id").alias("ord"), F.col("value").alias("score")), 100, 200)
