@@ -127,6 +127,18 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
+def trimmed(batches):
+    """The batches; what the work on one has freed goes back to the system before the next is read, and at the end."""
+    import ctypes
+
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        give_back(0)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     raw, offsets = buffer_of(column)
     view, ends = raw.tobytes(), offsets.tolist()

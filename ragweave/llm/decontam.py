@@ -199,13 +199,12 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-n AS (SELECT unnest(range(1, 40001)) AS i),
 win AS (
-  SELECT DISTINCT item, least(10, len(ws)) AS size, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS g
-  FROM b, n WHERE len(ws) > 0 AND i <= len(ws) - least(10, len(ws)) + 1),
+  SELECT DISTINCT item, size, array_to_string(ws[i:i + size - 1], ' ') AS g
+  FROM (SELECT item, ws, least(10, len(ws)) AS size, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
 sizes AS (SELECT DISTINCT size FROM win),
 dw AS (
-  SELECT r, i, size, array_to_string(ws[i:i + size - 1], ' ') AS g FROM d, n, sizes WHERE i <= len(ws) - size + 1),
+  SELECT r, i, size, array_to_string(ws[i:i + size - 1], ' ') AS g FROM (SELECT r, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, sizes)),
 hit AS (SELECT r, i, win.size, item FROM dw JOIN win ON dw.g = win.g AND dw.size = win.size),
 covered AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT r, i, unnest(range(size)) AS k FROM hit) GROUP BY r),
 items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)

@@ -35,6 +35,9 @@ def packed(values: np.ndarray) -> np.ndarray:
     head = np.array([n, low_bits, size, len(low)], np.uint64)
     return np.concatenate([head, bits, ones.view(np.uint64), zeros.view(np.uint64), low])
 
+_U1, _U2, _U3, _U4, _U8, _BYTE = (np.uint64(i) for i in (1, 2, 3, 4, 8, 255))
+_M1, _M2, _M4, _EACH, _TOPS = (np.uint64(int(b * 8, 16)) for b in ("55", "33", "0f", "01", "80"))
+
 
 class Sequence:
     """A packed sequence at the start of `words`; `end` is the first word after it."""
@@ -49,15 +52,20 @@ class Sequence:
         self.end = at + 3 * size + 2 + low
 
     def _select(self, k: np.ndarray, counts: np.ndarray, flip: bool) -> np.ndarray:
+        """Places of the k-th ones, or zeros: byte sums of a word are found side by side within the word."""
         word = np.searchsorted(counts, k, side="right") - 1
-        rest = k - counts[word]
-        found = self.bits[word]
-        octets = np.ascontiguousarray(~found if flip else found).view(np.uint8).reshape(-1, 8)
-        total = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int64)
-        octet = (total <= rest[:, None]).sum(axis=1)
-        row = np.arange(len(k))
-        rest = rest - np.where(octet > 0, total[row, octet - 1], 0)
-        return word * 64 + octet * 8 + _SELECT[octets[row, octet], rest]
+        rest = (k - counts[word]).astype(np.uint64)
+        x = self.bits[word]
+        if flip:
+            x = ~x
+        with np.errstate(over="ignore"):
+            s = x - ((x >> _U1) & _M1)
+            s = (s & _M2) + ((s >> _U2) & _M2)
+            sums = ((s + (s >> _U4)) & _M4) * _EACH  # byte i: ones in bytes 0 to i
+            octet = np.bitwise_count(((rest * _EACH | _TOPS) - sums) & _TOPS).astype(np.uint64)
+            before = ((sums << _U8) >> (octet << _U3)) & _BYTE
+            found = (x >> (octet << _U3)) & _BYTE
+        return word * 64 + (octet << _U3).astype(np.int64) + _SELECT[found.astype(np.intp), (rest - before).astype(np.intp)]
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:

@@ -88,7 +88,7 @@ w AS (
   SELECT r, doc_id, host, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
          list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g') <> '') AS ls FROM d),
 win AS (
-  SELECT r, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS g FROM w, (SELECT unnest(range(1, 40001)) AS i) n WHERE i <= len(ws) - {WINDOW - 1}),
+  SELECT r, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range({WINDOW})) AS k) q GROUP BY r),
 l AS (SELECT r, doc_id, host, unnest(ls) AS line FROM w),

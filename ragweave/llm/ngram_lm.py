@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, crc32_text, fresh_path, lowered, mixed, prefix_sums, ranges_hashed, shipped, slices, words_in
+from .common import buffer_of, crc32_text, fresh_path, lowered, mixed, prefix_sums, ranges_hashed, shipped, slices, trimmed, words_in
 from .eliasfano import Sequence, packed
 
 #: SHARD_BYTES is text for each shard: building one takes some twenty times the size of its keys in memory.
-ORDER, DISCOUNT, SLICE, SHARD_BYTES, FLOOR, TASKS, LEAST_WIDE = 3, 0.75, 4 << 20, 16 << 20, 1e-8, 50_000, 1000
+ORDER, DISCOUNT, SLICE, SHARD_BYTES, FLOOR, TASKS, LEAST_WIDE = 3, 0.75, 2 << 20, 16 << 20, 1e-8, 50_000, 1000
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 
 
@@ -76,7 +76,7 @@ def mapped(uri: str) -> np.ndarray:
                     while block := f.read(1 << 22):
                         g.write(block)
                 os.replace(f"{path}.{os.getpid()}", path)
-        _maps[uri] = np.memmap(path, np.uint64, "r")
+        _maps[uri] = np.memmap(path, np.uint64, "r").view(np.ndarray)  # mapped all the same, without the cost of a subclass
     return _maps[uri]
 
 
@@ -249,7 +249,7 @@ def _dealt(shard: np.ndarray, keys: np.ndarray, last: np.ndarray, counts: np.nda
 
 
 def _counted_words(batches, bits):
-    for batch in batches:
+    for batch in trimmed(batches):
         raw, offsets = buffer_of(batch.column(0))
         for a, b in slices(offsets, SLICE):
             h, _ = tokens(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
@@ -264,7 +264,7 @@ def _merged(batches):
     def fold():
         return _folded_pairs(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
 
-    for batch in batches:
+    for batch in trimmed(batches):
         for s, keys, last, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
             if s != shard and parts:
                 yield shard, *fold()
@@ -341,7 +341,7 @@ def _counted_grams(batches, model, order, shards, wide):
     size, full = np.uint64(model.distinct + 1), np.array(sorted(counts), np.int64)
     wide_keys = np.array(sorted(names), np.uint64)
     wide_nodes = np.array([names[k] for k in sorted(names)], np.int64)
-    for batch in batches:
+    for batch in trimmed(batches):
         raw, offsets = buffer_of(batch.column(0))
         for a, b in slices(offsets, SLICE):
             row, word, _, context, _ = model.walked(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], max(2, order - 1), True)
@@ -398,7 +398,7 @@ def _level(batches, folder, model, order, wide, limit, end, final):
 
 
 def _scores(batches, model, order):
-    for batch in batches:
+    for batch in trimmed(batches):
         raw, offsets = buffer_of(batch.column(2))
         out = [[], [], [], []]
         for a, b in slices(offsets, SLICE):

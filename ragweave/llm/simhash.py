@@ -414,8 +414,8 @@ def alike(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGL
     radius, half = radius_for(similarity, words, SLACK), radius_for(similarity, (words + 1) // 2, SLACK)
     near = components(links(sets.select("fp").distinct(), radius, tile=tile, words=words, half=half), "alike").withColumnRenamed("v", "fp")
     named = cut(sets.join(near, "fp", "left").select("sid", "th", F.coalesce("root", "fp").alias("candidates")), "alike-named")
-    several = named.groupBy("candidates").count().where("count > 1").select("candidates")
-    asked = cut(named.join(several, "candidates"), "alike-asked")
+    several = named.groupBy("candidates").agg(F.count("*").alias("n")).where("n > 1")
+    asked = cut(joined_by(named, several, ["candidates"], "n", named.count()).drop("n"), "alike-asked")
     texts = seen.select("text", "th").join(asked.select("th").distinct(), "th", "left_semi").select("text")
     held = texts.mapInArrow(shipped(__name__, "_sets", shingle), "sid binary, shingles binary").groupBy("sid").agg(F.first("shingles").alias("shingles"))
     dealt = asked.select("sid", "candidates").join(held, "sid").select("candidates", "sid", "shingles").repartition("candidates").sortWithinPartitions("candidates", "sid")
