@@ -24,7 +24,7 @@ from .common import buffer_of, crc32_text, fresh_path, lowered, mixed, prefix_su
 from .eliasfano import Sequence, packed
 
 #: SHARD_BYTES is text for each shard: building one takes some twenty times the size of its keys in memory.
-ORDER, DISCOUNT, SLICE, SHARD_BYTES, FLOOR, TASKS, LEAST_WIDE = 3, 0.75, 2 << 20, 16 << 20, 1e-8, 50_000, 1000
+ORDER, DISCOUNT, SLICE, SHARD_BYTES, FLOOR, TASKS, LEAST_WIDE, ASKED = 3, 0.75, 2 << 20, 16 << 20, 1e-8, 50_000, 1000, 1 << 17
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 
 
@@ -372,8 +372,12 @@ def _level(batches, folder, model, order, wide, limit, end, final):
             context, word = keys // np.uint64(size), keys % np.uint64(size)
         else:
             own, back = np.unique(keys, return_inverse=True)
-            node = model.levels[-1].find((own // np.uint64(size)).astype(np.int64), (own % np.uint64(size)).astype(np.int64))[0]
-            context = node[back].astype(np.uint64)
+            node = np.empty(len(own), np.uint64)
+            for a in range(0, len(own), ASKED):
+                some = own[a : a + ASKED]
+                node[a : a + ASKED] = model.levels[-1].find((some // np.uint64(size)).astype(np.int64), (some % np.uint64(size)).astype(np.int64))[0].astype(np.uint64)
+            context = node[back]
+            del own, back, node, keys
             at = np.lexsort((last, context))
             context, word, counts = context[at], last[at], counts[at]
         first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
