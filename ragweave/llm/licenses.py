@@ -80,21 +80,27 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def training_set(negatives: list[str]) -> tuple[list[str], np.ndarray]:
-    """Paragraphs and their classes: templates whole, cut and set among other words; sentences of none as unknown."""
+    """Paragraphs and their classes: templates whole, cut, with a word less, and set among other words; others as unknown.
+
+    Half of the other words are made up, each time anew, so that the samples kept aside for the temperature have words
+    that the weights have never seen, as texts have.
+    """
     rng = np.random.default_rng(SEED)
     texts, classes = [], []
+    other = lambda n: [str(rng.choice(AROUND)) if rng.random() < 0.5 else "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(n)]
     for k, family in enumerate(TEMPLATES):
         for template in TEMPLATES[family]:
             words = template.split()
             for i in range(40):
                 keep = words if i % 4 else words[: max(4, len(words) * 3 // 4)]
-                before = list(rng.choice(AROUND, rng.integers(0, 5)))
-                after = list(rng.choice(AROUND, rng.integers(0, 5)))
-                texts.append(" ".join([*before, *keep, *after]))
+                if i % 3 == 1 and len(keep) > 9:
+                    gone = int(rng.integers(len(keep)))
+                    keep = [*keep[:gone], *keep[gone + 1 :]]
+                texts.append(" ".join([*other(rng.integers(0, 5)), *keep, *other(rng.integers(0, 5))]))
                 classes.append(k)
     unknown = [*NEAR * 12, *negatives]
     for i in range(200):
-        unknown.append(" ".join(rng.choice(AROUND, rng.integers(1, 8))))
+        unknown.append(" ".join(rng.choice(AROUND, rng.integers(1, 8)) if i % 2 else other(rng.integers(1, 30))))
     return [*texts, *unknown], np.array([*classes, *[len(FAMILIES) - 1] * len(unknown)])
 
 
