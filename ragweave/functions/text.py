@@ -81,15 +81,21 @@ HEAD = "Answer the query using only the supplied contexts. Be short and factual.
 TAIL = "\n\nASSISTANT:\nFINAL_ANSWER: "
 
 
+def prompt_of(query: Column, contexts: str) -> tuple[Column, Column]:
+    """(prompt, ranges) from an array column of (position, chunk, text) in order; ranges give each text's place by chunk."""
+    label = lambda x: F.concat(F.lit("CONTEXT["), x["position"].cast("string"), F.lit("]:\n"))
+    block = lambda x: F.concat(label(x), x["text"], F.lit("\n\n"))
+    before = lambda i: F.aggregate(F.slice(contexts, F.lit(1), i), F.lit(len(HEAD)), lambda a, x: a + F.length(block(x)))
+    start = lambda x, i: before(i) + F.length(label(x))
+    ranges = F.transform(contexts, lambda x, i: F.struct(x["chunk"].alias("chunk"), start(x, i).alias("start"), (start(x, i) + F.length(x["text"])).alias("end")))
+    return F.concat(F.lit(HEAD), F.array_join(F.transform(contexts, block), ""), F.lit("QUERY:\n"), query, F.lit(TAIL)), ranges
+
+
 def prompts(contexts: DataFrame, by: str, query: str, position: str, chunk: str, text: str) -> DataFrame:
     """(by, prompt, ranges): one prompt per key, contexts by position; ranges give each context's place by chunk."""
     ordered = F.array_sort(F.collect_list(F.struct(F.col(position).alias("position"), F.col(chunk).alias("chunk"), F.col(text).alias("text"))))
     grouped = contexts.groupBy(by).agg(F.first(query).alias("_query"), ordered.alias("_c"))
-    label = lambda x: F.concat(F.lit("CONTEXT["), x["position"].cast("string"), F.lit("]:\n"))
-    grouped = grouped.withColumn("_blocks", F.transform("_c", lambda x: F.concat(label(x), x["text"], F.lit("\n\n"))))
-    before = lambda i: F.aggregate(F.slice("_blocks", F.lit(1), i), F.lit(len(HEAD)), lambda a, b: a + F.length(b))
-    ranges = F.transform("_c", lambda x, i: F.struct(x["chunk"].alias("chunk"), (before(i) + F.length(label(x))).alias("start"), (before(i) + F.length(label(x)) + F.length(x["text"])).alias("end")))
-    prompt = F.concat(F.lit(HEAD), F.array_join("_blocks", ""), F.lit("QUERY:\n"), "_query", F.lit(TAIL))
+    prompt, ranges = prompt_of(F.col("_query"), "_c")
     return grouped.select(by, prompt.alias("prompt"), ranges.alias("ranges"))
 
 

@@ -54,8 +54,18 @@ def numbered(rows: DataFrame, order: str | list[str], name: str, by: list[str] |
 
 def within_quota(rows: DataFrame, quotas: DataFrame, family: str, order: list[str]) -> DataFrame:
     """The first rows of each family in ledger order, as many as its quota (family, quota) has; other families go."""
-    ranked = numbered(rows.join(F.broadcast(quotas), family), order, "_n", [family])
-    return ranked.where("_n < quota").select(*rows.columns)
+    most = 1000  # up to here a group limit before the shuffle leaves each task that many rows of a family
+    few = first_in_groups(rows.join(F.broadcast(quotas.where(F.col("quota") <= most)), family), [family], order, most, "_n").where("_n <= quota").select(*rows.columns)
+    large = quotas.where(F.col("quota") > most)
+    if large.isEmpty():
+        return few
+    return few.unionByName(numbered(rows.join(F.broadcast(large), family), order, "_n", [family]).where("_n < quota").select(*rows.columns))
+
+
+def first_in_groups(rows: DataFrame, by: list[str], order: list[str], n: int, name: str = "") -> DataFrame:
+    """The first n rows of each group; the number from 1 stays as column `name` if one is given."""
+    kept = rows.withColumn(name or "__n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(name or "__n") <= n)
+    return kept if name else kept.drop("__n")
 
 
 def shortages(rows: DataFrame, quotas: DataFrame, family: str) -> DataFrame:

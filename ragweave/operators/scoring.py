@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,13 +62,18 @@ def events(selected: DataFrame, chunks: DataFrame, queries: DataFrame, b: int, k
     chunks: (chunk_id, text, ...) whose other columns but FORBIDDEN ones go along; queries: (query_id, query).
     """
     shown = [c for c in chunks.columns if c not in FORBIDDEN]
-    rows = selected.join(chunks.select(*shown), "chunk_id").join(queries.select("query_id", "query"), "query_id")
+    return _events(selected.join(chunks.select(*shown), "chunk_id"), shown, queries, b, k)
+
+
+def _events(candidates: DataFrame, shown: list[str], queries: DataFrame, b: int, k: int) -> DataFrame:
+    rows = candidates.join(queries.select("query_id", "query"), "query_id")
     trace = F.struct("position", "chunk_id", "dense_score", "dense_rank", "rerank_score", "rerank_rank", F.lit(b).alias("dense_top_b"), F.lit(k).alias("rerank_top_k"), "dense_thr", "rerank_thr")
-    chunk = F.struct("position", *shown)
-    bare = lambda c, names: F.transform(F.array_sort(F.collect_list(c)), lambda x: F.struct(*(x[n].alias(n) for n in names)))
-    order = F.transform(F.array_sort(F.collect_list(F.struct("position", "chunk_id"))), lambda x: x["chunk_id"])
-    made = rows.groupBy("query_id").agg(F.first("query").alias("query"), bare(chunk, shown).alias("chunks"), F.array_sort(F.collect_list(trace)).alias("retrieval_trace"), order.alias("context_order"))
-    out = made.join(T.prompts(rows, "query_id", "query", "position", "chunk_id", "text"), "query_id")
+    held = F.array_sort(F.collect_list(F.struct("position", F.struct(*shown).alias("chunk"), trace.alias("trace"))))
+    made = rows.groupBy("query_id").agg(F.first("query").alias("query"), held.alias("held"))
+    made = made.withColumn("_c", F.transform("held", lambda x: F.struct(x["position"].alias("position"), x["chunk"]["chunk_id"].alias("chunk"), x["chunk"]["text"].alias("text"))))
+    prompt, ranges = T.prompt_of(F.col("query"), "_c")
+    of = lambda f: F.transform("held", f)
+    out = made.select("query_id", "query", of(lambda x: x["chunk"]).alias("chunks"), of(lambda x: x["trace"]).alias("retrieval_trace"), of(lambda x: x["chunk"]["chunk_id"]).alias("context_order"), prompt.alias("prompt"), ranges.alias("ranges"))
     return label_free(out, out.columns, FORBIDDEN)
 
 
@@ -170,12 +176,14 @@ def oracle_values(mapped: DataFrame, anchor: DataFrame, payload: DataFrame, *key
 def score_queries(vectors: DataFrame, queries: DataFrame, chunks: DataFrame, rerank: Scorer, hidden: Scorer, teacher: Scorer, full: Callable[[DataFrame], DataFrame], b: int, k: int, injected: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, atoms, events): one call from queries (query_id, query, vec) and indexed chunks to scored events.
 
-    full: from events to (query_id, full_logp), the answer's log-probability over the whole context.
+    full: from events to (query_id, full_logp), the answer's log-probability over the whole context. The selected chunks,
+    k for each query, are persisted, since events, spans and scores all read them; the caller may clear the cache.
     """
-    selected = retrieve(vectors, queries, rerank, b, k, injected)
-    event = events(selected, chunks, queries, b, k)
-    shown = chunks.select("chunk_id", "text")
-    mapped = score_events(event, selected.drop("injected").join(shown, "chunk_id"), full(event), hidden, teacher, **options)
+    shown = [c for c in chunks.columns if c not in FORBIDDEN]
+    selected = retrieve(vectors, queries, rerank, b, k, injected).drop("injected")
+    candidates = selected.join(chunks.select(*shown), "chunk_id").persist(StorageLevel.MEMORY_AND_DISK)
+    event = _events(candidates, shown, queries, b, k)
+    mapped = score_events(event, candidates.select(*selected.columns, "text"), full(event), hidden, teacher, **options).persist(StorageLevel.MEMORY_AND_DISK)
     return results(mapped, queries), mapped, event
 
 

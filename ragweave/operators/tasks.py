@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ragweave.functions.text import contains_answer
 
 from .evaluate import group_summary
-from .ledger import numbered
+from .ledger import first_in_groups
 from .stats import conformal_pvalues, flagged
 
 #: The groups and the texts of their tasks.
@@ -20,7 +20,7 @@ TITLE_BODY, BRIDGE = "Title: %s\nBody: %s", "Bridge evidence %d (%s): %s"
 def first_ids(queries: DataFrame, qrels: DataFrame, n: int) -> DataFrame:
     """The first n queries, by id as text, that qrels know."""
     known = queries.join(qrels.select("query_id").distinct(), "query_id", "left_semi")
-    return numbered(known.withColumn("query_id", F.col("query_id").cast("string")), "query_id", "_i").where(F.col("_i") < n).drop("_i")
+    return known.withColumn("query_id", F.col("query_id").cast("string")).orderBy("query_id").limit(n)
 
 
 def relevant(queries: DataFrame, qrels: DataFrame, docs: DataFrame, most: int) -> DataFrame:
@@ -51,11 +51,11 @@ def hard_benign(queries: DataFrame, qrels: DataFrame, docs: DataFrame, multi_que
     that have two. With strict, a group of fewer than n tasks is an error.
     """
     one = relevant(first_ids(queries, qrels, 2 * n), qrels, docs, 1)
-    one = numbered(one, "query_id", "_i").where(F.col("_i") < n)
+    one = one.orderBy("query_id").limit(n)
     doc = F.get("docs", 0)
-    titled = numbered(docs.where("title <> ''"), "line_no", "_i").where(F.col("_i") < n).select(F.concat(F.lit("title-body-"), "record_id").alias("query_id"), F.col("title").alias("query"), "text")
+    titled = docs.where("title <> ''").orderBy("line_no").limit(n).select(F.concat(F.lit("title-body-"), "record_id").alias("query_id"), F.col("title").alias("query"), "text")
     two = relevant(first_ids(multi_queries, multi_qrels, 5 * n), multi_qrels, multi_docs, 2).where(F.size("docs") == 2)
-    two = numbered(two, "query_id", "_i").where(F.col("_i") < n)
+    two = two.orderBy("query_id").limit(n)
     bridge = F.array_join(F.transform("docs", lambda d, i: F.format_string(BRIDGE, i + 1, d["title"], d["text"])), "\n\n")
     parts = [_task(one, "faq", datasets[0], F.format_string(FAQ, "query", doc["text"])), _task(one, "entity_locator_answer_fact", datasets[0], F.format_string(LOCATOR, doc["title"], doc["text"])), _task(titled, "title_body", datasets[0], F.format_string(TITLE_BODY, "query", "text")), _task(two, "hotpot_bridge", datasets[1], bridge)]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
@@ -73,8 +73,8 @@ def hard_benign_summary(rows: DataFrame, calibration: DataFrame, n: int = 100, c
     task that come again don't count. The first `cal` calibration scores are used; fewer, or fewer rows, are an error.
     """
     once = rows.groupBy(F.col("task_id").alias("_t")).agg(F.min_by(F.struct(*rows.columns), "ord").alias("r")).select("r.*")
-    kept = numbered(once.where(F.col("group").isin(*GROUPS)), "ord", "_i", ["group"]).where(F.col("_i") < n).drop("_i")
-    frozen = numbered(calibration, "ord", "_i").where(F.col("_i") < cal)
+    kept = first_in_groups(once.where(F.col("group").isin(*GROUPS)), ["group"], ["ord"], n)
+    frozen = calibration.orderBy("ord").limit(cal)
     have = {r["group"]: r["count"] for r in kept.groupBy("group").count().collect()}  # four rows
     if any(have.get(g, 0) < n for g in GROUPS) or frozen.count() < cal:
         raise ValueError(f"rows are missing: {have}")
@@ -90,7 +90,7 @@ def smoke(rows: DataFrame, limit: int = 20) -> DataFrame:
     its lineage is known if every text begins with the question and goes on, or has an anchor that ends where its
     payload starts. Rates without rows, or conditional without hits, are null.
     """
-    first = numbered(rows, "ord", "_i").where(F.col("_i") < limit)
+    first = rows.orderBy("ord").limit(limit)
     texts = F.coalesce("injected_adv", F.array().cast("array<string>"))
     hit = F.size(texts) > 0
     derived = F.forall(texts, lambda t: t.isNotNull() & F.startswith(t, F.col("question")) & (F.length(t) > F.length("question")))
@@ -108,7 +108,7 @@ def smoke(rows: DataFrame, limit: int = 20) -> DataFrame:
 
 def smoke_runs(samples: DataFrame, limit: int = 20) -> DataFrame:
     """(n, hit_rate, conditional, end_to_end) over the first `limit` samples (ord, hit, success) of run directories."""
-    first = numbered(samples, "ord", "_i").where(F.col("_i") < limit)
+    first = samples.orderBy("ord").limit(limit)
     n, hits, both = F.count("*"), F.count_if("hit"), F.count_if(F.col("hit") & F.col("success"))
     share = lambda a, b: F.when(b > 0, a / b)
     return first.agg(n.alias("n"), share(hits, n).alias("hit_rate"), share(both, hits).alias("conditional"), share(both, n).alias("end_to_end"))
