@@ -24,7 +24,7 @@ from .common import buffer_of, crc32_text, fresh_path, lowered, mixed, prefix_su
 from .eliasfano import Sequence, packed
 
 #: SHARD_BYTES is text for each shard: building one takes some twenty times the size of its keys in memory.
-ORDER, DISCOUNT, SLICE, SHARD_BYTES, FLOOR, TASKS, LEAST_WIDE, ASKED = 3, 0.75, 2 << 20, 16 << 20, 1e-8, 50_000, 1000, 1 << 17
+ORDER, DISCOUNT, SLICE, SHARD_BYTES, FLOOR, TASKS, LEAST_WIDE, ASKED, SCORED = 3, 0.75, 2 << 20, 16 << 20, 1e-8, 50_000, 1000, 1 << 17, 4 << 20
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 
 
@@ -272,7 +272,7 @@ def _merged(batches):
             shard = s
             parts.append((_unblob(keys.as_py(), np.uint64), _unplanes(last.as_py(), np.uint64), _unplanes(counts.as_py(), np.uint32).astype(np.int64)))
             size += len(parts[-1][0])
-            if size > 1_000_000 and len(parts) > 1:
+            if size > 3_000_000 and len(parts) > 1:
                 parts = [fold()]
                 size = 0
     if parts:
@@ -371,15 +371,17 @@ def _level(batches, folder, model, order, wide, limit, end, final):
         if order == 2:
             context, word = keys // np.uint64(size), keys % np.uint64(size)
         else:
-            own, back = np.unique(keys, return_inverse=True)
+            edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            own, often = keys[edge], np.diff(np.r_[edge, len(keys)])
             node = np.empty(len(own), np.uint64)
             for a in range(0, len(own), ASKED):
                 some = own[a : a + ASKED]
                 node[a : a + ASKED] = model.levels[-1].find((some // np.uint64(size)).astype(np.int64), (some % np.uint64(size)).astype(np.int64))[0].astype(np.uint64)
-            context = node[back]
-            del own, back, node, keys
-            at = np.lexsort((last, context))
-            context, word, counts = context[at], last[at], counts[at]
+            context, word = np.repeat(node, often), last
+            if (node[1:] < node[:-1]).any():  # only where wide contexts of other shards are among them
+                at = np.lexsort((last, context))
+                context, word, counts = context[at], last[at], counts[at]
+            del own, often, node, keys
         first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
         own, kinds = context[first], np.diff(np.r_[first, len(context)])
         total = np.add.reduceat(counts, first)
@@ -405,7 +407,7 @@ def _scores(batches, model, order):
     for batch in trimmed(batches):
         raw, offsets = buffer_of(batch.column(2))
         out = [[], [], [], []]
-        for a, b in slices(offsets, SLICE):
+        for a, b in slices(offsets, SCORED):
             row, word, count, _, p = model.walked(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order)
             first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
             out[0].append(np.diff(np.r_[first, len(row)]))
