@@ -189,22 +189,28 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start, end, row = words_in(low, offsets)
     n = len(offsets) - 1
     h = ranges_hashed(prefix_sums(low), start, end)
-    rows = np.concatenate([row, np.arange(n)])
-    order = np.argsort(rows, kind="stable")
-    return np.concatenate([h, np.full(n, END)])[order], rows[order]
+    out, rows = np.full(len(h) + n, END), np.empty(len(h) + n, np.int64)
+    word = np.arange(len(h)) + row  # an end stands after the words of every text before
+    end = np.searchsorted(row, np.arange(n), side="right") + np.arange(n)
+    out[word], rows[word], rows[end] = h, row, np.arange(n)
+    return out, rows
 
 
 def _folded(x: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(distinct values, in order; how often)."""
-    order = np.argsort(x, kind="stable")
-    x = x[order]
+    order = None if counts is None else np.argsort(x)
+    x = np.sort(x) if order is None else x[order]
     first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
-    n = np.diff(np.r_[first, len(x)]) if counts is None else np.add.reduceat(counts[order], first) if len(x) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[first, len(x)]) if order is None else np.add.reduceat(counts[order], first) if len(x) else np.zeros(0, np.int64)
     return x[first], n
 
 
 def _folded_pairs(prefix: np.ndarray, last: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(prefix, last, how often) of distinct pairs, in order."""
+    """(prefix, last, how often) of distinct pairs, in order; as one number where both fit into 64 bits."""
+    size = int(last.max()) + 1 if len(last) else 1
+    if len(prefix) and int(prefix.max()) < (1 << 64) // size - 1:
+        key, n = _folded(prefix * np.uint64(size) + last, counts)
+        return key // np.uint64(size), key % np.uint64(size), n
     order = np.lexsort((last, prefix))
     prefix, last = prefix[order], last[order]
     first = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (last[1:] != last[:-1])]) if len(prefix) else np.zeros(0, np.int64)
@@ -272,7 +278,7 @@ def _merged(batches):
             shard = s
             parts.append((_unblob(keys.as_py(), np.uint64), _unplanes(last.as_py(), np.uint64), _unplanes(counts.as_py(), np.uint32).astype(np.int64)))
             size += len(parts[-1][0])
-            if size > 3_000_000 and len(parts) > 1:
+            if size > 1_000_000 and len(parts) > 1:
                 parts = [fold()]
                 size = 0
     if parts:
@@ -324,11 +330,10 @@ class Model:
 
     def asked(self, level, context, word):
         """Level.find of each distinct pair; an unknown word has no node, but its context has a weight."""
-        with np.errstate(over="ignore"):
-            key = context.astype(np.uint64) * np.uint64(self.distinct + 1) + (word + 1).astype(np.uint64)
-        own, first, back = np.unique(key, return_index=True, return_inverse=True)
-        w = word[first]
-        node, p, weight = level.find(context[first], np.where(w >= 0, w, self.distinct))
+        size = np.uint64(self.distinct + 1)
+        own, back = np.unique(context.astype(np.uint64) * size + (word + 1).astype(np.uint64), return_inverse=True)
+        w = (own % size).astype(np.int64) - 1
+        node, p, weight = level.find((own // size).astype(np.int64), np.where(w >= 0, w, self.distinct))
         return node[back], p[back], weight[back]
 
 
