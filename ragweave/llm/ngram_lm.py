@@ -24,7 +24,7 @@ from .common import buffer_of, crc32_text, fresh_path, lowered, mixed, prefix_su
 from .eliasfano import Sequence, packed
 
 #: SHARD_BYTES is text for each shard: building one takes some twenty times the size of its keys in memory.
-ORDER, DISCOUNT, SLICE, SHARD_BYTES, FLOOR, TASKS, LEAST_WIDE, ASKED, SCORED = 3, 0.75, 2 << 20, 16 << 20, 1e-8, 50_000, 1000, 1 << 17, 4 << 20
+ORDER, DISCOUNT, SLICE, SHARD_BYTES, FLOOR, TASKS, LEAST_WIDE, ASKED, SCORED = 3, 0.75, 2 << 20, 10 << 20, 1e-8, 50_000, 1000, 1 << 17, 4 << 20
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 
 
