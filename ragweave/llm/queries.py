@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, licenses, linerules, negatives, ngram_lm, packing, quality, repeats, secrets_scan, simhash, urlfilter
+from . import alignment, decontam, jaccard, licenses, linerules, negatives, ngram_lm, packing, quality, repeats, secrets_scan, simhash, urlfilter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secrets": secrets_scan.op8_secrets,
     "op9_repeats": repeats.op9_repeats,
     "op10_line_rules": linerules.op10_line_rules,
+    "op11_token_alignment": alignment.op11_token_alignment,
     "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_jaccard_join": jaccard.op13_jaccard_join,
 }
