@@ -1,13 +1,16 @@
 """Joins of documents by the exact Jaccard similarity of their sets of word n-grams.
 
-Sets that can link share a shingle among their rarest ones: in one fixed order of all shingles, the first
-n - ceil(p * n / 100) + 1 of a set of n. The order goes by a table of hashed counts over the whole corpus, so passages
-that many documents hold come last; it decides how much is compared, never what links. Sets that share such a shingle,
-in a chain of sizes that may link, are candidates, and their components are cut into tiles: a component of more than
-`tile` bytes by bands of size, a band by hash. Sets whose sizes lie in one band or in neighbouring ones meet, the
-others never. In a tile, hashed bitmaps of the sets are compared first: the bits in which two differ bound their overlap
-from above. What the bound leaves is decided by intersecting the sorted sets. Links stay in the task that finds them: it
-sends on a spanning forest.
+Sets that can link share a shingle among their first ones: in one fixed order of all shingles, the first
+n - ceil(p * n / 100) + 1 of a set of n. In that order shingles that several sets of the corpus hold come last, as a filter
+of fixed size tells that is made of the counts of all shingles: so passages that documents share bring no sets together
+unless they make up most of them, and where the filter knows all shared shingles the others need not be looked at. The
+order decides how much is compared, never what links.
+
+Sets that share such a shingle, in a chain of sizes that may link, are candidates, and their components are cut into
+tiles: a component of more than `tile` bytes by bands of size, a band by hash. Sets whose sizes lie in one band or in
+neighbouring ones meet, the others never. In a tile, hashed bitmaps of the sets are compared first: the bits in which two
+differ bound their overlap from above. What the bound leaves is decided by intersecting the sorted sets. Links stay in
+the task that finds them: it sends on a spanning forest.
 
 A shingle is a 64-bit hash of its words' hashes, a set's name the 128-bit digest of its sorted shingles.
 """
@@ -20,10 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, components, cut, joined_by, lowered, mixed, prefix_sums, ranges_hashed, shipped, slices, words_in
+from .common import buffer_of, components, cut, joined_by, lowered, mixed, prefix_sums, ranges_hashed, shipped, slices, trimmed, words_in
 
-#: TILE is bytes of sets that a task holds at once, CROWD the counted rows of a shingle from which its sets are dealt to several tasks.
-SHINGLE, PERCENT, TILE, CROWD, BUCKETS, PARTS, SLICE, BLOCK = 5, 80, 32 << 20, 100_000, 1 << 20, 16, 4 << 20, 1 << 24
+#: TILE is bytes of sets that a task holds at once, FILTER the bits of the filter as a power of two, of which one in eight
+#: may stand for a shared shingle; shingles of CROWD sets or more are dealt to several tasks, RUN are counted at a time.
+SHINGLE, PERCENT, TILE, FILTER, CROWD, RUN, SLICE, BLOCK = 5, 80, 16 << 20, 27, 100_000, 2_000_000, 2 << 20, 1 << 24
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -70,68 +74,188 @@ def _name(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
-def _prints(batches, shingle, buckets):
-    """(doc_id, th, sid, n) of each row and, at the end, how often each bucket of shingles came, in PARTS rows."""
-    seen, kind = np.zeros(buckets, np.int64), None
-    none = lambda x, t: pa.nulls(x, t)
-    names = ["doc_id", "th", "sid", "n", "part", "counts"]
-    for batch in batches:
-        kind = batch.column(0).type
+def _packed(x: np.ndarray, dtype) -> bytes:
+    """Numbers byte plane by byte plane, which the shuffle's compression shortens well."""
+    x = np.ascontiguousarray(x.astype(dtype))
+    return x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+
+
+def _unpacked(data: pa.Scalar, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data.as_buffer(), np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def _short(name: bytes) -> int:
+    """A set's name as a long, for candidates: two sets of one short name are candidates together."""
+    return int.from_bytes(name[:8], "little", signed=True)
+
+
+def _prints(batches, shingle):
+    """(doc_id, th, sid, short, n) of each row."""
+    for batch in trimmed(batches):
         sets = _sets(*buffer_of(batch.column(2)), shingle)
-        if sets:
-            h = np.concatenate(sets)
-            seen += np.bincount((h % np.uint64(buckets)).astype(np.int64), minlength=buckets)
-        n = len(sets)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_name(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), none(n, pa.int32()), none(n, pa.binary())], names=names)
-    if kind is not None:
-        blobs = [x.tobytes() for x in np.split(seen, PARTS)]
-        yield pa.RecordBatch.from_arrays([none(PARTS, kind), none(PARTS, pa.int64()), none(PARTS, pa.binary()), none(PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], names=names)
+        names = [_name(s) for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(map(_short, names), pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "th", "sid", "short", "n"])
+
+
+def _folded(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, in order; their counts)."""
+    if counts is None:
+        keys = np.sort(keys)
+        counts = np.ones(len(keys), np.int64)
+    else:
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+
+
+_COUNTED = ["part", "keys", "often"]
+
+
+def _row(part: int, keys: np.ndarray, often: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(np.diff(keys, prepend=np.uint64(0)), np.uint64)], pa.binary()), pa.array([_packed(often, np.uint32)], pa.binary())], names=_COUNTED)
+
+
+def _keys(data: pa.Scalar) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
+
+
+def _counted(batches, shingle, bits, parts):
+    """(part, keys, often): the first `bits` bits of shingles, RUN at a time, and how many sets of the task have them."""
+    seen: set[int] = set()
+    held: list[np.ndarray] = []
+    size = 0
 
+    def rows():
+        keys, often = _folded(np.concatenate(held) >> np.uint64(64 - bits))
+        edges = np.searchsorted(keys, np.arange(parts, dtype=np.uint64) << np.uint64(bits - parts.bit_length() + 1)).tolist()
+        for p, (a, b) in enumerate(zip(edges, [*edges[1:], len(keys)])):
+            if a < b:
+                yield _row(p, keys[a:b], often[a:b])
+
+    for batch in trimmed(batches):
+        for own in _sets(*buffer_of(batch.column(0)), shingle):
+            name = _short(_name(own))
+            if len(own) and name not in seen:
+                seen.add(name)
+                held.append(own)
+                size += len(own)
+        if size > RUN:
+            yield from rows()
+            held, size = [], 0
+    if held:
+        yield from rows()
+
+
+def _shared(batches):
+    """Of rows sorted by part, the keys of each that two sets or more have."""
+    part, held, size = None, [], 0
 
-def _summed(batches):
-    """(part, counts) of rows sorted by part, summed."""
-    part, total = None, None
+    def fold():
+        return _folded(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
 
     def row():
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+        keys, often = fold()
+        return _row(part, keys[often > 1], np.minimum(often[often > 1], (1 << 32) - 1))
 
-    for batch in batches:
-        for p, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = np.frombuffer(counts.as_buffer(), np.int64)
+    for batch in trimmed(batches):
+        for p, keys, often in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
             if p != part:
-                if part is not None:
+                if held:
                     yield row()
-                part, total = p, own.copy()
-            else:
-                total += own
-    if part is not None:
+                part, held, size = p, [], 0
+            held.append((_keys(keys), _unpacked(often, np.uint32).astype(np.int64)))
+            size += len(held[-1][0])
+            if size > 2 * RUN and len(held) > 1:
+                held, size = [fold()], 0
+    if held:
         yield row()
 
 
-def _entries(batches, shingle, percent, crowd, shared):
-    """(shingle, salt, n, sid): the first shingles of each set that this task meets, in order of count and hash.
+def _levels(batches):
+    """(level, n): how many keys have counts of 2**level or more."""
+    total = np.zeros(32, np.int64)
+    for batch in batches:
+        for often in batch.column(2):
+            total += np.bincount(np.log2(_unpacked(often, np.uint32)).astype(np.int64), minlength=32)
+    yield pa.RecordBatch.from_arrays([pa.array(range(32), pa.int32()), pa.array(np.cumsum(total[::-1])[::-1])], names=["level", "n"])
+
+
+def _filtered(batches, bits, parts, least, crowd, size):
+    """(part, filter, hot, often): the part's share of the filter, and its keys of `crowd` sets or more."""
+    each = max(8, (1 << size) // parts)
+    for batch in batches:
+        for p, keys, often in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            keys, often = _keys(keys), _unpacked(often, np.uint32).astype(np.int64)
+            mask = np.zeros(each, np.uint8)
+            mask[((keys[often >= least] >> np.uint64(bits - size)) - np.uint64(p * each)).astype(np.int64)] = 1
+            hot = often >= crowd
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(mask, bitorder="little").tobytes()], pa.binary()), pa.array([keys[hot].view(np.int64)], pa.list_(pa.int64())), pa.array([often[hot]], pa.list_(pa.int64()))], names=["part", "filter", "hot", "often"])
+
+
+class Order:
+    """The order of shingles: those that the filter does not know first, each kind by hash."""
+
+    def __init__(self, mask: np.ndarray, size: int, complete: bool, bits: int, hot: np.ndarray, often: np.ndarray, crowd: int):
+        self.mask, self.size, self.complete, self.bits, self.hot, self.often, self.crowd = mask, size, complete, bits, hot, often, crowd
+
+    def first(self, own: np.ndarray, n: int) -> np.ndarray:
+        """The first n of a set, without those that no other set can have."""
+        at = (own >> np.uint64(64 - self.size)).astype(np.int64)
+        shared = (self.mask[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        first = np.argsort(shared, kind="stable")[:n]
+        return own[first[shared[first] > 0]] if self.complete else own[first]
+
+    def tasks(self, keys: np.ndarray) -> np.ndarray:
+        """Among how many tasks the sets of each shingle are dealt."""
+        out = np.ones(len(keys), np.int64)
+        if len(self.hot):
+            short = keys >> np.uint64(64 - self.bits)
+            place = np.minimum(np.searchsorted(self.hot, short), len(self.hot) - 1)
+            out += np.where(self.hot[place] == short, self.often[place] // self.crowd, 0)
+        return out
+
+
+def ordered(texts: DataFrame, shingles: int, shingle: int, crowd: int, size: int) -> Order:
+    """The order of shingles by the counts of all, which are made in ranges of hash; the driver sees the filter and at
+    most a million crowded keys."""
+    bits = min(64, max(40, shingles.bit_length() + 13))
+    parts = 1 << min(size - 3, max(4, (shingles // (2 * RUN)).bit_length()))
+    counted = texts.select("text").mapInArrow(shipped(__name__, "_counted", shingle, bits, parts), "part int, keys binary, often binary")
+    shared = cut(counted.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(shipped(__name__, "_shared"), "part int, keys binary, often binary"), "jaccard-shared")
+    levels = {r["level"]: r["n"] for r in shared.mapInArrow(shipped(__name__, "_levels"), "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()}  # 32 rows
+    level = next(i for i in range(1, 33) if levels.get(i, 0) <= (1 << size) // 8)
+    crowd = max(crowd, shingles >> 20)
+    rows = shared.mapInArrow(shipped(__name__, "_filtered", bits, parts, 1 << level, crowd, size), "part int, filter binary, hot array<long>, often array<long>").collect()  # 2**size bits in all
+    mask, each = np.zeros((1 << size) // 8, np.uint8), max(8, (1 << size) // parts) // 8
+    for r in rows:
+        mask[r["part"] * each : (r["part"] + 1) * each] = np.frombuffer(r["filter"], np.uint8)
+    hot = sorted((k % (1 << 64), n) for r in rows for k, n in zip(r["hot"], r["often"]))
+    return Order(mask, size, level == 1, bits, np.array([k for k, _ in hot], np.uint64), np.array([n for _, n in hot], np.int64), crowd)
+
+
+def _entries(batches, shingle, percent, shared):
+    """(shingle, salt, n, set): the first shingles of each set that this task meets.
 
     salt: 0, or from 1 the task among which the sets of a crowded shingle are dealt.
     """
-    seen: set[bytes] = set()
-    total = shared.value
-    names = ["shingle", "salt", "n", "sid"]
-    for batch in batches:
-        keys, salts, sizes, sids = [], [], [], []
+    seen: set[int] = set()
+    order = shared.value
+    for batch in trimmed(batches):
+        keys, salts, sizes, names = [], [], [], []
         for own in _sets(*buffer_of(batch.column(0)), shingle):
-            if not len(own) or (sid := _name(own)) in seen:
+            if not len(own) or (name := _short(_name(own))) in seen:
                 continue
-            seen.add(sid)
-            often = total[(own % np.uint64(len(total))).astype(np.int64)]
-            at = np.argsort(often, kind="stable")[: prefix_size(len(own), percent)]
-            tasks = often[at] // crowd + 1
-            keys.append(own[at])
-            salts.append(np.where(tasks > 1, 1 + int.from_bytes(sid[:6], "little") % tasks, 0))
-            sizes.append(np.full(len(at), len(own)))
-            sids.append((sid, len(at)))
+            seen.add(name)
+            first = order.first(own, prefix_size(len(own), percent))
+            tasks = order.tasks(first)
+            keys.append(first)
+            salts.append(np.where(tasks > 1, 1 + name % tasks, 0))
+            sizes.append(np.full(len(first), len(own)))
+            names.append(np.full(len(first), name))
         if keys:
-            name = pa.array([s for s, _ in sids], pa.binary()).take(pa.array(np.repeat(np.arange(len(sids)), [n for _, n in sids])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(salts), pa.int32()), pa.array(np.concatenate(sizes), pa.int64()), name], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(salts), pa.int32()), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(names), pa.int64())], names=["shingle", "salt", "n", "set"])
 
 
 def _chained(batches, percent):
@@ -139,28 +263,26 @@ def _chained(batches, percent):
     (shingle, band, a) of the first set of each band, with which the parts of a shingle are joined again."""
     last, edges = None, np.array(bands(percent))
     for batch in batches:
-        key, salt, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        sid = batch.column(3)
+        key, salt, n, name = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         if not len(key):
             continue
         if last is not None:
-            key, salt, n = np.r_[last[0], key], np.r_[last[1], salt], np.r_[last[2], n]
-            sid = pa.concat_arrays([pa.array([last[3]], pa.binary()), sid])
+            key, salt, n, name = (np.r_[x, y] for x, y in zip(last, (key, salt, n, name)))
         same = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])
-        near = np.flatnonzero(same & (100 * n[:-1] >= percent * n[1:]))
-        a, b = sid.take(pa.array(near)), sid.take(pa.array(near + 1))
+        near = np.flatnonzero(same & (100 * n[:-1] >= percent * n[1:]) & (name[1:] != name[:-1]))
+        pairs = np.unique(np.stack([name[near], name[near + 1]], 1), axis=0)
         band = np.searchsorted(edges, n, side="right") - 1
-        # a chain may break inside a band only with its key, so the first of each band stands for the chain there
+        # a chain breaks inside a band only with its key, so the first of each band stands for the chain there
         head = np.flatnonzero((np.r_[last is None, ~same | (band[1:] != band[:-1])]) & (salt > 0))
-        last = key[-1], salt[-1], n[-1], sid[-1].as_py()
+        last = key[-1:], salt[-1:], n[-1:], name[-1:]
         nulls = lambda x, t: pa.nulls(len(x), t)
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([a, sid.take(pa.array(head))]), pa.concat_arrays([b, nulls(head, pa.binary())]), pa.concat_arrays([nulls(near, pa.int64()), pa.array(key[head])]), pa.concat_arrays([nulls(near, pa.int32()), pa.array(band[head], pa.int32())])], names=["a", "b", "shingle", "band"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[pairs[:, 0], name[head]]), pa.concat_arrays([pa.array(pairs[:, 1]), nulls(head, pa.int64())]), pa.concat_arrays([nulls(pairs, pa.int64()), pa.array(key[head])]), pa.concat_arrays([nulls(pairs, pa.int32()), pa.array(band[head], pa.int32())])], names=["a", "b", "shingle", "band"])
 
 
 def _named_sets(batches, shingle):
     """(sid, shingles) of each text that this task has not met before; equal texts have equal th."""
     seen: set[int] = set()
-    for batch in batches:
+    for batch in trimmed(batches):
         th = batch.column(0).to_pylist()
         fresh = [i for i, t in enumerate(th) if not (t in seen or seen.add(t))]
         sets = _sets(*buffer_of(batch.column(1).take(pa.array(fresh, pa.int64()))), shingle)
@@ -325,7 +447,7 @@ def _tiled(members: DataFrame, percent: int, tile: int) -> DataFrame:
     return small.unionByName(sent.select("group", F.col("p.part").alias("part"), F.col("p.role").alias("role"), "sid"))
 
 
-def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, tile: int = TILE, crowd: int = CROWD, buckets: int = BUCKETS) -> DataFrame:
+def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, tile: int = TILE, crowd: int = CROWD, size: int = FILTER) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the least doc_id that links reach, its own included).
 
     Two documents link if the intersection of their sets of distinct shingles is at least `percent` hundredths of the
@@ -337,20 +459,19 @@ def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, tile
         raise ValueError("percent must be above 0 and at most 100")
     spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
     seen = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    both = cut(seen.mapInArrow(shipped(__name__, "_prints", shingle, buckets), f"doc_id {kind}, th long, sid binary, n long, part int, counts binary"), "jaccard-prints")
-    prints = both.where("part is null").select("doc_id", "th", "sid", "n")
-    parts = both.where("part is not null").select("part", "counts").repartition(PARTS, "part").sortWithinPartitions("part").mapInArrow(shipped(__name__, "_summed"), "part int, counts binary").collect()  # `buckets` counts in all
-    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(parts, key=lambda r: r["part"])]) if parts else np.zeros(buckets, np.int64)
-    sets = cut(prints.groupBy("sid", "n").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.count("*").alias("copies")), "jaccard-sets")
-    entries = seen.select("text").mapInArrow(shipped(__name__, "_entries", shingle, percent, crowd, spark.sparkContext.broadcast(counts)), "shingle long, salt int, n long, sid binary")
-    dealt = entries.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "sid")
-    near = cut(dealt.mapInArrow(shipped(__name__, "_chained", percent), "a binary, b binary, shingle long, band int"), "jaccard-near")
+    prints = cut(seen.mapInArrow(shipped(__name__, "_prints", shingle), f"doc_id {kind}, th long, sid binary, short long, n long"), "jaccard-prints")
+    rows, shingles = prints.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sets = cut(prints.groupBy("sid", "short", "n").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.count("*").alias("copies")), "jaccard-sets")
+    order = ordered(seen, shingles, shingle, crowd, size)
+    entries = seen.select("text").mapInArrow(shipped(__name__, "_entries", shingle, percent, spark.sparkContext.broadcast(order)), "shingle long, salt int, n long, set long")
+    dealt = entries.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "set")
+    near = cut(dealt.mapInArrow(shipped(__name__, "_chained", percent), "a long, b long, shingle long, band int"), "jaccard-near")
     heads = near.where("b is null").groupBy("shingle", "band").agg(F.min("a").alias("a"))
     beside = heads.select("shingle", (F.col("band") + 1).alias("band"), F.col("a").alias("b"))
     same = near.where("b is null").drop("b").join(heads.withColumnRenamed("a", "b"), ["shingle", "band"])
     edges = near.where("b is not null").select("a", "b").union(same.select("a", "b")).union(heads.join(beside, ["shingle", "band"]).select("a", "b"))
-    groups = components(edges, "jaccard-near").withColumnRenamed("v", "sid").withColumnRenamed("root", "group")
-    members = cut(sets.join(groups, "sid").select("sid", "n", "th", "group"), "jaccard-members")
+    groups = components(edges, "jaccard-near").withColumnRenamed("v", "short").withColumnRenamed("root", "group")
+    members = cut(sets.join(groups, "short").select("sid", "n", "th", "group"), "jaccard-members")
     texts = seen.select("th", "text").join(members.select("th").distinct(), "th", "left_semi")
     held = texts.mapInArrow(shipped(__name__, "_named_sets", shingle), "sid binary, shingles binary").groupBy("sid").agg(F.first("shingles").alias("shingles"))
     sent = _tiled(members.select("sid", "n", "group"), percent, tile).join(held, "sid").select("group", "part", "role", "sid", "shingles").repartition("group", "part").sortWithinPartitions("group", "part", "role", "sid")
@@ -361,7 +482,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, tile
     # an empty set links to nothing, so its documents stand alone
     ids = sets.where("n > 0").join(member.join(lowest, "root").select("sid", "lowest"), "sid", "left").select("sid", "copies", F.coalesce("lowest", "least").alias("component_id"))
     full, empty = prints.where("n > 0"), prints.where("n = 0")
-    named = joined_by(full, ids, ["sid"], "copies", prints.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = joined_by(full, ids, ["sid"], "copies", rows).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return named.unionByName(empty.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
