@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ragweave.functions.ship import shipped
 from ragweave.functions.text import finite
 
 
@@ -15,41 +17,129 @@ def _ranked(df: DataFrame, by: str, score: str, chunk: str, rank: str) -> DataFr
     return df.withColumn(rank, F.row_number().over(W.partitionBy(by).orderBy(F.desc(score), chunk)))
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+class TopK:
+    """The k best vectors of each query, from blocks of vectors of any id; memory is k ids a query and one block.
+
+    Vectors come by rising code; ids and the rest of what was admitted are kept by code, and codes that no query holds any
+    more are dropped. Equal scores (to 12 digits) go by id, in the order of its type.
+    """
+
+    #: Vectors that are scored at once; a block of 4096 queries then has 1 M scores.
+    BLOCK = 256
+
+    def __init__(self, matrix: np.ndarray, k: int):
+        self.matrix, self.k, self.ids = matrix, k, None
+        self.query, self.code, self.score = (np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+        self.least = np.full(len(matrix), -np.inf)
+
+    def add(self, ids: pa.Array, x: np.ndarray) -> None:
+        for at in range(0, len(x), self.BLOCK):
+            self._block(ids.slice(at, self.BLOCK), x[at : at + self.BLOCK])
+
+    def _block(self, ids: pa.Array, x: np.ndarray) -> None:
+        score = self.matrix @ x.T
+        key = np.round(score, 12)
+        # what neither the best so far nor the k best of this block can push out; ties stay for the ids to decide
+        least = self.least
+        if key.shape[1] > self.k:
+            least = np.maximum(least, np.partition(key, key.shape[1] - self.k, axis=1)[:, key.shape[1] - self.k])
+        q, c = np.nonzero(key >= least[:, None])
+        if not len(q):
+            return
+        held = 0 if self.ids is None else len(self.ids)
+        own, code = np.unique(c, return_inverse=True)
+        some = ids.take(pa.array(own))
+        self.ids = some if self.ids is None else pa.concat_arrays([self.ids, some])
+        self.query, self.code, self.score = np.r_[self.query, q], np.r_[self.code, held + code], np.r_[self.score, score[q, c]]
+        self._trim()
+
+    def _trim(self) -> None:
+        place = np.empty(len(self.ids), np.int64)
+        place[pc.array_sort_indices(self.ids, null_placement="at_start").to_numpy()] = np.arange(len(self.ids))
+        key = np.round(self.score, 12)
+        order = np.lexsort((place[self.code], -key, self.query))
+        query = self.query[order]
+        begin = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+        within = np.arange(len(query)) - np.repeat(begin, np.diff(np.r_[begin, len(query)]))
+        last = order[within == self.k - 1]
+        self.least[self.query[last]] = key[last]
+        kept = order[within < self.k]
+        self.query, self.score = self.query[kept], self.score[kept]
+        own, self.code = np.unique(self.code[kept], return_inverse=True)
+        self.ids = self.ids.take(pa.array(own))
+
+    def rows(self, queries: pa.Array) -> pa.RecordBatch | None:
+        if self.ids is None:
+            return None
+        return pa.RecordBatch.from_arrays([queries.take(pa.array(self.query)), self.ids.take(pa.array(self.code)), pa.array(self.score)], names=["query_id", "chunk_id", "score"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _scanned(batches, shared, k):
+    """Vectors against one block of queries that every task holds."""
+    ids, x = shared.value
+    best = TopK(x, k)
+    for batch in batches:
+        if batch.num_rows:
+            best.add(batch.column(0), _matrix(batch.column(1)))
+    if (rows := best.rows(ids)) is not None:
+        yield rows
+
+
+def _visited(batches, k, block):
+    """Rows sorted by part and role: the vectors of a part are held, queries come to them `block` at a time."""
+    part, held = None, []
+
+    for batch in batches:
+        keys, roles = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        edges = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]) | (roles[1:] != roles[:-1])) + 1, len(keys)].tolist() if len(keys) else [0]
+        for a, b in zip(edges, edges[1:]):
+            some = batch.slice(a, b - a)
+            if keys[a] != part:
+                part, held = keys[a], []
+            if roles[a] == 0:
+                held.append((some.column(3), _matrix(some.column(4))))
+                continue
+            for at in range(0, b - a, block):
+                own = some.slice(at, block)
+                best = TopK(_matrix(own.column(4)), k)
+                for ids, x in held:
+                    best.add(ids, x)
+                if (rows := best.rows(own.column(2))) is not None:
+                    yield rows
+
+
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096, part_bytes: int = 64 << 20) -> DataFrame:
     """(query_id, chunk_id, score, rank): exact inner products, ties by chunk_id.
 
-    vectors: (chunk_id, vec), queries: (query_id, vec). Queries go through in blocks of at most `block`, each sent to
-    every task, where one matrix product per batch keeps the k best of each query; a window then ranks k rows per
-    query and task. All queries and all vectors take part.
+    vectors: (chunk_id, vec), queries: (query_id, vec), ids of any type that can be ordered. Rows without a vector, or
+    with a component that is no number, take no part. Up to `block` queries are sent to every task, and the vectors are scanned where they lie. More of them visit
+    parts of the vectors of about `part_bytes`, so that the vectors are moved once, whatever the number of queries. A
+    task keeps k rows of each query that it is at; a window then ranks k rows per query and task.
     """
+    kinds = {"query_id": dict(queries.dtypes)["query_id"], "chunk_id": dict(vectors.dtypes)["chunk_id"]}
+    schema = f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double"
     spark = vectors.sparkSession
-    found = None
-    numbered = queries.select("query_id", "vec").withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // block)))))
-    blocks = [r[0] for r in numbered.select("_b").distinct().orderBy("_b").collect()]
-    for b in blocks:
-        rows = numbered.where(F.col("_b") == b).orderBy("query_id").collect()
-        ids, matrix = [r["query_id"] for r in rows], np.array([r["vec"] for r in rows], np.float64)
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def best(batches, shared=shared, k=k):
-            ids, matrix = shared.value
-            top_s, top_c = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                chunk = batch.column(0).to_numpy(zero_copy_only=False)
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(chunk), -1).astype(np.float64)
-                s = np.concatenate([top_s, matrix @ x.T], axis=1)
-                c = np.concatenate([top_c, np.broadcast_to(chunk, (len(ids), len(chunk)))], axis=1)
-                order = np.lexsort((c, -np.round(s, 12)), axis=1)[:, :k]
-                top_s, top_c = np.take_along_axis(s, order, 1), np.take_along_axis(c, order, 1)
-            n = top_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array([i for i in ids for _ in range(n)], pa.int64()), pa.array(top_c.ravel(), pa.int64()), pa.array(top_s.ravel(), pa.float64())], names=["query_id", "chunk_id", "score"])
-
-        part = vectors.select("chunk_id", "vec").mapInArrow(best, "query_id long, chunk_id long, score double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, chunk_id long, score double")
+    whole = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v))
+    vectors = vectors.select("chunk_id", F.col("vec").cast("array<double>").alias("vec")).where(whole)
+    queries = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec")).where(whole)
+    few = queries.limit(block + 1).toArrow()  # block + 1 rows at most
+    if few.num_rows <= block:
+        ids = few.column("query_id").combine_chunks()
+        found = vectors.mapInArrow(shipped(__name__, "_scanned", spark.sparkContext.broadcast((ids, _matrix(few.column("vec")))), k), schema) if len(ids) else spark.createDataFrame([], schema)
+    else:
+        size = vectors.agg(F.sum(8 * F.size("vec") + 32)).first()[0] or 0
+        parts = max(1, -(-size // part_bytes))
+        none = lambda name: F.lit(None).cast(kinds[name]).alias(name)
+        held = vectors.select(F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).alias("part"), F.lit(0).cast("byte").alias("role"), none("query_id"), "chunk_id", "vec")
+        visits = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(1).cast("byte").alias("role"), "query_id", none("chunk_id"), "vec")
+        dealt = held.unionByName(visits).repartition(parts, "part").sortWithinPartitions("part", "role")
+        found = dealt.mapInArrow(shipped(__name__, "_visited", k, min(block, 1024)), schema)
     return _ranked(found.withColumn("_s", F.round("score", 12)), "query_id", "_s", "chunk_id", "rank").where(F.col("rank") <= k).drop("_s")
 
 

@@ -154,6 +154,18 @@ def dense_topk(spark, d):
     return _pool(spark, d).drop("rerank_score")
 
 
+_NAMED = """v AS (SELECT 'é' || vec_id AS chunk_id, vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT 'q' || q.vec_id AS query_id, v.chunk_id, list_dot_product(q.v, v.v) AS x FROM v q, v WHERE q.vec_id % 3 = 0)"""
+
+
+@query("named_topk", f"WITH {_NAMED} SELECT query_id, chunk_id, round(x, 6) AS dense_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(x, 12) DESC, chunk_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10")
+def named_topk(spark, d):
+    """The ten best of all vectors for every third one, both by name."""
+    e = _read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    name = lambda head: F.concat(F.lit(head), F.col("vec_id").cast("string"))
+    top = R.dense_topk(e.select(name("é").alias("chunk_id"), "vec"), e.where("vec_id % 3 = 0").select(name("q").alias("query_id"), "vec"), 10)
+    return top.select("query_id", "chunk_id", F.round("score", 6).alias("dense_score"), "rank")
+
+
 @query("rerank_two_stage", f"WITH {_VEC}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS rerank_rank FROM pool) SELECT query_id, chunk_id, rerank_score, CAST(rerank_rank AS INTEGER) AS rerank_rank, CAST(rerank_rank - 1 AS INTEGER) AS position FROM r WHERE rerank_rank <= 5")
 def rerank_two_stage(spark, d):
     return R.context(R.reranked(_pool(spark, d)), 5).select("query_id", "chunk_id", "rerank_score", "rerank_rank", "position")
@@ -273,9 +285,9 @@ def normalize_contains(spark, d):
     return _read(spark, d, "conversations").select("conv_id", "turn", T.normalised(F.col("text")).alias("n"), T.contains_answer(F.col("text"), F.lit("The")).alias("hit"))
 
 
-@query("parse_final_answer", "SELECT conv_id, turn, substr(split_part(trim(text), chr(10), 1), 1, 40) AS want FROM conversations WHERE trim(split_part(trim(text), chr(10), 1)) <> ''")
+@query("parse_final_answer", "SELECT conv_id, turn, split_part(trim(text), chr(10), 1) AS want FROM conversations WHERE trim(split_part(trim(text), chr(10), 1)) <> ''")
 def parse_final_answer(spark, d):
-    first = F.substring(F.split_part(F.trim("text"), F.lit("\n"), F.lit(1)), 1, 40)
+    first = F.split_part(F.trim("text"), F.lit("\n"), F.lit(1))
     rows = _read(spark, d, "conversations").where(F.trim(F.split_part(F.trim("text"), F.lit("\n"), F.lit(1))) != "")
     return rows.select("conv_id", "turn", F.when(T.final_answer(F.concat(F.lit("note\nFinal_Answer : "), first, F.lit("\nrest"))) == F.trim(first), first).alias("want"))
 
@@ -473,8 +485,8 @@ def _retrieval_inputs(spark, d):
 
 
 def _texts(spark, d):
-    """The first chunk of the document of a vector's number, for the vector and for its injected copy."""
-    c = _chunks(spark, d).where("chunk_no = 0")
+    """The whole document of a vector's number, for the vector and for its injected copy."""
+    c = _read(spark, d, "documents").where("text is not null")
     both = F.explode(F.array(F.col("doc_id"), -1 - F.col("doc_id")))
     return c.select(both.alias("chunk_id"), "text", F.col("doc_id").alias("source_doc_id"), (F.col("doc_id") % 2 == 0).alias("injected"))
 
@@ -490,10 +502,10 @@ def retrieve_with_injected(spark, d):
     return _round(s, "dense_thr", "rerank_thr", "dense_mad", "rerank_mad")
 
 
-_TEXTS = """texts AS (SELECT unnest([c.doc_id, -1 - c.doc_id]) AS chunk_id, c.doc_id, tok_start, tok_end, c.char_start, substr(text, c.char_start + 1, c.char_end - c.char_start) AS text FROM chunks c JOIN documents USING (doc_id) WHERE chunk_no = 0)"""
+_TEXTS = """texts AS (SELECT unnest([doc_id, -1 - doc_id]) AS chunk_id, doc_id, text FROM documents WHERE text IS NOT NULL)"""
 
 
-@query("detector_events", f"""WITH {_POOLED}, {_CHUNK}, {_TEXTS}, x AS (SELECT sel.*, text FROM sel JOIN texts USING (chunk_id))
+@query("detector_events", f"""WITH {_POOLED}, {_TEXTS}, x AS (SELECT sel.*, text FROM sel JOIN texts USING (chunk_id))
 SELECT query_id, string_agg(chunk_id, ',' ORDER BY rerank_rank) AS context, string_agg(dense_rank || ':' || rerank_rank, ',' ORDER BY rerank_rank) AS trace,
 sha256('{T.HEAD}' || string_agg('CONTEXT[' || (rerank_rank - 1) || ']:' || chr(10) || text || chr(10) || chr(10), '' ORDER BY rerank_rank) || 'QUERY:' || chr(10) || 'what about ' || query_id || '?' || chr(10) || chr(10) || 'ASSISTANT:' || chr(10) || 'FINAL_ANSWER: ') AS prompt_hash, sum(length(text))::BIGINT AS n_chars FROM x GROUP BY query_id""")
 def detector_events(spark, d):
@@ -505,10 +517,10 @@ def detector_events(spark, d):
     return event.select("query_id", F.array_join(F.col("context_order").cast("array<string>"), ",").alias("context"), F.array_join(F.transform("retrieval_trace", lambda t: F.concat_ws(":", t["dense_rank"].cast("string"), t["rerank_rank"].cast("string"))), ",").alias("trace"), F.sha2("prompt", 256).alias("prompt_hash"), F.when(same, F.length(own)).cast("long").alias("n_chars"))
 
 
-_EFFECTS = f"""{_POOLED}, {_CHUNK}, {_TEXTS},
-sv AS (SELECT chunk_id, v, v + 32 * j AS s, min(t.char_start) - x.char_start AS st, max(t.char_end) - x.char_start AS en, first(length(x.text)) AS n FROM texts x, (SELECT unnest([0, 16]) AS v), (SELECT unnest(range(2)) AS j), tokens t
-  WHERE t.doc_id = x.doc_id AND v + 32 * j < tok_end - tok_start AND token_index >= tok_start + v + 32 * j AND token_index < least(tok_start + v + 32 * j + 32, tok_end) GROUP BY chunk_id, v, j, x.char_start),
-eff AS (SELECT query_id, chunk_id, v, s, st, en, least((dense_score - dense_thr) / dense_mad, (rerank_score - rerank_thr) / rerank_mad) - least((dense_score * (1 - (en - st) / n::DOUBLE / 2) - dense_thr) / dense_mad, (rerank_score - (s + v + 1) % 7 / 10e0 - rerank_thr) / rerank_mad) AS r_eff,
+_EFFECTS = f"""{_POOLED}, {_TOK}, {_TEXTS},
+chosen AS (SELECT DISTINCT chunk_id, doc_id, length(text) AS n FROM sel JOIN texts USING (chunk_id)),
+sv AS (SELECT chunk_id, v, v + 32 * ((token_index - v) // 32) AS s, min(t.char_start) AS st, max(t.char_end) AS en, first(n) AS n FROM chosen x, (SELECT unnest([0, 16]) AS v), tokens t WHERE t.doc_id = x.doc_id AND token_index >= v GROUP BY chunk_id, v, (token_index - v) // 32),
+eff AS (SELECT query_id, chunk_id, v, s, st, en, least((dense_score - dense_thr) / dense_mad, (rerank_score - rerank_thr) / rerank_mad) - least((dense_score * (1 - (en - st) / n::DOUBLE / 2) - dense_thr) / dense_mad, (rerank_score - (s + v + 1) % 7 / 10e0 - abs(chunk_id) % 97 / 10000e0 - rerank_thr) / rerank_mad) AS r_eff,
   -0.5e0 + 1 + (st * 7 + abs(chunk_id) + query_id) % 11 / 10e0 - 0.7e0 AS g_eff FROM sel JOIN sv USING (chunk_id)),
 top AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(greatest(r_eff, 0)), 6) DESC, chunk_id) AS k FROM eff GROUP BY query_id, chunk_id)"""
 _ROLES = """pts AS (SELECT DISTINCT query_id, chunk_id, unnest([st, en]) AS p FROM spans),
@@ -521,7 +533,7 @@ roles AS (SELECT query_id, chunk_id, first(r_mass) AS r_mass, first(g_mass) AS g
 def _hidden(spans: DataFrame) -> DataFrame:
     """A stand-in for scores of a chunk without a span."""
     dense = F.col("dense_score") * (1 - (F.col("end") - F.col("start")) / F.col("n_chars") / 2)
-    return spans.select(*C.SPAN, dense.alias("dense"), (F.col("rerank_score") - (F.col("tok_start") + F.col("view") + 1) % 7 / F.lit(10.0)).alias("rerank"))
+    return spans.select(*C.SPAN, dense.alias("dense"), (F.col("rerank_score") - (F.col("tok_start") + F.col("view") + 1) % 7 / F.lit(10.0) - F.abs("chunk_id") % 97 / F.lit(10000.0)).alias("rerank"))
 
 
 def _teacher(spans: DataFrame) -> DataFrame:
@@ -616,15 +628,15 @@ def mechanism_tests(spark, d):
 
 
 _HB = """qs AS (SELECT CAST(item_id AS VARCHAR) AS query_id, text FROM benchmark), rel AS (SELECT CAST(item_id AS VARCHAR) AS query_id, CAST(item_id * 3 + j AS VARCHAR) AS doc, item_id * 10 + j AS ord, (item_id + j) % 3 AS score FROM benchmark, (SELECT unnest(range(4)) AS j)),
-ds AS (SELECT CAST(doc_id AS VARCHAR) AS doc, doc_id AS line_no, CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang END AS title, substr(text, 1, 200) AS text FROM documents),
+ds AS (SELECT CAST(doc_id AS VARCHAR) AS doc, doc_id AS line_no, CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang END AS title, text FROM documents),
 ids AS (SELECT query_id, text, row_number() OVER (ORDER BY query_id) - 1 AS i FROM qs),
 hits AS (SELECT ids.query_id, ids.text AS query, i, ord, doc, title, ds.text, row_number() OVER (PARTITION BY ids.query_id ORDER BY ord, doc) AS r, count(*) OVER (PARTITION BY ids.query_id) AS c FROM ids JOIN rel USING (query_id) JOIN ds USING (doc) WHERE score > 0),
-one AS (SELECT *, row_number() OVER (ORDER BY query_id) AS k FROM hits WHERE r = 1 AND i < 10), titled AS (SELECT *, row_number() OVER (ORDER BY line_no) AS k FROM ds WHERE title <> ''),
-two AS (SELECT query_id, query, string_agg('Bridge evidence ' || r || ' (' || title || '): ' || text, chr(10) || chr(10) ORDER BY r) AS t FROM hits WHERE r <= 2 AND c >= 2 AND i < 25 GROUP BY query_id, query),
-tasks AS (SELECT 'faq' AS "group", query_id, 'FAQ' || chr(10) || 'Question: ' || query || chr(10) || 'Correct answer context: ' || text AS t FROM one WHERE k <= 5
-UNION ALL SELECT 'entity_locator_answer_fact', query_id, 'Entity locator: ' || title || chr(10) || 'Answer fact: ' || text FROM one WHERE k <= 5
-UNION ALL SELECT 'title_body', 'title-body-' || doc, 'Title: ' || title || chr(10) || 'Body: ' || text FROM titled WHERE k <= 5
-UNION ALL SELECT 'hotpot_bridge', query_id, t FROM (SELECT *, row_number() OVER (ORDER BY query_id) AS k FROM two) WHERE k <= 5)"""
+one AS (SELECT *, row_number() OVER (ORDER BY query_id) AS k FROM hits WHERE r = 1 AND i < 200), titled AS (SELECT *, row_number() OVER (ORDER BY line_no) AS k FROM ds WHERE title <> ''),
+two AS (SELECT query_id, query, string_agg('Bridge evidence ' || r || ' (' || title || '): ' || text, chr(10) || chr(10) ORDER BY r) AS t FROM hits WHERE r <= 2 AND c >= 2 AND i < 500 GROUP BY query_id, query),
+tasks AS (SELECT 'faq' AS "group", query_id, 'FAQ' || chr(10) || 'Question: ' || query || chr(10) || 'Correct answer context: ' || text AS t FROM one WHERE k <= 100
+UNION ALL SELECT 'entity_locator_answer_fact', query_id, 'Entity locator: ' || title || chr(10) || 'Answer fact: ' || text FROM one WHERE k <= 100
+UNION ALL SELECT 'title_body', 'title-body-' || doc, 'Title: ' || title || chr(10) || 'Body: ' || text FROM titled WHERE k <= 100
+UNION ALL SELECT 'hotpot_bridge', query_id, t FROM (SELECT *, row_number() OVER (ORDER BY query_id) AS k FROM two) WHERE k <= 100)"""
 
 
 @query("hard_benign_tasks", f"""WITH {_HB} SELECT "group", query_id, sha256(t) AS text_hash FROM tasks""")
@@ -632,8 +644,8 @@ def hard_benign_tasks(spark, d):
     b = _read(spark, d, "benchmark")
     queries = b.select(F.col("item_id").cast("string").alias("query_id"), "text")
     qrels = b.select("item_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j")).select(F.col("item_id").cast("string").alias("query_id"), (F.col("item_id") * 3 + F.col("j")).cast("string").alias("source_doc_id"), (F.col("item_id") * 10 + F.col("j")).alias("ord"), ((F.col("item_id") + F.col("j")) % 3).alias("score"))
-    docs = _read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.col("doc_id").alias("line_no"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("lang")).alias("title"), F.substring("text", 1, 200).alias("text"))
-    return X.hard_benign(queries, qrels, docs, queries, qrels, docs, 5, strict=False).select("group", "query_id", F.sha2("text", 256).alias("text_hash"))
+    docs = _read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.col("doc_id").alias("line_no"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("lang")).alias("title"), "text")
+    return X.hard_benign(queries, qrels, docs, queries, qrels, docs, strict=False).select("group", "query_id", F.sha2("text", 256).alias("text_hash"))
 
 
 @query("smoke", "WITH x AS (SELECT conv_id * 100 + turn AS ord, text, (conv_id + turn) % 3 > 0 AS hit, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS n, trim(regexp_replace(lower(substr(text, 5, 9)), '[^a-z0-9]+', ' ', 'g')) AS want FROM conversations), f AS (SELECT * FROM x ORDER BY ord LIMIT 20) SELECT count(*) AS n, count_if(hit) / count(*)::DOUBLE AS hit_rate, count_if(hit AND want <> '' AND contains(n, want)) / nullif(count_if(hit), 0)::DOUBLE AS conditional, count_if(hit AND want <> '' AND contains(n, want)) / count(*)::DOUBLE AS end_to_end, count_if(hit)::BIGINT AS lineage FROM f")
