@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import buffer_of, components, cut, joined_by, lowered, mixed, prefix_sums, ranges_hashed, shipped, slices, trimmed, words_in
 
 #: TILE is bytes of sets that a task holds at once, FILTER the bits of the filter as a power of two, of which one in eight
-#: may stand for a shared shingle; shingles of CROWD sets or more are dealt to several tasks, RUN are counted at a time.
-SHINGLE, PERCENT, TILE, FILTER, CROWD, RUN, SLICE, BLOCK = 5, 80, 16 << 20, 27, 100_000, 2_000_000, 2 << 20, 1 << 24
+#: may stand for a shared shingle; shingles of CROWD sets or more are dealt to several tasks. RUN shingles are counted at a
+#: time, in ranges of about as many each, of which there are at most PARTS.
+SHINGLE, PERCENT, TILE, FILTER, CROWD, RUN, PARTS, SLICE, BLOCK = 5, 80, 16 << 20, 27, 100_000, 1 << 20, 1 << 18, 2 << 20, 1 << 24
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -221,9 +222,9 @@ def ordered(texts: DataFrame, shingles: int, shingle: int, crowd: int, size: int
     """The order of shingles by the counts of all, which are made in ranges of hash; the driver sees the filter and at
     most a million crowded keys."""
     bits = min(64, max(40, shingles.bit_length() + 13))
-    parts = 1 << min(size - 3, max(4, (shingles // (2 * RUN)).bit_length()))
+    parts = min(1 << size - 3, PARTS, 1 << max(4, (shingles // RUN).bit_length()))
     counted = texts.select("text").mapInArrow(shipped(__name__, "_counted", shingle, bits, parts), "part int, keys binary, often binary")
-    shared = cut(counted.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(shipped(__name__, "_shared"), "part int, keys binary, often binary"), "jaccard-shared")
+    shared = cut(counted.repartition(min(parts, 50_000), "part").sortWithinPartitions("part").mapInArrow(shipped(__name__, "_shared"), "part int, keys binary, often binary"), "jaccard-shared")
     levels = {r["level"]: r["n"] for r in shared.mapInArrow(shipped(__name__, "_levels"), "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()}  # 32 rows
     level = next(i for i in range(1, 33) if levels.get(i, 0) <= (1 << size) // 8)
     crowd = max(crowd, shingles >> 20)
