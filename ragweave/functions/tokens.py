@@ -24,6 +24,8 @@ Tokenizer = Callable[[list[str]], list[Encoded]]
 SPACES = np.array([*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 #: Characters that are looked at together.
 BLOCK = 1 << 20
+#: Columns of chunks().
+CHUNK = ["chunk_no", "tok_start", "tok_end", "char_start", "char_end", "text", "chunk_id", "chunker_hash"]
 
 
 class Whitespace:
@@ -148,12 +150,12 @@ def _chunk_rows(texts, given, tokenizer, size, overlap):
     return np.array(cols[0], np.int64), [pa.array(c, k) for c, k in zip(cols[1:], kinds)]
 
 
-def chunks(docs: DataFrame, size: int = 256, overlap: int = 32, tokenizer: Tokenizer | None = None, by: str = "doc_id", text: str = "text", ranges: Sequence[str] = ()) -> DataFrame:
+def chunks(docs: DataFrame, size: int = 256, overlap: int = 32, tokenizer: Tokenizer | None = None, by: str = "doc_id", text: str = "text", ranges: Sequence[str] = (), key: Column | None = None) -> DataFrame:
     """(by, chunk_no, tok_start, tok_end, char_start, char_end, text, chunk_id, chunker_hash[, r_source, r_chunk ...]).
 
     Windows of `size` tokens that share `overlap` tokens; none of an empty or null text. ranges: array columns of
     (start, end) in the text; each comes back cut to the chunk, in places of the text (r_source) and of the chunk
-    (r_chunk), without those that do not reach into it.
+    (r_chunk), without those that do not reach into it. key: the id that chunk ids are made of, `by` unless given.
     """
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size must be positive, overlap at least 0 and below size")
@@ -162,7 +164,7 @@ def chunks(docs: DataFrame, size: int = 256, overlap: int = 32, tokenizer: Token
     made = _mapped(docs, by, text, schema, "_chunk_rows", tokenizer, size, overlap, more=ranges)
     config = F.sha2(F.lit(f'{{"chunk_size": {size}, "overlap": {overlap}, "tokenizer": "{name}"}}'), 256)
     made = made.withColumn("chunker_hash", config)
-    return made.withColumn("chunk_id", F.substring(F.sha2(F.concat_ws(":", F.col(by).cast("string"), "tok_start", "tok_end", "chunker_hash"), 256), 1, 24))
+    return made.withColumn("chunk_id", F.substring(F.sha2(F.concat_ws(":", (F.col(by) if key is None else key).cast("string"), "tok_start", "tok_end", "chunker_hash"), 256), 1, 24))
 
 
 def _span_rows(texts, _, tokenizer, size, offsets):

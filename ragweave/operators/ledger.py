@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ragweave.sources.store import held
+
 PROVENANCE = ["schema_version", "detector_code_commit", "model_revisions", "pipeline_config_sha256"]
 
 
@@ -20,41 +22,51 @@ def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(best.alias("r")).select("r.*")
 
 
-def _range_value(rows: DataFrame, column: str) -> Column:
-    """A double that never falls where the column grows: numbers and times themselves, of text its first seven characters."""
-    kind = dict(rows.dtypes)[column]
-    if kind != "string":
-        return F.col(column).cast("timestamp" if kind in ("date", "timestamp_ntz") else kind).cast("double")
-    out = F.lit(0.0)
-    for i in range(7):
-        out = out * 128 + F.least(F.lit(127), F.ascii(F.substring(column, i + 1, 1)))
-    return out
+def dense(rows: DataFrame, line: str, name: str) -> DataFrame:
+    """rows with their place from 0, without gaps, where `line` numbers them as Spark numbers scanned rows: the split in
+    the upper bits, from 0 within a split below. Nothing is shuffled; only the sizes of splits meet."""
+    at, split = "__at", "__split"
+    placed = rows.withColumn(at, F.col(line)).withColumn(split, F.shiftright(line, 33))
+    return _moved(placed, placed.groupBy(split).agg((F.max(F.col(at).bitwiseAND((1 << 33) - 1)) + 1).alias("n")), at, split, name)
+
+
+def _moved(placed: DataFrame, counts: DataFrame, at: str, split: str, name: str) -> DataFrame:
+    """Places within splits, as spark numbers them, moved by the counts of the splits before; one count for each split."""
+    below = F.coalesce(F.sum("n").over(W.orderBy(split).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before = counts.select(split, below.alias("__below"))
+    return placed.join(F.broadcast(before), split).withColumn(name, (F.col("__below") + F.col(at).bitwiseAND((1 << 33) - 1)).cast("long")).drop(at, split, "__below")
 
 
-def numbered(rows: DataFrame, order: str | list[str], name: str, by: list[str] | None = None, parts: int = 64) -> DataFrame:
-    """rows with their number from 0 in `order`, within each group of `by` if given.
+def numbered(rows: DataFrame, order: str | list[str], name: str, by: list[str] | None = None, parts: int | None = None) -> DataFrame:
+    """rows with their number from 0 in `order`, within each group of `by` if given; nulls come first.
 
-    Rows are numbered in ranges of the first column of `order`, and each range starts where those before it end, so no
-    task sorts more than a range of a group; only the counts of ranges meet. Nulls come first.
+    Rows are dealt to ranges of the whole key (and of their place, so that equal keys are split as well), sorted there
+    and written once; a range's numbers are moved by the rows of the ranges before it, a group's by its first number. So
+    no task sorts more than a range, whatever the type of the key, and only counts meet.
     """
     order = [order] if isinstance(order, str) else order
-    value = _range_value(rows, order[0])
-    edges = rows.select(value.alias("v")).approxQuantile("v", [i / parts for i in range(1, parts)], 0.001)
-    bucket = F.lit(0)
-    for e in sorted(set(edges)):
-        bucket = bucket + F.coalesce((value >= e).cast("int"), F.lit(0))
-    group, part, place, below = "__group", "__part", "__place", "__below"
-    keyed = rows.withColumn(group, F.struct(*(F.col(c) for c in by or []), F.lit(0).alias("_"))).withColumn(part, bucket)
-    counts = keyed.groupBy(group, part).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy(group).orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    own = keyed.withColumn(place, F.row_number().over(W.partitionBy(group, part).orderBy(*order)) - 1)
-    joined = own.join(counts.select(group, part, before.alias(below)), [group, part])
-    return joined.withColumn(name, (F.col(below) + F.col(place)).cast("long")).drop(group, part, place, below)
+    keys, at, split, tie, first = [*(by or []), *order], "__at", "__split", "__tie", "__first"
+    tied = rows.withColumn(tie, F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(parts, *keys, tie) if parts else tied.repartitionByRange(*keys, tie)
+    placed = held(ranged.sortWithinPartitions(*keys, tie).drop(tie).withColumn(at, F.monotonically_increasing_id()).withColumn(split, F.shiftright(at, 33)), "numbered")
+    whole = _moved(placed, placed.groupBy(split).agg(F.count("*").alias("n")), at, split, name)
+    if not by:
+        return whole
+    same = [F.col(f"__g{i}").eqNullSafe(F.col(k)) for i, k in enumerate(by)]
+    start = whole.groupBy(*(F.col(k).alias(f"__g{i}") for i, k in enumerate(by))).agg(F.min(name).alias(first))
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return whole.join(start, on).withColumn(name, F.col(name) - F.col(first)).select(*rows.columns, name)
 
 
 def within_quota(rows: DataFrame, quotas: DataFrame, family: str, order: list[str]) -> DataFrame:
-    """The first rows of each family in ledger order, as many as its quota (family, quota) has; other families go."""
-    most = 1000  # up to here a group limit before the shuffle leaves each task that many rows of a family
+    """The first rows of each family in ledger order, as many as its quota (family, quota) has; other families go.
+
+    Quotas of up to 1000 leave each task that many rows of a family before the shuffle; larger ones number their
+    families by ranges. Both keep the same rows.
+    """
+    most = 1000
     few = first_in_groups(rows.join(F.broadcast(quotas.where(F.col("quota") <= most)), family), [family], order, most, "_n").where("_n <= quota").select(*rows.columns)
     large = quotas.where(F.col("quota") > most)
     if large.isEmpty():
@@ -158,16 +170,12 @@ def with_last(tasks: DataFrame, log: DataFrame, keys: list[str], epoch: str, val
     return tasks.join(last, keys, "left").withColumn("status", F.when(F.col(epoch).isNull(), "missing").otherwise("found"))
 
 
-def merged_shards(rows: DataFrame, shard: str, line: str, key: str) -> DataFrame:
-    """Rows with row_id 0..n-1 in order of shard and line; a key that comes twice is an error.
-
-    Ids are numbered by ranges of lines and moved by the rows of the shards before theirs, so only counts meet.
-    """
-    before = W.orderBy(shard).rowsBetween(W.unboundedPreceding, -1)
-    moved = rows.groupBy(shard).agg(F.count("*").alias("_n")).select(shard, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = numbered(rows, line, "_i", [shard]).withColumn("_c", F.count("*").over(W.partitionBy(key)))
-    once = F.when(F.col("_c") == 1, F.col("_before") + F.col("_i")).otherwise(F.raise_error(F.lit("a key comes twice")).cast("long"))
-    return own.join(moved, shard).withColumn("row_id", once).drop("_i", "_c", "_before")
+def merged_shards(rows: DataFrame, shard: str, line: str | list[str], key: str) -> DataFrame:
+    """Rows with row_id 0..n-1 in order of shard and line; a key that comes twice is an error."""
+    lines = [line] if isinstance(line, str) else line
+    own = numbered(rows, [shard, *lines], "row_id").withColumn("_c", F.count("*").over(W.partitionBy(key)))
+    once = F.when(F.col("_c") == 1, F.col("row_id")).otherwise(F.raise_error(F.lit("a key comes twice")).cast("long"))
+    return own.withColumn("row_id", once).drop("_c")
 
 
 def unmatched(scored: DataFrame, candidates: DataFrame, key: str) -> DataFrame:

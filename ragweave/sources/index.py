@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragweave.functions import tokens as K
-from ragweave.operators.ledger import merged_shards
+from ragweave.operators.ledger import dense, merged_shards
 
-from .store import exists, put_json, read_json
+from .store import exists, held, put_json, read_json
 
 KIND = "exact inner product"
 
@@ -23,27 +24,35 @@ def _stem(shard: int, shards: int) -> str:
 def build_shards(records: DataFrame, encode: Callable[[DataFrame], DataFrame], path: str, shards: int, size: int = 256, overlap: int = 32, tokenizer=None) -> list[dict]:
     """Manifests of the shards of records (record_id, title, text, line_no), written below path.
 
-    A record's shard is its line modulo `shards`. encode: from (chunk_id, text) to chunk_id, vec. A shard whose manifest
-    stands is complete and is not built again; a manifest is written last, with the rows as they were read back.
+    line_no is that of readers.corpus(), from which records get their number without gaps (`document`); a record's shard
+    is its number modulo `shards`. encode: from (chunk_id, text) to chunk_id, vec. Whatever the number of shards, records are read and chunked
+    once and written once, into a folder of this call; a shard's manifest, which names its part of that folder, is
+    written last, so a shard whose manifest stands is complete and is not built again.
     """
     spark = records.sparkSession
     open_ = [s for s in range(shards) if not exists(spark, f"{path}/{_stem(s, shards)}.json")]
-    placed = records.withColumn("shard", F.pmod("line_no", F.lit(shards)).cast("int")).where(F.col("shard").isin(*open_, -1))
-    for s in open_:
-        own = placed.where(F.col("shard") == s)
-        made = K.chunks(own, size, overlap, tokenizer, "record_id").withColumnRenamed("record_id", "source_doc_id")
-        joined = made.join(encode(made.select("chunk_id", "text")).select("chunk_id", "vec"), "chunk_id").join(own.select(F.col("record_id").alias("source_doc_id"), "title", "line_no"), "source_doc_id")
-        joined.write.mode("overwrite").parquet(f"{path}/{_stem(s, shards)}")
-        rows = spark.read.parquet(f"{path}/{_stem(s, shards)}")
-        found = rows.agg(F.count("*").alias("chunks"), F.count_distinct("source_doc_id").alias("documents"), F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most"), F.count_if(F.col("vec").isNull()).alias("bare")).first()
-        if found["bare"] or found["least"] != found["most"]:
-            raise ValueError(f"vectors of {_stem(s, shards)} are missing or differ in length")
-        put_json(spark, f"{path}/{_stem(s, shards)}.json", {"shard": s, "shards": shards, "chunks": found["chunks"], "documents": found["documents"], "dimension": found["most"], "chunk_size": size, "overlap": overlap})
+    if open_:
+        placed = dense(records.select("record_id", "title", "text", "line_no"), "line_no", "document").withColumn("shard", F.pmod("document", F.lit(shards)).cast("int"))
+        own = placed.where(F.col("shard").isin(*open_)).select(F.struct(F.col("record_id").alias("source_doc_id"), "title", "line_no", "document", "shard").alias("_k"), "text")
+        made = held(K.chunks(own, size, overlap, tokenizer, "_k", key=F.col("_k.source_doc_id")).select("_k.*", *K.CHUNK), "chunks")
+        joined = made.join(encode(made.select("chunk_id", "text")).select("chunk_id", "vec"), "chunk_id")
+        folder = f"build-{uuid.uuid4().hex}"
+        joined.withColumn("part", F.col("shard")).write.partitionBy("part").parquet(f"{path}/{folder}")
+        rows = spark.read.schema(joined.schema).option("recursiveFileLookup", "true").parquet(f"{path}/{folder}")
+        found = rows.groupBy("shard").agg(F.count("*").alias("chunks"), F.count_distinct("source_doc_id").alias("documents"), F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most"), F.count_if(F.col("vec").isNull()).alias("bare"))
+        by_shard = {r["shard"]: r for r in found.collect()}  # a row for each shard
+        for s in open_:
+            r = by_shard.get(s)
+            if r and (r["bare"] or r["least"] != r["most"]):
+                raise ValueError(f"vectors of {_stem(s, shards)} are missing or differ in length")
+        for s in open_:
+            r = by_shard.get(s)
+            put_json(spark, f"{path}/{_stem(s, shards)}.json", {"shard": s, "shards": shards, "chunks": r["chunks"] if r else 0, "documents": r["documents"] if r else 0, "dimension": r["most"] if r else 0, "chunk_size": size, "overlap": overlap, "rows": f"{folder}/part={s}" if r else None})
     return [read_json(spark, f"{path}/{_stem(s, shards)}.json") for s in range(shards)]
 
 
 def merge_shards(spark: SparkSession, path: str, shards: int) -> dict:
-    """The manifest of the merged index: chunks with row_id 0..n-1 in order of shard and line, and each source once.
+    """The manifest of the merged index: chunks with row_id 0..n-1 in order of shard, document and chunk, each source once.
 
     Every shard must be complete, dimensions must agree, a chunk must not come twice, and rows must be as many as the
     manifests say.
@@ -55,14 +64,12 @@ def merge_shards(spark: SparkSession, path: str, shards: int) -> dict:
     dimensions = {m["dimension"] for m in manifests if m["chunks"]}
     if len(dimensions) > 1:
         raise ValueError(f"dimensions disagree: {sorted(dimensions)}")
-    parts = [spark.read.parquet(f"{path}/{_stem(s, shards)}").withColumn("shard", F.lit(s)) for s in range(shards)]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    # lines and the chunks of a line in one order: a document has fewer than 2**20 chunks here
-    placed = rows.withColumn("_at", F.col("line_no") * F.lit(1 << 20) + F.col("chunk_no"))
-    merged_shards(placed, "shard", "_at", "chunk_id").drop("_at", "title").write.mode("overwrite").parquet(f"{path}/chunks")
-    rows.groupBy("source_doc_id").agg(F.min_by("title", F.struct("shard", "line_no")).alias("title")).write.mode("overwrite").parquet(f"{path}/sources")
+    folders = [f"{path}/{m['rows']}" for m in manifests if m["rows"]]
+    if not folders:
+        raise ValueError("no shard has a chunk")
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(*folders)
+    merged_shards(rows, "shard", ["document", "chunk_no"], "chunk_id").drop("title").write.mode("overwrite").parquet(f"{path}/chunks")
+    rows.groupBy("source_doc_id").agg(F.min_by("title", F.struct("shard", "document")).alias("title")).write.mode("overwrite").parquet(f"{path}/sources")
     chunks = spark.read.parquet(f"{path}/chunks").count()
     if chunks != sum(m["chunks"] for m in manifests):
         raise ValueError("the merged rows are not as many as the manifests say")

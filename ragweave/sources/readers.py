@@ -9,17 +9,21 @@ from pyspark.sql import functions as F
 
 from ragweave.operators.ledger import last_wins
 
+from .store import listed, read_json
+
 #: The names an id may have, the first that is present counts.
 IDS = ["_id", "id", "docid", "query_id"]
+#: Files of a ledger that name the folder of its rows; the last one counts. Readers of the ledger's own folder skip them.
+POINTER = "_rows-"
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, text, title, metadata, line_no) of JSON lines; blank lines are skipped, malformed ones fail.
 
-    The id is the value of the first of IDS that is present, even if it is null (then the text "None", as every null
+    line_no has the split in its upper bits and the place among the split's records below; ledger.dense() closes the gaps. The id is the value of the first of IDS that is present, even if it is null (then the text "None", as every null
     value of id, title and text). metadata: the other keys as JSON, the id among them.
     """
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no")).where(F.trim("value") != "")
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.monotonically_increasing_id().alias("line_no"))
     rows = lines.select(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}).alias("m"), F.parse_json("value").alias("j"), "line_no")
     has = lambda k: F.array_contains(F.map_keys("m"), k)
     value = lambda k: F.coalesce(F.element_at("m", F.lit(k)), F.lit("None"))
@@ -67,9 +71,15 @@ def blackbox_samples(rows: DataFrame, dataset: str) -> DataFrame:
     return kept.withColumn("sample_id", F.substring(F.sha2(F.concat(F.lit(f"{dataset}\0"), "query_id", F.lit("\0"), "text"), 256), 1, 24))
 
 
+def home(spark: SparkSession, path: str) -> str:
+    """The folder that holds a ledger's rows: the one that its last pointer names, or its own."""
+    pointers = [n for n in listed(spark, path) if n.startswith(POINTER) and not n.endswith(".part")]
+    return f"{path}/{read_json(spark, f'{path}/{pointers[-1]}')['rows']}" if pointers else path
+
+
 def ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON-line files with their file and place, which together are ledger order."""
-    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line_no")).where(F.trim("value") != "")
+    lines = spark.read.text(home(spark, path)).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line_no")).where(F.trim("value") != "")
     return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), "file", "line_no").select("r.*", "file", "line_no")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,8 @@ from pyspark.sql.types import StructType
 
 from ragweave.operators.ledger import resumed
 
-from .readers import ledger
-from .store import exists
+from .readers import POINTER, home, ledger
+from .store import delete, exists, listed, put_json
 
 
 def append_ledger(rows: DataFrame, path: str, keys: list[str] | None = None) -> None:
@@ -20,38 +21,48 @@ def append_ledger(rows: DataFrame, path: str, keys: list[str] | None = None) ->
 
     A task's lines appear whole when its job commits, so a restart finds a key written or not at all.
     """
-    if keys and exists(rows.sparkSession, path):
+    spark, there = rows.sparkSession, exists(rows.sparkSession, path)
+    if keys and there:
         kinds = dict(rows.dtypes)
-        done = ledger(rows.sparkSession, path, ", ".join(f"{k} {kinds[k]}" for k in keys)).select(*keys).distinct()
+        done = ledger(spark, path, ", ".join(f"{k} {kinds[k]}" for k in keys)).select(*keys).distinct()
         rows = rows.join(done, keys, "left_anti")
-    (rows.dropDuplicates(keys) if keys else rows).write.mode("append").json(path)
+    (rows.dropDuplicates(keys) if keys else rows).write.mode("append").json(home(spark, path) if there else path)
 
 
 def compacted(spark: SparkSession, path: str, schema: str, keys: list[str], expected: dict[str, object]) -> DataFrame:
     """The keys that a restart need not do again; the ledger keeps the first row of each, of the expected provenance only.
 
-    The ledger is rewritten, beside its place and then moved there, if any row goes; malformed lines are an error.
-    A ledger that is not there has no keys.
+    If any row goes, the kept ones are written to a folder of their own inside the ledger, then a pointer to it, and only
+    then the rows before go: at every moment the last pointer, or its absence, names rows that are whole. Malformed lines
+    are an error. A ledger that is not there has no keys.
     """
     if not keys:
         raise ValueError("a restart needs a key")
     if not exists(spark, path):
         return spark.createDataFrame([], schema).select(*keys)
-    rows = ledger(spark, path, schema)
+    rows, before = ledger(spark, path, schema), home(spark, path)
     columns = [c for c in rows.columns if c not in ("file", "line_no")]
     kept = resumed(rows, keys, ["file", "line_no"], expected)
-    lines = spark.read.text(path).count()
+    lines = spark.read.text(before).count()
     if kept.count() != lines:
-        fresh = f"{path.rstrip('/')}.compacted"
-        kept.select(*columns).write.mode("overwrite").json(fresh)
-        jvm = spark._jvm.org.apache.hadoop.fs
-        here, there = jvm.Path(path), jvm.Path(fresh)
-        store = here.getFileSystem(spark._jsc.hadoopConfiguration())
-        store.delete(here, True)
-        store.rename(there, here)
+        fresh = f"_v-{uuid.uuid4().hex}"
+        kept.select(*columns).write.json(f"{path}/{fresh}")
+        number = 1 + max((int(n[len(POINTER) :]) for n in listed(spark, path) if n.startswith(POINTER) and not n.endswith(".part")), default=0)
+        put_json(spark, f"{path}/{POINTER}{number:09d}", {"rows": fresh})
+    swept(spark, path)
     return ledger(spark, path, schema).select(*keys).distinct()
 
 
+def swept(spark: SparkSession, path: str) -> None:
+    """Deletes what no reader of a ledger looks at: rows and pointers before its last pointer, and what a kill left."""
+    last, names = home(spark, path), listed(spark, path)
+    pointers = [n for n in names if n.startswith(POINTER) and not n.endswith(".part")]
+    stay = {last.rsplit("/", 1)[1], pointers[-1]} if pointers else {n for n in names if not n.startswith(("_v-", POINTER))}
+    for n in names:
+        if n not in stay:
+            delete(spark, f"{path}/{n}")
+
+
 def flattened(df: DataFrame) -> DataFrame:
     """Struct fields as columns with dotted names."""
 
