@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragweave.functions.ship import shipped
-
-from .stats import cluster_bootstrap, conformal_pvalues, flagged, holm, quantile, sign_flip, with_interval
+from .stats import cluster_bootstrap_by, conformal_pvalues, flagged, holm, quantile, sign_flip_by, with_interval
 
 
 def attack_metrics(rows: DataFrame) -> DataFrame:
@@ -70,27 +66,21 @@ def noise_floor(rows: DataFrame, least: float = 1e-8, q: float = 0.99) -> DataFr
     return floors[0].crossJoin(floors[1]).crossJoin(top)  # one row each
 
 
-def _mechanism_test(pdf: pd.DataFrame, permutations: int, replicates: int, seed: int, alpha: float) -> pd.DataFrame:
-    pdf = pdf.sort_values(["query_id", "d"])
-    i, d = int(pdf["i"].iloc[0]), pdf["d"].to_numpy(float)
-    low, high = cluster_bootstrap(d, pdf["query_id"], replicates, alpha, seed + 100 + i)
-    return pd.DataFrame({"name": [pdf["name"].iloc[0]], "n": [len(d)], "clusters": [pdf["query_id"].nunique()], "median_difference": [float(np.median(d))], "p": [sign_flip(d, permutations, seed + i)], "ci_low": [low], "ci_high": [high]})
-
-
 def mechanism_tests(observations: DataFrame, permutations: int = 10000, replicates: int = 10000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """(name, n, clusters, median_difference, p, ci_low, ci_high, p_adj, passes) of the three paired hypotheses.
 
     observations: (query_id, anchor_p_retrieval, anchor_p_generation, payload_p_retrieval, payload_p_generation,
     poison_t_rg, clean_t_rg). H1: anchors lean to retrieval, H2: payloads to generation, H3: poisoned chunks separate
-    more than clean ones. Each is one sample of differences, tested in one task with generators of its own seed; draws
-    follow the order of query_id and difference. passes: p_adj below alpha and an interval above 0.
+    more than clean ones. Each is one sample of differences with generators of its own seed, whose draws are dealt to
+    tasks; they follow the order of query_id and difference. passes: p_adj below alpha and an interval above 0.
     """
     differences = {"H1": F.col("anchor_p_retrieval") - F.col("anchor_p_generation"), "H2": F.col("payload_p_generation") - F.col("payload_p_retrieval"), "H3": F.col("poison_t_rg") - F.col("clean_t_rg")}
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.lit(i).alias("i"), d.alias("d")) for i, (k, d) in enumerate(differences.items()))))
+    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), d.alias("d")) for k, d in differences.items())))
     long = observations.select(F.col("query_id").cast("string").alias("query_id"), pairs.alias("x")).select("query_id", "x.*")
-
-    test = shipped(__name__, "_mechanism_test", permutations, replicates, seed, alpha)
-    tests = long.groupBy("name").applyInPandas(test, "name string, n long, clusters long, median_difference double, p double, ci_low double, ci_high double")
+    seeds = {k: seed + i for i, k in enumerate(differences)}
+    tests = long.groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("clusters"), F.percentile("d", F.lit(0.5)).alias("median_difference"))
+    tests = tests.join(sign_flip_by(long, "name", "d", permutations, seeds, cluster="query_id"), "name")
+    tests = tests.join(cluster_bootstrap_by(long, "name", "query_id", "d", replicates, alpha, {k: 100 + v for k, v in seeds.items()}), "name")
     return holm(tests).withColumn("passes", (F.col("p_adj") < alpha) & (F.col("ci_low") > 0))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ragweave.functions.ship import shipped
 from ragweave.functions.text import finite
+from ragweave.sources.store import held
 
 
 def cumulated(points: DataFrame, value: str, count: str) -> DataFrame:
@@ -131,42 +132,106 @@ def with_interval(groups: DataFrame, k: str = "k", n: str = "n", alpha: float =
     return groups.withColumn("_ci", interval(F.col(k), F.col(n))).withColumn("ci_low", F.col("_ci.low")).withColumn("ci_high", F.col("_ci.high")).drop("_ci")
 
 
-def sign_flip(values: np.ndarray, permutations: int = 10000, seed: int = 0, statistic=np.median) -> float:
-    """One-sided p of a paired sign-flip test.
+def _hits(values: np.ndarray, start: int, stop: int, seed: int, statistic) -> int:
+    """How many of the permutations start to stop reach the observed statistic.
 
-    The draws are one stream, so blocks of rows of any height give the same p; a block holds about 4 M signs.
+    A sign takes half an output of the generator, so one that skips to its first sign draws what a single stream would:
+    start times the number of values must be even.
     """
+    rng, hits, observed = np.random.default_rng(seed), 0, statistic(values)
+    rng.bit_generator.advance(start * len(values) // 2)
+    rows = max(2, min(2048, (1 << 22) // len(values)) // 2 * 2)  # about 4 M signs
+    for at in range(start, stop, rows):
+        flipped = rng.choice(np.array([-1.0, 1.0]), size=(min(rows, stop - at), len(values))) * values
+        drawn = np.median(flipped, axis=1) if statistic is np.median else np.array([statistic(x) for x in flipped])
+        hits += int((drawn >= observed).sum())
+    return hits
+
+
+def sign_flip(values: np.ndarray, permutations: int = 10000, seed: int = 0, statistic=np.median) -> float:
+    """One-sided p of a paired sign-flip test. The draws are one stream, whatever is drawn at a time."""
     values = np.asarray(values, float)
     if not len(values) or not np.isfinite(values).all() or permutations <= 0:
         raise ValueError("need finite differences and a positive number of permutations")
-    observed, rng, hits = statistic(values), np.random.default_rng(seed), 0
-    rows = max(1, min(2048, (1 << 22) // len(values)))
-    for at in range(0, permutations, rows):
-        signs = rng.choice(np.array([-1.0, 1.0]), size=(min(rows, permutations - at), len(values)))
-        flipped = signs * values
-        drawn = np.median(flipped, axis=1) if statistic is np.median else np.array([statistic(x) for x in flipped])
-        hits += int((drawn >= observed).sum())
-    return (hits + 1) / (permutations + 1)
+    return (_hits(values, 0, permutations, seed, statistic) + 1) / (permutations + 1)
 
 
-def cluster_bootstrap(values: np.ndarray, clusters, replicates: int = 10000, alpha: float = 0.05, seed: int = 0) -> tuple[float, float]:
-    """Percentile interval of the median over clusters drawn with replacement."""
-    values, names = np.asarray(values, float), np.asarray(clusters)
+def _medians(values: np.ndarray, clusters, start: int, stop: int, seed: int) -> np.ndarray:
+    """Medians of the replicates start to stop: the draws before are made as well, as each takes what it needs of the stream."""
+    names = np.asarray(clusters)
     own = np.unique(names)
-    members = [values[names == c] for c in own]
+    members = [values[names == c] for c in own] if len(own) < 64 else np.split(values[np.argsort(names, kind="stable")], np.cumsum(np.unique(names, return_counts=True)[1])[:-1])
     rng = np.random.default_rng(seed)
-    medians = [np.median(np.concatenate([members[i] for i in rng.integers(0, len(own), len(own))])) for _ in range(replicates)]
-    low, high = np.quantile(medians, [alpha / 2, 1 - alpha / 2])
+    for _ in range(start):
+        rng.integers(0, len(own), len(own))
+    return np.array([np.median(np.concatenate([members[i] for i in rng.integers(0, len(own), len(own))])) for _ in range(start, stop)])
+
+
+def cluster_bootstrap(values: np.ndarray, clusters, replicates: int = 10000, alpha: float = 0.05, seed: int = 0) -> tuple[float, float]:
+    """Percentile interval of the median over clusters drawn with replacement."""
+    low, high = np.quantile(_medians(np.asarray(values, float), clusters, 0, replicates, seed), [alpha / 2, 1 - alpha / 2])
     return float(low), float(high)
 
 
-def _flipped(pdf: pd.DataFrame, by: str, value: str, permutations: int, seed: int) -> pd.DataFrame:
-    return pd.DataFrame({by: [pdf[by].iloc[0]], "p": [sign_flip(np.sort(pdf[value].to_numpy()), permutations, seed)]})
+#: Tasks among which the draws of a hypothesis are dealt.
+TASKS = 16
+
+
+def _samples(df: DataFrame, by: str, value: str, cluster: str | None) -> DataFrame:
+    """(by, values[, clusters]): one row for each hypothesis, in order of cluster and value; a null or infinite value is an error."""
+    one = F.struct(*([F.col(cluster).cast("string").alias("c")] if cluster else []), finite(F.col(value).cast("double"), "difference").alias("v"))
+    held = df.groupBy(by).agg(F.array_sort(F.collect_list(one)).alias("_s"))
+    return held.select(by, F.transform("_s", lambda x: x["v"]).alias("values"), *([F.transform("_s", lambda x: x["c"]).alias("clusters")] if cluster else []))
+
+
+def _dealt(samples: DataFrame, by: str, draws: int) -> DataFrame:
+    """samples with each block (start, stop) of their draws, one to a task; blocks begin at even draws."""
+    per = 2 * -(-draws // (2 * TASKS))
+    edges = [(at, min(at + per, draws)) for at in range(0, draws, per)]
+    blocks = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop")) for a, b in edges))
+    return samples.withColumn("_b", F.explode(blocks)).select("*", "_b.start", "_b.stop").drop("_b").repartition(len(edges), by, "start")
+
+
+def _flipped_rows(batches, seeds, statistic):
+    import pyarrow as pa
+
+    for batch in batches:
+        rows = batch.to_pylist()
+        hits = [_hits(np.array(r["values"], float), r["start"], r["stop"], seeds[str(r["by"])] if isinstance(seeds, dict) else seeds, statistic) for r in rows]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.int64())], names=["by", "hits"])
+
+
+def sign_flip_by(df: DataFrame, by: str, value: str, permutations: int = 10000, seed: int | dict[str, int] = 0, statistic=np.median, cluster: str | None = None) -> DataFrame:
+    """(by, p): one test per hypothesis, with the p that sign_flip() gives for its sorted differences.
+
+    The draws of a hypothesis are dealt to TASKS tasks, each of which skips to its own part of the one stream. Its
+    differences are one sample, which every one of those tasks holds. statistic: a function of an array that workers can
+    import or unpickle; seed: one, or one for each hypothesis; cluster: differences are ordered by it first.
+    """
+    if permutations <= 0:
+        raise ValueError("need a positive number of permutations")
+    kind = dict(df.dtypes)[by]
+    dealt = _dealt(_samples(df, by, value, cluster).withColumnRenamed(by, "by"), "by", permutations).select("by", "values", "start", "stop")
+    hits = dealt.mapInArrow(shipped(__name__, "_flipped_rows", seed, statistic), f"by {kind}, hits long")
+    return hits.groupBy("by").agg(((F.sum("hits") + 1) / (permutations + 1)).alias("p")).withColumnRenamed("by", by)
 
 
-def sign_flip_by(df: DataFrame, by: str, value: str, permutations: int = 10000, seed: int = 0) -> DataFrame:
-    """(by, p): one test per hypothesis; a hypothesis' differences are one sample, held together."""
-    return df.select(by, value).groupBy(by).applyInPandas(shipped(__name__, "_flipped", by, value, permutations, seed), f"{by} {dict(df.dtypes)[by]}, p double")
+def _median_rows(batches, seeds):
+    import pyarrow as pa
+
+    for batch in batches:
+        rows = batch.to_pylist()
+        found = [_medians(np.array(r["values"], float), r["clusters"], r["start"], r["stop"], seeds[str(r["by"])] if isinstance(seeds, dict) else seeds) for r in rows]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["by", "medians"])
+
+
+def cluster_bootstrap_by(df: DataFrame, by: str, cluster: str, value: str, replicates: int = 10000, alpha: float = 0.05, seed: int | dict[str, int] = 0) -> DataFrame:
+    """(by, ci_low, ci_high): cluster_bootstrap() of each hypothesis, its replicates dealt to TASKS tasks."""
+    kind = dict(df.dtypes)[by]
+    dealt = _dealt(_samples(df, by, value, cluster).withColumnRenamed(by, "by"), "by", replicates).select("by", "values", "clusters", "start", "stop")
+    medians = dealt.mapInArrow(shipped(__name__, "_median_rows", seed), f"by {kind}, medians array<double>").select("by", F.explode("medians").alias("m"))
+    ends = [F.percentile("m", F.lit(q)).alias(n) for n, q in (("ci_low", alpha / 2), ("ci_high", 1 - alpha / 2))]  # of `replicates` medians
+    return medians.groupBy("by").agg(*ends).withColumnRenamed("by", by)
 
 
 def _draw(*parts) -> Column:
@@ -174,27 +239,127 @@ def _draw(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 7), 16, 10).cast("long")
 
 
-def sign_flip_hash(df: DataFrame, id_: str, value: str, permutations: int = 200, statistic: str = "sum") -> DataFrame:
-    """(observed, p): sums or medians under signs drawn by hash.
+#: Draws that one md5 gives signs for: four numbers of 28 bits.
+BITS = 28
+
+
+def _signs(rows: DataFrame, id_: str, permutations: int) -> DataFrame:
+    """rows for each block of BITS draws (_j), with the block's signs as bits (_x); draw k from 1 has bit (k - 1) % BITS of
+    block (k - 1) / BITS."""
+    blocks = -(-permutations // BITS)
+    four = rows.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(-(-blocks // 4) - 1)))).withColumn("_h", F.md5(F.concat_ws(":", F.col("_q").cast("string"), F.col(id_).cast("string"))))
+    each = F.explode(F.array(*(F.struct((F.col("_q") * 4 + i).alias("j"), F.conv(F.substring("_h", 1 + 7 * i, 7), 16, 10).cast("long").alias("x")) for i in range(4))))
+    return four.withColumn("_p", each).select("*", F.col("_p.j").alias("_j"), F.col("_p.x").alias("_x")).where(F.col("_j") < blocks).drop("_q", "_h", "_p")
+
+
+def _bit(i: int) -> Column:
+    return F.col("_x").bitwiseAND(1 << i) == 0
+
+
+def _by_draw(sums: DataFrame, permutations: int, *keys: str) -> DataFrame:
+    """(keys, k, s) of blocks with a column for each of their draws."""
+    each = F.explode(F.array(*(F.struct((F.col("_j") * BITS + i + 1).cast("long").alias("k"), F.col(f"_{i}").alias("s")) for i in range(BITS))))
+    return sums.select(*keys, each.alias("d")).select(*keys, "d.k", "d.s").where(F.col("k") <= permutations)
+
+
+#: Children of a range of positions; ranks are found one digit of this base after the other.
+BASE = 64
+
 
-    Permutations are exploded per row. Sums are combined before the shuffle, and so are the counts of signed values of
-    which medians are taken, as large as the distinct values of a permutation.
+def _positions(values: DataFrame, value: str) -> tuple[DataFrame, int]:
+    """(value, pos) of the distinct values, in order, and the digits that positions have."""
+    from .ledger import numbered
+
+    placed = numbered(values.select(value).where(F.col(value).isNotNull()).distinct(), value, "pos")
+    n = placed.count()
+    levels = 1
+    while BASE**levels < n:
+        levels += 1
+    return placed, levels
+
+
+def _digit(pos: Column, level: int, levels: int) -> Column:
+    return F.floor(pos / F.lit(BASE ** (levels - 1 - level))).cast("long") % BASE
+
+
+def _prefix(pos: Column, level: int, levels: int) -> Column:
+    return F.floor(pos / F.lit(BASE ** (levels - level))).cast("long")
+
+
+def _at_rank(targets: DataFrame, counts, levels: int) -> DataFrame:
+    """(k, t, pos) of targets (k, t, rank), the position that holds each rank from 0.
+
+    counts: from (k, t, prefix) and a level to (k, t, digit, w), the weights of a draw's values in the children of the
+    range that `prefix` names. Each level picks one child, so no group holds more than BASE rows, whatever the values.
     """
-    signs = df.select(F.col(id_).alias("i"), F.col(value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("k"))
-    signed = F.col("v") * F.when((F.col("k") == 0) | (_draw(F.col("k"), F.col("i")) % 2 == 0), 1).otherwise(-1)
-    drawn = signs.groupBy("k").agg((F.round(F.sum(signed), 6) if statistic == "sum" else F.round(F.median(signed), 9)).alias("s"))
-    return drawn.agg(F.max(F.when(F.col("k") == 0, F.col("s"))).alias("observed"), F.collect_list("s").alias("all")).select("observed", (F.size(F.filter("all", lambda s: s >= F.col("observed"))) / F.lit(permutations + 1.0)).alias("p"))
+    found = targets.withColumn("prefix", F.lit(0).cast("long"))
+    for level in range(levels):
+        w = W.partitionBy("k", "t").orderBy("digit")
+        upto = counts(found, level).withColumn("hi", F.sum("w").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+        both = upto.join(found, ["k", "t"]).where((F.col("rank") < F.col("hi")) & (F.col("rank") >= F.col("hi") - F.col("w")))
+        found = held(both.select("k", "t", (F.col("rank") - F.col("hi") + F.col("w")).alias("rank"), (F.col("prefix") * BASE + F.col("digit")).alias("prefix")), "ranks")
+    return found.select("k", "t", F.col("prefix").alias("pos"))
+
 
+def _middle(totals: DataFrame) -> DataFrame:
+    """(k, t, rank): the one or two middle ranks of each (k, total)."""
+    ranks = F.array_distinct(F.array(F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)))
+    return totals.select("k", F.posexplode(ranks).alias("t", "rank"))
 
-def cluster_bootstrap_hash(df: DataFrame, cluster: str, value: str, replicates: int = 200, alpha: float = 0.05) -> DataFrame:
+
+def sign_flip_hash(df: DataFrame, id_: str, value: str, permutations: int = 10000, statistic: str = "sum") -> DataFrame:
+    """(observed, p): sums or medians under signs drawn by hash; rows without a value take no part.
+
+    One md5 gives the signs of 112 draws. Sums of a block of draws are columns of one aggregate. Medians are found by rank,
+    digit by digit of the position among all signed values, so that no group holds the values of a draw.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(id_).alias("i"), F.col(value).cast("double").alias("v"))
+    if statistic == "sum":
+        observed = rows.agg(F.round(F.sum("v"), 6).alias("observed"))
+        sums = _signs(rows, "i", permutations).groupBy("_j").agg(*(F.round(F.sum(F.when(_bit(i), F.col("v")).otherwise(-F.col("v"))), 6).alias(f"_{i}") for i in range(BITS)))
+    else:
+        placed, levels = _positions(rows.select(F.explode(F.array("v", -F.col("v"))).alias("v")), "v")
+        sides = rows.select("i", F.explode(F.array(F.struct(F.col("v").alias("v"), F.lit(True).alias("kept")), F.struct((-F.col("v")).alias("v"), F.lit(False).alias("kept")))).alias("s")).select("i", "s.*")
+        sides = held(sides.join(placed, "v").select("i", "kept", "pos"), "signed")
+        n = rows.count()
+
+        def counts(found: DataFrame, level: int) -> DataFrame:
+            wanted = found.select(F.floor((F.col("k") - 1) / BITS).cast("long").alias("_j"), "prefix").distinct()
+            own = sides.withColumn("prefix", _prefix(F.col("pos"), level, levels)).withColumn("digit", _digit(F.col("pos"), level, levels))
+            near = own.join(found.select("prefix").distinct(), "prefix", "left_semi")
+            some = _signs(near, "i", permutations).join(wanted, ["_j", "prefix"], "left_semi")
+            sums = some.groupBy("_j", "prefix", "digit").agg(*(F.count_if(_bit(i) == F.col("kept")).alias(f"_{i}") for i in range(BITS)))
+            return _by_draw(sums, permutations, "prefix", "digit").join(found.select("k", "t", "prefix"), ["k", "prefix"]).select("k", "t", "digit", F.col("s").alias("w"))
+
+        spark = df.sparkSession
+        draws = spark.range(1, permutations + 1).select(F.col("id").alias("k"), F.lit(n).cast("long").alias("total"))
+        picked = _at_rank(_middle(draws), counts, levels).join(placed, "pos").groupBy("k").agg(F.round(F.avg("v"), 9).alias("s"))
+        observed = quantile(rows, "v", 0.5, "observed").select(F.round("observed", 9).alias("observed"))
+    drawn = _by_draw(sums, permutations) if statistic == "sum" else picked
+    return drawn.crossJoin(F.broadcast(observed)).groupBy("observed").agg(((F.count_if(F.col("s") >= F.col("observed")) + 1) / F.lit(permutations + 1.0)).alias("p"))  # one row beside the draws
+
+
+def cluster_bootstrap_hash(df: DataFrame, cluster: str, value: str, replicates: int = 10000, alpha: float = 0.05) -> DataFrame:
     """(ci_low, ci_high) of the median over clusters drawn with replacement by hash.
 
-    Rows are counted by cluster and value first, so a replicate weighs distinct values instead of copying rows.
-    Clusters are numbered in one task, which holds one row for each cluster and no values.
+    Rows are counted by cluster and position of the value first; a replicate weighs those counts, and its median is found by
+    rank, digit by digit of the position, so that no group holds the values of a replicate. Clusters are numbered by ranges.
     """
-    held = df.where(F.col(value).isNotNull()).groupBy(F.col(cluster).alias("c"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    names = held.select("c").distinct().withColumn("i", F.row_number().over(W.orderBy("c")) - 1).withColumn("all", F.count("*").over(W.partitionBy()))
-    draws = names.select("i", "all", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("k")).withColumn("i", _draw(F.col("k"), F.col("i")) % F.col("all"))
-    times = draws.groupBy("k", "i").agg(F.count("*").alias("times")).join(names.select("c", "i"), "i")
-    medians = times.join(held, "c").groupBy("k").agg(F.percentile("v", F.lit(0.5), F.col("n") * F.col("times")).alias("m"))
+    from .ledger import numbered
+
+    rows = df.where(F.col(value).isNotNull()).select(F.col(cluster).alias("c"), F.col(value).cast("double").alias("v"))
+    placed, levels = _positions(rows, "v")
+    own = held(rows.groupBy("c", "v").agg(F.count("*").alias("n")).join(placed, "v").select("c", "pos", "n"), "weights")
+    names = numbered(rows.select("c").distinct(), "c", "i")
+    all_ = names.count()
+    draws = names.select("i", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("k")).withColumn("i", _draw(F.col("k"), F.col("i")) % all_)
+    times = held(draws.groupBy("k", "i").agg(F.count("*").alias("times")).join(names, "i").select("k", "c", "times"), "times")
+
+    def counts(found: DataFrame, level: int) -> DataFrame:
+        near = own.withColumn("prefix", _prefix(F.col("pos"), level, levels)).join(found.select("prefix").distinct(), "prefix", "left_semi")
+        cells = near.groupBy("c", "prefix", _digit(F.col("pos"), level, levels).alias("digit")).agg(F.sum("n").alias("n"))
+        return found.join(times, "k").join(cells, ["c", "prefix"]).groupBy("k", "t", "digit").agg(F.sum(F.col("times") * F.col("n")).alias("w"))
+
+    totals = times.join(own.groupBy("c").agg(F.sum("n").alias("n")), "c").groupBy("k").agg(F.sum(F.col("times") * F.col("n")).alias("total"))
+    medians = _at_rank(_middle(totals), counts, levels).join(placed, "pos").groupBy("k").agg(F.avg("v").alias("m"))
     return medians.agg(F.percentile("m", F.lit(alpha / 2)).alias("ci_low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("ci_high"))

@@ -221,14 +221,20 @@ def holm_adjust(spark, d):
     return _round(S.holm(t), "p", "p_adj", n=9)
 
 
-@query("sign_flip_hash", "WITH s AS (SELECT k, round(sum(value * CASE WHEN k = 0 OR ('0x' || substr(md5(k || ':' || event_id), 1, 7))::BIGINT % 2 = 0 THEN 1 ELSE -1 END), 6) AS s FROM events, (SELECT unnest(range(201)) AS k) WHERE value IS NOT NULL GROUP BY k), o AS (SELECT s AS observed FROM s WHERE k = 0) SELECT observed, count_if(s >= observed) / 201e0 AS p FROM s, o GROUP BY observed")
+#: Signs of 10,000 draws: draw k from 1 is bit (k - 1) % 28 of one of the four numbers of 28 bits that an md5 gives.
+_SIGNS = """h AS (SELECT event_id, value, q, md5(q || ':' || event_id) AS h FROM events, (SELECT unnest(range(90)) AS q) WHERE value IS NOT NULL),
+x AS (SELECT value, 4 * q + p AS j, ('0x' || substr(h, 1 + 7 * p::INTEGER, 7))::BIGINT AS x FROM h, (SELECT unnest(range(4)) AS p) WHERE 4 * q + p < 358),
+d AS (SELECT 28 * j + i + 1 AS k, CASE WHEN x & (1::BIGINT << i::INTEGER) = 0 THEN value ELSE -value END AS v FROM x, (SELECT unnest(range(28)) AS i) WHERE 28 * j + i < 10000)"""
+
+
+@query("sign_flip_hash", f"WITH {_SIGNS}, s AS (SELECT k, round(sum(v), 6) AS s FROM d GROUP BY k), o AS (SELECT round(sum(value), 6) AS observed FROM events) SELECT observed, (count_if(s >= observed) + 1) / 10001e0 AS p FROM s, o GROUP BY observed")
 def sign_flip_hash(spark, d):
     return S.sign_flip_hash(_read(spark, d, "events").where("value is not null"), "event_id", "value")
 
 
 @query("sign_flip_numpy")
 def sign_flip_numpy(spark, d):
-    return S.sign_flip_by(_read(spark, d, "events").where("value is not null").withColumn("d", F.col("value") - 5), "event_type", "d", 2048, 7)
+    return S.sign_flip_by(_read(spark, d, "events").where("value is not null").withColumn("d", F.col("value") - 5), "event_type", "d", 10000, 7)
 
 
 @query("noise_floor_q99", "SELECT round(greatest(1e-8, quantile_cont(r, 0.99)), 6) AS retrieval_floor, round(greatest(1e-8, quantile_cont(g, 0.99)), 6) AS generation_floor, round(max(r), 6) AS retrieval_max, round(max(g), 6) AS generation_max FROM (SELECT user_id, sum(greatest(value, 0)) AS r, sum(greatest(value - 5, 0)) AS g FROM events GROUP BY user_id)")
@@ -407,7 +413,7 @@ def donor_replacements(spark, d):
 
 
 @query("cluster_bootstrap_hash", """WITH held AS (SELECT event_type AS c, value AS v FROM events WHERE value IS NOT NULL), names AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT c FROM held)),
-picks AS (SELECT k, ('0x' || substr(md5(k || ':' || i), 1, 7))::BIGINT % n AS i FROM names, (SELECT unnest(range(1, 201)) AS k)), medians AS (SELECT k, median(v) AS m FROM picks JOIN names USING (i) JOIN held USING (c) GROUP BY k)
+picks AS (SELECT k, ('0x' || substr(md5(k || ':' || i), 1, 7))::BIGINT % n AS i FROM names, (SELECT unnest(range(1, 10001)) AS k)), medians AS (SELECT k, median(v) AS m FROM picks JOIN names USING (i) JOIN held USING (c) GROUP BY k)
 SELECT round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM medians""")
 def cluster_bootstrap_hash(spark, d):
     return _round(S.cluster_bootstrap_hash(_read(spark, d, "events"), "event_type", "value"), "ci_low", "ci_high")
@@ -613,7 +619,7 @@ def shard_of_tasks(spark, d):
     return C.in_shard(ids, "name", 3, 8).select("doc_id")
 
 
-@query("sign_flip_median_hash", "WITH s AS (SELECT k, round(median(value * CASE WHEN k = 0 OR ('0x' || substr(md5(k || ':' || event_id), 1, 7))::BIGINT % 2 = 0 THEN 1 ELSE -1 END), 9) AS s FROM events, (SELECT unnest(range(201)) AS k) WHERE value IS NOT NULL GROUP BY k), o AS (SELECT s AS observed FROM s WHERE k = 0) SELECT observed, count_if(s >= observed) / 201e0 AS p FROM s, o GROUP BY observed")
+@query("sign_flip_median_hash", f"WITH {_SIGNS}, s AS (SELECT k, round(median(v), 9) AS s FROM d GROUP BY k), o AS (SELECT round(median(value), 9) AS observed FROM events) SELECT observed, (count_if(s >= observed) + 1) / 10001e0 AS p FROM s, o GROUP BY observed")
 def sign_flip_median_hash(spark, d):
     return S.sign_flip_hash(_read(spark, d, "events").where("value is not null"), "event_id", "value", statistic="median")
 
