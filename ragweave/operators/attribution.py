@@ -70,11 +70,25 @@ def oracle_mass(mapped: DataFrame, oracle: DataFrame, *keys: str) -> DataFrame:
     return mapped.select(*keys).distinct().join(found, list(keys), "left").select(*keys, F.coalesce("r", F.lit(0.0)).alias("r_oracle"), F.coalesce("g", F.lit(0.0)).alias("g_oracle"))
 
 
+def covered(ranges: Column) -> Column:
+    """How many places an array of (start, end) covers: one sweep over the sorted ranges, each adding what it reaches beyond
+    those before it."""
+    whole = F.array_sort(F.transform(F.filter(ranges, lambda r: r["end"] > r["start"]), lambda r: F.struct(r["start"].cast("long").alias("start"), r["end"].cast("long").alias("end"))))
+    step = lambda a, r: F.struct(F.greatest(a["upto"], r["end"]).alias("upto"), (a["n"] + F.greatest(F.lit(0).cast("long"), r["end"] - F.greatest(r["start"], a["upto"]))).alias("n"))
+    return F.aggregate(whole, F.struct(F.lit(-(1 << 62)).alias("upto"), F.lit(0).cast("long").alias("n")), step, lambda a: a["n"])
+
+
 def span_iou(predicted: Column, oracle: Column) -> Column:
-    """Intersection over union of the characters of two arrays of ranges; 1 if both are empty."""
-    points = lambda ranges: F.array_distinct(F.flatten(F.transform(F.filter(ranges, lambda r: r["end"] > r["start"]), lambda r: F.sequence(r["start"], r["end"] - 1))))
-    union = F.size(F.array_union(points(predicted), points(oracle)))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(points(predicted), points(oracle))) / union)
+    """Intersection over union of the characters of two arrays of ranges; 1 if both are empty. Ranges are never spelled out."""
+    a, b = covered(predicted), covered(oracle)
+    long = lambda ranges: F.transform(ranges, lambda r: F.struct(r["start"].cast("long").alias("start"), r["end"].cast("long").alias("end")))
+    union = covered(F.concat(long(predicted), long(oracle)))
+    return F.when(union == 0, 1.0).otherwise((a + b - union) / union)
+
+
+def positive_total(effect: Column, name: str) -> Column:
+    """The sum of positive effects; one that is not finite is an error."""
+    return F.sum(F.greatest(finite(effect.cast("double"), name), F.lit(0.0)))
 
 
 def donor_effects(scores: DataFrame, *keys: str, donors: int = 8) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .stats import cluster_bootstrap_by, conformal_pvalues, flagged, holm, quantile, sign_flip_by, with_interval
@@ -89,11 +89,34 @@ def mechanism_gate(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     return tests.agg(F.bool_and((F.col("p_adj") < alpha) & (F.col("ci_low") > 0)).alias("passed"))
 
 
-def audit_decision(components: DataFrame) -> DataFrame:
-    """PASS if every required component of (name, required, n_checked, n_failed) has 20 rows or more and no failure."""
-    status = F.when((F.col("n_checked") >= 20) & (F.col("n_failed") == 0), "PASS_FUNCTIONAL").when(F.col("required"), "FAIL").otherwise("WARN")
-    each = components.withColumn("status", status)
-    return each.agg(F.when(F.bool_and(~F.col("required") | (F.col("status") == "PASS_FUNCTIONAL")), "PASS").otherwise("FAIL").alias("decision"))
+#: The states with which a component passes.
+PASSING = ["PASS_EXACT", "PASS_FUNCTIONAL"]
+
+
+def audit_status(checked: Column, failed: Column, least: int = 20) -> Column:
+    """FAIL with any failure, PASS_FUNCTIONAL from `least` checks on, WARN with fewer."""
+    return F.when(failed > 0, "FAIL").when(checked >= least, "PASS_FUNCTIONAL").otherwise("WARN")
+
+
+def audit_decision(components: DataFrame, required: list[str], informational: list[str] = ()) -> DataFrame:
+    """One row from (name, status): PASS if every required component passes, and a reason for each that was named.
+
+    No required component, one that is named twice or in both lists, and one that components do not have are errors.
+    """
+    named = [*required, *informational]
+    if not required:
+        raise ValueError("an audit needs a required component")
+    if len(set(required)) < len(required) or len(set(informational)) < len(informational):
+        raise ValueError("a component is named twice")
+    if set(required) & set(informational):
+        raise ValueError("a component is both required and informational")
+    asked = components.sparkSession.createDataFrame([(n, i, i < len(required)) for i, n in enumerate(named)], "name string, place int, required boolean")
+    rows = asked.join(components.select("name", "status"), "name", "left")
+    known = F.when(F.col("status").isNull(), F.raise_error(F.concat(F.lit("unknown component: "), "name")).cast("string")).otherwise(F.col("status"))
+    rows = rows.withColumn("status", known)
+    reason = F.concat("name", F.lit(": "), "status", F.when(F.col("required"), "").otherwise(", informational"))
+    reasons = F.transform(F.array_sort(F.collect_list(F.struct("place", reason.alias("reason")))), lambda x: x["reason"])
+    return rows.agg(F.when(F.bool_and(~F.col("required") | F.col("status").isin(*PASSING)), "PASS").otherwise("FAIL").alias("decision"), reasons.alias("reasons"))
 
 
 def compared_runs(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -120,13 +143,14 @@ def lineage_errors(chunks: DataFrame, docs: DataFrame, by: str, text: str = "tex
 
 
 def final_verdict(gates: DataFrame) -> DataFrame:
-    """One row from (gate, passed) and the two judgments as gates `weakened` and `persists`: what to do next, and why.
+    """One row from (gate, passed), the two judgments as gates `weakened` and `persists`, and `run`: what to do next, and why.
 
     An early gate or the mechanism gate that failed ends the work, robustness that failed narrows it; then the joint
-    judgments decide. A gate without a row or with a null was not reached.
+    judgments decide. Without them, a run that passed as a whole goes on with caution, as its boundary was not measured.
+    A gate without a row or with a null was not reached.
     """
-    found = gates.agg(*(F.bool_and(F.when(F.col("gate") == g, F.col("passed"))).alias(g) for g in ("audit", "determinism", "mechanism", "robustness", "weakened", "persists")))
+    found = gates.agg(*(F.bool_and(F.when(F.col("gate") == g, F.col("passed"))).alias(g) for g in ("audit", "determinism", "mechanism", "robustness", "weakened", "persists", "run")))
     failed = lambda g: F.col(g).eqNullSafe(False)
-    verdict = F.when(failed("audit") | failed("determinism") | failed("mechanism"), "terminate").when(failed("robustness") | F.col("weakened"), "narrow").when(F.col("persists"), "continue").otherwise("open")
-    why = F.when(failed("audit"), "audit").when(failed("determinism"), "determinism").when(failed("mechanism"), "mechanism").when(failed("robustness"), "robustness").when(F.col("weakened"), "weakened").when(F.col("persists"), "persists")
+    verdict = F.when(failed("audit") | failed("determinism") | failed("mechanism"), "terminate").when(failed("robustness") | F.col("weakened"), "narrow").when(F.col("persists"), "continue").when(F.col("run"), "continue with caution").otherwise("open")
+    why = F.when(failed("audit"), "audit").when(failed("determinism"), "determinism").when(failed("mechanism"), "mechanism").when(failed("robustness"), "robustness").when(F.col("weakened"), "weakened").when(F.col("persists"), "persists").when(F.col("run"), "run")
     return found.select(verdict.alias("verdict"), why.alias("reason"))

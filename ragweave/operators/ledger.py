@@ -164,6 +164,14 @@ def label_free(df: DataFrame, allowed: list[str], forbidden: set[str]) -> DataFr
     return out
 
 
+def with_samples(rows: DataFrame, samples: DataFrame, order: list[str], key: str = "sample_id") -> DataFrame:
+    """Ledger rows with the sample of their key; of samples that share one the last counts, a key that none has is an error."""
+    last = last_wins(samples, [key], order).drop(*(c for c in order if c in rows.columns)).withColumn("_there", F.lit(True))
+    both = rows.join(last, key, "left")
+    known = F.when(F.col("_there"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("no sample "), F.col(key).cast("string"))).cast(dict(rows.dtypes)[key]))
+    return both.withColumn(key, known).drop("_there")
+
+
 def with_last(tasks: DataFrame, log: DataFrame, keys: list[str], epoch: str, value: str) -> DataFrame:
     """Tasks with the value of their last epoch and a status: found, or missing where the log has none."""
     last = log.groupBy(*keys).agg(F.max(epoch).alias(epoch), F.max_by(value, F.struct(epoch, value)).alias(value))

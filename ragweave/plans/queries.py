@@ -15,6 +15,7 @@ from ragweave.operators import retrieval as R
 from ragweave.operators import scoring as C
 from ragweave.operators import stats as S
 from ragweave.operators import tasks as X
+from ragweave.sources import provenance as PR
 
 SIZE, OVERLAP = 64, 8
 
@@ -239,7 +240,7 @@ def sign_flip_numpy(spark, d):
 
 @query("noise_floor_q99", "SELECT round(greatest(1e-8, quantile_cont(r, 0.99)), 6) AS retrieval_floor, round(greatest(1e-8, quantile_cont(g, 0.99)), 6) AS generation_floor, round(max(r), 6) AS retrieval_max, round(max(g), 6) AS generation_max FROM (SELECT user_id, sum(greatest(value, 0)) AS r, sum(greatest(value - 5, 0)) AS g FROM events GROUP BY user_id)")
 def noise_floor_q99(spark, d):
-    e = _read(spark, d, "events").groupBy("user_id").agg(F.sum(F.greatest("value", F.lit(0.0))).alias("retrieval_total"), F.sum(F.greatest(F.col("value") - 5, F.lit(0.0))).alias("generation_total"))
+    e = _read(spark, d, "events").groupBy("user_id").agg(A.positive_total(F.coalesce("value", F.lit(0.0)), "retrieval effect").alias("retrieval_total"), A.positive_total(F.coalesce(F.col("value") - 5, F.lit(0.0)), "generation effect").alias("generation_total"))
     return _round(E.noise_floor(e), "retrieval_floor", "generation_floor", "retrieval_max", "generation_max")
 
 
@@ -419,10 +420,23 @@ def cluster_bootstrap_hash(spark, d):
     return _round(S.cluster_bootstrap_hash(_read(spark, d, "events"), "event_type", "value"), "ci_low", "ci_high")
 
 
-@query("audit_decision", "SELECT CASE WHEN bool_and(c NOT IN ('click', 'view') OR (n >= 20 AND failed = 0)) THEN 'PASS' ELSE 'FAIL' END AS decision FROM (SELECT event_type AS c, count(*) AS n, count_if(value IS NULL) AS failed FROM events WHERE event_type IS NOT NULL GROUP BY event_type)")
+@query("audit_decision", "WITH c AS (SELECT event_type AS name, CASE WHEN count_if(value IS NULL) > 0 THEN 'FAIL' WHEN count(*) >= 20 THEN 'PASS_FUNCTIONAL' ELSE 'WARN' END AS status FROM events WHERE event_type IS NOT NULL GROUP BY event_type), a(name, place, required) AS (VALUES ('click', 0, true), ('view', 1, true), ('error', 2, false)) SELECT CASE WHEN bool_and(NOT required OR status = 'PASS_FUNCTIONAL') THEN 'PASS' ELSE 'FAIL' END AS decision, string_agg(name || ': ' || status || CASE WHEN required THEN '' ELSE ', informational' END, '; ' ORDER BY place) AS reasons FROM a JOIN c USING (name)")
 def audit_decision(spark, d):
-    parts = _read(spark, d, "events").where("event_type is not null").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n_checked"), F.count_if(F.col("value").isNull()).alias("n_failed"))
-    return E.audit_decision(parts.withColumn("required", F.col("name").isin("click", "view")))
+    parts = _read(spark, d, "events").where("event_type is not null").groupBy(F.col("event_type").alias("name")).agg(E.audit_status(F.count("*"), F.count_if(F.col("value").isNull())).alias("status"))
+    return E.audit_decision(parts, ["click", "view"], ["error"]).select("decision", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query("ledger_samples", "SELECT l.l_orderkey, l.l_linenumber, l.l_partkey AS sample_id, p_name, p_size FROM lineitem l JOIN part ON p_partkey = l.l_partkey")
+def ledger_samples(spark, d):
+    p = _read(spark, d, "part").select(F.col("p_partkey").alias("sample_id"), "p_name", "p_size").withColumn("ord", F.lit(1))
+    rows = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("sample_id"))
+    return L.with_samples(rows, p.unionByName(p.withColumn("p_name", F.lit("before")).withColumn("ord", F.lit(0))), ["ord"]).drop("ord")
+
+
+@query("canonical_hashes", """SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"inner":{"a":[' || n_chars || ',null],"lang":"' || lang || '"},"text":"' || replace(replace(replace(replace(text, chr(92), repeat(chr(92), 2)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't') || '"}') AS hash FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL""")
+def canonical_hashes(spark, d):
+    rows = _read(spark, d, "documents").where("text is not null and lang is not null").select("doc_id", "text", F.struct("lang", F.array(F.col("n_chars"), F.lit(None)).alias("a")).alias("inner"))
+    return PR.row_hash(rows, ["text", "inner", "doc_id"]).select("doc_id", "hash")
 
 
 @query("mechanism_gate", "SELECT bool_and(p < 0.05 AND low > 0) AS passed FROM (SELECT event_type, 1 / (count(*) + 1e0) AS p, min(value) AS low FROM events WHERE value IS NOT NULL GROUP BY event_type)")

@@ -60,8 +60,10 @@ def run(state: State, phases: list[tuple[str, Callable[[], dict]]], fields: dict
 
 
 def gates(spark: SparkSession, document: dict, judged: dict[str, bool] | None = None) -> DataFrame:
-    """(gate, passed) of the phases that ran, and the judgments of the last one."""
+    """(gate, passed) of the phases that ran, the judgments of the last one, and `run` if all that was planned passed."""
     rows = [(k, v["status"] == PASSED) for k, v in document["phases"].items()] + list((judged or {}).items())
+    if document.get("status") == PASSED:
+        rows.append(("run", True))
     return spark.createDataFrame(rows, "gate string, passed boolean")
 
 

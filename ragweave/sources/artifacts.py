@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragweave.functions.ship import shipped
 from ragweave.functions.text import command_success, contains_answer
 
+from .provenance import tree_files
 from .readers import blackbox_samples, nested_results
+from .store import exists
 
 ROW = "id string, question string, incorrect_answer string, output_poison string, injected_adv array<string>"
 RANGES = "oracle_ranges map<string,struct<anchor:array<int>,payload:array<int>>>"
@@ -95,6 +100,94 @@ def run_samples(spark: SparkSession, root: str, parse: Callable = parsed) -> Dat
     return made.select(sample_id.alias("sample_id"), "query_id", "dataset", "query", F.lit("Phantom").alias("family"), "variant", "text", "payload_start", "target_answer", "output", "hit", success.alias("success"), "command", "seed", "trigger")
 
 
+def _first(value) -> str:
+    if isinstance(value, list) and value:
+        return str(value[0])
+    return "" if value is None else str(value)
+
+
+#: Files of a run that components are made of, and marks of a run's name.
+OUTPUTS, CONTEXTS, ATTACK, ARGUMENTS, GENERATED = "outputs_test.yaml", "context_splits.yaml", "ret_atk.yaml", "args.yaml", "gen_atk.yaml"
+ATTACKED, CLEAN = "_attack__", "_clean__"
+
+
+def run_files(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """(run, name, file, text, digest) of the files so named below root; run is the folder's path. Only those are opened."""
+    wanted = [f for f in tree_files(spark, root) if f.rsplit("/", 1)[1] in names]
+    files = spark.read.format("binaryFile").load(wanted) if wanted else spark.createDataFrame([], "path string, content binary")
+    path = F.regexp_replace("path", "^[a-z]+:/*", "/")
+    return files.select(F.regexp_extract(path, "^(.*)/[^/]+$", 1).alias("run"), F.regexp_extract(path, "([^/]+)$", 1).alias("name"), path.alias("file"), F.col("content").cast("string").alias("text"), F.sha2("content", 256).alias("digest"))
+
+
+def _output_rows(batches, parse):
+    for batch in batches:
+        rows: dict[str, list] = {c: [] for c in ("run", "kind", "place", "query_id", "position", "output", "lineage")}
+        for run, files in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(maps_as_pydicts="strict")):
+            kind = CLEAN if CLEAN in run.rsplit("/", 1)[1] else ATTACKED if ATTACKED in run.rsplit("/", 1)[1] else None
+            if kind is None or OUTPUTS not in files or (kind == ATTACKED and CONTEXTS not in files):
+                continue
+            try:
+                outputs, contexts, attack = (parse(files[n]) or {} if n in files else {} for n in (OUTPUTS, CONTEXTS, ATTACK))
+            except Exception:  # a document that is no YAML takes no part
+                continue
+            if not isinstance(outputs, dict):
+                continue
+            places = contexts.get("test_bdr_positions") or {}
+            passage, payload = _first(attack.get("ret_atk_passage")), _first(attack.get("ret_atk_payload"))
+            # a run without outputs still tells whether its lineage is known
+            for i, (query_id, output) in enumerate([*outputs.items()] or [(None, None)]):
+                place = int(places.get(query_id, places.get(str(query_id), -1))) if query_id is not None else -1
+                for c, v in zip(rows, (run, kind, i, None if query_id is None else str(query_id), place, None if output is None else str(output), bool(passage and payload and payload in passage))):
+                    rows[c].append(v)
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
+
+
+def run_outputs(spark: SparkSession, root: str, parse: Callable = parsed) -> DataFrame:
+    """(run, kind, place, query_id, position, output, lineage) of recorded outputs in run folders directly below root.
+
+    kind tells attacked from clean runs, position where the attacked passage was retrieved (from 0, -1: not), lineage
+    whether the run's passage holds its payload. Documents are parsed where their run's files meet.
+    """
+    files = run_files(spark, root, [OUTPUTS, CONTEXTS, ATTACK]).where(F.regexp_extract("run", "^(.*)/[^/]+$", 1) == F.lit("/" + root.rstrip("/").split(":", 1)[-1].lstrip("/")))
+    runs = files.groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("files"))  # three files at most
+    return runs.mapInArrow(shipped(__name__, "_output_rows", parse), "run string, kind string, place int, query_id string, position int, output string, lineage boolean")
+
+
+def _component_rows(batches, parse):
+    for batch in batches:
+        rows: dict[str, list] = {c: [] for c in ("run", "trigger", "s_ret", "s_gen", "s_cmd", "passage_sha256", "ret_atk_sha256", "gen_atk_sha256", "complete")}
+        for run, files in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            by = {f["name"]: f for f in sorted(files, key=lambda f: f["file"], reverse=True)}  # the first of several generated ones stays
+            if not {ATTACK, ARGUMENTS, GENERATED} <= set(by):
+                continue
+            try:
+                attack, arguments, generated = (parse(by[n]["text"]) or {} for n in (ATTACK, ARGUMENTS, GENERATED))
+            except Exception:
+                continue
+            passage, payload = _first(attack.get("ret_atk_passage")), _first(attack.get("ret_atk_payload"))
+            trigger, command = str((arguments.get("retriever_attack") or {}).get("trigger", "")), str((arguments.get("generator_attack") or {}).get("adv_command", ""))
+            retrieval = (passage[: passage.find(payload)] if payload and payload in passage else passage).strip()
+            generation = (str(generated.get("adv_control_prefix", "")) + str(generated.get("adv_control_suffix", ""))).strip()
+            values = (run, trigger, retrieval, generation, command, hashlib.sha256(passage.encode()).hexdigest(), by[ATTACK]["digest"], by[GENERATED]["digest"], bool(trigger and retrieval and command))
+            for c, v in zip(rows, values):
+                rows[c].append(v)
+        kinds = [*[pa.string()] * 8, pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
+
+
+def run_components(spark: SparkSession, root: str, parse: Callable = parsed) -> DataFrame:
+    """(run, trigger, s_ret, s_gen, s_cmd, digests, complete): the separable parts of attacked runs at any depth below root.
+
+    s_ret is the passage before its payload, s_gen the generated prefix and suffix (of the first generated file by path),
+    s_cmd the command. A run is complete with a trigger, an s_ret and a command; without a generated file it has no row.
+    """
+    files = run_files(spark, root, [ATTACK, ARGUMENTS, GENERATED])
+    own = F.when(F.col("name") == GENERATED, F.regexp_extract("run", "^(.*)/[^/]+$", 1)).otherwise(F.col("run"))  # it lies one folder deeper
+    runs = files.groupBy(own.alias("run")).agg(F.collect_list(F.struct("name", "file", "text", "digest")).alias("files"))
+    return runs.mapInArrow(shipped(__name__, "_component_rows", parse), "run string, trigger string, s_ret string, s_gen string, s_cmd string, passage_sha256 string, ret_atk_sha256 string, gen_atk_sha256 string, complete boolean")
+
+
 def protocol_scope(text: str, families: dict[str, str], parse: Callable = parsed) -> dict:
     """{protocol_id, active, excluded, mechanism_quotas, detection_quotas} of a checked scope document.
 
@@ -152,8 +245,8 @@ def evidence(spark: SparkSession, paths: list[str]) -> DataFrame:
     A list counts the entries of the lists in its objects, an object its keys, anything else nothing.
     """
     asked = spark.createDataFrame([(p,) for p in paths], "path string")
-    folders = sorted({p.rsplit("/", 1)[0] for p in paths})
-    there = spark.read.format("binaryFile").load(folders) if folders else None
+    wanted = [p for p in sorted(set(paths)) if exists(spark, p)]  # no other file is opened
+    there = spark.read.format("binaryFile").load(wanted) if wanted else spark.createDataFrame([], "path string, content binary")
     held = there.select(F.regexp_replace("path", "^[a-z]+:/*", "/").alias("path"), F.col("content").cast("string").alias("text"), F.sha2("content", 256).alias("digest"))
     tree = F.try_parse_json("text")
     inner = lambda m: F.aggregate(F.map_values(m), F.lit(0), lambda a, v: a + F.coalesce(F.size(F.try_variant_get(v, "$", "array<variant>")), F.lit(0)))
