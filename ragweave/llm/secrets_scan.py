@@ -30,12 +30,42 @@ def found(text: Column, pattern: str) -> tuple[Column, Column]:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
 
-def placed(matches: str, gaps: str, kind: str, order: int) -> Column:
-    """Structs (start, order, kind, end, token) in code points, end exclusive, in order."""
-    span = lambda a, i: F.struct((a["at"] + F.length(F.get(gaps, i))).alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), (a["at"] + F.length(F.get(gaps, i)) + F.length(F.get(matches, i))).alias("end"), F.get(matches, i).alias("token"))
-    none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int,token:string>>")
-    step = lambda a, i: F.struct((a["at"] + F.length(F.get(gaps, i)) + F.length(F.get(matches, i))).alias("at"), F.concat(a["out"], F.array(span(a, i))).alias("out"))
-    return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: a["out"])).otherwise(none)
+#: Entries that a running sum takes together: n entries cost n * BLOCK + (n / BLOCK)**2 steps.
+BLOCK = 256
+_SPAN = "array<struct<start:int,order:int,kind:string,end:int,token:string,at:int,upto:int>>"
+
+
+def _plus(x: Column, y: Column) -> Column:
+    return F.struct((x["a"] + y["a"]).alias("a"), (x["b"] + y["b"]).alias("b"))
+
+
+def blocks(entries: Column) -> Column:
+    """An array in pieces of BLOCK entries; each entry is got by its place, as a slice would copy the whole array."""
+    n = F.size(entries)
+    piece = lambda i: F.transform(F.sequence(i * BLOCK, F.least(i * BLOCK + BLOCK, n) - 1), lambda j: F.get(entries, j))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), piece)).otherwise(F.array().cast("array<array<struct<a:int,b:int>>>"))
+
+
+def running(pieces: str) -> Column:
+    """Sums before each of the entries (a, b) that blocks() cut: within a block entry by entry, from the sums of the blocks before."""
+    zero = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"))
+    append = lambda out, x: F.concat(out, F.array(_plus(F.element_at(out, -1), x)))
+    totals = F.transform(pieces, lambda p: F.aggregate(p, zero, _plus))
+    before = F.aggregate(totals, F.array(zero), append)
+    each = F.zip_with(F.col(pieces), F.slice(before, F.lit(1), F.size(pieces)), lambda p, start: F.slice(F.aggregate(p, F.array(start), append), F.lit(1), F.size(p)))
+    return F.flatten(each)
+
+
+def lengths(matches: str, gaps: str) -> Column:
+    """Characters and bytes of each match and of the text between it and the match before."""
+    return F.transform(matches, lambda m, i: F.struct((F.length(F.get(gaps, i)) + F.length(m)).alias("a"), (F.octet_length(F.get(gaps, i)) + F.octet_length(m)).alias("b")))
+
+
+def placed(matches: str, gaps: str, sums: str, kind: str, order: int) -> Column:
+    """Structs (start, order, kind, end, token, at, upto) in order: places in code points and in bytes, ends exclusive."""
+    start, at = lambda s, i: s["a"] + F.length(F.get(gaps, i)), lambda s, i: s["b"] + F.octet_length(F.get(gaps, i))
+    span = lambda s, i: F.struct(start(s, i).alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), (start(s, i) + F.length(F.get(matches, i))).alias("end"), F.get(matches, i).alias("token"), at(s, i).alias("at"), (at(s, i) + F.octet_length(F.get(matches, i))).alias("upto"))
+    return F.coalesce(F.transform(sums, span), F.array().cast(_SPAN))
 
 
 def samples(spark: SparkSession, docs: DataFrame | None, strings: int = SAMPLE_STRINGS, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -80,29 +110,54 @@ def ratio(token: Column, table: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(2), F.length(token)), F.lit(0.0), lambda a, i: a + F.coalesce(F.get(literal, F.expr("0") + (place(i - 1) * len(ALPHABET) + place(i)).cast("int")), F.lit(0.0)))
 
 
-def outside(span: Column, base: str) -> Column:
-    """The pieces of a candidate that no base span (in order of start) covers, those of LEAST characters or more."""
-    piece = lambda start, end: F.struct(start.alias("start"), span["order"].alias("order"), span["kind"].alias("kind"), end.alias("end"), F.substring(span["token"], start - span["start"] + 1, end - start).alias("token"))
-    step = lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), F.when(b["start"] - a["at"] >= LEAST, F.concat(a["out"], F.array(piece(a["at"], b["start"])))).otherwise(a["out"]).alias("out"))
-    none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int,token:string>>")
-    last = lambda a: F.when(span["end"] - a["at"] >= LEAST, F.concat(a["out"], F.array(piece(a["at"], span["end"])))).otherwise(a["out"])
-    touching = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
-    return F.when(F.size(touching) == 0, F.array(span)).otherwise(F.aggregate(touching, F.struct(span["start"].alias("at"), none.alias("out")), step, last))
+def _sweep(entries: Column, rows: DataFrame, name: str) -> DataFrame:
+    """rows with an array of (place, next, a, b): each entry (place, a, b), in order, with the place of the next one and the
+    sums of a and b up to and with it."""
+    e, each, cut, sums = f"{name}_e", f"{name}_l", f"{name}_b", f"{name}_s"
+    rows = rows.withColumn(e, F.array_sort(entries)).withColumn(each, F.transform(e, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
+    rows = rows.withColumn(cut, blocks(F.col(each)))
+    rows = rows.withColumn(sums, running(cut))
+    state = lambda s, k: F.struct(F.get(e, k)["place"].alias("place"), F.get(e, k + 1)["place"].alias("next"), (s["a"] + F.get(e, k)["a"]).alias("a"), (s["b"] + F.get(e, k)["b"]).alias("b"))
+    return rows.withColumn(name, F.coalesce(F.transform(sums, state), F.array().cast("array<struct<place:int,next:int,a:int,b:int>>"))).drop(e, each, cut, sums)
+
+
+def _ends(spans: str, of: tuple[str, str], mark) -> Column:
+    """Entries at both ends of each span; mark gives (a, b) of one that opens, which its end takes back."""
+    def ends(s, i):
+        a, b = mark(i)
+        return F.array(F.struct(s[of[0]].alias("place"), a.alias("a"), b.alias("b")), F.struct(s[of[1]].alias("place"), (-a).alias("a"), (-b).alias("b")))
+
+    return F.flatten(F.transform(spans, ends))
 
 
 def scanned(docs: DataFrame, table: list[float], *more: str, threshold: float = THRESHOLD) -> DataFrame:
-    """docs' doc_id and `more` with base (spans of the patterns) and spans (base and Markov ones, in order)."""
+    """docs' doc_id and `more` with base (spans of the patterns) and spans (base and Markov ones, in order).
+
+    Work grows with the length of a text and, but for running sums by blocks, with its number of matches: one sweep over all
+    places where a candidate or a base span starts or ends finds the pieces of candidates outside every base span.
+    """
     rows = docs.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("_t"))
-    for kind, pattern in [*KINDS.items(), ("random", CANDIDATE)]:
+    kinds = [*KINDS.items(), ("random", CANDIDATE)]
+    for kind, pattern in kinds:
         matches, _ = found(F.col("_t"), pattern)
         rows = rows.withColumn(f"_m_{kind}", matches)
         rows = rows.withColumn(f"_g_{kind}", F.when(F.size(f"_m_{kind}") > 0, F.split("_t", pattern, -1)))
-    rows = rows.drop("_t")
-    rows = rows.select("doc_id", *more, *(placed(f"_m_{kind}", f"_g_{kind}", kind, i).alias(f"_{kind}") for i, kind in enumerate([*KINDS, "random"])))
+    # each step is a column of its own, as a function of every block would otherwise make what it reads anew
+    rows = rows.drop("_t").select("*", *(lengths(f"_m_{k}", f"_g_{k}").alias(f"_l_{k}") for k, _ in kinds))
+    rows = rows.select("*", *(blocks(F.col(f"_l_{k}")).alias(f"_b_{k}") for k, _ in kinds))
+    rows = rows.select("*", *(running(f"_b_{k}").alias(f"_s_{k}") for k, _ in kinds))
+    rows = rows.select("doc_id", *more, *(placed(f"_m_{k}", f"_g_{k}", f"_s_{k}", k, i).alias(f"_{k}") for i, (k, _) in enumerate(kinds)))
     rows = rows.withColumn("_assign", F.filter("_assign", lambda s: F.length(F.regexp_extract(s["token"], ASSIGN, 2)) >= 8))
     rows = rows.withColumn("base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    rows = rows.withColumn("_random", F.filter(F.flatten(F.transform("_random", lambda s: outside(s, "base"))), lambda s: ratio(s["token"], table) > threshold))
-    return rows.withColumn("spans", F.array_sort(F.concat("base", "_random"))).drop(*(f"_{k}" for k in ("assign", "access", "hex", "random")))
+    zero = F.lit(0)
+    # candidates never overlap, so the sum of a is the number, from 1, of the one that is open
+    entries = F.concat(_ends("_random", ("start", "end"), lambda i: (i + 1, zero)), _ends("base", ("start", "end"), lambda i: (zero, F.lit(1))))
+    rows = _sweep(entries, rows, "_open")
+    piece = lambda p, c: F.struct(p["place"].alias("start"), c["order"].alias("order"), c["kind"].alias("kind"), p["next"].alias("end"), F.substring(c["token"].cast("binary"), p["place"] - c["start"] + 1, p["next"] - p["place"]).cast("string").alias("token"), (c["at"] + p["place"] - c["start"]).alias("at"), (c["at"] + p["next"] - c["start"]).alias("upto"))
+    free = F.filter("_open", lambda p: (p["a"] > 0) & (p["b"] == 0) & (p["next"] - p["place"] >= LEAST))
+    rows = rows.withColumn("_pieces", F.transform(free, lambda p: piece(p, F.get("_random", p["a"] - 1))))
+    rows = rows.withColumn("_random", F.filter("_pieces", lambda s: ratio(s["token"], table) > threshold))
+    return rows.withColumn("spans", F.array_sort(F.concat("base", "_random"))).drop("_open", "_pieces", *(f"_{k}" for k, _ in kinds))
 
 
 def joined(spans: str) -> Column:
@@ -129,9 +184,11 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", threshold: float = THRESHO
     table = trained(samples(docs.sparkSession, docs))
     # other columns travel in one struct, so that their names cannot clash
     rows = scanned(docs.select("doc_id", "text", (F.struct(*map(named, rest)) if rest else F.lit(0)).alias("rest")), table, "text", "rest", threshold=threshold)
-    # pieces between spans, in order of start; `at` is how far the text has been covered
-    step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring("text", a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"))
-    masked = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))))
+    # what no span covers, in bytes: from the front, and from wherever the last open span ends
+    rows = _sweep(_ends("spans", ("at", "upto"), lambda i: (F.lit(1), F.lit(0))), rows.withColumn("_bytes", F.col("text").cast("binary")), "_cover")
+    part = lambda at, upto: F.substring("_bytes", at + 1, upto - at).cast("string")
+    rest_of = F.transform(F.filter("_cover", lambda p: p["a"] == 0), lambda p: part(p["place"], F.coalesce(p["next"], F.length("_bytes"))))
+    masked = F.array_join(F.concat(F.array(part(F.lit(0), F.get("_cover", 0)["place"])), rest_of), mark)
     rows = rows.withColumn("_masked", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
     out = {"doc_id": F.col("doc_id"), "text": F.col("_masked")} | {c: F.col("rest").getField(c) for c in rest}
     if "n_chars" in rest:
