@@ -1,8 +1,9 @@
 """Alignment of two tokenizers by bytes.
 
 Texts are cut into units at which both tokenizers begin anew: before a space or a line feed that follows something else
-than white space. No token of either crosses such a place (checked against both vocabularies when they are loaded), so a
-unit is encoded and aligned once for all its occurrences in a slab, the stretch of rows whose units a task holds.
+than white space, and before a mark that follows an ASCII letter or digit. No token of either crosses such a place (checked
+against both vocabularies when they are loaded), so a unit is encoded and aligned once for all its occurrences in a slab,
+the stretch of rows whose units a task holds.
 
 DuckDB aligns the units of an Arrow batch that are new: token intervals of both sides are tables, an overlap begins where
 one of its tokens starts, so two ASOF joins find each of them once (the second with a range condition, as a token may
@@ -21,13 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shipped, texts_of
+from .common import cut, shipped, texts_of, trimmed
 
-#: UNITS and PLACES bound a slab: distinct units, and places at which they stand. ALIGNED is bytes of new units that DuckDB is given at once.
-FOLDER, UNITS, PLACES, ALIGNED, MEMORY = "/opt/tokenizers", 60_000, 4_000_000, 1 << 20, "200MB"
+#: UNITS and PLACES bound a slab: distinct units, and places at which they stand. ALIGNED is bytes of new units that DuckDB is
+#: given at once, ROWS the rows that are looked at together.
+FOLDER, UNITS, PLACES, ALIGNED, ROWS, MEMORY = "/opt/tokenizers", 120_000, 4_000_000, 1 << 18, 256, "100MB"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Code points that stand for themselves in a byte-level vocabulary; all other bytes follow from 256 on.
 PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: How a byte-level tokenizer cuts words.
+WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def _byte_of() -> dict[str, int]:
@@ -45,6 +49,8 @@ class Tokenizers:
 
     def __init__(self, folder: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import json
+
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -61,23 +67,41 @@ class Tokenizers:
         self.space = self.b.piece_to_id("▁")
         # a piece with a line feed, or with a space after anything else, would cross the places at which units begin
         whole = [p for i, p in enumerate(pieces) if not self.b.is_byte(i) and not self.b.is_control(i)]
-        self.cuts = not any("\n" in p or "▁" in p.lstrip("▁") for p in whole) and self._begins_anew()
-
-    def _begins_anew(self) -> bool:
-        """Whether the byte-level side cuts its words before white space, as its usual pattern does."""
-        import json
-
         how = json.loads(self.a.to_str())
+        self.cuts = not any("\n" in p or "▁" in p.lstrip("▁") for p in whole) and self._begins_anew(how)
+        self.marks = np.zeros(256, bool)
+        follow = {b for p in whole for a, b in zip(p, p[1:]) if a.isascii() and a.isalnum()}
+        self.marks[[i for i in range(0x21, 0x7F) if not chr(i).isalnum() and chr(i) not in follow]] = True
+        self.fast = self._ranked(how) if self.cuts else None
+
+    def _begins_anew(self, how: dict) -> bool:
+        """Whether the byte-level side cuts its words before white space and marks, as its usual pattern does."""
         before = how["pre_tokenizer"] or {}
         return how["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", False)
 
+    def _ranked(self, how: dict):
+        """The byte-level side by ranks, where its merges stand in the order of their ids, which then rank them."""
+        model = how["model"]
+        merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+        if model["type"] != "BPE" or any(model["vocab"].get(m.replace(" ", "")) != 256 + i for i, m in enumerate(merges)) or len(model["vocab"]) != 256 + len(merges):
+            return None
+        import tiktoken
+
+        return tiktoken.Encoding("ranked", pat_str=WORDS, mergeable_ranks={self.a_bytes[i]: i for i in model["vocab"].values()}, special_tokens={})
+
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        """Ids of a. Units of Latin letters, digits and ASCII marks, on which all versions of Unicode agree, go by ranks."""
+        plain = [self.fast is not None and (t.isascii() or all(c < "\x80" or "\xc0" <= c < "\u0250" for c in t)) for t in texts]
+        rest = iter([e.ids for e in self.a.encode_batch([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)] if not all(plain) else [])
+        return [self.fast.encode_ordinary(t) if p else next(rest) for t, p in zip(texts, plain)]
+
     def encode(self, units: list[bytes]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
         """(ids of a, ids of b, whether both give the unit's bytes) of each unit; one that is no UTF-8 fails."""
         texts = [u.decode("utf-8", "replace") for u in units]
-        a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        # b adds a space of its own, but to nothing; before a line feed it stands alone, as no piece has both
-        b = self.b.encode([t[1:] if t[:1] == " " else t for t in texts], num_threads=1)
-        b = [[self.space] if t == " " else x if t[:1] == " " else x[1:] for x, t in zip(b, texts)]
+        a = self.encode_a(texts)
+        # b adds a space of its own, but to nothing; before a line feed, which no piece has, it stands alone
+        b = self.b.encode([t[1:] if t[:1] == " " else "\n" + t for t in texts], num_threads=1)
+        b = [[self.space] if t == " " else x if t[:1] == " " else x[2:] for x, t in zip(b, texts)]
         ok = [b"".join(map(self.a_bytes.__getitem__, x)) == u and b"".join(map(self.b_bytes.__getitem__, y)) == u for x, y, u in zip(a, b, units)]
         return a, b, ok
 
@@ -87,13 +111,18 @@ def _loaded(folder: str) -> Tokenizers:
     return Tokenizers(folder)
 
 
-def unit_starts(text: bytes) -> list[int]:
-    """Where units of space+text begin: 0, and each space or line feed after a character that surely is no white space.
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
+def unit_starts(text: bytes, marks: np.ndarray) -> list[int]:
+    """Where units of space+text begin: 0, each space or line feed after a character that surely is no white space, and each
+    of the marks after an ASCII letter or digit.
 
     Surely: printable ASCII, a character of two bytes beyond U+00FF, one of three beyond U+3FFF or one of four.
     """
     x = np.frombuffer(text, np.uint8)
-    at = np.flatnonzero((x[1:] == 32) | (x[1:] == 10)) + 1
+    at = np.flatnonzero((x[1:] == 32) | (x[1:] == 10) | marks[x[1:]] & _ALNUM[x[:-1]]) + 1
     back = lambda k: x[np.maximum(at - k, 0)]
     last = back(1)
     two = (last >= 128) & (last < 192) & (back(2) >= 0xC4) & (back(2) < 0xE0) & (at >= 2)
@@ -111,11 +140,9 @@ SELECT unit, a, b, count(*)::INTEGER AS n FROM (
 GROUP BY unit, a, b ORDER BY unit, a, b"""
 GROUPS = """
 WITH cuts AS (SELECT ta.e AS place FROM ta JOIN tb ON ta.e = tb.e),
-ga AS (SELECT unit, id, s, sum(CASE WHEN place IS NOT NULL OR s = 0 THEN 1 ELSE 0 END) OVER (ORDER BY s) AS g FROM ta LEFT JOIN cuts ON s = place),
-gb AS (SELECT unit, id, s, sum(CASE WHEN place IS NOT NULL OR s = 0 THEN 1 ELSE 0 END) OVER (ORDER BY s) AS g FROM tb LEFT JOIN cuts ON s = place),
-la AS (SELECT unit, g, string_agg(id::VARCHAR, ',' ORDER BY s) AS ids FROM ga GROUP BY unit, g),
-lb AS (SELECT g, string_agg(id::VARCHAR, ',' ORDER BY s) AS ids FROM gb GROUP BY g)
-SELECT unit, count(*)::INTEGER AS n, string_agg(la.ids || '|' || lb.ids, ';' ORDER BY g) AS text FROM la JOIN lb USING (g) GROUP BY unit ORDER BY unit"""
+ga AS (SELECT unit, 0 AS side, id, s, sum(CASE WHEN place IS NOT NULL OR s = 0 THEN 1 ELSE 0 END) OVER (ORDER BY s) AS g FROM ta LEFT JOIN cuts ON s = place),
+gb AS (SELECT unit, 1 AS side, id, s, sum(CASE WHEN place IS NOT NULL OR s = 0 THEN 1 ELSE 0 END) OVER (ORDER BY s) AS g FROM tb LEFT JOIN cuts ON s = place)
+SELECT unit, side, g::BIGINT AS g, id FROM (FROM ga UNION ALL FROM gb) ORDER BY g, side, s"""
 
 
 @functools.cache
@@ -127,6 +154,19 @@ def _duck(memory: str):
     return con
 
 
+def _written(found: dict) -> tuple[np.ndarray, list[str]]:
+    """(number of groups of each unit, their text) of tokens in order of group, side and place."""
+    unit, side, g = (found[c].astype(np.int64) for c in ("unit", "side", "g"))
+    if not len(unit):
+        return np.zeros(0, np.int64), []
+    # a comma within a side of a group, a bar between its sides, a semicolon between groups, a line feed between units
+    kind = np.where(unit[1:] != unit[:-1], 3, np.where(g[1:] != g[:-1], 2, side[1:] != side[:-1]))
+    marks = np.array([",", "|", ";", "\n"], object)[kind].tolist()
+    parts = [""] * (2 * len(unit) - 1)
+    parts[::2], parts[1::2] = map(str, found["id"].tolist()), marks
+    return 1 + np.bincount(unit[1:], kind == 2).astype(np.int64), "".join(parts).split("\n")
+
+
 def _intervals(ids: list[list[int]], size: list[int]) -> pa.Table:
     n = np.array([len(x) for x in ids], np.int64)
     flat = np.array([i for x in ids for i in x], np.int64)
@@ -144,7 +184,7 @@ def aligned(tokenizers: Tokenizers, units: list[bytes], memory: str = MEMORY):
     con.register("ta", _intervals([a[i] for i in held], [len(x) for x in tokenizers.a_bytes]))
     con.register("tb", _intervals([b[i] for i in held], [len(x) for x in tokenizers.b_bytes]))
     links = con.sql(LINKS).fetchnumpy()
-    groups = con.sql(GROUPS).fetchall()
+    n_groups, texts = _written(con.sql(GROUPS).fetchnumpy())
     con.unregister("ta")
     con.unregister("tb")
     back = np.array(held, np.int64)
@@ -153,8 +193,9 @@ def aligned(tokenizers: Tokenizers, units: list[bytes], memory: str = MEMORY):
     counts[0, back] = [len(a[i]) for i in held]
     counts[1, back] = [len(b[i]) for i in held]
     text: list[str | None] = [None] * len(units)
-    for u, n, t in groups:
-        counts[2, held[u]], text[held[u]] = n, t
+    counts[2, back[: len(n_groups)]] = n_groups
+    for u, t in zip(held, texts):
+        text[u] = t
     n = links["n"].astype(np.int64)
     np.add.at(counts[3], unit, n)
     return counts, text, (unit, links["a"].astype(np.int64), links["b"].astype(np.int64), n)
@@ -175,7 +216,7 @@ class Slab:
                 out.append(None)
                 continue
             whole = b" " + row
-            at = unit_starts(whole) if self.tokenizers.cuts else [0]
+            at = unit_starts(whole, self.tokenizers.marks) if self.tokenizers.cuts else [0]
             own = []
             for s, e in zip(at, [*at[1:], len(whole)]):
                 u = whole[s:e]
@@ -227,13 +268,12 @@ def _aligned_rows(batches, folder, units, places, memory, kind):
         return pa.RecordBatch.from_arrays([pa.array([task + serial]), *none, pa.array([own], pa.list_(pa.int64())), pa.array([often], pa.list_(pa.int64())), blob(unit, np.uint32), blob(pair, np.uint32), blob(times, np.uint32)], names=_ROW)
 
     kind = [kind]
-    for batch in batches:
+    for batch in trimmed(batches):
         kind[0] = batch.column(0).type
-        texts = texts_of(batch.column(1))
-        for at in range(0, len(texts), 256):
+        for at in range(0, batch.num_rows, ROWS):
             if slab is None:
                 slab, used = Slab(tokenizers, memory), []
-            some = texts[at : at + 256]
+            some = texts_of(batch.column(1).slice(at, ROWS))
             own = slab.numbered(some)
             counts = np.concatenate(slab.counts, axis=1) if slab.counts else np.zeros((4, 0), np.int64)
             slab.counts = [counts]
