@@ -17,6 +17,8 @@ A shingle is a 64-bit hash of its words' hashes, a set's name the 128-bit digest
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -91,6 +93,15 @@ def _short(name: bytes) -> int:
     return int.from_bytes(name[:8], "little", signed=True)
 
 
+def short_name(own: np.ndarray) -> int:
+    return _short(_name(own))
+
+
+def sets_of(column: pa.Array, shingle: int) -> list[np.ndarray]:
+    """The set of each text of a column, as sorted hashes of its distinct shingles."""
+    return _sets(*buffer_of(column), shingle)
+
+
 def _prints(batches, shingle):
     """(doc_id, th, sid, short, n) of each row."""
     for batch in trimmed(batches):
@@ -448,13 +459,14 @@ def _tiled(members: DataFrame, percent: int, tile: int) -> DataFrame:
     return small.unionByName(sent.select("group", F.col("p.part").alias("part"), F.col("p.role").alias("role"), "sid"))
 
 
-def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, tile: int = TILE, crowd: int = CROWD, size: int = FILTER) -> DataFrame:
+def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, tile: int = TILE, crowd: int = CROWD, size: int = FILTER, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the least doc_id that links reach, its own included).
 
     Two documents link if the intersection of their sets of distinct shingles is at least `percent` hundredths of the
     union. A text of fewer words than a shingle is one shingle; null texts and texts without words have empty sets,
     which link to nothing, not even to each other. Rows that repeat a doc_id stay separate rows. A null doc_id never is
     a component's id unless all of its doc_ids are null. Other columns of docs are not looked at. No rows, no result.
+    more: further candidates, from a frame with the column text to pairs (a, b) of short_name().
     """
     if not 0 < percent <= 100:
         raise ValueError("percent must be above 0 and at most 100")
@@ -471,6 +483,8 @@ def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, tile
     beside = heads.select("shingle", (F.col("band") + 1).alias("band"), F.col("a").alias("b"))
     same = near.where("b is null").drop("b").join(heads.withColumnRenamed("a", "b"), ["shingle", "band"])
     edges = near.where("b is not null").select("a", "b").union(same.select("a", "b")).union(heads.join(beside, ["shingle", "band"]).select("a", "b"))
+    if more:
+        edges = edges.union(more(seen))
     groups = components(edges, "jaccard-near").withColumnRenamed("v", "short").withColumnRenamed("root", "group")
     members = cut(sets.join(groups, "short").select("sid", "n", "th", "group"), "jaccard-members")
     texts = seen.select("th", "text").join(members.select("th").distinct(), "th", "left_semi")

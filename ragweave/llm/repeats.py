@@ -30,6 +30,8 @@ BYTES, WORDS = 0, 1
 LENGTHS, GRAMS, KINDS = (400, 51), (32, 8), (np.dtype(np.uint8), np.dtype("<u4"))
 CROWD, WAYS, CHUNK, BATCH = 1024, 4, 1 << 21, 1 << 20
 OTHER_BASE = 0xD1342543DE82EF95 | 1
+#: Rounds of jumps after which what is still open goes by a stack.
+ROUNDS = 24
 
 
 def units_of(raw: np.ndarray, offsets: np.ndarray, unit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,13 +159,26 @@ def suffix_ranks(values: np.ndarray, length: int) -> list[tuple[int, np.ndarray]
 
 
 def smaller_before(x: np.ndarray) -> np.ndarray:
-    """For each place the nearest one before it with a smaller value, or -1; all places jump on at once until they stand."""
+    """For each place the nearest one before it with a smaller value, or -1.
+
+    All places jump on at once, which ends after a few rounds where values are mixed; what a long rise before a fall leaves
+    open is found by one pass with a stack, so the time is linear in any case.
+    """
     at = np.arange(len(x)) - 1
     open_ = np.arange(len(x))
-    while len(open_):
+    for _ in range(ROUNDS):
         open_ = open_[(at[open_] >= 0) & (x[at[open_]] >= x[open_])]
+        if not len(open_):
+            return at
         at[open_] = at[at[open_]]
-    return at
+    stack: list[int] = []
+    values, out = x.tolist(), []
+    for i, v in enumerate(values):
+        while stack and values[stack[-1]] >= v:
+            stack.pop()
+        out.append(stack[-1] if stack else -1)
+        stack.append(i)
+    return np.array(out, np.int64)
 
 
 def common_prefix(levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:

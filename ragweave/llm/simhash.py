@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import functools
 import itertools
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -22,37 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import components, cut, joined_by, mixed, shipped, texts_of, without
 
 TILE, STEP, BLOCK = 4096, 96, 1 << 17
-#: Width in words, shingles and tiles (2 MB each) of the fingerprints that stand for a similarity. Their counts keep few
-#: tiles apart, so a fingerprint visits most of them: the larger the tiles, the fewer copies of it are sent.
-WIDE, SHINGLE, SIMILARITY, WIDE_TILE = 8, 5, 0.8, 1 << 15
-#: Deviations above the mean up to which fingerprints (and their first halves) are candidates for a similarity.
-SLACK = 5.0
-
-
-@functools.cache
-def chance_for(similarity: float, most: int = 40) -> float:
-    """The chance, at most, that a bit differs between fingerprints of two sets of that Jaccard similarity or more.
-
-    Of large sets it is the angle of their cosine, 2j/(1+j) or more, over pi. Sets of few shingles are further apart:
-    up to `most` shingles all sizes are counted through with exact binomials.
-    """
-    worst = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    for a in range(1, most + 1):
-        for b in range(a, int(a / similarity + 1e-9) + 1):
-            for c in range(math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9), a + 1):
-                up = lambda n, x: sum(math.comb(n - c, k) for k in range(max(0, n // 2 + 1 - x), n - c + 1)) / 2.0 ** (n - c)  # noqa: B023, E731
-                both = [(math.comb(c, x) / 2.0**c, up(a, x), up(b, x)) for x in range(c + 1)]
-                worst = max(worst, sum(p * (u * (1 - v) + v * (1 - u)) for p, u, v in both))
-    return worst
-
-
-def radius_for(similarity: float, words: int, slack: float) -> int:
-    """Bits in which fingerprints of 64 * words bits may differ at that similarity: the mean and `slack` deviations."""
-    chance, bits = chance_for(similarity), 64 * words
-    return int(bits * chance + slack * math.sqrt(bits * chance * (1 - chance)))
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -329,109 +302,44 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, segments: int =
     return without(docs, groups(docs, shingle, radius, segments, tile, words).where("doc_id <> component_id"))
 
 
-def _set_of(text: bytes, shingle: int) -> tuple[np.ndarray, bytes]:
-    """Distinct shingle hashes, sorted, and their digest."""
-    own = np.unique(shingle_hashes(text, shingle))
-    return own, xxhash.xxh3_128_digest(own.astype("<u8").tobytes())
-
-
-def _set_prints(batches, shingle, words):
+def _set_prints(batches, shingle):
     for batch in batches:
-        sets = [_set_of(t, shingle) for t in texts_of(batch.column(1))]
-        prints = np.stack([bits_of(own, words) for own, _ in sets]) if sets else np.zeros((0, words), np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _column(prints), pa.array([d for _, d in sets], pa.binary())], names=["doc_id", "th", "fp", "sid"])
+        sets = jaccard.sets_of(batch.column(0), shingle)
+        prints = [bits_of(own, 1) for own in sets]
+        yield pa.RecordBatch.from_arrays([pa.array([jaccard.short_name(own) for own in sets], pa.int64()), _column(np.stack(prints) if prints else np.zeros((0, 1), np.uint64))], names=["set", "fp"])
 
 
-def _sets(batches, shingle):
-    for batch in batches:
-        sets = [_set_of(t, shingle) for t in texts_of(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([pa.array([d for _, d in sets], pa.binary()), pa.array([own.astype("<u8").tobytes() for own, _ in sets], pa.binary())], names=["sid", "shingles"])
-
-
-def alike_in(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """For each set of distinct hashes, the number of the first one that links of exact Jaccard similarity reach."""
-    n = np.array([len(x) for x in sets], np.int64)
-    root = np.arange(len(sets))
-    full = np.flatnonzero(n)
-    if len(full) < len(sets):  # empty sets are alike, and like no other
-        root[n == 0] = np.flatnonzero(n == 0)[0]
-    if len(full) < 2:
-        return root
-    vocabulary, ids = np.unique(np.concatenate([sets[i] for i in full]), return_inverse=True)
-    ids = ids.astype(np.int32)
-    own = dict(zip(full.tolist(), np.split(ids, np.cumsum(n[full])[:-1])))
-    mark = np.zeros(len(vocabulary), bool)
-    left, held = full, ids  # the sets in no group yet, one after the other
-    while len(left):
-        seed, ahead = int(left[0]), [int(left[0])]
-        left, held = left[1:], held[n[left[0]] :]
-        while ahead and len(left):
-            at = ahead.pop()
-            mark[own[at]] = True
-            shared = np.add.reduceat(mark[held], np.r_[0, np.cumsum(n[left])[:-1]], dtype=np.int64)
-            mark[own[at]] = False
-            near = shared >= similarity * (n[at] + n[left] - shared) - 1e-9
-            if near.any():
-                root[left[near]] = seed
-                ahead += left[near].tolist()
-                left, held = left[~near], held[~np.repeat(near, n[left])]
-    return root
-
-
-def _confirmed(batches, similarity):
-    """Rows sorted by group, which is held at once; (sid, root) of each set that has a confirmed link."""
-    group, sids, sets = None, [], []
-
-    def done():
-        root = alike_in(sets, similarity)
-        size = np.bincount(root, minlength=len(root))
-        linked = np.flatnonzero(size[root] > 1).tolist()
-        return pa.RecordBatch.from_arrays([pa.array([sids[i] for i in linked], pa.binary()), pa.array([sids[root[i]] for i in linked], pa.binary())], names=["sid", "root"])
+def near_sets(texts: DataFrame, shingle: int = SHINGLE, radius: int = 2, segments: int = 4, tile: int = TILE) -> DataFrame:
+    """(a, b): names of sets whose fingerprints links reach, each with the least of its group."""
+    prints = cut(texts.select("text").mapInArrow(shipped(__name__, "_set_prints", shingle), "set long, fp long").distinct(), "alike-fp")
+    distinct = cut(prints.select("fp").distinct(), "alike-distinct")
+    found = components(links(distinct, radius, segments, tile), "alike").withColumnRenamed("v", "fp")
+    rooted = prints.join(found, "fp", "left").select("set", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("set").alias("b"), F.count("*").alias("n")).where("n > 1")
+    return joined_by(rooted, least, ["root"], "n", prints.count()).select(F.col("set").alias("a"), "b")
 
-    for batch in batches:
-        for g, sid, shingles in zip(texts_of(batch.column(0)), texts_of(batch.column(1)), texts_of(batch.column(2))):
-            if g != group:
-                if sids:
-                    yield done()
-                group, sids, sets = g, [], []
-            sids.append(sid)
-            sets.append(np.frombuffer(shingles, "<u8"))
-    if sids:
-        yield done()
-
-
-def alike(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, words: int = WIDE, tile: int = WIDE_TILE) -> DataFrame:
+
+def alike(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of docs: doc_id, component_id (the least doc_id that links reach, its own included).
 
-    Two documents are linked if their sets of distinct shingles have a Jaccard similarity of `similarity` or more.
-    Wide fingerprints of the sets only bring candidates together, at SLACK deviations above the mean of the worst pair
-    of that similarity; within each group of candidates the sets themselves are compared. Null texts and texts without
-    words have empty sets, which are alike. doc_ids are treated as in groups().
+    Two documents are linked if their sets of distinct shingles have a Jaccard similarity of `similarity` or more, in
+    hundredths. Candidates are sets whose fingerprints are at 2 bits or fewer, by tiles, and sets that share one of their
+    first shingles (see jaccard), so that none is missed; the sets themselves decide. Null texts and texts without words
+    have empty sets, which are alike. doc_ids are treated as in groups().
     """
-    seen = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    prints = cut(seen.mapInArrow(shipped(__name__, "_set_prints", shingle, words), f"doc_id {dict(docs.dtypes)['doc_id']}, th long, fp {_kind(words)}, sid binary"), "alike-fp")
-    sets = cut(prints.groupBy("sid", "fp").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.count("*").alias("n")), "alike-sets")
-    radius, half = radius_for(similarity, words, SLACK), radius_for(similarity, (words + 1) // 2, SLACK)
-    near = components(links(sets.select("fp").distinct(), radius, tile=tile, words=words, half=half), "alike").withColumnRenamed("v", "fp")
-    named = cut(sets.join(near, "fp", "left").select("sid", "th", F.coalesce("root", "fp").alias("candidates")), "alike-named")
-    several = named.groupBy("candidates").agg(F.count("*").alias("n")).where("n > 1")
-    asked = cut(joined_by(named, several, ["candidates"], "n", named.count()).drop("n"), "alike-asked")
-    texts = seen.select("text", "th").join(asked.select("th").distinct(), "th", "left_semi").select("text")
-    held = texts.mapInArrow(shipped(__name__, "_sets", shingle), "sid binary, shingles binary").groupBy("sid").agg(F.first("shingles").alias("shingles"))
-    dealt = asked.select("sid", "candidates").join(held, "sid").select("candidates", "sid", "shingles").repartition("candidates").sortWithinPartitions("candidates", "sid")
-    member = cut(dealt.mapInArrow(shipped(__name__, "_confirmed", similarity), "sid binary, root binary"), "alike-member")
-    lowest = member.join(sets, "sid").groupBy("root").agg(F.min("least").alias("lowest"))
-    ids = sets.join(member.join(lowest, "root").select("sid", "lowest"), "sid", "left").select("sid", "n", F.coalesce("lowest", "least").alias("component_id"))
-    return joined_by(prints, ids, ["sid"], "n", prints.count()).select("doc_id", "component_id")
-
-
-def keep_one_alike(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, words: int = WIDE, tile: int = WIDE_TILE) -> DataFrame:
+    found = jaccard.linked(docs, round(100 * similarity), shingle, more=functools.partial(near_sets, shingle=shingle))
+    least = found.where("n_shingles = 0").agg(F.min("doc_id").alias("_least"))  # one row
+    empty = F.when(F.col("n_shingles") == 0, F.coalesce("_least", "doc_id")).otherwise(F.col("component_id"))
+    return found.crossJoin(F.broadcast(least)).select("doc_id", empty.alias("component_id"))
+
+
+def keep_one_alike(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """docs without the rows that alike() links to a document of a smaller doc_id: copies with edits go as well.
 
     Of rows that share the least doc_id all stay, and so do rows without a doc_id. Null texts and texts without words
     are alike, so one of them stays. Columns of any name stay as they are; no rows, no result.
     """
-    return without(docs, alike(docs, similarity, shingle, words, tile).where("doc_id <> component_id"))
+    return without(docs, alike(docs, similarity, shingle).where("doc_id <> component_id"))
 
 
 def op1_simhash(spark, sf_dir) -> DataFrame:
