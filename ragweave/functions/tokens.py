@@ -188,6 +188,31 @@ def spans(texts: DataFrame, *keys: str, size: int = 32, offsets: Sequence[int] =
     return _mapped(held, "_k", "_t", schema, "_span_rows", tokenizer, size, tuple(offsets)).select("_k.*", "view", "tok_start", "tok_end", "start", "end", "span")
 
 
+def _chunk_span_rows(texts, _, tokenizer, size, overlap, span, offsets, lengths):
+    row, _, _, start, end = _flat(tokenizer or Whitespace(), texts, False)
+    sums = [np.r_[0, np.cumsum(end - start <= k)] for k in lengths]
+    edges = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+    out = []
+    for i, (base, upto) in enumerate(zip(edges, edges[1:])):
+        for no, s in enumerate(window_starts(upto - base, size, overlap)):
+            e = min(s + size, upto - base)
+            out += [(i, no, v, a - s, min(a + span, e) - s, base + a, base + min(a + span, e)) for v in offsets for a in range(s + v, e, span)]
+    cols = np.array(out, np.int64).reshape(-1, 7).T
+    first, last = cols[5], cols[6]
+    counts = [x[last] - x[first] for x in sums]
+    return cols[0], [pa.array(c, pa.int32()) for c in (*cols[1:5], start[first], end[last - 1], last - first, *counts)]
+
+
+def chunk_spans(docs: DataFrame, size: int = 256, overlap: int = 32, span: int = 32, offsets: Sequence[int] = (0, 16), lengths: Sequence[int] = (), tokenizer: Tokenizer | None = None, by: str = "doc_id", text: str = "text") -> DataFrame:
+    """(by, chunk_no, view, tok_start, tok_end, start, end, n, n_upto_K ...): spans() of chunks() in one pass, without texts.
+
+    Tokens count from the chunk's first, start and end are places in the text of the document. n: tokens of the span,
+    n_upto_K: those of K characters at most, for each K of `lengths`.
+    """
+    schema = "chunk_no int, view int, tok_start int, tok_end int, start int, end int, n int" + "".join(f", n_upto_{k} int" for k in lengths)
+    return _mapped(docs, by, text, schema, "_chunk_span_rows", tokenizer, size, overlap, span, tuple(offsets), tuple(lengths))
+
+
 def _token_lists(values: pd.Series, tokenizer) -> pd.Series:
     texts = ["" if t is None else t for t in values]
     return pd.Series([[{"id": t, "index": k, "start": s, "end": e} for k, t, s, e in found] for _, found in _encoded(tokenizer or Whitespace(), texts)])

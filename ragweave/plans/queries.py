@@ -93,12 +93,10 @@ def chunk_lineage_violations(spark, d):
 
 
 def _spans(spark, d) -> DataFrame:
-    """Spans of chunks, in places of the document, with stand-in effects; all within the row of a document."""
-    c = _chunks(spark, d).select("doc_id", "chunk_no", "char_start", "text")
-    tokens = F.regexp_extract_all("span", F.lit(r"\S+"), F.lit(0))
-    effect = lambda keep, mean: (F.size(F.filter(tokens, keep)) - mean) / F.lit(8.0)
-    each = K.spans(c, "doc_id", "chunk_no", "char_start").withColumn("r_eff", effect(lambda t: F.length(t) <= 3, 8)).withColumn("g_eff", effect(lambda t: F.length(t) > 6, 6))
-    return each.select("doc_id", "chunk_no", F.col("view").alias("v"), F.col("tok_start").alias("s"), (F.col("start") + F.col("char_start")).alias("start"), (F.col("end") + F.col("char_start")).alias("end"), "r_eff", "g_eff")
+    """Spans of chunks, in places of the document, with stand-in effects from the lengths of their tokens."""
+    each = K.chunk_spans(_read(spark, d, "documents"), SIZE, OVERLAP, lengths=(3, 6))
+    r_eff, g_eff = (F.col("n_upto_3") - 8) / F.lit(8.0), (F.col("n") - F.col("n_upto_6") - 6) / F.lit(8.0)
+    return each.select("doc_id", "chunk_no", F.col("view").alias("v"), F.col("tok_start").alias("s"), "start", "end", r_eff.alias("r_eff"), g_eff.alias("g_eff"))
 
 
 @query("span_views", f'WITH {_SPAN} SELECT doc_id, chunk_no, CAST(v AS INTEGER) AS v, CAST(s AS INTEGER) AS s, "start", "end", r_eff, g_eff FROM spans')
