@@ -91,11 +91,20 @@ def _lengths(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array(cluster, mask=np.array([not w for w in words], bool))], names=["doc_id", "source", "length", "cluster"])
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, length, cluster): words and one end; texts of the same lower-cased words share a cluster."""
+def measured(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """(doc_id, source, length, cluster): words and one end; texts of the same lower-cased words share a cluster.
+
+    groups: (doc_id, component_id) of near copies, as jaccard.linked() and simhash.alike() give them, which then are the
+    clusters of the documents that they name. Texts without words have none.
+    """
     ids = docs.select("doc_id", "source", "text")
     kind, source = (ids.dtypes[i][1] for i in (0, 1))
-    return ids.mapInArrow(shipped(__name__, "_lengths"), f"doc_id {kind}, source {source}, length long, cluster long")
+    items = ids.mapInArrow(shipped(__name__, "_lengths"), f"doc_id {kind}, source {source}, length long, cluster long")
+    if groups is None:
+        return items
+    known = groups.where("doc_id is not null").groupBy("doc_id").agg(F.xxhash64(F.min("component_id")).alias("_own"))
+    near = F.when(F.col("cluster").isNotNull(), F.coalesce("_own", "cluster")).alias("cluster")
+    return items.join(known, "doc_id", "left").select("doc_id", "source", "length", near)
 
 
 def _packed(batches, capacity):

@@ -20,4 +20,4 @@ QUERIES = {
     "op13_jaccard_join": jaccard.op13_jaccard_join,
 }
 
-ORACLE_SQL = {"op2_decontaminate": decontam.SQL, "op6_url_filter": urlfilter.SQL, "op10_line_rules": linerules.SQL, "op12_hard_negatives": negatives.SQL}
+ORACLE_SQL = {"op2_decontaminate": decontam.SQL, "op6_url_filter": urlfilter.SQL, "op10_line_rules": linerules.SQL, "op12_hard_negatives": negatives.SQL, "op13_jaccard_join": jaccard.SQL}
