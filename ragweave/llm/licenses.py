@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import buffer_of, lowered, mixed, prefix_sums, ranges_hashed, shipped, slices, words_in
 
-BUCKETS, EPOCHS, RATE, DECAY, CONFIDENT, COVER, SAMPLE_DOCS, SEED = 1 << 15, 60, 0.5, 1e-5, 0.7, 0.6, 500, 11
+#: The unknown class is fitted on lines of SAMPLE_DOCS documents, at most SAMPLE_LINES of at most SAMPLE_BYTES each.
+BUCKETS, EPOCHS, RATE, DECAY, CONFIDENT, COVER, SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_BYTES, SEED = 1 << 15, 60, 0.5, 1e-5, 0.7, 0.6, 500, 50_000, 4096, 11
+#: A sampled line with one of these is no sample of the unknown class, as it may be a notice.
+DOUBTFUL = "licen[sc]e|copyright|public domain|warranty|permission|rights reserved"
 #: Notices and sentences of each family.
 TEMPLATES = {
     "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "the software is provided as is without warranty of any kind express or implied"],
@@ -269,13 +272,15 @@ def scanned(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, confident: float =
 
     A paragraph is a line with a word. families: those confirmed, sorted, comma-joined, "" if none. found: code-point
     spans with family, probability, share of the template covered: lines, and stretches of words over line ends or
-    within a line that cover a template and are judged by themselves. The weights are fitted on the templates and on
-    all lines of at most sample_docs documents, those with the least hash of doc_id. A null or empty text has none.
+    within a line that cover a template and are judged by themselves. The weights are fitted on the templates and, for
+    the unknown class, on lines of sample_docs documents, those with the least hash of doc_id: lines without a DOUBTFUL
+    word and of SAMPLE_BYTES bytes at most, of which SAMPLE_LINES with the least hash are taken, whatever rows share a
+    doc_id. A null or empty text has none.
     """
     ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     few = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids.distinct()), "doc_id", "left_semi")  # sample_docs ids at most
-    line = few.select(F.explode(F.split("text", "\n")).alias("line")).where("not lower(line) rlike 'licen[sc]e|copyright|public domain|warranty|permission|rights reserved'")
-    negatives = sorted(r[0] for r in line.collect())
+    line = few.select(F.explode(F.split("text", "\n")).alias("line")).where(~F.rlike(F.lower("line"), F.lit(DOUBTFUL)) & (F.octet_length("line") <= SAMPLE_BYTES))
+    negatives = sorted(r[0] for r in line.orderBy(F.xxhash64("line"), "line").limit(SAMPLE_LINES).collect())
     shared = docs.sparkSession.sparkContext.broadcast(trained(negatives))
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", "text").mapInArrow(shipped(__name__, "_scanned", shared, confident, cover), f"doc_id {kind}, n_paragraphs long, found array<struct<start:long,end:long,family:string,probability:double,confirmed:boolean,cover:double>>")
