@@ -158,16 +158,14 @@ def context(pool: DataFrame, k: int) -> DataFrame:
     return pool.where(F.col("rerank_rank") <= k).withColumn("position", F.col("rerank_rank") - 1)
 
 
-def frozen_thresholds(pool: DataFrame, b: int, k: int, eps: float = 1e-8) -> DataFrame:
-    """(query_id, dense_thr, rerank_thr, dense_mad, rerank_mad): the b-th and k-th largest scores and the mean-free spreads.
-
-    b and k are bounded by the pool's size. Sorting and medians run over one query's pool, of fixed size. A score that is
-    not finite is an error, and so are b or k below 1.
-    """
+def _checked(pool: DataFrame, b: int, k: int, eps: float) -> DataFrame:
     if b < 1 or k < 1 or not eps > 0:
         raise ValueError("b and k must be 1 or more and eps positive")
-    pool = pool.withColumn("dense_score", finite(F.col("dense_score").cast("double"), "dense score")).withColumn("rerank_score", finite(F.col("rerank_score").cast("double"), "rerank score"))
-    mid = pool.groupBy("query_id").agg(F.sort_array(F.collect_list("dense_score"), False).alias("d"), F.sort_array(F.collect_list("rerank_score"), False).alias("r"))
+    return pool.withColumn("dense_score", finite(F.col("dense_score").cast("double"), "dense score")).withColumn("rerank_score", finite(F.col("rerank_score").cast("double"), "rerank score"))
+
+
+def _thresholds(d: str, r: str, b: int, k: int, eps: float) -> list[Column]:
+    """dense_thr, rerank_thr, dense_mad, rerank_mad of a pool's scores in falling order."""
 
     def median(a: Column) -> Column:
         n = F.size(a)
@@ -178,7 +176,24 @@ def frozen_thresholds(pool: DataFrame, b: int, k: int, eps: float = 1e-8) -> Dat
         return F.greatest(F.get(F.transform(centred, lambda a: median(a)), 0), F.lit(eps))
 
     nth = lambda name, k: F.get(F.col(name), F.least(F.lit(k), F.size(name)) - 1)
-    return mid.select("query_id", nth("d", b).alias("dense_thr"), nth("r", k).alias("rerank_thr"), mad("d").alias("dense_mad"), mad("r").alias("rerank_mad"))
+    return [nth(d, b).alias("dense_thr"), nth(r, k).alias("rerank_thr"), mad(d).alias("dense_mad"), mad(r).alias("rerank_mad")]
+
+
+def frozen_thresholds(pool: DataFrame, b: int, k: int, eps: float = 1e-8) -> DataFrame:
+    """(query_id, dense_thr, rerank_thr, dense_mad, rerank_mad): the b-th and k-th largest scores and the mean-free spreads.
+
+    b and k are bounded by the pool's size. Sorting and medians run over one query's pool, of fixed size. A score that is
+    not finite is an error, and so are b or k below 1.
+    """
+    mid = _checked(pool, b, k, eps).groupBy("query_id").agg(F.sort_array(F.collect_list("dense_score"), False).alias("d"), F.sort_array(F.collect_list("rerank_score"), False).alias("r"))
+    return mid.select("query_id", *_thresholds("d", "r", b, k, eps))
+
+
+def with_thresholds(pool: DataFrame, b: int, k: int, eps: float = 1e-8) -> DataFrame:
+    """pool with the frozen_thresholds() of its query: a window over the pool in place of a second pass and a join."""
+    own = W.partitionBy("query_id")
+    held = _checked(pool, b, k, eps).withColumn("_d", F.sort_array(F.collect_list("dense_score").over(own), False)).withColumn("_r", F.sort_array(F.collect_list("rerank_score").over(own), False))
+    return held.select(*pool.columns, *_thresholds("_d", "_r", b, k, eps))
 
 
 def margin(dense: Column, rerank: Column) -> Column:

@@ -53,7 +53,7 @@ def retrieve(vectors: DataFrame, queries: DataFrame, rerank: Scorer, b: int, k:
         dot = F.aggregate(F.zip_with("vec", "_q", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
         pool = R.pooled(clean, both.select("query_id", "chunk_id", dot.alias("dense_score")), b)
     pool = scored_by(rerank, pool, CHUNK, "rerank_score").withColumn("rerank_score", T.finite(F.col("rerank_score"), "rerank score"))
-    return R.context(R.reranked(pool), k).join(R.frozen_thresholds(pool, b, k), "query_id")
+    return R.context(R.with_thresholds(R.reranked(pool), b, k), k)
 
 
 def events(selected: DataFrame, chunks: DataFrame, queries: DataFrame, b: int, k: int) -> DataFrame:
@@ -124,7 +124,8 @@ def results(mapped: DataFrame, queries: DataFrame) -> DataFrame:
 def score_events(event: DataFrame, candidates: DataFrame, full: DataFrame, hidden: Scorer, teacher: Scorer, **options) -> DataFrame:
     """Atoms with roles of each event, from label-free candidates (query_id, chunk_id, text, scores, thresholds).
 
-    A forbidden column, or candidates that are not exactly those of the event's context, are an error.
+    A forbidden column, or candidates that are not exactly those of the event's context, are an error. Spans and their
+    effects, those of the k selected chunks of each query, are persisted; the caller may clear the cache.
     """
     label_free(candidates, candidates.columns, FORBIDDEN)
     wanted = event.select("query_id", F.explode("context_order").alias("chunk_id")).withColumn("_e", F.lit(True))
@@ -134,7 +135,9 @@ def score_events(event: DataFrame, candidates: DataFrame, full: DataFrame, hidde
     floors = {k: options.pop(k) for k in ("r_floor", "g_floor") if k in options}
     views = K.spans(checked, *CHUNK, **options)
     spans = checked.withColumn("n_chars", F.length("text")).drop("text").join(views, CHUNK)
-    return role_maps(retrieval_effects(spans, hidden), full, teacher, **floors)
+    # the choice of chunks, the scores asked for and the maps all read the effects
+    effects = retrieval_effects(spans.persist(StorageLevel.MEMORY_AND_DISK), hidden).persist(StorageLevel.MEMORY_AND_DISK)
+    return role_maps(effects, full, teacher, **floors)
 
 
 def score_chunks(spans: DataFrame, full: DataFrame, teacher: Scorer, evaluated: DataFrame, **floors) -> DataFrame:
