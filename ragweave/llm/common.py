@@ -139,6 +139,13 @@ def trimmed(batches):
         give_back(0)
 
 
+def given_back() -> None:
+    """Freed memory of this process goes back to the system."""
+    import ctypes
+
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     raw, offsets = buffer_of(column)
     view, ends = raw.tobytes(), offsets.tolist()

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer_of, components, cut, joined_by, lowered, mixed, prefix_sums, ranges_hashed, shipped, slices, trimmed, words_in
+from .common import buffer_of, components, cut, given_back, joined_by, lowered, mixed, prefix_sums, ranges_hashed, shipped, slices, trimmed, words_in
 
 #: TILE is bytes of sets that a task holds at once, FILTER the bits of the filter as a power of two, of which one in eight
 #: may stand for a shared shingle; shingles of CROWD sets or more are dealt to several tasks. RUN shingles are counted at a
@@ -244,6 +244,8 @@ def ordered(texts: DataFrame, shingles: int, shingle: int, crowd: int, size: int
     for r in rows:
         mask[r["part"] * each : (r["part"] + 1) * each] = np.frombuffer(r["filter"], np.uint8)
     hot = sorted((k % (1 << 64), n) for r in rows for k, n in zip(r["hot"], r["often"]))
+    del rows
+    given_back()
     return Order(mask, size, level == 1, bits, np.array([k for k, _ in hot], np.uint64), np.array([n for _, n in hot], np.int64), crowd)
 
 
@@ -476,7 +478,10 @@ def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, tile
     rows, shingles = prints.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     sets = cut(prints.groupBy("sid", "short", "n").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.count("*").alias("copies")), "jaccard-sets")
     order = ordered(seen, shingles, shingle, crowd, size)
-    entries = seen.select("text").mapInArrow(shipped(__name__, "_entries", shingle, percent, spark.sparkContext.broadcast(order)), "shingle long, salt int, n long, set long")
+    shared = spark.sparkContext.broadcast(order)
+    del order
+    given_back()
+    entries = seen.select("text").mapInArrow(shipped(__name__, "_entries", shingle, percent, shared), "shingle long, salt int, n long, set long")
     dealt = entries.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "n", "set")
     near = cut(dealt.mapInArrow(shipped(__name__, "_chained", percent), "a long, b long, shingle long, band int"), "jaccard-near")
     heads = near.where("b is null").groupBy("shingle", "band").agg(F.min("a").alias("a"))

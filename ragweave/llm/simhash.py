@@ -310,13 +310,11 @@ def _set_prints(batches, shingle):
 
 
 def near_sets(texts: DataFrame, shingle: int = SHINGLE, radius: int = 2, segments: int = 4, tile: int = TILE) -> DataFrame:
-    """(a, b): names of sets whose fingerprints links reach, each with the least of its group."""
+    """(a, b): names of sets whose fingerprints are linked; sets of one fingerprint by the least of them."""
     prints = cut(texts.select("text").mapInArrow(shipped(__name__, "_set_prints", shingle), "set long, fp long").distinct(), "alike-fp")
-    distinct = cut(prints.select("fp").distinct(), "alike-distinct")
-    found = components(links(distinct, radius, segments, tile), "alike").withColumnRenamed("v", "fp")
-    rooted = prints.join(found, "fp", "left").select("set", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("set").alias("b"), F.count("*").alias("n")).where("n > 1")
-    return joined_by(rooted, least, ["root"], "n", prints.count()).select(F.col("set").alias("a"), "b")
+    first = cut(prints.groupBy("fp").agg(F.min("set").alias("head"), F.count("*").alias("n")), "alike-heads")
+    found = links(first, radius, segments, tile).join(first.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    return joined_by(prints, first.where("n > 1"), ["fp"], "n", prints.count()).select("set", "head").union(found)
 
 
 def alike(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -327,7 +325,7 @@ def alike(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGL
     first shingles (see jaccard), so that none is missed; the sets themselves decide. Null texts and texts without words
     have empty sets, which are alike. doc_ids are treated as in groups().
     """
-    found = jaccard.linked(docs, round(100 * similarity), shingle, more=functools.partial(near_sets, shingle=shingle))
+    found = cut(jaccard.linked(docs, round(100 * similarity), shingle, more=functools.partial(near_sets, shingle=shingle)), "alike")
     least = found.where("n_shingles = 0").agg(F.min("doc_id").alias("_least"))  # one row
     empty = F.when(F.col("n_shingles") == 0, F.coalesce("_least", "doc_id")).otherwise(F.col("component_id"))
     return found.crossJoin(F.broadcast(least)).select("doc_id", empty.alias("component_id"))
