@@ -11,8 +11,8 @@ import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +22,7 @@ Encoded = tuple[Sequence[int], Sequence[tuple[int, int]]]
 Tokenizer = Callable[[list[str]], list[Encoded]]
 #: Code points of white space, as regular expressions over Unicode text have it.
 SPACES = np.array([*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
-#: Characters that are looked at together.
+#: Bytes of text that are looked at together.
 BLOCK = 1 << 20
 #: Columns of chunks().
 CHUNK = ["chunk_no", "tok_start", "tok_end", "char_start", "char_end", "text", "chunk_id", "chunker_hash"]
@@ -87,11 +87,16 @@ def _flat(tokenizer: Tokenizer | None, texts: list[str], ids: bool):
     return cols[0], cols[1], cols[2].tolist() if ids else None, cols[3], cols[4]
 
 
-def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _texts(column: pa.Array) -> list[str]:
+    return ["" if t is None else t for t in column.to_pylist()]
+
+
+def _blocks(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about BLOCK bytes of text, or one longer text; only such a range becomes Python strings."""
     first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= BLOCK or i == len(texts) - 1:
+    for i, n in enumerate(pc.binary_length(column).to_pylist()):
+        size += n or 0
+        if size >= BLOCK or i == len(column) - 1:
             yield first, i + 1
             first, size = i + 1, 0
 
@@ -104,10 +109,9 @@ def _mapped(docs: DataFrame, by: str, text: str, schema: str, rows: str, *args,
 
 def _run(batches, rows, names, args):
     for batch in batches:
-        texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-        for a, b in _blocks(texts):
+        for a, b in _blocks(batch.column(1)):
             given = [c.slice(a, b - a).to_pylist() for c in batch.columns[2:]]
-            row, columns = globals()[rows](texts[a:b], given, *args)
+            row, columns = globals()[rows](_texts(batch.column(1).slice(a, b - a)), given, *args)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), *columns], names=names)
 
 
@@ -213,19 +217,27 @@ def chunk_spans(docs: DataFrame, size: int = 256, overlap: int = 32, span: int =
     return _mapped(docs, by, text, schema, "_chunk_span_rows", tokenizer, size, overlap, span, tuple(offsets), tuple(lengths))
 
 
-def _token_lists(values: pd.Series, tokenizer) -> pd.Series:
-    texts = ["" if t is None else t for t in values]
-    return pd.Series([[{"id": t, "index": k, "start": s, "end": e} for k, t, s, e in found] for _, found in _encoded(tokenizer or Whitespace(), texts)])
+def _token_lists(column: pa.Array, tokenizer, ids: bool = True) -> pa.Array:
+    """The tokens of each text as arrays of numbers, 20 bytes a token; a block of texts is taken apart at a time."""
+    kind = pa.list_(pa.struct([("id", pa.int64())] * ids + [("index", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+    parts = [pa.array([], kind)]
+    for a, b in _blocks(column):
+        texts = _texts(column.slice(a, b - a))
+        row, index, found, start, end = _flat(tokenizer or Whitespace(), texts, ids)
+        edges = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32())
+        places = [*([pa.array(found, pa.int64())] if ids else []), *(pa.array(c, pa.int32()) for c in (index, start, end))]
+        parts.append(pa.ListArray.from_arrays(edges, pa.StructArray.from_arrays(places, fields=list(kind.value_type)), type=kind))
+    return pa.concat_arrays(parts)
 
 
-def with_tokens(df: DataFrame, text: str = "text", tokenizer: Tokenizer | None = None, name: str = "tokens") -> DataFrame:
-    """df with an array column of (id, index, start, end) for the tokens of a text, none of a null one."""
-    lists = shipped(__name__, "_token_lists", tokenizer)
+def with_tokens(df: DataFrame, text: str = "text", tokenizer: Tokenizer | None = None, name: str = "tokens", ids: bool = True) -> DataFrame:
+    """df with an array column of ([id, ]index, start, end) for the tokens of a text, none of a null one."""
+    lists = shipped(__name__, "_token_lists", tokenizer, ids)
 
-    def tokens(values: pd.Series) -> pd.Series:
+    def tokens(values: pa.Array) -> pa.Array:
         return lists(values)
 
-    return df.withColumn(name, F.pandas_udf(tokens, "array<struct<id:long,index:int,start:int,end:int>>")(F.col(text)))
+    return df.withColumn(name, F.arrow_udf(tokens, "array<struct<" + "id:long," * ids + "index:int,start:int,end:int>>")(F.col(text)))
 
 
 def overlapping(tokens: Column, start: Column, end: Column, eligible: Column | None = None) -> Column:
