@@ -132,19 +132,75 @@ def with_interval(groups: DataFrame, k: str = "k", n: str = "n", alpha: float =
     return groups.withColumn("_ci", interval(F.col(k), F.col(n))).withColumn("ci_low", F.col("_ci.low")).withColumn("ci_high", F.col("_ci.high")).drop("_ci")
 
 
+#: Signs that are drawn at a time.
+SIGNS = 1 << 22
+
+
+def _streamed(seed: int, start: int, stop: int, n: int):
+    """Blocks of draws start to stop, each a matrix of n signs a draw, true for plus.
+
+    They are those of rng.choice([-1.0, 1.0], (draws, n)): such a sign is the top bit of each half of the generator's
+    outputs, the lower half first. So one that skips to its first sign draws what a single stream would: start times n
+    must be even.
+    """
+    raw = np.random.default_rng(seed).bit_generator
+    raw.advance(start * n // 2)
+    rows = max(2, min(2048, SIGNS // n) // 2 * 2)
+    for at in range(start, stop, rows):
+        signs = np.empty(min(rows, stop - at) * n, bool)
+        for x in range(0, len(signs), SIGNS):
+            some = signs[x : x + SIGNS]
+            some[:] = (raw.random_raw(-(-len(some) // 2)).astype("<u8", copy=False).view("<i4") < 0)[: len(some)]
+        yield signs.reshape(-1, n)
+
+
 def _hits(values: np.ndarray, start: int, stop: int, seed: int, statistic) -> int:
     """How many of the permutations start to stop reach the observed statistic.
 
-    A sign takes half an output of the generator, so one that skips to its first sign draws what a single stream would:
-    start times the number of values must be even.
+    A median reaches it if more than half of the values do; only a draw in which just half of them do needs its median.
     """
-    rng, hits, observed = np.random.default_rng(seed), 0, statistic(values)
-    rng.bit_generator.advance(start * len(values) // 2)
-    rows = max(2, min(2048, (1 << 22) // len(values)) // 2 * 2)  # about 4 M signs
-    for at in range(start, stop, rows):
-        flipped = rng.choice(np.array([-1.0, 1.0]), size=(min(rows, stop - at), len(values))) * values
-        drawn = np.median(flipped, axis=1) if statistic is np.median else np.array([statistic(x) for x in flipped])
-        hits += int((drawn >= observed).sum())
+    hits, observed = 0, statistic(values)
+    up, down = values >= observed, -values >= observed
+    gain, loss = up & ~down, down & ~up
+    for signs in _streamed(seed, start, stop, len(values)):
+        if statistic is np.median:
+            twice = 2 * (int(down.sum()) + np.count_nonzero(signs & gain, axis=1) - np.count_nonzero(signs & loss, axis=1))
+            even = signs[twice == len(values)]
+            hits += int((twice > len(values)).sum()) + sum(bool(np.median(np.where(x, values, -values)) >= observed) for x in even)
+        else:
+            hits += sum(bool(statistic(np.where(x, values, -values)) >= observed) for x in signs)
+    return hits
+
+
+#: Values on either side of a place that a draw's middle is looked for among; all of them have the wrong sign once in 2**NEAR.
+NEAR = 128
+
+
+def _first(places: range, plus: bool, signs: np.ndarray, whole: bool) -> int | None:
+    for i in places:
+        if signs[i] == plus:
+            return i
+    if not whole:
+        raise ValueError(f"{NEAR} equal signs beside a median")
+    return None
+
+
+def _placed_hits(n: int, observed: float, least: int, most: int, near: dict[int, float], start: int, stop: int, seed: int) -> int:
+    """_hits() of the median of n sorted values, without them.
+
+    Values from place `least` on reach the observed median, and so does what stands before place `most` with a minus.
+    near: the values by their place, up to NEAR places from both.
+    """
+    hits = 0
+    for signs in _streamed(seed, start, stop, n):
+        twice = 2 * (np.count_nonzero(signs[:, least:], axis=1) + most - np.count_nonzero(signs[:, :most], axis=1))
+        hits += int((twice > n).sum())
+        for x in signs[twice == n]:  # the middle is that of the last value below the observed one and of the first above
+            low, high = max(0, least - NEAR), min(n, least + NEAR)
+            below = _first(range(least - 1, low - 1, -1), True, x, low == 0), _first(range(most, min(n, most + NEAR)), False, x, most + NEAR >= n)
+            above = _first(range(least, high), True, x, high == n), _first(range(most - 1, max(0, most - NEAR) - 1, -1), False, x, most <= NEAR)
+            last, following = ([side * near[i] for i, side in zip(pair, (1, -1)) if i is not None] for pair in (below, above))
+            hits += (max(last) + min(following)) / 2 >= observed
     return hits
 
 
@@ -196,21 +252,52 @@ def _flipped_rows(batches, seeds, statistic):
     import pyarrow as pa
 
     for batch in batches:
-        rows = batch.to_pylist()
-        hits = [_hits(np.array(r["values"], float), r["start"], r["stop"], seeds[str(r["by"])] if isinstance(seeds, dict) else seeds, statistic) for r in rows]
+        own = batch.select([n for n in batch.schema.names if n != "values"]).to_pylist()
+        hits = [_hits(np.asarray(batch.column("values")[i].values, float), r["start"], r["stop"], seeds[str(r["by"])] if isinstance(seeds, dict) else seeds, statistic) for i, r in enumerate(own)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.int64())], names=["by", "hits"])
+
+
+def _placed_rows(batches, seeds):
+    import pyarrow as pa
+
+    for batch in batches:
+        hits = [_placed_hits(r["n"], r["observed"], r["least"], r["most"], {x["pos"]: x["v"] for x in r["near"]}, r["start"], r["stop"], seeds[str(r["by"])] if isinstance(seeds, dict) else seeds) for r in batch.to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.int64())], names=["by", "hits"])
 
 
+def _middles(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, observed, least, most, near): of each hypothesis what _placed_hits() needs. Values are numbered by ranges; no
+    group, task or row holds them all."""
+    from .ledger import numbered
+
+    placed = numbered(df.select(F.col(by).alias("by"), finite(F.col(value).cast("double"), "difference").alias("v")), "v", "pos", ["by"])
+    sizes = placed.groupBy("by").agg(F.count("*").alias("n"))
+    with_ = lambda facts: placed.join(F.broadcast(facts.withColumnRenamed("by", "_by")), F.col("by").eqNullSafe(F.col("_by"))).drop("_by")
+    middle = with_(sizes).where((F.col("pos") == F.floor((F.col("n") - 1) / 2)) | (F.col("pos") == F.floor(F.col("n") / 2)))
+    facts = middle.groupBy("by", "n").agg(F.avg("v").alias("observed"))
+    counts = with_(facts).groupBy("by", "n", "observed").agg(F.count_if(F.col("v") < F.col("observed")).alias("least"), F.count_if(-F.col("v") >= F.col("observed")).alias("most"))
+    counts = held(counts, "middles")
+    close = lambda c: (F.col("pos") >= F.col(c) - NEAR) & (F.col("pos") < F.col(c) + NEAR)
+    near = with_(counts).where(close("least") | close("most")).groupBy("by", "n", "observed", "least", "most")
+    return near.agg(F.collect_list(F.struct("pos", "v")).alias("near"))  # 4 * NEAR at most
+
+
 def sign_flip_by(df: DataFrame, by: str, value: str, permutations: int = 10000, seed: int | dict[str, int] = 0, statistic=np.median, cluster: str | None = None) -> DataFrame:
     """(by, p): one test per hypothesis, with the p that sign_flip() gives for its sorted differences.
 
-    The draws of a hypothesis are dealt to TASKS tasks, each of which skips to its own part of the one stream. Its
-    differences are one sample, which every one of those tasks holds. statistic: a function of an array that workers can
-    import or unpickle; seed: one, or one for each hypothesis; cluster: differences are ordered by it first.
+    The draws of a hypothesis are dealt to TASKS tasks, each of which skips to its own part of the one stream. For medians
+    of differences in their own order a task holds one draw's signs, a byte each, and no differences: places and counts
+    tell which draws reach the observed one. Otherwise the differences are one sample, which every one of those tasks
+    holds. statistic: a function of an array that workers can import or unpickle; seed: one, or one for each hypothesis;
+    cluster: differences are ordered by it first.
     """
     if permutations <= 0:
         raise ValueError("need a positive number of permutations")
     kind = dict(df.dtypes)[by]
+    if statistic is np.median and cluster is None:
+        dealt = _dealt(_middles(df, by, value), "by", permutations)
+        hits = dealt.select("by", "n", "observed", "least", "most", "near", "start", "stop").mapInArrow(shipped(__name__, "_placed_rows", seed), f"by {kind}, hits long")
+        return hits.groupBy("by").agg(((F.sum("hits") + 1) / (permutations + 1)).alias("p")).withColumnRenamed("by", by)
     dealt = _dealt(_samples(df, by, value, cluster).withColumnRenamed(by, "by"), "by", permutations).select("by", "values", "start", "stop")
     hits = dealt.mapInArrow(shipped(__name__, "_flipped_rows", seed, statistic), f"by {kind}, hits long")
     return hits.groupBy("by").agg(((F.sum("hits") + 1) / (permutations + 1)).alias("p")).withColumnRenamed("by", by)
