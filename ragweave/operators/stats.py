@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
@@ -326,27 +328,56 @@ def _draw(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 7), 16, 10).cast("long")
 
 
-#: Draws that one md5 gives signs for: four numbers of 28 bits.
-BITS = 28
+#: Draws that one md5 gives signs for: four numbers of 28 bits, 14 bytes of it.
+BITS, DRAWS, SIGN_BYTES = 28, 112, 14
+#: Rows whose digests a task holds at a time, and rows of a task.
+ROWS, TASK_ROWS = 4096, 1 << 16
 
 
-def _signs(rows: DataFrame, id_: str, permutations: int) -> DataFrame:
-    """rows for each block of BITS draws (_j), with the block's signs as bits (_x); draw k from 1 has bit (k - 1) % BITS of
-    block (k - 1) / BITS."""
-    blocks = -(-permutations // BITS)
-    four = rows.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(-(-blocks // 4) - 1)))).withColumn("_h", F.md5(F.concat_ws(":", F.col("_q").cast("string"), F.col(id_).cast("string"))))
-    each = F.explode(F.array(*(F.struct((F.col("_q") * 4 + i).alias("j"), F.conv(F.substring("_h", 1 + 7 * i, 7), 16, 10).cast("long").alias("x")) for i in range(4))))
-    return four.withColumn("_p", each).select("*", F.col("_p.j").alias("_j"), F.col("_p.x").alias("_x")).where(F.col("_j") < blocks).drop("_q", "_h", "_p")
+def _digests(ids: list[str | None], permutations: int) -> np.ndarray:
+    """A row of bytes for each id, SIGN_BYTES of the md5 of `q:id` for each block q of DRAWS; a null id has a minus everywhere."""
+    heads = [b"%d:" % q for q in range(-(-permutations // DRAWS))]
+    none = b"\xff" * 16 * len(heads)
+    md5 = hashlib.md5
+    found = b"".join(none if i is None else b"".join([md5(h + i, usedforsecurity=False).digest() for h in heads]) for i in (x if x is None else x.encode() for x in ids))
+    return np.frombuffer(found, np.uint8).reshape(len(ids), len(heads), 16)[:, :, :SIGN_BYTES].reshape(len(ids), -1)
 
 
-def _bit(i: int) -> Column:
-    return F.col("_x").bitwiseAND(1 << i) == 0
+def _draw_bits(permutations: int) -> tuple[np.ndarray, np.ndarray]:
+    """The byte of _digests(), and its bit, that hold the sign of each draw: draw k from 0 is bit k % BITS of number k / BITS,
+    and a number is seven hexadecimal digits, the first one the highest."""
+    k = np.arange(permutations)
+    digit = k % DRAWS // BITS * 7 + 6 - k % BITS // 4
+    return k // DRAWS * SIGN_BYTES + digit // 2, k % BITS % 4 + 4 * (digit % 2 == 0)
 
 
-def _by_draw(sums: DataFrame, permutations: int, *keys: str) -> DataFrame:
-    """(keys, k, s) of blocks with a column for each of their draws."""
-    each = F.explode(F.array(*(F.struct((F.col("_j") * BITS + i + 1).cast("long").alias("k"), F.col(f"_{i}").alias("s")) for i in range(BITS))))
-    return sums.select(*keys, each.alias("d")).select(*keys, "d.k", "d.s").where(F.col("k") <= permutations)
+def _weighed(batches, permutations):
+    """(k, s) of a task's rows (i, w): the sum of w under the signs of each draw.
+
+    Weights are summed by the value of each byte, which holds eight draws, and then by bit.
+    """
+    import pyarrow as pa
+
+    totals = None
+    for batch in batches:
+        w = batch.column(1).to_numpy(zero_copy_only=False)
+        for at in range(0, len(w), ROWS):
+            found = np.ascontiguousarray(_digests(batch.column(0).slice(at, ROWS).to_pylist(), permutations).T)
+            if totals is None:
+                totals = np.zeros((len(found), 256))
+            for total, column in zip(totals, found):
+                total += np.bincount(column, w[at : at + ROWS], 256)
+    if totals is not None:
+        sides = 1.0 - 2.0 * (np.arange(256)[:, None] >> np.arange(8) & 1)
+        byte, bit = _draw_bits(permutations)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, permutations + 1), pa.int64()), pa.array((totals @ sides)[byte, bit])], names=["k", "s"])
+
+
+def _drawn(rows: DataFrame, permutations: int) -> DataFrame:
+    """(k, s): the sum of w over rows (i, w) under the signs that draws from 1 give to the ids i."""
+    tasks = max(1, -(-rows.count() // TASK_ROWS))
+    dealt = rows.select(F.col("i").cast("string").alias("i"), F.col("w").cast("double").alias("w")).repartition(tasks)
+    return dealt.mapInArrow(shipped(__name__, "_weighed", permutations), "k long, s double").groupBy("k").agg(F.sum("s").alias("s"))
 
 
 #: Children of a range of positions; ranks are found one digit of this base after the other.
@@ -394,36 +425,68 @@ def _middle(totals: DataFrame) -> DataFrame:
     return totals.select("k", F.posexplode(ranks).alias("t", "rank"))
 
 
+def _rounded(x: float, places: int) -> float:
+    """As round() of a column has it: half away from zero, on the digits that the number is written with."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+
+
+def _even_hits(signed: DataFrame, tied: np.ndarray, observed: float, permutations: int, places: int, window: int = 4096) -> int:
+    """How many of the draws `tied`, in which just half of the values reach the observed median, have a median that does.
+
+    signed: (i, kept, v, at), each value with either sign and whether it reaches the observed one. The middle of a draw is
+    that of the last value below and of the first above that have the draw's sign; they are looked for among `window`
+    values on either side, and in more of them if a draw has none there.
+    """
+    byte, bit = (x[tied - 1] for x in _draw_bits(permutations))
+    middle = np.zeros(len(tied))
+    for above in (False, True):
+        size, ahead = window, F.col("v") if above else -F.col("v")
+        while True:
+            rows = signed.where(F.col("at") == above).orderBy(ahead).limit(size).toArrow()  # `window` rows, nearly always
+            kept, v = (rows.column(c).to_numpy() for c in ("kept", "v"))
+            first = np.full(len(tied), -1)
+            for at in range(0, len(kept), 512):
+                open_ = np.flatnonzero(first < 0)
+                if not len(open_):
+                    break
+                digests = _digests(rows.column("i").slice(at, 512).to_pylist(), permutations)
+                fits = (digests[:, byte[open_]] >> bit[open_].astype(np.uint8) & 1 == 0) == kept[at : at + 512].astype(bool)[:, None]
+                first[open_] = np.where(fits.any(axis=0), at + fits.argmax(axis=0), -1)
+            if (first >= 0).all() or len(kept) < size:
+                break
+            size *= 16
+        middle += v[first]
+    return sum(_rounded(float(m) / 2, places) >= observed for m in middle)
+
+
 def sign_flip_hash(df: DataFrame, id_: str, value: str, permutations: int = 10000, statistic: str = "sum") -> DataFrame:
     """(observed, p): sums or medians under signs drawn by hash; rows without a value take no part.
 
-    One md5 gives the signs of 112 draws. Sums of a block of draws are columns of one aggregate. Medians are found by rank,
-    digit by digit of the position among all signed values, so that no group holds the values of a draw.
+    One md5 gives the signs of 112 draws. A task sums weights by the bytes of the digests, eight draws at a time, and only
+    one sum a draw leaves it. A sum's weights are the values. A median reaches the observed one if more than half of the
+    signed values do, so its weights are 1 or -1 for those that reach it with one sign only; draws in which just half of
+    them do are decided by the values beside the observed median.
     """
     rows = df.where(F.col(value).isNotNull()).select(F.col(id_).alias("i"), F.col(value).cast("double").alias("v"))
     if statistic == "sum":
         observed = rows.agg(F.round(F.sum("v"), 6).alias("observed"))
-        sums = _signs(rows, "i", permutations).groupBy("_j").agg(*(F.round(F.sum(F.when(_bit(i), F.col("v")).otherwise(-F.col("v"))), 6).alias(f"_{i}") for i in range(BITS)))
-    else:
-        placed, levels = _positions(rows.select(F.explode(F.array("v", -F.col("v"))).alias("v")), "v")
-        sides = rows.select("i", F.explode(F.array(F.struct(F.col("v").alias("v"), F.lit(True).alias("kept")), F.struct((-F.col("v")).alias("v"), F.lit(False).alias("kept")))).alias("s")).select("i", "s.*")
-        sides = held(sides.join(placed, "v").select("i", "kept", "pos"), "signed")
-        n = rows.count()
-
-        def counts(found: DataFrame, level: int) -> DataFrame:
-            wanted = found.select(F.floor((F.col("k") - 1) / BITS).cast("long").alias("_j"), "prefix").distinct()
-            own = sides.withColumn("prefix", _prefix(F.col("pos"), level, levels)).withColumn("digit", _digit(F.col("pos"), level, levels))
-            near = own.join(found.select("prefix").distinct(), "prefix", "left_semi")
-            some = _signs(near, "i", permutations).join(wanted, ["_j", "prefix"], "left_semi")
-            sums = some.groupBy("_j", "prefix", "digit").agg(*(F.count_if(_bit(i) == F.col("kept")).alias(f"_{i}") for i in range(BITS)))
-            return _by_draw(sums, permutations, "prefix", "digit").join(found.select("k", "t", "prefix"), ["k", "prefix"]).select("k", "t", "digit", F.col("s").alias("w"))
-
-        spark = df.sparkSession
-        draws = spark.range(1, permutations + 1).select(F.col("id").alias("k"), F.lit(n).cast("long").alias("total"))
-        picked = _at_rank(_middle(draws), counts, levels).join(placed, "pos").groupBy("k").agg(F.round(F.avg("v"), 9).alias("s"))
-        observed = quantile(rows, "v", 0.5, "observed").select(F.round("observed", 9).alias("observed"))
-    drawn = _by_draw(sums, permutations) if statistic == "sum" else picked
-    return drawn.crossJoin(F.broadcast(observed)).groupBy("observed").agg(((F.count_if(F.col("s") >= F.col("observed")) + 1) / F.lit(permutations + 1.0)).alias("p"))  # one row beside the draws
+        drawn = _drawn(rows.withColumnRenamed("v", "w"), permutations).withColumn("s", F.round("s", 6))
+        return drawn.crossJoin(F.broadcast(observed)).groupBy("observed").agg(((F.count_if(F.col("s") >= F.col("observed")) + 1) / F.lit(permutations + 1.0)).alias("p"))  # one row beside the draws
+    observed = quantile(rows, "v", 0.5, "observed").select(F.round("observed", 9).alias("observed")).first().observed
+    if observed is None:
+        return df.sparkSession.createDataFrame([], "observed double, p double")
+    up, down = (F.round(x, 9) >= observed for x in (F.col("v"), -F.col("v")))
+    sides = rows.withColumn("up", up).withColumn("down", down)
+    weights = sides.where("up <> down").select("i", F.col("up").cast("int") - F.col("down").cast("int"))
+    n, both = sides.agg(F.count("*"), F.sum(F.col("up").cast("int") + F.col("down").cast("int"))).first()
+    sums = {r.k: r.s for r in _drawn(weights.toDF("i", "w"), permutations).collect()}  # one whole number a draw
+    twice = np.array([both + sums.get(k, 0) for k in range(1, permutations + 1)])  # twice the values that reach it
+    hits, tied = int((twice > n).sum()), np.flatnonzero(twice == n) + 1
+    if len(tied):
+        side = lambda v, kept, at: F.struct(F.lit(kept).alias("kept"), v.alias("v"), F.col(at).alias("at"))
+        signed = sides.select(F.col("i").cast("string").alias("i"), F.explode(F.array(side(F.col("v"), True, "up"), side(-F.col("v"), False, "down"))).alias("s")).select("i", "s.*").where("i is not null or not kept")
+        hits += _even_hits(signed, tied, observed, permutations, 9)
+    return df.sparkSession.createDataFrame([(observed, (hits + 1) / (permutations + 1.0))], "observed double, p double")
 
 
 def cluster_bootstrap_hash(df: DataFrame, cluster: str, value: str, replicates: int = 10000, alpha: float = 0.05) -> DataFrame:
