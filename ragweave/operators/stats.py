@@ -331,16 +331,67 @@ def _draw(*parts) -> Column:
 #: Draws that one md5 gives signs for: four numbers of 28 bits, 14 bytes of it.
 BITS, DRAWS, SIGN_BYTES = 28, 112, 14
 #: Rows whose digests a task holds at a time, and rows of a task.
-ROWS, TASK_ROWS = 4096, 1 << 16
+ROWS, TASK_ROWS = 1 << 14, 1 << 16
+#: Fixed values of md5: its state, its rotations by round, its constants by step, and the bytes of a message of one block.
+STATE, TURNS = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476), ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+SINES, ONE_BLOCK = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)], 55
+
+
+def _md5(words: list[np.ndarray | None], n: int) -> np.ndarray:
+    """Rows of the four words of the md5 of n blocks, given by word; None for a word that is zero in all blocks."""
+    a, b, c, d, f, g = (np.full(n, x, np.uint32) for x in (*STATE, 0, 0))
+    for i in range(64):
+        turn = i >> 4
+        if turn == 0:
+            f = np.bitwise_xor(np.bitwise_and(np.bitwise_xor(c, d, out=f), b, out=f), d, out=f)
+        elif turn == 1:
+            f = np.bitwise_xor(np.bitwise_and(np.bitwise_xor(b, c, out=f), d, out=f), c, out=f)
+        elif turn == 2:
+            f = np.bitwise_xor(np.bitwise_xor(b, c, out=f), d, out=f)
+        else:
+            f = np.bitwise_xor(np.bitwise_or(np.invert(d, out=f), b, out=f), c, out=f)
+        a += f
+        if (word := words[((1, 5, 3, 7)[turn] * i + (0, 1, 5, 0)[turn]) & 15]) is not None:
+            a += word
+        a += np.uint32(SINES[i])
+        left = TURNS[turn][i & 3]
+        np.right_shift(a, np.uint32(32 - left), out=g)
+        a <<= np.uint32(left)
+        a |= g
+        a += b
+        a, b, c, d = d, a, b, c
+    return np.stack([x + np.uint32(y) for x, y in zip((a, b, c, d), STATE)], axis=1)
 
 
 def _digests(ids: list[str | None], permutations: int) -> np.ndarray:
-    """A row of bytes for each id, SIGN_BYTES of the md5 of `q:id` for each block q of DRAWS; a null id has a minus everywhere."""
+    """A row of bytes for each id, SIGN_BYTES of the md5 of `q:id` for each block q of DRAWS; a null id has a minus everywhere.
+
+    Ids of which every `q:id` is one block of md5 are hashed together, the others one by one.
+    """
     heads = [b"%d:" % q for q in range(-(-permutations // DRAWS))]
-    none = b"\xff" * 16 * len(heads)
-    md5 = hashlib.md5
-    found = b"".join(none if i is None else b"".join([md5(h + i, usedforsecurity=False).digest() for h in heads]) for i in (x if x is None else x.encode() for x in ids))
-    return np.frombuffer(found, np.uint8).reshape(len(ids), len(heads), 16)[:, :, :SIGN_BYTES].reshape(len(ids), -1)
+    out = np.full((len(heads), SIGN_BYTES, len(ids)), 255, np.uint8)
+    given = [i if i is None else i.encode() for i in ids]
+    size = np.array([-1 if i is None else len(i) for i in given], np.int64)
+    fits = size <= ONE_BLOCK - max(map(len, heads), default=0)
+    for i in np.flatnonzero(~fits).tolist():
+        found = b"".join(hashlib.md5(h + given[i], usedforsecurity=False).digest() for h in heads)
+        out[:, :, i] = np.frombuffer(found, np.uint8).reshape(-1, 16)[:, :SIGN_BYTES]
+    some = np.flatnonzero(fits & (size >= 0))
+    n, size, words = len(some), size[some], []
+    width = max(1, int(max(size, default=0)))
+    texts = np.array([given[i] for i in some.tolist()], f"S{width}").view(np.uint8).reshape(n, width)
+    at = slice(None) if n == len(ids) else some
+    for q, head in enumerate(heads if n else []):
+        if not q or len(head) > len(heads[q - 1]):
+            block = np.zeros((n, 64), np.uint8)
+            block[:, len(head) : len(head) + width] = texts
+            block[np.arange(n), len(head) + size] = 0x80
+            words = np.ascontiguousarray(block.view("<u4").T)
+            words[14] = 8 * (len(head) + size)
+        front = np.frombuffer(head.ljust(64, b"\0"), "<u4")
+        found = _md5([w | x if x else w if w.any() else None for w, x in zip(words, front)], n)
+        out[q][:, at] = found.astype("<u4", copy=False).view(np.uint8)[:, :SIGN_BYTES].T
+    return out.reshape(len(heads) * SIGN_BYTES, len(ids)).T
 
 
 def _draw_bits(permutations: int) -> tuple[np.ndarray, np.ndarray]:
