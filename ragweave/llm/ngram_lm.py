@@ -118,35 +118,38 @@ class Level:
         return self.held[np.searchsorted(self.starts[self.held], node, side="right") - 1]
 
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(node or -1, discounted probability, back-off weight of the context) of distinct pairs."""
+        """(node or -1, discounted probability, back-off weight of the context) of distinct pairs, given in order."""
         node = np.full(len(word), -1, np.int64)
         p, weight = np.zeros(len(word)), np.ones(len(word))
         shard = route(context, word, self.size, self.shards, self.wide, self.below)
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        order = np.argsort(shard.astype(np.uint16) if self.shards <= 1 << 16 else shard, kind="stable")  # numbers of two bytes are sorted by digits
+        edges = np.r_[0, np.cumsum(np.bincount(shard, minlength=self.shards))]
+        value = (word + 1).astype(np.uint64)
         for s in np.flatnonzero(np.diff(edges)).tolist():
             if self.starts[s] < 0:
                 continue
             at = order[edges[s] : edges[s + 1]]
             contexts, pointers, successors, tail = self.opened(s)
-            own, back = np.unique(context[at], return_inverse=True)
+            asked = context[at]
+            new = np.r_[True, asked[1:] != asked[:-1]]
+            own, back = asked[new], np.cumsum(new) - 1
             row = contexts.find(own.astype(np.uint64))
-            first = np.zeros(len(own), np.int64)
-            held = row >= 0
-            first[held] = pointers[row[held]].astype(np.int64)
+            held = np.flatnonzero(row >= 0)
+            first, last = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+            first[held], last[held] = pointers.pairs(row[held])
             base = np.zeros(len(own), np.uint64)
-            later = held & (first > 0)
+            later = held[first[held] > 0]
             base[later] = successors[first[later] - 1]
-            ask = np.flatnonzero(held[back])
-            got = successors.find(base[back[ask]] + word[at[ask]].astype(np.uint64) + np.uint64(1))
+            if len(held) < len(own):
+                ask = np.flatnonzero(row[back] >= 0)
+                at, back = at[ask], back[ask]
+            got = successors.find(base[back] + value[at])
             # a value past the end of its context belongs to the next one
-            last = np.zeros(len(own), np.int64)
-            last[held] = pointers[row[held] + 1].astype(np.int64)
-            ok = (got >= first[back[ask]]) & (got < last[back[ask]])
-            weight[at[ask]] = _DECODED[tail[successors.n + row[back[ask]]]]
-            hit = at[ask[ok]]
-            node[hit] = got[ok] + self.starts[s]
-            p[hit] = _DECODED[tail[got[ok]]]
+            ok = np.flatnonzero((got >= first[back]) & (got < last[back]))
+            weight[at] = _DECODED[tail[successors.n + row]][back]
+            hit, got = at[ok], got[ok]
+            node[hit] = got + self.starts[s]
+            p[hit] = _DECODED[tail[got]]
         if len(self.wide):
             place = np.minimum(np.searchsorted(self.wide, context), len(self.wide) - 1)
             spread = self.wide[place] == context
@@ -332,8 +335,9 @@ class Model:
         """Level.find of each distinct pair; an unknown word has no node, but its context has a weight."""
         size = np.uint64(self.distinct + 1)
         own, back = np.unique(context.astype(np.uint64) * size + (word + 1).astype(np.uint64), return_inverse=True)
-        w = (own % size).astype(np.int64) - 1
-        node, p, weight = level.find((own // size).astype(np.int64), np.where(w >= 0, w, self.distinct))
+        first = own // size
+        w = (own - first * size).astype(np.int64) - 1
+        node, p, weight = level.find(first.astype(np.int64), np.where(w >= 0, w, self.distinct))
         return node[back], p[back], weight[back]
 
 
