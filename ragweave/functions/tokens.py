@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ship import shipped
+from .ship import given_back, shipped
 
 Encoded = tuple[Sequence[int], Sequence[tuple[int, int]]]
 Tokenizer = Callable[[list[str]], list[Encoded]]
@@ -113,6 +113,9 @@ def _run(batches, rows, names, args):
             given = [c.slice(a, b - a).to_pylist() for c in batch.columns[2:]]
             row, columns = globals()[rows](_texts(batch.column(1).slice(a, b - a)), given, *args)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), *columns], names=names)
+            del given, row, columns
+        del batch  # before the next one is read
+        given_back()
 
 
 def _offset_rows(texts, _, tokenizer, ids):
@@ -227,7 +230,11 @@ def _token_lists(column: pa.Array, tokenizer, ids: bool = True) -> pa.Array:
         edges = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)), pa.int32())
         places = [*([pa.array(found, pa.int64())] if ids else []), *(pa.array(c, pa.int32()) for c in (index, start, end))]
         parts.append(pa.ListArray.from_arrays(edges, pa.StructArray.from_arrays(places, fields=list(kind.value_type)), type=kind))
-    return pa.concat_arrays(parts)
+        del texts, row, index, found, start, end, edges, places
+    lists = pa.concat_arrays(parts)
+    del parts
+    given_back()
+    return lists
 
 
 def with_tokens(df: DataFrame, text: str = "text", tokenizer: Tokenizer | None = None, name: str = "tokens", ids: bool = True) -> DataFrame:
